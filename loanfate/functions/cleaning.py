@@ -73,14 +73,12 @@ def home_bucket(c) -> Column:
 def mon_yyyy_to_date(c) -> Column:
     """'Dec-2011' -> 2011-12-31, with the fixed day of each month.
 
-    Builds an ISO text and casts it, which needs no date formatter per row.
+    Builds an ISO text and casts it, which needs no date formatter per row. The lookup is
+    one constant map; twelve branches would bloat the generated code of every later step.
     """
     c = _col(c)
-    month = F.substring(c, 1, 4)
-    anchor = F.lit(None).cast("string")
-    for name, month_day in reversed(list(MONTH_ANCHORS.items())):
-        anchor = F.when(month == f"{name}-", F.lit(f"-{month_day}")).otherwise(anchor)
-    return F.concat(F.substring(c, 5, 10), anchor).try_cast("date")
+    anchors = F.expr("map({})".format(", ".join(f"'{m}-', '-{day}'" for m, day in MONTH_ANCHORS.items())))
+    return F.concat(F.substring(c, 5, 10), anchors[F.substring(c, 1, 4)]).try_cast("date")
 
 
 def clean_desc(c) -> Column:

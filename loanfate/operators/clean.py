@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanfate.functions import (
-    clean_desc, hash_uniform, mon_yyyy_to_date, pct_to_double, status_code, term_months,
+    clean_desc, hash_uniform, mon_yyyy_to_date, pct_to_double, select_once, status_code, term_months,
 )
 from loanfate.schema import LOAN_COLUMNS
 
@@ -15,10 +15,11 @@ def select_loan_columns(raw: DataFrame) -> DataFrame:
 
 
 def clean_loans(raw: DataFrame, with_current: bool = False) -> DataFrame:
-    """Type the raw columns that are present, in one projection.
+    """Type the raw columns that are present; each text is parsed once.
 
     ``with_current`` gives running loans the code 2; otherwise their status is null.
-    Adds ``term2``, the term as a number, and the time from issue to last payment.
+    Adds ``term2``, the term as a number, and the time from issue to last payment. Select
+    the columns a study needs first: all that are present are parsed.
     """
     raw = select_loan_columns(raw)
     typed = {
@@ -34,11 +35,14 @@ def clean_loans(raw: DataFrame, with_current: bool = False) -> DataFrame:
         "last_pymnt_d": lambda: mon_yyyy_to_date("last_pymnt_d"),
         "desc": lambda: clean_desc("desc"),
     }
-    loans = raw.select([typed[c]().alias(c) if c in typed else F.col(c) for c in raw.columns])
-    if "term" in loans.columns:
-        loans = loans.withColumn("term2", F.col("term").try_cast("double"))
-        if {"issue_d", "last_pymnt_d"} <= set(loans.columns):
-            loans = add_timing(loans)
+    columns = [typed[c]().alias(c) if c in typed else F.col(c) for c in raw.columns]
+    if "term" in raw.columns:
+        # A term of zero has no fraction of payments; such a loan is incomplete.
+        months = term_months("term").try_cast("double")
+        columns.append(F.nullif(months, F.lit(0.0)).alias("term2"))
+    loans = select_once(raw, columns)
+    if {"term2", "issue_d", "last_pymnt_d"} <= set(loans.columns):
+        loans = add_timing(loans)
     return loans
 
 

@@ -47,22 +47,29 @@ def event_time_density(
     """Gaussian kernel density of event times on the grid 0, 1/points, ... below 1.
 
     The bandwidth is sd * n^(-1/5) per series. Equal times are counted first: actual times
-    are month fractions, so a series of any size becomes a few hundred weighted points.
-    Each of those meets the grid inside its task and is summed there per grid point, so
+    are month fractions, so a series of any size becomes a few hundred weighted points. The
+    sd comes from the same counted rows, so the times are read once. Each point meets the grid inside its task and is summed there per grid point, so
     the shuffle carries at most ``points`` rows per series and task.
     """
-    weighted = times.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("weight"))
-    spread = times.groupBy(by).agg(
-        F.count(value).alias("n"),
-        (F.stddev_samp(value) * F.pow(F.count(value).cast("double"), F.lit(-0.2))).alias("bandwidth"),
+    x = F.col(value)
+    weighted = times.filter(x.isNotNull()).groupBy(by, value).agg(F.count("*").alias("weight"))
+    moments = weighted.groupBy(by).agg(
+        F.sum("weight").alias("n"),
+        F.sum(F.col("weight") * x).alias("s1"),
+        F.sum(F.col("weight") * x * x).alias("s2"),
+    )
+    variance = F.try_divide(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.col("n") - 1)
+    spread = moments.select(
+        by, "n", (F.sqrt(variance) * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth")
     )
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    # One row per series is broadcast; the series are named columns, whatever the data size.
     on_grid = (
-        weighted.join(spread, by)
+        weighted.join(F.broadcast(spread), by)
         .select(by, value, "weight", "n", "bandwidth", grid.alias("step"))
         .withColumn("x", F.col("step") / F.lit(float(points)))
     )
-    z = (F.col("x") - F.col(value)) / F.col("bandwidth")
+    z = (F.col("x") - x) / F.col("bandwidth")
     kernel = F.col("weight") * F.exp(-0.5 * z * z)
     height = F.sum(kernel) / (F.first("n") * F.first("bandwidth") * math.sqrt(2 * math.pi))
     return on_grid.groupBy(by, "x").agg(height.alias("density"))

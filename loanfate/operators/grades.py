@@ -36,21 +36,21 @@ def grade_performance(loans: DataFrame, keep: str = "complete", by: str = "grade
         "repTime": (is_repaid(), F.col("fracNumPmts")),
         "ERTime": (is_early(), F.col("fracNumPmts")),
     }
-    aggregates, present = [], []
+    values, aggregates, present = [], [], []
     for term in TERMS:
         of_term = F.col("term2") == term
         for name, (population, value) in measures.items():
-            chosen = F.when(of_term & population, value)
+            column = f"{name}{term}"
+            values.append(F.when(of_term & population, value).alias(column))
             aggregates += [
-                F.avg(chosen).alias(f"{name}{term}mean"),
-                F.stddev_samp(chosen).alias(f"{name}{term}sd"),
+                F.count(column).alias(f"{column}n"),
+                F.avg(column).alias(f"{column}mean"),
+                F.stddev_samp(column).alias(f"{column}sd"),
             ]
-        for name, population in (("loans", F.lit(True)), ("defaults", is_default()), ("early", is_early())):
-            column = f"_{name}{term}"
-            aggregates.append(F.count_if(of_term & population).alias(column))
-            present.append(F.col(column) > 0)
+            present.append(F.col(f"{column}n") > 0)
 
-    table = loans.filter(F.col("term2").isin(*TERMS)).groupBy(by).agg(*aggregates)
+    # The values are columns before they are aggregated, so that each is computed once.
+    table = loans.filter(F.col("term2").isin(*TERMS)).select(by, *values).groupBy(by).agg(*aggregates)
     if keep == "complete":
         table = table.filter(reduce(and_, present))
     elif keep != "all":

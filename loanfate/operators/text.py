@@ -5,6 +5,8 @@ from pyspark.ml.feature import RegexTokenizer, Word2Vec
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanfate.sources import staged
+
 # The names of the description clusters.
 NO_DESC, GENERIC_DESC, DETAILED_DESC = "No desc.", "Generic desc.", "Detailed desc."
 
@@ -20,9 +22,10 @@ def _bounded_vocabulary(tokens: DataFrame, limit: int) -> DataFrame:
     Word2Vec holds its vocabulary in the driver and sends it to each task, and with rare
     words kept it grows with the text. Buckets bound it without leaving out any word.
     """
-    words = tokens.select(F.explode("words").alias("word"))
-    distinct = words.agg(F.approx_count_distinct("word", 0.02)).first()[0]
-    if distinct <= limit:
+    if tokens.agg(F.sum("n_words")).first()[0] <= limit:
+        return tokens
+    words = tokens.select(F.explode(F.array_distinct("words")).alias("word"))
+    if words.agg(F.approx_count_distinct("word", 0.02)).first()[0] <= limit:
         return tokens
     return tokens.withColumn(
         "words", F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(limit)).cast("string"))
@@ -36,13 +39,17 @@ def embed_desc(
     partitions: int | None = None,
     max_vocabulary: int = 1_000_000,
 ) -> DataFrame:
-    """Add ``result``, the mean of the word vectors of a description, and its ``n_words``.
+    """Replace the description by ``result``, the mean of its word vectors.
+
+    Also adds ``n_words`` and ``no_desc``, what the naming of clusters needs to know about
+    the text. The words are staged, so the descriptions are read and split once although
+    the vocabulary, the training and the vectors each need them.
 
     Training runs on ``partitions`` parts of the text at a time, by default as many as the
     cluster runs tasks. Use 1 where two runs must give the same vectors.
     """
-    tokens = tokenize_desc(loans).withColumn("n_words", F.size("words"))
-    tokens = _bounded_vocabulary(tokens, max_vocabulary)
+    tokens = tokenize_desc(loans).withColumns({"n_words": F.size("words"), "no_desc": F.col("desc") == "none"})
+    tokens = _bounded_vocabulary(staged(tokens.drop("desc")), max_vocabulary)
     if partitions is None:
         partitions = loans.sparkSession.sparkContext.defaultParallelism
     word2vec = Word2Vec(
@@ -52,18 +59,16 @@ def embed_desc(
 
 
 def cluster_desc(loans: DataFrame, k: int = 3, seed: int = 1, **embedding) -> DataFrame:
-    """Add ``pred_KM``, the cluster of the description, as text.
+    """Replace the description by ``pred_KM``, its cluster, as text.
 
-    Loans without a description share one vector and so one cluster.
+    Loans without a description share one vector and so one cluster. The vectors are
+    staged: the rounds of the clustering and every later use read ten numbers per loan
+    instead of its text.
     """
-    embedded = embed_desc(loans, seed=seed, **embedding)
+    embedded = staged(embed_desc(loans, seed=seed, **embedding))
     kmeans = KMeans(k=k, seed=seed, featuresCol="result", predictionCol="pred_KM")
     clustered = kmeans.fit(embedded.select("result")).transform(embedded)
-    return (
-        clustered.withColumn("pred_KM", F.col("pred_KM").cast("string"))
-        .withColumn("no_desc", F.col("desc") == "none")
-        .drop("result")
-    )
+    return clustered.withColumn("pred_KM", F.col("pred_KM").cast("string")).drop("result")
 
 
 def describe_text_clusters(clustered: DataFrame) -> DataFrame:
@@ -86,6 +91,6 @@ def describe_text_clusters(clustered: DataFrame) -> DataFrame:
 
 
 def label_clusters(clustered: DataFrame) -> DataFrame:
-    """Replace cluster numbers by cluster names."""
+    """Replace cluster numbers by cluster names; one row per cluster is broadcast."""
     names = describe_text_clusters(clustered).select("pred_KM", "label")
-    return clustered.join(names, "pred_KM").drop("pred_KM").withColumnRenamed("label", "pred_KM")
+    return clustered.join(F.broadcast(names), "pred_KM").drop("pred_KM").withColumnRenamed("label", "pred_KM")

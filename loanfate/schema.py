@@ -10,16 +10,14 @@ LOAN_COLUMNS = [
 ]
 
 # Columns that must be present for a loan to count, one list per study. Each study drops
-# incomplete rows over its own columns, so their row sets differ on purpose.
-GRADE_FIELDS = ["grade", "term", "loan_status", "last_pymnt_d", "term2", "mnth_start2last", "fracNumPmts"]
-PANEL_FIELDS = [
-    "loan_amnt", "term", "int_rate", "grade", "annual_inc", "loan_status", "issue_d", "dti",
-    "addr_state", "last_pymnt_d", "term2", "mnth_start2last", "fracNumPmts",
-]
+# incomplete rows over its own columns, so their row sets differ on purpose. The derived
+# times are not listed: they are there whenever the term and both dates are.
+TIMING_FIELDS = ["term2", "issue_d", "last_pymnt_d"]
+GRADE_FIELDS = ["grade", "loan_status", *TIMING_FIELDS]
+PANEL_FIELDS = ["loan_amnt", "int_rate", "grade", "annual_inc", "loan_status", "dti", "addr_state", *TIMING_FIELDS]
 REGRESSION_FIELDS = [
-    "loan_amnt", "term", "int_rate", "installment", "grade", "emp_length", "home_ownership",
-    "annual_inc", "loan_status", "issue_d", "dti", "revol_util", "last_pymnt_d", "term2",
-    "mnth_start2last", "fracNumPmts",
+    "loan_amnt", "int_rate", "installment", "grade", "emp_length", "home_ownership",
+    "annual_inc", "loan_status", "dti", "revol_util", *TIMING_FIELDS,
 ]
 
 # Inputs and targets of the feature table.
