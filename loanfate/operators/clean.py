@@ -117,13 +117,21 @@ def row_loss_report(loans: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def in_period(loans: DataFrame, column: str, start, end) -> DataFrame:
-    """Loans with ``start <= column < end``."""
-    return loans.filter((F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end)))
+    """Loans with ``start <= column < end``; ISO dates.
+
+    Facts are stored by issue year, so a range of issue dates also names the directories.
+    """
+    chosen = (F.col(column) >= F.lit(start).cast("date")) & (F.col(column) < F.lit(end).cast("date"))
+    if column == "issue_d" and "issue_year" in loans.columns:
+        years = F.col("issue_year").between(F.year(F.lit(start).cast("date")), F.year(F.lit(end).cast("date")))
+        chosen = chosen & years
+    return loans.filter(chosen)
 
 
 def outstanding_at(loans: DataFrame, end) -> DataFrame:
     """Loans issued before ``end`` whose last payment is at ``end`` or later, of any status."""
-    return loans.filter((F.col("last_pymnt_d") >= F.lit(end)) & (F.col("issue_d") < F.lit(end)))
+    end = F.lit(end).cast("date")
+    return loans.filter((F.col("last_pymnt_d") >= end) & (F.col("issue_d") < end))
 
 
 def sample_rows(loans: DataFrame, fraction: float, key: str = "loan_id", seed: int = 1) -> DataFrame:

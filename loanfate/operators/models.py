@@ -1,5 +1,8 @@
 """Models that predict several targets of a loan from the feature table."""
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -7,6 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanfate.schema import CATEGORY_FEATURES, NUMERIC_FEATURES
+from loanfate.sources import staged
+
+
+def _feature_stages(categories: list[str]) -> list:
+    vectors = [f"{c}Vec" for c in categories]
+    return [
+        OneHotEncoder(inputCols=categories, outputCols=vectors, handleInvalid="keep"),
+        VectorAssembler(inputCols=NUMERIC_FEATURES + vectors, outputCol="raw_features"),
+        StandardScaler(inputCol="raw_features", outputCol="features"),
+    ]
 
 
 def _learner(kind: str, target: str, seed: int):
@@ -24,18 +37,19 @@ def fit_multi_target(
 ) -> PipelineModel:
     """Fit one regression per target on shared features.
 
-    ``train`` is read by every fit; give a staged table (:func:`loanfate.sources.staged`)
-    rather than the plan that derives it.
+    The feature vectors are made once and staged. The targets do not depend on each other,
+    so their fits are submitted side by side and share the cluster.
     """
     categories = [c for c in CATEGORY_FEATURES if c in train.columns]
-    vectors = [f"{c}Vec" for c in categories]
-    stages = [
-        OneHotEncoder(inputCols=categories, outputCols=vectors, handleInvalid="keep"),
-        VectorAssembler(inputCols=NUMERIC_FEATURES + vectors, outputCol="raw_features"),
-        StandardScaler(inputCol="raw_features", outputCol="features"),
-        *[_learner(learner, target, seed) for target in targets],
-    ]
-    return Pipeline(stages=stages).fit(train)
+    features = Pipeline(stages=_feature_stages(categories)).fit(train)
+    encoded = staged(features.transform(train).select("features", *targets))
+
+    def fit(target):
+        return _learner(learner, target, seed).fit(encoded)
+
+    with ThreadPoolExecutor(max_workers=len(targets)) as pool:
+        models = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), targets))
+    return PipelineModel(stages=[*features.stages, *models])
 
 
 def prediction_table(model: PipelineModel, test: DataFrame, targets: list[str]) -> DataFrame:
@@ -45,9 +59,11 @@ def prediction_table(model: PipelineModel, test: DataFrame, targets: list[str])
 
 def mse_table(predictions: DataFrame, targets: list[str]) -> DataFrame:
     """Mean squared error per target, and over all of them."""
-    errors = predictions.agg(*[
-        F.avg(F.pow(F.col(f"{t}Pred") - F.col(t), F.lit(2))).alias(t) for t in targets
-    ])
+    def squared_error(t):
+        gap = F.col(f"{t}Pred") - F.col(t)
+        return gap * gap
+
+    errors = predictions.agg(*[F.avg(squared_error(t)).alias(t) for t in targets])
     overall = sum((F.col(t) for t in targets), F.lit(0.0)) / len(targets)
     rows = [F.struct(F.lit(t).alias("target"), F.col(t).alias("mse")) for t in targets]
     rows.append(F.struct(F.lit("all").alias("target"), overall.alias("mse")))

@@ -293,35 +293,40 @@ def _feature_loans(spark, d):
     return clean.clean_loans(loans_raw(spark, d, REGRESSION_COLUMNS))
 
 
+def _staged_loans(spark, d):
+    """Typed loans as files: the index fit, the statistics and the rows each read them."""
+    return staged(_feature_loans(spark, d))
+
+
 def outcome_stats(spark, d):
-    return rounded(features.outcome_stats(_feature_loans(spark, d)), 8)
+    return rounded(features.outcome_stats(clean.clean_loans(loans_raw(spark, d, TIMING_COLUMNS))), 8)
 
 
 def event_targets(spark, d):
-    targets = features.add_targets(_feature_loans(spark, d))
+    targets = features.add_targets(clean.clean_loans(loans_raw(spark, d, TIMING_COLUMNS)))
     return targets.select("loan_id", "probDef", "probER")
 
 
 def event_targets_resolved(spark, d):
-    targets = features.add_targets(_feature_loans(spark, d), resolved_only=True)
+    targets = features.add_targets(clean.clean_loans(loans_raw(spark, d, TIMING_COLUMNS)), resolved_only=True)
     return targets.select("loan_id", "probDef", "probER")
 
 
 def counterfactual_times(spark, d):
-    times = features.counterfactual_times(_feature_loans(spark, d))
+    times = features.counterfactual_times(_staged_loans(spark, d))
     return rounded(times.select("loan_id", "rand", "timeDef", "timeER"), 10)
 
 
 def category_index(spark, d):
-    return features.category_index(_feature_loans(spark, d), CATEGORIES)
+    return features.category_index(staged(clean.clean_loans(loans_raw(spark, d, CATEGORIES))), CATEGORIES)
 
 
 def category_cardinality(spark, d):
-    return summary.category_cardinality(_feature_loans(spark, d), CATEGORIES)
+    return summary.category_cardinality(clean.clean_loans(loans_raw(spark, d, CATEGORIES)), CATEGORIES)
 
 
 def model_table(spark, d):
-    return rounded(features.model_table(_feature_loans(spark, d), CATEGORIES), 10, ["timeDef", "timeER"])
+    return rounded(features.model_table(_staged_loans(spark, d), CATEGORIES), 10, ["timeDef", "timeER"])
 
 
 def train_test_counts(spark, d):
@@ -363,7 +368,7 @@ def text_model_table(spark, d):
 
 
 def _predicted(spark, d, targets, learner="linear"):
-    table = staged(features.model_table(_feature_loans(spark, d), CATEGORIES))
+    table = staged(features.model_table(_staged_loans(spark, d), CATEGORIES))
     return studies.predict_targets(table, targets, learner)
 
 
@@ -374,7 +379,7 @@ def predictions_simple(spark, d):
 
 def predictions_counterfactual(spark, d):
     table = studies.text_model_table(loans_raw(spark, d, TEXT_COLUMNS))
-    return studies.predict_targets(table, COUNTERFACTUAL_TARGETS)
+    return studies.predict_targets(table, COUNTERFACTUAL_TARGETS, "gbt")
 
 
 def prediction_errors(spark, d):

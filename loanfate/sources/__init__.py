@@ -1,9 +1,9 @@
 """Reading loan files, crosswalks and results, and writing them."""
 
 from loanfate.sources.readers import read_crosswalk, read_loans, read_result, read_zip_base
-from loanfate.sources.writers import staged, write_facts, write_result
+from loanfate.sources.writers import read_facts, staged, write_facts, write_result
 
 __all__ = [
-    "read_crosswalk", "read_loans", "read_result", "read_zip_base",
+    "read_crosswalk", "read_facts", "read_loans", "read_result", "read_zip_base",
     "staged", "write_facts", "write_result",
 ]

@@ -57,9 +57,14 @@ def read_loans(
 
 
 def _loan_rows(raw: DataFrame, junk_lines: bool) -> DataFrame:
-    if "id" in raw.columns and "loan_id" not in raw.columns:
-        raw = raw.withColumnRenamed("id", "loan_id")
-    kept = raw.select([c for c in LOAN_COLUMNS if c in raw.columns])
+    present = [c for c in LOAN_COLUMNS if c in raw.columns and c != "loan_id"]
+    # The public files leave the id blank. The row's own text then identifies the loan, so
+    # that draws by loan stay repeatable; it is computed only where the id is used.
+    loan_id = F.md5(F.concat_ws("|", *present))
+    for given in ("id", "loan_id"):
+        if given in raw.columns:
+            loan_id = F.coalesce(F.nullif(F.trim(given), F.lit("")), loan_id)
+    kept = raw.select(loan_id.alias("loan_id"), *present)
     return kept.filter(F.col("loan_amnt").try_cast("double").isNotNull()) if junk_lines else kept
 
 

@@ -4,7 +4,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,11 @@ def write_facts(loans: DataFrame, path: str) -> None:
     years.hint("rebalance", "issue_year").write.mode("overwrite").partitionBy("issue_year").parquet(path)
 
 
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Cleaned loans written by :func:`write_facts`; filters reach the files and directories."""
+    return spark.read.parquet(path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the cluster's shared folder and read it back.
 
