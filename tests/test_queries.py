@@ -1,0 +1,42 @@
+"""Every named query beside its SQL in DuckDB, on the small tables."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
+import compare  # noqa: E402
+from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+
+SF_DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="tables not present")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return compare.duck(SF_DIR)
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_sql(spark, con, name):
+    assert compare.compare(spark, con, SF_DIR, name).startswith("ok")
+
+
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+def test_fitted_query_runs(spark, name):
+    assert queries()[name](spark, SF_DIR).count() > 0
+
+
+def test_entry(spark):
+    result = entry(spark)
+    assert result.columns[0] == "grade" and len(result.columns) == 21
+    assert result.count() >= 0
+
+
+def test_orders_match_one_customer_and_nation(spark):
+    """What lets the loan view leave out tables no column comes from."""
+    from loanfate.plans.loan_view import loans_raw, read_table
+
+    n = read_table(spark, SF_DIR, "orders").count()
+    assert loans_raw(spark, SF_DIR).count() == loans_raw(spark, SF_DIR, ["grade"]).count() == n
