@@ -7,6 +7,8 @@ several counties; a county's share of it is the share of the area's ZIP codes it
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanfate.operators.clean import is_default, is_early
+
 
 def zip_area() -> Column:
     """'78701' -> '787xx', in the lower case of the loan data."""
@@ -44,18 +46,24 @@ def crosswalk_profile(zip_base: DataFrame) -> DataFrame:
     )
 
 
+def _area_shares(areas: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """Each area's row for each of its counties, with the county's share.
+
+    Loans were reduced to one row per area before, so an area with a third of all loans is
+    one row here. Both sides are small and adaptive execution picks the join by their size.
+    """
+    joined = areas.join(crosswalk, areas.zip_code == crosswalk.ZIPxx, "inner")
+    return joined.withColumn("share", F.try_divide("fipCount", "totalXX"))
+
+
 def allocate_to_counties(loans: DataFrame, crosswalk: DataFrame, value: Column) -> DataFrame:
     """Aggregate loans per area, then give each of its counties its share.
 
-    ``value`` is an aggregate over loans, such as ``F.sum("loan_amnt")``. Loans are reduced
-    to one row per area before the join, so an area with a third of all loans is one row
-    there. Both sides are then small and adaptive execution picks the join by their size.
+    ``value`` is an aggregate over loans, such as ``F.sum("loan_amnt")``.
     """
     areas = loans.groupBy("zip_code").agg(value.alias("area_value"))
-    share = F.try_divide("fipCount", "totalXX")
-    return areas.join(crosswalk, areas.zip_code == crosswalk.ZIPxx, "inner").select(
-        "zip_code", "CtyFips", "CtyNAME", "State", share.alias("share"),
-        (share * F.col("area_value")).alias("Val2map"),
+    return _area_shares(areas, crosswalk).select(
+        "zip_code", "CtyFips", "CtyNAME", "State", "share", (F.col("share") * F.col("area_value")).alias("Val2map")
     )
 
 
@@ -83,3 +91,23 @@ def county_avg(
     else:
         raise ValueError(f"method must be 'reference' or 'weighted', got {method!r}")
     return allocated.groupBy("CtyFips").agg(mean.alias("Val2map"))
+
+
+def county_outcome_rates(loans: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """Share of early repaid and of defaulted loans per county.
+
+    Loans, early repayments and defaults of an area are each allocated by the same shares.
+    """
+    areas = loans.groupBy("zip_code").agg(
+        F.count("*").alias("loans"),
+        F.count_if(is_early()).alias("early"),
+        F.count_if(is_default()).alias("defaults"),
+    )
+    counted = _area_shares(areas, crosswalk).groupBy("CtyFips").agg(*[
+        F.sum(F.col("share") * F.col(c)).alias(c) for c in ("loans", "early", "defaults")
+    ])
+    return counted.select(
+        "CtyFips",
+        F.try_divide("early", "loans").alias("ER_rate"),
+        F.try_divide("defaults", "loans").alias("Def_rate"),
+    )

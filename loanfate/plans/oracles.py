@@ -248,14 +248,21 @@ def panel(**options):
 SHOWN_STATES = ["NATION_1", "NATION_4", "NATION_9", "NATION_13", "NATION_22"]
 
 
-def series(expression):
-    ctes, body = _panel(keep="all", digits=None)
+SHOWN_GRADES = ["A", "B", "C", "D", "E", "F", "G"]
+
+
+def series(expression, key="state", source_key="addr_state", shown=(*SHOWN_STATES, "US"), total=True):
+    ctes, body = _panel(key=key, source_key=source_key, keep="all", total=total, digits=None)
     columns = ", ".join(
-        f"""round(max(CASE WHEN state = '{s}' THEN {expression} END), 6) AS "{s}\"""" for s in SHOWN_STATES
+        f"""round(max(CASE WHEN {key} = '{s}' THEN {expression} END), 6) AS "{s}\"""" for s in shown
     )
     return _with(f"{ctes},\npanel AS ({body})", f"""SELECT CAST("Period" AS DATE) AS "Period", {columns} FROM panel GROUP BY 1""")
 
 
+def grade_series(expression):
+    return series(expression, "grade", "grade", SHOWN_GRADES, total=False)
+
+
 def er_default_ratio():
     ctes, body = _panel(keep="all", digits=None)
     return _with(
@@ -424,11 +431,16 @@ ORACLES = {
     "series_term_ratio": series('"termRatio"'),
     "series_dti": series('"DTI"'),
     "series_income": series("income"),
+    "grade_series_default_rate": grade_series('100 * "Def_rate"'),
+    "grade_series_early_rate": grade_series('100 * "ER_rate"'),
+    "grade_series_term_ratio": grade_series('"termRatio"'),
     "top_states": _with(PANEL_LOANS, """SELECT addr_state, count(*) AS count FROM panel_loans GROUP BY addr_state
  ORDER BY count(*) DESC, addr_state LIMIT 5"""),
     "er_default_ratio": er_default_ratio(),
     "crosswalk": _with(ZIP_BASE, """SELECT total AS "totalXX", n AS "fipCount", zipxx AS "ZIPxx", cty AS "CtyNAME",
  st AS "State", fips AS "CtyFips" FROM crosswalk"""),
+    "crosswalk_head": _with(ZIP_BASE, """SELECT total AS "totalXX", n AS "fipCount", zipxx AS "ZIPxx", cty AS "CtyNAME",
+ st AS "State", fips AS "CtyFips" FROM crosswalk ORDER BY zipxx DESC, fips DESC LIMIT 10"""),
     "zip3_pairs": _with(ZIP_BASE, 'SELECT DISTINCT zipxx AS "ZIPxx", fips AS "FIPS" FROM zip_lines'),
     "crosswalk_profile": _with(ZIP_BASE, """SELECT count(*) AS lines, count(DISTINCT zipxx) AS areas,
  count(DISTINCT zipxx || '/' || fips) AS pairs FROM zip_lines"""),
@@ -441,6 +453,14 @@ ORACLES = {
                         'SELECT fips AS "CtyFips", round(avg(val), 6) AS "Val2map" FROM allocated GROUP BY fips'),
     "county_avg_weighted": _with(_county("avg(dti)"),
                                  'SELECT fips AS "CtyFips", round(sum(val) / sum(share), 6) AS "Val2map" FROM allocated GROUP BY fips'),
+    "county_er_default_ratio": _with(f"""{ENDED},{ZIP_BASE},
+per_loan AS (
+ SELECT fips, CAST(n AS DOUBLE) / total AS share, loan_status, frac FROM ended JOIN crosswalk ON zip_code = zipxx
+), rates AS (
+ SELECT fips, sum(CASE WHEN loan_status = 0 AND frac < 1 THEN share ELSE 0 END) / sum(share) AS er,
+  sum(CASE WHEN loan_status = 1 THEN share ELSE 0 END) / sum(share) AS d FROM per_loan GROUP BY fips
+)""", """SELECT fips AS "CtyFips", round(er, 8) AS "ER_rate", round(d, 8) AS "Def_rate",
+ round((er + CAST(0.01 AS DOUBLE)) / (d + CAST(0.01 AS DOUBLE)), 8) AS er_def_ratio FROM rates"""),
     "outcome_stats": _with(STATS, """SELECT round(avg_def_time, 8) AS avg_def_time, def_count, round(avg_er_time, 8) AS avg_er_time,
  er_count, on_time_count, round(CAST(def_count AS DOUBLE) / (def_count + on_time_count), 8) AS threshold_not_er,
  round(CAST(er_count AS DOUBLE) / (er_count + on_time_count), 8) AS threshold_not_def FROM stats"""),

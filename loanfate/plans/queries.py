@@ -11,24 +11,17 @@ from loanfate.functions import emp_bucket, home_bucket, status_code
 from loanfate.operators import clean, counties, evaluate, features, grades, models, panel, summary, text
 from loanfate.plans import studies
 from loanfate.plans.loan_view import loans_raw, zip_base
-from loanfate.schema import COUNTERFACTUAL_TARGETS, PANEL_SCHEMA, REGRESSION_FIELDS, SIMPLE_TARGETS, TIMING_FIELDS
+from loanfate.schema import (
+    COUNTERFACTUAL_TARGETS, GRADE_COLUMNS, PANEL_COLUMNS, PANEL_SCHEMA, REGRESSION_COLUMNS, REGRESSION_FIELDS,
+    SIMPLE_TARGETS, TEXT_COLUMNS, TIMING_FIELDS,
+)
 from loanfate.sources import staged
 
-# Raw columns each study reads; the scan and the joins go no further.
-TIMING_COLUMNS = ["loan_id", "grade", "term", "loan_status", "issue_d", "last_pymnt_d"]
-AMOUNT_COLUMNS = TIMING_COLUMNS + ["loan_amnt", "installment"]
-PANEL_COLUMNS = [
-    "loan_amnt", "term", "int_rate", "grade", "annual_inc", "loan_status", "issue_d", "dti",
-    "addr_state", "last_pymnt_d",
-]
-REGRESSION_COLUMNS = [
-    "loan_id", "loan_amnt", "term", "int_rate", "installment", "grade", "emp_length", "home_ownership",
-    "annual_inc", "loan_status", "issue_d", "dti", "revol_util", "last_pymnt_d",
-]
 FACT_COLUMNS = REGRESSION_COLUMNS + ["zip_code", "addr_state"]
-TEXT_COLUMNS = REGRESSION_COLUMNS + ["desc"]
+AMOUNT_COLUMNS = GRADE_COLUMNS + ["loan_amnt", "installment"]
 CATEGORIES = ["term", "grade", "home_ownership", "emp_length"]
 GRID = ("1995-01-01", "2002-01-01")
+SHOWN_GRADES = ["A", "B", "C", "D", "E", "F", "G"]
 SHOWN_STATES = ["NATION_1", "NATION_4", "NATION_9", "NATION_13", "NATION_22"]
 
 
@@ -55,12 +48,12 @@ def status_codes(spark, d):
 
 
 def loan_timing(spark, d):
-    loans = clean.clean_loans(loans_raw(spark, d, TIMING_COLUMNS))
+    loans = clean.clean_loans(loans_raw(spark, d, GRADE_COLUMNS))
     return loans.select("loan_id", "issue_d", "last_pymnt_d", "mnth_start2last", "fracNumPmts")
 
 
 def loan_outcomes(spark, d):
-    loans = clean.clean_loans(loans_raw(spark, d, TIMING_COLUMNS), with_current=True)
+    loans = clean.clean_loans(loans_raw(spark, d, GRADE_COLUMNS), with_current=True)
     return clean.add_outcomes(loans).groupBy("outcome", "ER").count()
 
 
@@ -88,13 +81,13 @@ def row_loss(spark, d):
 
 
 def paid_in_period(spark, d):
-    loans = clean.clean_loans(loans_raw(spark, d, TIMING_COLUMNS))
+    loans = clean.clean_loans(loans_raw(spark, d, GRADE_COLUMNS))
     chosen = clean.in_period(loans, "last_pymnt_d", "1998-01-01", "1999-01-01")
     return chosen.select("loan_id", "grade", "loan_status", "last_pymnt_d")
 
 
 def outstanding(spark, d):
-    loans = clean.clean_loans(loans_raw(spark, d, TIMING_COLUMNS))
+    loans = clean.clean_loans(loans_raw(spark, d, GRADE_COLUMNS))
     return clean.outstanding_at(loans, "1999-01-01").groupBy("grade", "term").count()
 
 
@@ -109,7 +102,7 @@ def preview_loans(spark, d):
 # Grades
 
 def _grade_loans(spark, d):
-    return studies.grade_loans(loans_raw(spark, d, TIMING_COLUMNS))
+    return studies.grade_loans(loans_raw(spark, d, GRADE_COLUMNS))
 
 
 def _amount_loans(spark, d):
@@ -211,7 +204,13 @@ def panel_append(spark, d):
 
 
 def _series(spark, d, value):
-    return rounded(panel.panel_series(_panel(spark, d, keep="all"), value, SHOWN_STATES), 6)
+    table = _panel(spark, d, keep="all", total="US")
+    return rounded(panel.panel_series(table, value, SHOWN_STATES + ["US"]), 6)
+
+
+def _grade_series(spark, d, value):
+    table = _panel(spark, d, keep="all", by="grade", name="grade")
+    return rounded(panel.panel_series(table, value, SHOWN_GRADES, name="grade"), 6)
 
 
 def series_default_rate(spark, d):
@@ -238,6 +237,18 @@ def series_income(spark, d):
     return _series(spark, d, "income")
 
 
+def grade_series_default_rate(spark, d):
+    return _grade_series(spark, d, "Def_rate")
+
+
+def grade_series_early_rate(spark, d):
+    return _grade_series(spark, d, "ER_rate")
+
+
+def grade_series_term_ratio(spark, d):
+    return _grade_series(spark, d, "termRatio")
+
+
 def top_states(spark, d):
     return panel.top_states(_panel_loans(spark, d))
 
@@ -253,6 +264,11 @@ def crosswalk(spark, d):
     return counties.build_crosswalk(zip_base(spark, d))
 
 
+def crosswalk_head(spark, d):
+    rows = [F.col("ZIPxx").desc(), F.col("CtyFips").desc()]
+    return clean.preview(counties.build_crosswalk(zip_base(spark, d)), rows, 10)
+
+
 def zip3_pairs(spark, d):
     return counties.zip3_county_pairs(zip_base(spark, d))
 
@@ -287,28 +303,31 @@ def county_avg_weighted(spark, d):
     return rounded(counties.county_avg(*_county_inputs(spark, d), method="weighted"), 6)
 
 
-# Feature table
+def county_er_default_ratio(spark, d):
+    loans = clean.clean_loans(loans_raw(spark, d, GRADE_COLUMNS + ["zip_code"]))
+    loans = clean.drop_incomplete(loans, ["loan_status", *TIMING_FIELDS])
+    rates = counties.county_outcome_rates(loans, counties.build_crosswalk(zip_base(spark, d)))
+    return rounded(panel.er_to_default_ratio(rates), 8)
 
-def _feature_loans(spark, d):
-    return clean.clean_loans(loans_raw(spark, d, REGRESSION_COLUMNS))
 
+# Feature table
 
 def _staged_loans(spark, d):
     """Typed loans as files: the index fit, the statistics and the rows each read them."""
-    return staged(_feature_loans(spark, d))
+    return staged(studies.feature_loans(loans_raw(spark, d, REGRESSION_COLUMNS)))
 
 
 def outcome_stats(spark, d):
-    return rounded(features.outcome_stats(clean.clean_loans(loans_raw(spark, d, TIMING_COLUMNS))), 8)
+    return rounded(features.outcome_stats(clean.clean_loans(loans_raw(spark, d, GRADE_COLUMNS))), 8)
 
 
 def event_targets(spark, d):
-    targets = features.add_targets(clean.clean_loans(loans_raw(spark, d, TIMING_COLUMNS)))
+    targets = features.add_targets(clean.clean_loans(loans_raw(spark, d, GRADE_COLUMNS)))
     return targets.select("loan_id", "probDef", "probER")
 
 
 def event_targets_resolved(spark, d):
-    targets = features.add_targets(clean.clean_loans(loans_raw(spark, d, TIMING_COLUMNS)), resolved_only=True)
+    targets = features.add_targets(clean.clean_loans(loans_raw(spark, d, GRADE_COLUMNS)), resolved_only=True)
     return targets.select("loan_id", "probDef", "probER")
 
 
@@ -447,9 +466,13 @@ QUERIES = {
     "series_term_ratio": series_term_ratio,
     "series_dti": series_dti,
     "series_income": series_income,
+    "grade_series_default_rate": grade_series_default_rate,
+    "grade_series_early_rate": grade_series_early_rate,
+    "grade_series_term_ratio": grade_series_term_ratio,
     "top_states": top_states,
     "er_default_ratio": er_default_ratio,
     "crosswalk": crosswalk,
+    "crosswalk_head": crosswalk_head,
     "zip3_pairs": zip3_pairs,
     "crosswalk_profile": crosswalk_profile,
     "class_counts": class_counts,
@@ -457,6 +480,7 @@ QUERIES = {
     "county_sum": county_sum,
     "county_avg": county_avg,
     "county_avg_weighted": county_avg_weighted,
+    "county_er_default_ratio": county_er_default_ratio,
     "outcome_stats": outcome_stats,
     "event_targets": event_targets,
     "event_targets_resolved": event_targets_resolved,

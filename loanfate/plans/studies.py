@@ -1,30 +1,49 @@
 """The loan set of each study, and the studies that chain several operators."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loanfate.operators.clean import clean_loans, drop_incomplete, split_train_test
 from loanfate.operators.features import model_table
 from loanfate.operators.models import fit_multi_target, prediction_table
 from loanfate.operators.repayment import bucket_categories, effect_table, fit_repayment_ols, repayment_design
 from loanfate.operators.text import cluster_desc, label_clusters
-from loanfate.schema import GRADE_FIELDS, PANEL_FIELDS, REGRESSION_FIELDS
+from loanfate.schema import (
+    GRADE_COLUMNS, GRADE_FIELDS, PANEL_COLUMNS, PANEL_FIELDS, REGRESSION_FIELDS, TEXT_COLUMNS,
+)
 from loanfate.sources import staged
 
 
 def grade_loans(raw: DataFrame) -> DataFrame:
     """Loans that ended, with what the grade tables need."""
-    return drop_incomplete(clean_loans(raw), GRADE_FIELDS)
+    return drop_incomplete(clean_loans(_present(raw, GRADE_COLUMNS)), GRADE_FIELDS)
 
 
 def panel_loans(raw: DataFrame) -> DataFrame:
     """Loans that ended or are running, with what the panels need."""
-    return drop_incomplete(clean_loans(raw, with_current=True), PANEL_FIELDS)
+    return drop_incomplete(clean_loans(_present(raw, PANEL_COLUMNS), with_current=True), PANEL_FIELDS)
 
 
 def regression_loans(raw: DataFrame) -> DataFrame:
-    """Loans that ended, with grouped categories and every regression input."""
-    return drop_incomplete(bucket_categories(clean_loans(raw)), REGRESSION_FIELDS)
+    """Loans that ended, with grouped categories and every regression input.
+
+    The description comes along if the raw loans have it.
+    """
+    return drop_incomplete(bucket_categories(clean_loans(_present(raw, TEXT_COLUMNS))), REGRESSION_FIELDS)
+
+
+def feature_loans(raw: DataFrame) -> DataFrame:
+    """All loans, typed, with every input of the feature table."""
+    return clean_loans(_present(raw, TEXT_COLUMNS))
+
+
+def county_loans(raw: DataFrame) -> DataFrame:
+    """Loan values to allocate; loans of any status count."""
+    return clean_loans(_present(raw, ["zip_code", "loan_amnt", "dti"]))
+
+
+def _present(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """Cleaning parses what it is given, so each study hands it its own columns only."""
+    return raw.select([c for c in columns if c in raw.columns])
 
 
 def repay_effects(raw: DataFrame, **embedding) -> DataFrame:
@@ -39,7 +58,7 @@ def repay_effects(raw: DataFrame, **embedding) -> DataFrame:
 
 def text_model_table(raw: DataFrame, **embedding) -> DataFrame:
     """Feature table with the description cluster as a category, staged for the fits."""
-    return staged(model_table(cluster_desc(clean_loans(raw), **embedding)))
+    return staged(model_table(cluster_desc(feature_loans(raw), **embedding)))
 
 
 def predict_targets(table: DataFrame, targets: list[str], learner: str = "linear") -> DataFrame:
@@ -47,11 +66,3 @@ def predict_targets(table: DataFrame, targets: list[str], learner: str = "linear
     train, test = split_train_test(table)
     return prediction_table(fit_multi_target(train, targets, learner), test, targets)
 
-
-def county_loans(raw: DataFrame) -> DataFrame:
-    """Loan values to allocate; loans of any status count."""
-    return raw.select(
-        "zip_code",
-        F.col("loan_amnt").try_cast("double").alias("loan_amnt"),
-        F.col("dti").try_cast("double").alias("dti"),
-    )

@@ -9,6 +9,18 @@ LOAN_COLUMNS = [
     "dti", "revol_util", "zip_code", "addr_state",
 ]
 
+# Raw columns each study reads.
+GRADE_COLUMNS = ["loan_id", "grade", "term", "loan_status", "issue_d", "last_pymnt_d"]
+PANEL_COLUMNS = [
+    "loan_amnt", "term", "int_rate", "grade", "annual_inc", "loan_status", "issue_d", "dti",
+    "addr_state", "last_pymnt_d",
+]
+REGRESSION_COLUMNS = [
+    "loan_id", "loan_amnt", "term", "int_rate", "installment", "grade", "emp_length", "home_ownership",
+    "annual_inc", "loan_status", "issue_d", "dti", "revol_util", "last_pymnt_d",
+]
+TEXT_COLUMNS = REGRESSION_COLUMNS + ["desc"]
+
 # Columns that must be present for a loan to count, one list per study. Each study drops
 # incomplete rows over its own columns, so their row sets differ on purpose. The derived
 # times are not listed: they are there whenever the term and both dates are.
