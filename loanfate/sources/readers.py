@@ -29,6 +29,7 @@ def read_loans(
     skip_preamble: bool = False,
     columns: list[str] | None = None,
     multi_line: bool = False,
+    escape: str = '"',
 ) -> DataFrame:
     """Read one or more loan CSV files as one table of raw text columns.
 
@@ -38,20 +39,24 @@ def read_loans(
 
     ``skip_preamble`` is for files whose header is line 2. The preamble, header and footer
     lines have no numeric ``loan_amnt`` and are filtered out.
+
+    Quotes inside a quoted description are doubled in these files; ``escape`` names the mark.
+    ``multi_line`` reads descriptions with line breaks, at the price that a file is one task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"')
+    options = {"mode": "PERMISSIVE", "multiLine": multi_line, "escape": escape}
 
     if columns is not None:
-        raw = reader.schema(_text_schema(columns)).option("header", not skip_preamble).csv(paths)
+        raw = spark.read.options(header=not skip_preamble, **options).schema(_text_schema(columns)).csv(paths)
         return _loan_rows(raw, skip_preamble)
 
     frames = []
     for path in paths:
         if skip_preamble:
-            raw = reader.schema(_text_schema(_header_after_preamble(spark, path))).option("header", False).csv(path)
+            schema = _text_schema(_header_after_preamble(spark, path))
+            raw = spark.read.options(header=False, **options).schema(schema).csv(path)
         else:
-            raw = spark.read.options(mode="PERMISSIVE", multiLine=multi_line, escape='"', header=True).csv(path)
+            raw = spark.read.options(header=True, **options).csv(path)
         frames.append(_loan_rows(raw, skip_preamble))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

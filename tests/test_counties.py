@@ -75,3 +75,13 @@ def test_county_averages(spark, walk):
     assert weighted["36061"] is None
     with pytest.raises(ValueError):
         counties.county_avg(loans, walk, method="other")
+
+
+def test_county_outcome_rates(spark, walk):
+    loans = spark.createDataFrame(
+        [("472xx", 0.0, 0.5), ("472xx", 1.0, 0.2), ("472xx", 0.0, 1.0), ("472xx", 0.0, 0.9), ("471xx", 1.0, 0.1)],
+        "zip_code string, loan_status double, fracNumPmts double")
+    rates = {r.CtyFips: r for r in counties.county_outcome_rates(loans, walk).collect()}
+    assert (rates["18999"].ER_rate, rates["18999"].Def_rate) == (0.5, 0.25)
+    total = 4 / 4 + 19 / 87
+    assert rates["18019"].Def_rate == pytest.approx((1 / 4 + 19 / 87) / total)
