@@ -48,8 +48,9 @@ def event_time_density(
 
     The bandwidth is sd * n^(-1/5) per series. Equal times are counted first: actual times
     are month fractions, so a series of any size becomes a few hundred weighted points. The
-    sd comes from the same counted rows, so the times are read once. Each point meets the grid inside its task and is summed there per grid point, so
-    the shuffle carries at most ``points`` rows per series and task.
+    sd comes from the same counted rows, so the times are read once. Each point meets
+    the grid inside its task and is summed there per grid point, so the shuffle carries at
+    most ``points`` rows per series and task.
     """
     x = F.col(value)
     weighted = times.filter(x.isNotNull()).groupBy(by, value).agg(F.count("*").alias("weight"))

@@ -339,6 +339,22 @@ def model_table():
  WHERE frac IS NOT NULL AND dti IS NOT NULL""")
 
 
+def grade_mean_predictions(body):
+    targets = [("p_def", "probDef"), ("time_def", "timeDef"), ("p_er", "probER"), ("time_er", "timeER"), ("frac", "fracNumPmts")]
+    means = ", ".join(f"avg({e}) AS {e}_hat" for e, _ in targets)
+    return _with(f"""{STATS},
+scored AS (
+ SELECT *, {UNIFORM.format(seed=2)} < CAST(0.8 AS DOUBLE) AS train FROM times WHERE frac IS NOT NULL AND dti IS NOT NULL
+), grade_mean AS (
+ SELECT grade, {means} FROM scored WHERE train GROUP BY grade
+), test AS (
+ SELECT s.*, m.* EXCLUDE (grade) FROM scored s JOIN grade_mean m ON s.grade = m.grade WHERE NOT train
+), mse AS (
+ SELECT avg(power(p_def_hat - p_def, 2)) AS e1, avg(power(time_def_hat - time_def, 2)) AS e2,
+  avg(power(p_er_hat - p_er, 2)) AS e3, avg(power(time_er_hat - time_er, 2)) AS e4 FROM test
+)""", body)
+
+
 def event_density():
     return _with(
         f"""{ENDED},
@@ -479,3 +495,23 @@ words AS (
 )""", "SELECT loan_id, CAST(len(w) AS BIGINT) AS n_words, md5(array_to_string(w, ' ')) AS words_md5 FROM words"),
     "event_density": event_density(),
 }
+
+ORACLES["csv_round_trip"] = ORACLES["clean_loans"]
+ORACLES["crosswalk_round_trip"] = ORACLES["crosswalk"]
+ORACLES["result_round_trip"] = f"""SELECT grade, def36mean, def60mean, "ERTime60sd" FROM ({grade_performance()})"""
+ORACLES["facts_issued_1998"] = _with(LOANS, """SELECT addr_state, panel_status AS loan_status, count(*) AS count FROM loans
+ WHERE issue_d >= DATE '1998-01-01' AND issue_d < DATE '1999-01-01' GROUP BY 1, 2""")
+
+ORACLES["silent_loans_by_cluster"] = _with(
+    LOANS_RAW, "SELECT 'No desc.' AS \"pred_KM\", count(*) AS count FROM loans_raw WHERE description IS NULL")
+ORACLES["repay_fitted_by_grade"] = _with(COMPLETE, """SELECT grade, count(*) AS loans, round(avg(frac), 6) AS mean_fitted
+ FROM complete WHERE loan_status = 0 AND term2 = 60 GROUP BY grade""")
+ORACLES["grade_mean_errors"] = grade_mean_predictions("""SELECT 'probDef' AS target, round(e1, 8) AS mse FROM mse
+ UNION ALL SELECT 'timeDef', round(e2, 8) FROM mse UNION ALL SELECT 'probER', round(e3, 8) FROM mse
+ UNION ALL SELECT 'timeER', round(e4, 8) FROM mse UNION ALL SELECT 'all', round((e1 + e2 + e3 + e4) / 4, 8) FROM mse""")
+ORACLES["grade_mean_calibration"] = grade_mean_predictions("""SELECT 'Default' AS event,
+  round(100 * avg(p_def), 8) AS actual, round(100 * avg(p_def_hat), 8) AS predicted FROM test
+ UNION ALL SELECT 'Repaid Early', round(100 * avg(p_er), 8), round(100 * avg(p_er_hat), 8) FROM test
+ UNION ALL SELECT 'Orig. Term', round(100 * avg(1 - p_def - p_er), 8), round(100 * avg(1 - p_def_hat - p_er_hat), 8) FROM test""")
+ORACLES["grade_mean_default_times"] = grade_mean_predictions(
+    "SELECT round(time_def, 10) AS actual, round(time_def_hat, 10) AS predicted FROM test WHERE p_def = 1")

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanfate.functions import emp_bucket, home_bucket, status_code
-from loanfate.operators import clean, counties, evaluate, features, grades, models, panel, summary, text
+from loanfate.operators import (
+    clean, counties, evaluate, features, grades, models, panel, repayment, summary, text,
+)
 from loanfate.plans import studies
 from loanfate.plans.loan_view import loans_raw, zip_base
 from loanfate.schema import (
     COUNTERFACTUAL_TARGETS, GRADE_COLUMNS, PANEL_COLUMNS, PANEL_SCHEMA, REGRESSION_COLUMNS, REGRESSION_FIELDS,
     SIMPLE_TARGETS, TEXT_COLUMNS, TIMING_FIELDS,
 )
-from loanfate.sources import staged
+from loanfate.sources import (
+    read_crosswalk, read_facts, read_loans, read_result, scratch_path, staged, write_facts, write_result,
+)
 
 FACT_COLUMNS = REGRESSION_COLUMNS + ["zip_code", "addr_state"]
 AMOUNT_COLUMNS = GRADE_COLUMNS + ["loan_amnt", "installment"]
@@ -99,6 +103,42 @@ def preview_loans(spark, d):
     return clean.preview(loans_raw(spark, d, ["loan_id", "grade", "term", "loan_status", "issue_d"]), "loan_id", 20)
 
 
+# Files
+
+def _folder(spark):
+    path = scratch_path(spark)
+    if path is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return path
+
+
+def csv_round_trip(spark, d):
+    path = _folder(spark)
+    write_result(loans_raw(spark, d, FACT_COLUMNS), path)
+    loans = clean.clean_loans(read_loans(spark, path))
+    return loans.withColumn("loan_id", F.col("loan_id").cast("bigint"))
+
+
+def result_round_trip(spark, d):
+    path = _folder(spark)
+    write_result(grades.grade_performance(_grade_loans(spark, d)), path, single_file=True)
+    shown = {"grade": "string", "def36mean": "double", "def60mean": "double", "ERTime60sd": "double"}
+    return rounded(read_result(spark, path, shown), 8)
+
+
+def crosswalk_round_trip(spark, d):
+    path = _folder(spark)
+    write_result(counties.build_crosswalk(zip_base(spark, d)), path)
+    return read_crosswalk(spark, path)
+
+
+def facts_issued_1998(spark, d):
+    path = _folder(spark)
+    write_facts(clean.clean_loans(loans_raw(spark, d, FACT_COLUMNS), with_current=True), path)
+    issued = clean.in_period(read_facts(spark, path), "issue_d", "1998-01-01", "1999-01-01")
+    return issued.groupBy("addr_state", "loan_status").count()
+
+
 # Grades
 
 def _grade_loans(spark, d):
@@ -376,6 +416,21 @@ def desc_cluster_counts(spark, d):
     return summary.category_counts(text.label_clusters(_clusters(spark, d)), "pred_KM", ascending=True)
 
 
+def silent_loans_by_cluster(spark, d):
+    """Loans without a description all fall into the cluster of that name."""
+    labelled = text.label_clusters(_clusters(spark, d))
+    return labelled.filter("no_desc").groupBy("pred_KM").count()
+
+
+def repay_fitted_by_grade(spark, d):
+    """Fitted repayment times; least squares with a grade term meets each grade's mean."""
+    loans = staged(studies.regression_loans(loans_raw(spark, d, REGRESSION_COLUMNS)))
+    design = repayment.repayment_design(loans, formula=repayment.FORMULA.replace(" + pred_KM", ""))
+    fitted = repayment.fit_repayment_ols(design).transform(design)
+    means = fitted.groupBy("grade").agg(F.count("*").alias("loans"), F.avg("prediction").alias("mean_fitted"))
+    return rounded(means, 6)
+
+
 def repay_effects(spark, d):
     return studies.repay_effects(loans_raw(spark, d, TEXT_COLUMNS))
 
@@ -423,6 +478,28 @@ def early_time_density(spark, d):
     return evaluate.event_time_density(evaluate.stack_series(times, ["actual", "predicted"]))
 
 
+def _grade_mean_predictions(spark, d, targets):
+    """Predictions that need no fit: each target's mean in the loan's grade, over the training part."""
+    table = staged(features.model_table(_staged_loans(spark, d), CATEGORIES))
+    train, test = clean.split_train_test(table)
+    means = train.groupBy("grade").agg(*[F.avg(t).alias(f"{t}Pred") for t in targets])
+    return test.join(means, "grade").select(*[f"{t}Pred" for t in targets], *targets)
+
+
+def grade_mean_errors(spark, d):
+    predictions = _grade_mean_predictions(spark, d, COUNTERFACTUAL_TARGETS)
+    return rounded(models.mse_table(predictions, COUNTERFACTUAL_TARGETS), 8)
+
+
+def grade_mean_calibration(spark, d):
+    return rounded(evaluate.calibration_table(_grade_mean_predictions(spark, d, SIMPLE_TARGETS)), 8)
+
+
+def grade_mean_default_times(spark, d):
+    predictions = _grade_mean_predictions(spark, d, COUNTERFACTUAL_TARGETS)
+    return rounded(evaluate.event_predictions(predictions, "probDef", "timeDef"), 10)
+
+
 def event_density(spark, d):
     loans = clean.add_outcomes(_grade_loans(spark, d)).filter(F.col("outcome").isin("default", "early"))
     return rounded(evaluate.event_time_density(loans, by="outcome", value="fracNumPmts"), 6)
@@ -441,6 +518,10 @@ QUERIES = {
     "outstanding": outstanding,
     "sampled_rows": sampled_rows,
     "preview": preview_loans,
+    "csv_round_trip": csv_round_trip,
+    "result_round_trip": result_round_trip,
+    "crosswalk_round_trip": crosswalk_round_trip,
+    "facts_issued_1998": facts_issued_1998,
     "grade_performance": grade_performance,
     "grade_performance_all": grade_performance_all,
     "grade_display": grade_display,
@@ -492,6 +573,8 @@ QUERIES = {
     "desc_tokens": desc_tokens,
     "desc_clusters": desc_clusters,
     "desc_cluster_counts": desc_cluster_counts,
+    "silent_loans_by_cluster": silent_loans_by_cluster,
+    "repay_fitted_by_grade": repay_fitted_by_grade,
     "repay_effects": repay_effects,
     "text_model_table": text_model_table,
     "predictions_simple": predictions_simple,
@@ -501,5 +584,8 @@ QUERIES = {
     "prediction_summary": prediction_summary,
     "default_time_predictions": default_time_predictions,
     "early_time_density": early_time_density,
+    "grade_mean_errors": grade_mean_errors,
+    "grade_mean_calibration": grade_mean_calibration,
+    "grade_mean_default_times": grade_mean_default_times,
     "event_density": event_density,
 }

@@ -50,9 +50,10 @@ def repay_effects(raw: DataFrame, **embedding) -> DataFrame:
     """Effect of each input on repayment time, with the description cluster as one of them.
 
     Embedding and clustering use all loans with complete data; the regression those repaid.
+    The design needs several passes for its categories, so the labelled loans are staged.
     """
-    clustered = cluster_desc(regression_loans(raw), **embedding)
-    design = repayment_design(label_clusters(clustered))
+    labelled = staged(label_clusters(cluster_desc(regression_loans(raw), **embedding)))
+    design = repayment_design(labelled)
     return effect_table(fit_repayment_ols(design), design)
 
 

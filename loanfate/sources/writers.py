@@ -40,23 +40,26 @@ def staged(df: DataFrame) -> DataFrame:
     """Write a table to the cluster's shared folder and read it back.
 
     Used where several fits read the same features: the lineage ends at files every
-    executor can reach, and each later read takes only the columns it needs. The folder is
-    ``spark.checkpoint.dir``. A local session without one gets a folder of its own; a
-    cluster without one keeps the table in executor storage, which lineage can rebuild.
+    executor can reach, and each later read takes only the columns it needs. A cluster
+    that names no shared folder keeps the table in executor storage, which lineage can
+    rebuild.
     """
-    spark = df.sparkSession
-    folder = _shared_folder(spark)
-    if folder is None:
+    path = scratch_path(df.sparkSession)
+    if path is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder.rstrip('/')}/loanfate-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _shared_folder(spark) -> str | None:
+def scratch_path(spark: SparkSession) -> str | None:
+    """A new path under ``spark.checkpoint.dir``.
+
+    A local session without that setting gets a folder of its own; on a cluster a local
+    folder would be seen by one machine only, so there is none.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None and sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loanfate-"))
         folder = sc.getCheckpointDir()
-    return folder
+    return None if folder is None else f"{folder.rstrip('/')}/loanfate-{uuid.uuid4().hex}"
