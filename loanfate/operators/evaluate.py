@@ -5,6 +5,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Event names and their columns.
 EVENTS = {"Default": "probDef", "Repaid Early": "probER", "Orig. Term": "probOrig"}
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loanfate.functions import emp_bucket, home_bucket
 
+# Fixed value: the inputs of the regression.
 FORMULA = (
     "fracNumPmts ~ installment + annual_inc + dti + int_rate + revol_util"
     " + home_ownership + grade + emp_length + pred_KM"

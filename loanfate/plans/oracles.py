@@ -5,6 +5,24 @@ statistic joined by key, and one range join per panel count. None of the single-
 rewrites of the operators appear here.
 """
 
+# The text patterns of the rules and what they are replaced by.
+PAID, OFF = ("'.*Paid$'", "'0'"), ("'.*Off$'", "'1'")
+RUNNING = ("'(.*Current$)|( In Grace Period)'", "'2'")
+LATE = (r"'(Late \(16-30 days\))|(Late \(31-120 days\))'", "'2'")
+TERM_BLANKS = ("'( months)|( )'", "''")
+MARKUP = ("'(Borrower added on [0-9][0-9]/[0-9][0-9]/[0-9][0-9] >)|<br>|<br/>'", "''")
+UNDER_ONE_YEAR = ("'(n/a)|(< 1 year)'", "'< 1 yr'")
+ONE_TO_FOUR = ("'(1 year)|(2 years)|(3 years)|(4 years)'", "'1-4 years'")
+FIVE_TO_NINE = ("'(5)|(6)|(7)|(8)|(9)'", "'5-9'")
+OWNED = ("'(OWN)|(NONE)'", "'OWN'")
+
+
+def _replaced(text, *rules, flags=""):
+    for pattern, value in rules:
+        text = f"regexp_replace({text}, {pattern}, {value}{flags})"
+    return text
+
+
 LOANS_RAW = """
 loans_raw AS (
  SELECT o_orderkey AS loan_id,
@@ -56,18 +74,16 @@ def _as_date(column):
 LOANS = LOANS_RAW + f""",
 typed AS (
  SELECT loan_id, loan_amnt, installment, annual_inc, grade, emp_length, home_ownership, zip_code, addr_state,
-  regexp_replace(term, '( months)|( )', '', 'g') AS term,
-  TRY_CAST(regexp_replace(term, '( months)|( )', '', 'g') AS DOUBLE) AS term2,
+  {_replaced("term", TERM_BLANKS, flags=", 'g'")} AS term,
+  TRY_CAST({_replaced("term", TERM_BLANKS, flags=", 'g'")} AS DOUBLE) AS term2,
   TRY_CAST(replace(int_rate, '%', '') AS DOUBLE) AS int_rate,
   TRY_CAST(replace(revol_util, '%', '') AS DOUBLE) AS revol_util,
   TRY_CAST(dti AS DOUBLE) AS dti,
-  TRY_CAST(regexp_replace(regexp_replace(loan_status, '.*Paid$', '0'), '.*Off$', '1') AS DOUBLE) AS loan_status,
-  TRY_CAST(regexp_replace(regexp_replace(regexp_replace(regexp_replace(loan_status, '.*Paid$', '0'), '.*Off$', '1'),
-   '(.*Current$)|( In Grace Period)', '2'), '(Late \\(16-30 days\\))|(Late \\(31-120 days\\))', '2') AS DOUBLE) AS panel_status,
+  TRY_CAST({_replaced("loan_status", PAID, OFF)} AS DOUBLE) AS loan_status,
+  TRY_CAST({_replaced("loan_status", PAID, OFF, RUNNING, LATE)} AS DOUBLE) AS panel_status,
   {_as_date("issue_d")} AS issue_d,
   {_as_date("last_pymnt_d")} AS last_pymnt_d,
-  regexp_replace(coalesce(description, 'none'),
-   '(Borrower added on [0-9][0-9]/[0-9][0-9]/[0-9][0-9] >)|<br>|<br/>', '', 'g') AS description
+  {_replaced("coalesce(description, 'none')", MARKUP, flags=", 'g'")} AS description
  FROM loans_raw
 ), timed AS (
  SELECT *,
@@ -403,13 +419,11 @@ ORACLES = {
  WHEN panel_status = 0 AND frac < 1 THEN 'early' WHEN panel_status = 0 AND frac >= 1 THEN 'scheduled'
  WHEN panel_status = 2 THEN 'current' END AS outcome,
  CASE WHEN panel_status = 0 AND frac < 1 THEN 1 ELSE 0 END AS "ER", count(*) AS count FROM loans GROUP BY 1, 2"""),
-    "emp_buckets": _with(LOANS_RAW, """SELECT emp_length, regexp_replace(regexp_replace(
- coalesce(regexp_replace(emp_length, '(n/a)|(< 1 year)', '< 1 yr'), '< 1 yr'),
- '(1 year)|(2 years)|(3 years)|(4 years)', '1-4 years'), '(5)|(6)|(7)|(8)|(9)', '5-9') AS bucket, count(*) AS count
- FROM loans_raw GROUP BY 1, 2"""),
-    "home_buckets": _with(LOANS_RAW, """SELECT home_ownership,
- coalesce(regexp_replace(home_ownership, '(OWN)|(NONE)', 'OWN'), 'OWN') AS bucket, count(*) AS count
- FROM loans_raw GROUP BY 1, 2"""),
+    "emp_buckets": _with(LOANS_RAW, f"""SELECT emp_length,
+ {_replaced("coalesce(" + _replaced("emp_length", UNDER_ONE_YEAR) + ", '< 1 yr')", ONE_TO_FOUR, FIVE_TO_NINE)} AS bucket,
+ count(*) AS count FROM loans_raw GROUP BY 1, 2"""),
+    "home_buckets": _with(LOANS_RAW, f"""SELECT home_ownership,
+ coalesce({_replaced("home_ownership", OWNED)}, 'OWN') AS bucket, count(*) AS count FROM loans_raw GROUP BY 1, 2"""),
     "inst_to_income": _with(LOANS, "SELECT loan_id, installment / annual_inc AS inst2inc FROM loans"),
     "row_loss": row_loss(),
     "paid_in_period": _with(LOANS, """SELECT loan_id, grade, loan_status, last_pymnt_d FROM loans
@@ -429,7 +443,7 @@ ORACLES = {
     "frac_by_term": _with(ENDED, "SELECT term, round(avg(frac), 8) AS mean_frac FROM ended GROUP BY term"),
     "mean_repay_months": _with(ENDED, "SELECT round(60 * avg(frac), 8) AS mean_months FROM ended WHERE loan_status = 0 AND term2 = 60"),
     "grade_counts": _with(ENDED, "SELECT grade, count(*) AS count FROM ended GROUP BY grade"),
-    "home_counts": _with(COMPLETE, """SELECT regexp_replace(home_ownership, '(OWN)|(NONE)', 'OWN') AS home_ownership,
+    "home_counts": _with(COMPLETE, f"""SELECT {_replaced("home_ownership", OWNED)} AS home_ownership,
  count(*) AS count FROM complete GROUP BY 1"""),
     "frac_summary": _with(ENDED, _described("mnth_start2last", "mnth_start2last") + " UNION ALL " + _described("frac", "fracNumPmts")),
     "repay_quantiles": _with(ENDED, """SELECT grade, round(quantile_cont(mnth_start2last, 0.25), 8) AS p25,

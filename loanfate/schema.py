@@ -2,7 +2,8 @@
 
 from pyspark.sql import types as T
 
-# Raw loan columns that any operator uses; everything else in a loan file is dropped at the scan.
+# The names of the raw loan columns that any operator uses; everything else in
+# a loan file is dropped at the scan.
 LOAN_COLUMNS = [
     "loan_id", "loan_amnt", "term", "int_rate", "installment", "grade", "emp_length",
     "home_ownership", "annual_inc", "loan_status", "issue_d", "last_pymnt_d", "desc",
@@ -32,14 +33,15 @@ REGRESSION_FIELDS = [
     "annual_inc", "loan_status", "dti", "revol_util", *TIMING_FIELDS,
 ]
 
-# Inputs and targets of the feature table.
+# Names of the inputs and targets of the feature table.
 NUMERIC_FEATURES = ["loan_amnt", "int_rate", "annual_inc", "dti", "revol_util", "installment", "inst2inc"]
 CATEGORY_FEATURES = ["term", "grade", "home_ownership", "pred_KM", "emp_length"]
 SIMPLE_TARGETS = ["probDef", "probER", "fracNumPmts"]
 COUNTERFACTUAL_TARGETS = ["probDef", "timeDef", "probER", "timeER"]
 ALL_TARGETS = ["probDef", "timeDef", "probER", "timeER", "fracNumPmts"]
 
-# Crosswalk codes stay strings: FIPS and ZIP codes have leading zeros.
+# Column names of the files below. Codes stay strings: FIPS and ZIP codes have
+# leading zeros.
 ZIP_BASE_SCHEMA = T.StructType([
     T.StructField("ZIP", T.StringType()),
     T.StructField("COUNTYNAME", T.StringType()),
