@@ -118,3 +118,38 @@ def test_status_rule_against_the_text_patterns(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "v string")
     got = {r.v: r.code for r in rows.select("v", status_code("v", True).alias("code")).collect()}
     assert got == {t: rule(t) for t in texts}
+
+
+@pytest.fixture
+def conf(spark):
+    saved = {}
+
+    def put(name, value):
+        saved[name] = spark.conf.get(name, None)
+        spark.conf.set(name, value)
+
+    yield put
+    for name, value in saved.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_a_hot_borrower_is_split_in_the_join(spark, conf, tmp_path):
+    """One customer holds a third of all orders; neither side is broadcast."""
+    source = "/root/testdata/sf0.01"
+    for name in ("customer", "nation", "documents"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    orders = spark.read.parquet(f"{source}/orders.parquet")
+    hot = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, 7).otherwise(F.col("o_custkey")))
+    hot.repartition(8).write.parquet(f"{tmp_path}/orders.parquet")
+
+    columns = ["loan_id", "loan_amnt", "zip_code", "addr_state"]
+    expected = {tuple(r) for r in loans_raw(spark, str(tmp_path), columns).collect()}
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8KB")
+    conf("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1KB")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "16KB")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+    joined = loans_raw(spark, str(tmp_path), columns)
+    assert {tuple(r) for r in joined.collect()} == expected and len(expected) == orders.count()
+    assert "SortMergeJoin(skew=true)" in joined._jdf.queryExecution().executedPlan().toString()
