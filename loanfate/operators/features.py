@@ -73,7 +73,8 @@ def counterfactual_times(loans: DataFrame, key: str = "loan_id", seed: int = 7)
     default time or 1. The same draw decides both.
 
     The statistics are scalar subqueries: they are computed inside the query, over one
-    shared aggregate, and never come to the driver program.
+    shared aggregate, and never come to the driver program. They read the loans a first
+    time, so give stored or staged loans rather than the plan that parses them.
     """
     stats = outcome_stats(loans)
     loans = loans if "probDef" in loans.columns else add_targets(loans)
@@ -104,7 +105,8 @@ def model_table(
     """Complete rows of features and targets, keyed by loan.
 
     Categories are replaced by their index. ``pred_KM`` is used when the loans carry it,
-    that is after :func:`loanfate.operators.text.cluster_desc`.
+    that is after :func:`loanfate.operators.text.cluster_desc`. The loans are read three
+    times (index, statistics, rows), so they too should be stored or staged.
     """
     if categories is None:
         categories = [c for c in CATEGORY_FEATURES if c in loans.columns]
