@@ -1,6 +1,6 @@
 """Command-line jobs: read loan files, run a study, write its table.
 
-spark-submit loanfate/jobs.py grades --loans a.csv b.csv --skip-preamble --out out/grades
+spark-submit --py-files loanfate.zip loanfate/jobs.py grades --loans a.csv b.csv --skip-preamble --out out/grades
 python -m loanfate.jobs panel --loans a.csv --start 2010-01-01 --end 2018-01-01 --step 3 --out out/panel
 """
 

@@ -102,7 +102,7 @@ def _cells(loans, start, end, step_months, periods, by) -> DataFrame:
     )
     opened = F.greatest(F.col("first"), F.lit(0))
     # A loan that ends in the period it is first seen in is never outstanding at a period's end.
-    spans = (F.greatest(F.col("last"), F.lit(0)) > opened).cast("long")
+    spans = (F.col("first").isNotNull() & (F.greatest(F.col("last"), F.lit(0)) > opened)).cast("long")
     is_new = F.col("first") >= 0
     none = F.lit(0).cast("long")
 

@@ -14,7 +14,7 @@ def summarize(df: DataFrame, columns: list[str], accuracy: int = 10000) -> DataF
     """Count, mean, sd, minimum, quartiles and maximum, one row per column.
 
     One pass for all columns. Quartiles come from a mergeable sketch of bounded size, with
-    a rank error of at most 1/accuracy; :func:`exact_quantiles` is the exact way.
+    a rank error of at most 1/accuracy; :func:`grid_quantiles` is the exact way.
     """
     aggregates = []
     for c in columns:
@@ -49,14 +49,15 @@ def summarize(df: DataFrame, columns: list[str], accuracy: int = 10000) -> DataF
     return one_row.select(F.inline(rows))
 
 
-def exact_quantiles(
+def grid_quantiles(
     df: DataFrame, column: str, probabilities=(0.25, 0.5, 0.75), by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Exact quantiles per group, with linear interpolation.
+    """Exact quantiles per group of a column with few different values, such as whole months.
 
-    Equal values are counted first, so what a group brings together is its number of
-    different values, not of rows. Meant for columns on a grid, such as times in months;
-    for amounts with unbounded different values use :func:`summarize`.
+    Equal values are counted first, by all tasks; a group then brings together one row per
+    different value, however many loans it holds. Times from month to month lie on a grid of
+    a few thousand values. Amounts do not: use :func:`summarize` for those. Quantiles between
+    two values are interpolated.
     """
     counted = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
     return counted.groupBy(*by).agg(*[
@@ -67,7 +68,7 @@ def exact_quantiles(
 def repay_quantiles(loans: DataFrame, by: tuple[str, ...] = ("grade",), term: int = 60) -> DataFrame:
     """Quartiles of months to repayment per group, over repaid loans of one term."""
     repaid = loans.filter((F.col("term2") == term) & (F.col("loan_status") == 0))
-    return exact_quantiles(repaid, "mnth_start2last", by=by).orderBy(*by)
+    return grid_quantiles(repaid, "mnth_start2last", by=by).orderBy(*by)
 
 
 def category_cardinality(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -115,6 +115,8 @@ def test_split_and_sample(spark):
     assert 400 < sampled.count() < 600
     again = clean.sample_rows(ids.repartition(13), 0.1)
     assert sampled.exceptAll(again).count() == 0
+    keyless = spark.createDataFrame([(None,)] * 3, "loan_id long")
+    assert sum(part.count() for part in clean.split_train_test(keyless)) == 3
 
 
 def test_preview_and_selection(loans):

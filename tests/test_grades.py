@@ -119,12 +119,12 @@ def test_counts_and_summary(loans, rows):
     assert row["q50"] in values[298:302]
 
 
-def test_exact_quantiles(loans, rows):
+def test_grid_quantiles(loans, rows):
     table = {r.grade: r for r in summary.repay_quantiles(loans).collect()}
     times = sorted(r["mnth_start2last"] for r in rows if r["grade"] == "A" and r["term2"] == 60 and r["loan_status"] == 0)
     for name, cut in zip(("p25", "p50", "p75"), statistics.quantiles(times, n=4, method="inclusive")):
         assert table["A"][name] == pytest.approx(cut)
-    whole = summary.exact_quantiles(loans, "fracNumPmts", (0.0, 1.0)).first()
+    whole = summary.grid_quantiles(loans, "fracNumPmts", (0.0, 1.0)).first()
     assert (whole.p0, whole.p100) == (min(r["fracNumPmts"] for r in rows), max(r["fracNumPmts"] for r in rows))
 
 

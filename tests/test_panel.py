@@ -94,6 +94,20 @@ def test_complete_cells_are_those_of_the_join_chain(loans, rows):
     assert got == expected and expected
 
 
+def test_missing_dates_touch_no_count_that_needs_them(spark, loans):
+    gaps = [("AA", "A", "36", 1.0, 1e4, 0.0, None, None, dt.date(2012, 5, 1)),
+            ("AA", "A", "60", 1.0, 1e4, 0.0, None, dt.date(2011, 5, 1), None)]
+    more = loans.union(spark.createDataFrame(gaps, LOAN))
+    before, after = (
+        {r.Period: r for r in panel.period_panel(x, "2010-01-01", "2013-01-01", keep="all").filter("state = 'AA'").collect()}
+        for x in (loans, more)
+    )
+    for period, row in after.items():
+        for c in ("defcount", "ERcount", "Schcount", "Curcount", "shortcount"):
+            assert row[c] == before[period][c]
+    assert after["2011-01-01"].longcount == before["2011-01-01"].longcount + 1
+
+
 def test_rates_sum_to_one(loans):
     table = panel.period_panel(loans, "2010-01-01", "2013-01-01", by="grade", name="grade")
     for r in table.collect():

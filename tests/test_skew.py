@@ -68,7 +68,7 @@ def test_groups_are_reduced_before_the_shuffle(spark, hot):
         counties.county_sum(hot, walk),
         counties.county_outcome_rates(hot, walk),
         summary.category_counts(hot, "addr_state"),
-        summary.exact_quantiles(hot, "fracNumPmts", by=("grade",)),
+        summary.grid_quantiles(hot, "fracNumPmts", by=("grade",)),
         features.outcome_stats(hot),
         evaluate.event_time_density(hot.select(F.lit("s").alias("series"), F.col("fracNumPmts").alias("time"))),
     ):
