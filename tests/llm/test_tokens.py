@@ -1,0 +1,167 @@
+"""Token operators against the libraries called on whole texts."""
+
+import base64
+import hashlib
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from loanfate.llm import bpe, packing, queries, token_files
+from loanfate.llm.common import read_documents
+from loanfate.llm.token_words import BareEncoder, SpacedEncoder
+
+from .conftest import SF_DIR
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+
+
+def library(name):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def tiktoken_whole():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def texts_of(spark):
+    return {r.doc_id: r.text for r in read_documents(spark, SF_DIR).select("doc_id", "text").collect()}
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("name, encoder", [("byte_bpe_50k.json", SpacedEncoder), ("word_bpe_49k.json", BareEncoder)])
+def test_remembered_words_give_the_ids_of_the_whole_text(odd_texts, name, encoder):
+    whole, mine = library(name), encoder(public_tokenizers.path(name))
+    mine.learn([t or "" for t in odd_texts])
+    for text in odd_texts:
+        assert np.frombuffer(mine.encode(text or ""), "<u4").tolist() == whole(text)
+
+
+def test_pieces_give_the_ids_of_the_whole_text(odd_texts):
+    whole, mine = tiktoken_whole(), bpe.rank_encoding(RANKS, PATTERN)
+    for text in filter(None, odd_texts):
+        assert "".join(bpe.safe_pieces(text, 50)) == text
+        assert bpe.encode(mine, text, 50) == whole(text)
+
+
+def test_byte_bpe_query(spark):
+    whole = tiktoken_whole()
+    want = {}
+    for i, text in texts_of(spark).items():
+        ids = whole(text or "")
+        digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        want[i] = (len(ids), digest, hashlib.sha256((text or "").encode()).hexdigest())
+    got = queries.op1_byte_bpe(spark, SF_DIR).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+
+
+def test_encode_then_decode_documents(spark, documents, odd_texts):
+    docs = documents([*enumerate(odd_texts), (3, "again"), (None, "no id")])
+    encoded = bpe.encode_documents(docs, RANKS, PATTERN)
+    back = sorted(bytes(r.content).decode() for r in bpe.decode_documents(encoded, RANKS, PATTERN).collect())
+    assert back == sorted([t or "" for t in odd_texts] + ["again", "no id"])
+    assert bpe.round_trip(docs.limit(0), RANKS, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("planes", [4, 32])
+@pytest.mark.parametrize("n", [1, 7, 8, 1000])
+def test_planes_round_trip(planes, n):
+    ids = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint64).astype("<u4")
+    assert (token_files.join_planes(token_files.split_planes(ids, planes), n) == ids).all()
+
+
+def expected_files(rows, encode, end_id=2):
+    want, start = [], 0
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        ids = [*encode(text), end_id]
+        want.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    return want
+
+
+def test_token_files_query(spark):
+    got = queries.op6_token_files(spark, SF_DIR).collect()
+    want = expected_files(texts_of(spark).items(), library("word_bpe_49k.json"))
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
+@pytest.mark.parametrize("planes, block_ids, files", [(32, 64, 3), (4, 1000, 1), (32, 16_384, 50)])
+def test_token_files_of_odd_texts(spark, documents, odd_texts, tmp_path, planes, block_ids, files):
+    rows = [(7 * i, t) for i, t in enumerate(odd_texts)] + [(None, "no id")]
+    name = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_token_files(documents(rows), f"{tmp_path}/f", name, files=files, planes=planes, block_ids=block_ids)
+    back = token_files.read_token_files(spark, f"{tmp_path}/f").collect()
+    got = sorted(((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in back), key=lambda r: r[1])
+    assert got == expected_files(rows, library("word_bpe_49k.json"))
+
+
+def test_token_files_of_repeated_rows_and_no_rows(spark, documents, tmp_path):
+    name = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_token_files(documents([(1, "b"), (1, "a"), (1, "a"), (2, "c")]), f"{tmp_path}/f", name, files=4)
+    back = sorted(token_files.read_token_files(spark, f"{tmp_path}/f").collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start, r.n_tokens) for r in back] == [(1, 0, 2), (1, 2, 2), (1, 4, 2), (2, 6, 2)]
+    token_files.write_token_files(documents([]), f"{tmp_path}/none", name)
+    assert token_files.read_token_files(spark, f"{tmp_path}/none").count() == 0
+
+
+def check_packing(rows, want, window=2048, padding=0.02):
+    """Every id in exactly one piece, sequences gapless and within the window, little padding."""
+    docs, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        docs[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    assert set(docs) == set(want)
+    for i, ids in want.items():
+        at = 0
+        for r in sorted(docs[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids)) and r.length > 0
+            assert r.ids_crc32 == crc(ids[at:at + r.length])
+            at += r.length
+        assert at == len(ids)
+    padded = 0
+    for pieces in sequences.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= window
+        padded += 0 if at & (at - 1) == 0 else window - at
+    total = sum(map(len, want.values()))
+    assert padded <= max(padding * total, window)
+
+
+def test_packing_query(spark):
+    encode = library("byte_bpe_50k.json")
+    want = {i: [*encode(t), 1] for i, t in texts_of(spark).items()}
+    check_packing(queries.op9_packing(spark, SF_DIR).collect(), want)
+
+
+def test_packing_of_odd_texts_with_few_open_windows(spark, documents, odd_texts):
+    rows = [*enumerate(odd_texts), (None, "no id")]
+    name, encode = public_tokenizers.path("byte_bpe_50k.json"), library("byte_bpe_50k.json")
+    want = {i: [*encode(t), 1] for i, t in rows}
+    packed = packing.pack_documents(documents(rows, 5), name, open_windows=2, merged_partitions=2)
+    check_packing(packing.with_checksums(packed).collect(), want, padding=0.05)
+    assert packing.pack_documents(documents([]), name).count() == 0
+
+
+def test_packer_keeps_a_fixed_number_of_windows_and_fits_best():
+    packer = packing.Packer(10, 2, 3)
+    ids = b"\0\0\0\0"
+    assert not [*packer.add(1, 0, 6 * ids, 6), *packer.add(2, 0, 5 * ids, 5)]
+    assert not [*packer.add(3, 0, 4 * ids, 4)][1:]  # fills the window of 6: it goes out
+    assert [room for room, _ in packer.rooms] == [5]
+    assert not [*packer.add(4, 0, 9 * ids, 9)]
+    out = [*packer.add(5, 0, 8 * ids, 8)]  # no room: the fullest (9) goes out, its rest is too small to fill
+    assert [[p[0] for p in w] for w in out] == [[4]] and len(packer.rooms) == 2
