@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanfate.llm import bpe, line_dedup, packing, token_files
+from loanfate.llm import bpe, line_dedup, packing, simhash, token_files
 from loanfate.llm.common import read_documents, scratch_path
 
 
@@ -16,6 +16,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document and the smallest doc_id of its class of near-duplicates."""
+    found = simhash.near_duplicates(read_documents(spark, sf_dir))
+    return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written to bit-plane files and read back, as start, length and checksum."""
     path = scratch_path(spark, "token-files")
@@ -38,6 +44,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
