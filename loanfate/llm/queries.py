@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanfate.llm import bpe, line_dedup, packing, simhash, token_files
+from loanfate.llm import bpe, line_dedup, packing, simhash, token_files, topk
 from loanfate.llm.common import read_documents, scratch_path
 
 
@@ -16,6 +16,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 greatest integer inner products of every fiftieth vector with all others."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    finite = topk.usable(rows, "vec_id", "embedding").select("vec_id", "v")
+    scaled = finite.withColumn("v", F.transform("v", lambda x: F.floor(x * 256).cast("double")))
+    vectors = topk.usable(scaled, "vec_id", "v")
+    found = topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and the smallest doc_id of its class of near-duplicates."""
     found = simhash.near_duplicates(read_documents(spark, sf_dir))
@@ -44,6 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_top_k": op3_top_k,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
     "op9_packing": op9_packing,
@@ -53,6 +64,20 @@ QUERIES = {
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLES = {
+    "op3_top_k": """
+        WITH usable AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
     "op10_line_dedup": f"""
         WITH parts AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
