@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanfate.llm import bpe, line_dedup, packing, simhash, token_files, topk
+from loanfate.llm import bpe, edit_embedding, line_dedup, packing, simhash, token_files, topk
 from loanfate.llm.common import read_documents, scratch_path
 
 
@@ -16,6 +16,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next one's are."""
+    return edit_embedding.compare_with_next(read_documents(spark, sf_dir))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 greatest integer inner products of every fiftieth vector with all others."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -54,6 +59,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_edit_embedding": op2_edit_embedding,
     "op3_top_k": op3_top_k,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
