@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanfate.llm import bpe, edit_embedding, line_dedup, packing, simhash, token_files, topk
+from loanfate.llm import bpe, edit_embedding, language, line_dedup, packing, simhash, token_files, topk
 from loanfate.llm.common import read_documents, scratch_path
 
 
@@ -31,6 +31,14 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents outside the held-out fold."""
+    docs = read_documents(spark, sf_dir)
+    found = language.identify(docs, language.learn(docs, fold=0, folds=5))
+    held_out = F.coalesce(language.held_out(0, 5), F.lit(True))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and the smallest doc_id of its class of near-duplicates."""
     found = simhash.near_duplicates(read_documents(spark, sf_dir))
@@ -61,6 +69,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_edit_embedding": op2_edit_embedding,
     "op3_top_k": op3_top_k,
+    "op4_language": op4_language,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
     "op9_packing": op9_packing,
