@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanfate.llm import bpe, edit_embedding, language, line_dedup, packing, simhash, token_files, topk
+from loanfate.llm import bpe, edit_embedding, language, line_dedup, packing, simhash, token_files, topk, toxicity
 from loanfate.llm.common import read_documents, scratch_path
 
 
@@ -53,6 +53,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is toxic, learned from the labelled ones outside the held-out fold."""
+    docs, labels = read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity.score_texts(docs, toxicity.fit(docs, labels, fold=1, folds=3))
+    held_out = F.coalesce(toxicity.held_out(1, 3), F.lit(True))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 2048 ids."""
     docs = read_documents(spark, sf_dir)
@@ -72,6 +81,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
