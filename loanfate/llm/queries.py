@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanfate.llm import bpe, edit_embedding, language, line_dedup, packing, simhash, token_files, topk, toxicity
+from loanfate.llm import bpe, edit_embedding, language, licenses, line_dedup, packing, simhash, token_files, topk, toxicity
 from loanfate.llm.common import read_documents, scratch_path
 
 
@@ -53,6 +53,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered licence texts in every document."""
+    return licenses.summarise(licenses.scan_documents(read_documents(spark, sf_dir)))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How likely every document is toxic, learned from the labelled ones outside the held-out fold."""
     docs, labels = read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -81,6 +86,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
+    "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
