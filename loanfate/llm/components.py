@@ -25,9 +25,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     replace a node with a great many edges are split by adaptive execution. An edge from a
     node to itself makes a component of one. Null ends, and their edges, are left out.
     """
-    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    loops = pairs.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("next")).distinct()
-    graph = stored(pairs.filter("a <> b").distinct(), "edges-0")
+    whole = edges.filter("a IS NOT NULL AND b IS NOT NULL")
+    given = stored(whole.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    loops = given.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("next"))
+    graph = given.filter("a <> b")
     maps: list[DataFrame] = []
     while not graph.isEmpty():
         number = len(maps)

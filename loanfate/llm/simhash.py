@@ -9,6 +9,7 @@ Each pair of leaves is one task's group, walked on from the leaves' depth to the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -30,33 +31,40 @@ MOST_QUANTILES = 16_384
 #: Node pairs with no more pairs of fingerprints than this are compared at once.
 SMALL = 48
 #: Shingles hashed at a time.
-CHUNK = 65_536
+CHUNK = 16_384
+#: Words of a wide fingerprint, and differing bits that two of its views of 32 bits may have.
+WIDE, VIEW_BUDGET = 4, 2
 
 _TOP = np.uint64(1 << 63)
 
 
-def fingerprint(text: str, size: int = 3) -> int:
-    """64-bit SimHash of the text's word shingles, repeats included; zero if it has no word.
-
-    A-Z are lower-cased; words are what stands between blanks (space, \\t to \\r). A shorter
-    text is one shingle. A bit is set if it is set in over half of the shingles' XXH64.
-    """
+def _shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of the text's word shingles, repeats included, some at a time."""
     words = text.encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        if words:
+            yield np.array([digest(joined, SEED)], "<u8")
+        return
     ends = list(accumulate(words, lambda at, w: at + 1 + len(w), initial=-1))
     starts = [e + 1 for e in ends[:-size]]
     ends = ends[size:]
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
     for k in range(0, len(starts), CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k:k + CHUNK], ends[k:k + CHUNK])], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k:k + CHUNK], ends[k:k + CHUNK])], "<u8")
+
+
+def fingerprint(text: str, size: int = 3) -> int:
+    """64-bit SimHash of the text's word shingles, repeats included; zero if it has no word.
+
+    A-Z are lower-cased; words are what stands between blanks (space, \\t to \\r). A shorter
+    text is one shingle. A bit is set if it is set in over half of the shingles' XXH64.
+    """
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in _shingle_hashes(text, size):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(starts), bitorder="little")
-    return int(bits.view("<u8")[0])
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def signed(value: int) -> int:
@@ -212,54 +220,68 @@ def trie_links(distinct: DataFrame, budget: int = 2, leaf_size: int = LEAF_SIZE)
     fingerprint linked within it, an edge to the least one connected with it there; so the
     components are those of all links while edges stay few.
     """
-    spark = distinct.sparkSession
-    count = distinct.count()
-    wanted = min(MOST_QUANTILES, max(1, -(-count // leaf_size)))
-    # With the top bit turned, the order of signed longs is that of the unsigned fingerprints.
-    ordered = distinct.select(F.col("fp").bitwiseXOR(F.lit(-(1 << 63))).alias("turned"))
+    return _trie_join(distinct.select("fp"), budget, leaf_size, None)
+
+
+def _trie_join(rows: DataFrame, budget: int, leaf_size: int, most_bits: int | None) -> DataFrame:
+    """Edges between rows whose keys (the first column) differ in at most ``budget`` bits.
+
+    Without ``most_bits`` the key is the row's name. With it the next columns are its name
+    and the words of a wide fingerprint, and a pair of keys is a link only if its wide
+    fingerprints differ in at most so many bits.
+    """
+    spark, names = rows.sparkSession, rows.columns
+    wanted = min(MOST_QUANTILES, max(1, -(-rows.count() // leaf_size)))
+    # With the top bit turned, the order of signed longs is that of the unsigned keys.
+    ordered = rows.select(F.col(names[0]).bitwiseXOR(F.lit(-(1 << 63))).alias("turned"))
     shares = [k / wanted for k in range(wanted)]
     points = ordered.agg(F.percentile_approx("turned", shares, 10 * wanted)).first()[0] or []
     top = TrieTop(sorted({p + (1 << 63) for p in points}))
     pairs = top.pairs(budget)
-    edge_schema = "a long, b long"
-    if not pairs:
-        return spark.createDataFrame([], edge_schema)
     starts, depths = np.array(top.starts, np.uint64), np.array(top.depths)
     first = np.array([p[0] for p in pairs], np.int64)
     second = np.array([p[1] for p in pairs], np.int64)
+    # Bounded by the quantiles.
     shared = spark.sparkContext.broadcast((starts, depths, first, second, *_pairs_by_leaf(first, second, len(starts))))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, _, _, _, listed, begin = shared.value
         for batch in slices(batches, 4096):
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            leaf = np.searchsorted(starts, fp.view(np.uint64), side="right") - 1
+            key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            leaf = np.searchsorted(starts, key.view(np.uint64), side="right") - 1
             copies = begin[leaf + 1] - begin[leaf]
-            row = np.repeat(np.arange(len(fp)), copies)
+            row = np.repeat(np.arange(len(key)), copies)
             k = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(listed[begin[leaf[row]] + k]), pa.array(fp[row])], names=["pair", "fp"]
-            )
+            taken = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(listed[begin[leaf[row]] + k]), *taken.columns], names=["pair", *names])
 
     def join(table: pa.Table) -> pa.Table:
         starts, depths, first, second, _, _ = shared.value
         pair = table.column("pair")[0].as_py()
-        fp = np.sort(table.column("fp").to_numpy().astype(np.int64).view(np.uint64))
+        columns = [table.column(c).to_numpy().astype(np.int64) for c in names]
+        order = np.argsort(columns[0].view(np.uint64), kind="stable")
+        columns = [c[order] for c in columns]
+        key, named = columns[0].view(np.uint64), columns[min(1, len(columns) - 1)]
         x, y = first[pair], second[pair]
         if x == y:
-            links = walk_pairs(fp, None, int(depths[x]), budget)
-            label = least_labels(len(fp), links)
+            links = walk_pairs(key, None, int(depths[x]), budget)
         else:
-            cut = int(np.searchsorted(fp, starts[y]))
-            a, b = fp[:cut], fp[cut:]
-            links = ((i, j + cut) for i, j in walk_pairs(a, b, int(min(depths[x], depths[y])), budget))
-            label = least_labels(len(fp), links)
-        linked = np.flatnonzero(label != np.arange(len(fp)))
-        values = fp.view(np.int64)
-        return pa.table({"a": values[label[linked]], "b": values[linked]})
+            cut = int(np.searchsorted(key, starts[y]))
+            links = ((i, j + cut) for i, j in walk_pairs(key[:cut], key[cut:], int(min(depths[x], depths[y])), budget))
+        if most_bits is not None:
+            links = (_near(np.array(columns[2:]), i, j, most_bits) for i, j in links)
+        label = least_labels(len(key), links)
+        linked = np.flatnonzero(label != np.arange(len(key)))
+        return pa.table({"a": named[label[linked]], "b": named[linked]})
+
+    dealt = rows.mapInArrow(deal, ", ".join(f"{c} long" for c in ["pair", *names]))
+    return dealt.groupBy("pair").applyInArrow(join, "a long, b long")
 
-    dealt = distinct.select("fp").mapInArrow(deal, "pair long, fp long")
-    return dealt.groupBy("pair").applyInArrow(join, edge_schema)
+
+def _near(words: np.ndarray, i: np.ndarray, j: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose wide fingerprints (words, rows) differ in at most so many bits."""
+    near = np.bitwise_count((words[:, i] ^ words[:, j]).view(np.uint64)).sum(axis=0, dtype=np.int64) <= most_bits
+    return i[near], j[near]
 
 
 def _pairs_by_leaf(first: np.ndarray, second: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,27 +318,108 @@ def near_duplicates(docs: DataFrame, budget: int = 2, size: int = 3, leaf_size:
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, budget: int = 2, size: int = 3, leaf_size: int = LEAF_SIZE) -> DataFrame:
+def wide_fingerprint(text: str, size: int) -> list[int]:
+    """SimHash of ``64 * WIDE`` bits, as unsigned words; its first word is :func:`fingerprint`.
+
+    The further bits of a shingle's hash are its 64 bits mixed anew.
+    """
+    hashes, ones, n = _shingle_hashes(text, size), np.zeros(BITS * WIDE, np.int64), 0
+    for h in hashes:
+        words = np.empty((len(h), WIDE), "<u8")
+        for k in range(WIDE):
+            words[:, k] = h
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+        ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(words)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
+
+
+def most_differing_bits(similarity: float) -> int:
+    """Bits in which wide fingerprints differ, as expected, at so much Jaccard similarity of shingles.
+
+    Sets of one size and Jaccard similarity s have the cosine 2s / (1 + s), and a bit differs
+    with the share of the half circle that their angle is.
+    """
+    return int(BITS * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def view_keys() -> Column:
+    """The views of a wide fingerprint as an array of longs: a view's code, its 32 bits, and zeros.
+
+    The codes of two views differ in four bits, so keys of different views are never near.
+    """
+    keys = []
+    for v in range(2 * WIDE):
+        code = sum(1 << b for b in range(1, 8) if (v & b).bit_count() & 1) >> 1
+        half = F.shiftrightunsigned(f"w{v // 2}", 32) if v % 2 else F.col(f"w{v // 2}").bitwiseAND(F.lit(0xFFFFFFFF))
+        keys.append(F.shiftleft(half, 25).bitwiseOR(F.lit(signed(code << 57))))
+    return F.array(*keys)
+
+
+def similar_classes(prints: DataFrame, similarity: float, leaf_size: int = LEAF_SIZE) -> DataFrame:
+    """(fp, class_fp) for wide fingerprints (fp, w0, w1, ...) that are similar to another one.
+
+    Near-duplicates differ in too many bits for a budget on 64; but of eight views of 32 bits
+    some nearly agree, each within ``VIEW_BUDGET`` bits, and the whole fingerprints verify
+    the pair. Rows whose view is the same are first compared with one of them, by an
+    aggregation and a join; those near it are done for that view, so copies with small
+    changes reach the trie as one row, however many they are.
+    """
+    words = [f"w{k}" for k in range(WIDE)]
+    most = most_differing_bits(similarity)
+    distinct = prints.select("fp", *words).dropDuplicates(["fp"])
+    views = stored(distinct.select(F.explode(view_keys()).alias("key"), "fp", *words), "views")
+    lead = views.groupBy("key").agg(F.min(F.struct("fp", *words)).alias("lead"))
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"lead.{w}"))) for w in words), F.lit(0))
+    met = stored(views.join(lead, "key").withColumn("apart", apart), "met-views")
+    with_lead = met.filter((F.col("apart") <= most) & (F.col("fp") != F.col("lead.fp")))
+    entries = met.filter((F.col("apart") > most) | (F.col("fp") == F.col("lead.fp"))).select("key", "fp", *words)
+    edges = _trie_join(entries, VIEW_BUDGET, leaf_size, most)
+    every = edges.unionByName(with_lead.select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")))
+    return connected_components(every).select(F.col("node").alias("fp"), F.col("component").alias("class_fp"))
+
+
+def one_of_each_group(docs: DataFrame, similarity: float = 0.8, size: int = 5, leaf_size: int = LEAF_SIZE) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, all columns as they are.
 
-    The row with the smallest doc_id stays (null ids last, then the smaller hash of the
-    text). Rows that agree in doc_id and text are one row.
+    Near are texts whose sets of ``size``-word shingles have at least this Jaccard
+    similarity, as their wide fingerprints tell it (:func:`similar_classes`). The row with
+    the smallest doc_id stays (null ids last, then the smaller hash of the text). Rows that
+    agree in doc_id and text are one row. Texts without words are copies of each other.
     """
     names = docs.columns
+    words = [f"w{k}" for k in range(WIDE)]
     text_hash = F.xxhash64(F.col("text").isNull(), "text")
-    marked = docs.select(F.col("doc_id"), F.col("text"), text_hash.alias("text_hash"))
-    prints = stored(fingerprint_documents(marked, size, ("doc_id", "text_hash")), "row-fingerprints")
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", *words)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            ids, hashes, texts = (c.to_pylist() for c in batch.columns)
+            yield from in_batches(
+                ((i, h, *map(signed, wide_fingerprint(t, size))) for i, h, t in zip(ids, hashes, texts)), schema
+            )
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), text_or_empty().alias("text"))
+    printed = source.mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
+    prints = stored(printed.withColumn("fp", F.xxhash64(*words)), "row-fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     heads = prints.groupBy("fp").agg(F.min(rank).alias("head"))
-    classes = near_duplicate_classes(prints, budget, leaf_size)
+    classes = similar_classes(prints, similarity, leaf_size)
     kept = (
         heads.join(classes, "fp", "left").groupBy(F.coalesce("class_fp", "fp").alias("class_fp"))
-        .agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("k_id"), F.col("head.text_hash").alias("k_hash"))
+        .agg(F.min("head").alias("head"))
     )
-    # Names of the joined columns that no input column has.
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("r_id"),
-                       F.col("doc_id").isNull().alias("r_null"), text_hash.alias("r_hash"))
-    kept = kept.select(F.coalesce("k_id", F.lit(0)).alias("r_id"), F.col("k_id").isNull().alias("r_null"), F.col("k_hash").alias("r_hash"))
+    kept = kept.select(
+        F.coalesce("head.doc_id", F.lit(0)).alias("r_id"), F.col("head.doc_id").isNull().alias("r_null"),
+        F.col("head.text_hash").alias("r_hash"),
+    )
+    # The row is held as one value, so the keys' names cannot clash with its columns.
     keys = ["r_id", "r_null", "r_hash"]
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("r_id"),
+        F.col("doc_id").isNull().alias("r_null"), text_hash.alias("r_hash"),
+    )
     once = held.join(kept, keys).dropDuplicates(keys)
     return once.select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -109,7 +109,7 @@ def test_components(spark, shape):
             low = min(label[a], label[b])
             changed |= label[a] != low or label[b] != low
             label[a] = label[b] = low
-    rows = connected_components(spark.createDataFrame([*edges, (None, 1)], "a long, b long")).collect()
+    rows = connected_components(spark.createDataFrame([*edges, (None, 7777), (None, None)], "a long, b long")).collect()
     assert len(rows) == len(label)
     least = {}
     for r in rows:
@@ -130,6 +130,51 @@ def test_query(spark):
 
 
 LONG = " ".join(f"w{i}" for i in range(200))
+def test_wide_fingerprint_starts_with_the_narrow_one(odd_texts):
+    for text in odd_texts:
+        words = simhash.wide_fingerprint(text or "", 3)
+        assert words[0] == simhash.fingerprint(text or "") and len(words) == simhash.WIDE
+
+
+def test_views_are_near_only_within_a_view(spark):
+    rng = random.Random(8)
+    rows = [tuple(simhash.signed(rng.getrandbits(64)) for _ in range(4)) for _ in range(20)]
+    frame = spark.createDataFrame(rows, "w0 long, w1 long, w2 long, w3 long")
+    got = frame.select("*", simhash.view_keys().alias("keys")).collect()
+    codes = set()
+    for r in got:
+        words = [r.w0 % 2**64, r.w1 % 2**64, r.w2 % 2**64, r.w3 % 2**64]
+        for v, key in enumerate(r["keys"]):
+            key %= 2**64
+            assert key >> 25 & 0xFFFFFFFF == words[v // 2] >> (32 * (v % 2)) & 0xFFFFFFFF and key & ((1 << 25) - 1) == 0
+            codes.add((v, key >> 57))
+    assert len(codes) == 8 and all((a ^ b).bit_count() > simhash.VIEW_BUDGET for i, a in codes for j, b in codes if i != j)
+
+
+def changed(words, n, rng):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"new{rng.random()}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("leaf_size", [8, 1024])
+def test_one_of_each_group_of_similar_texts(spark, documents, leaf_size):
+    """One changed word in 200 leaves a similarity of 0.95; unrelated texts share no shingle."""
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(200)] for _ in range(15)]
+    rows, group = [], {}
+    for g, words in enumerate(texts):
+        for _ in range(rng.randrange(1, 9)):
+            group[len(rows)] = g
+            rows.append((len(rows), changed(words, 1, rng)))
+    kept = [r.doc_id for r in simhash.one_of_each_group(documents(rows), leaf_size=leaf_size).collect()]
+    first = {}
+    for i, g in group.items():
+        first.setdefault(g, i)
+    assert sorted(kept) == sorted(first.values())
+
+
 ROWS = [(5, LONG), (3, LONG + "\n"), (9, LONG.upper()), (4, None), (2, ""), (8, " \n"), (7, "another text of a few words"),
         (7, "another text of a few words"), (None, LONG), (None, "alone without id"), (7, "same id, other words here")]
 
