@@ -10,34 +10,27 @@ from loanfate.sources import staged
 # The names of the description clusters.
 NO_DESC, GENERIC_DESC, DETAILED_DESC = "No desc.", "Generic desc.", "Detailed desc."
 
+#: Hash buckets of words, and parts on which word vectors are trained.
+BUCKETS, PARTITIONS = 1 << 16, 8
+
 
 def tokenize_desc(loans: DataFrame) -> DataFrame:
     """Lower-case words of the cleaned description, split at anything but letters, digits and _."""
     return RegexTokenizer(inputCol="desc", outputCol="words", pattern="\\W").transform(loans)
 
 
-def _bounded_vocabulary(tokens: DataFrame, limit: int) -> DataFrame:
-    """Keep words as they are while the vocabulary fits, else map every word to a bucket.
-
-    Word2Vec holds its vocabulary in the driver and sends it to each task, and with rare
-    words kept it grows with the text. Buckets bound it without leaving out any word.
-    """
-    if tokens.agg(F.sum("n_words")).first()[0] <= limit:
-        return tokens
-    words = tokens.select(F.explode("words").alias("word"))
-    if words.agg(F.approx_count_distinct("word", 0.02)).first()[0] <= limit:
-        return tokens
-    return tokens.withColumn(
-        "words", F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(limit)).cast("string"))
-    )
+def bucket_words(tokens: DataFrame, buckets: int) -> DataFrame:
+    """Replace every word by one of ``buckets`` hash buckets, whatever other rows there are."""
+    hashed = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("string"))
+    return tokens.withColumn("words", hashed)
 
 
 def embed_desc(
     loans: DataFrame,
     size: int = 10,
     seed: int = 1,
-    partitions: int | None = None,
-    max_vocabulary: int = 1_000_000,
+    partitions: int = PARTITIONS,
+    buckets: int | None = BUCKETS,
 ) -> DataFrame:
     """Replace the description by ``result``, the mean of its word vectors.
 
@@ -45,13 +38,16 @@ def embed_desc(
     the text. The words are staged, so the descriptions are read and split once although
     the vocabulary, the training and the vectors each need them.
 
-    Training runs on ``partitions`` parts of the text at a time, by default as many as the
-    cluster runs tasks. Use 1 where two runs must give the same vectors.
+    Word2Vec holds its vocabulary in the driver and in every task. Words are therefore always
+    mapped to ``buckets`` hash buckets: the vocabulary is bounded, no word is left out, and
+    a loan's words do not depend on how much other text there is. ``None`` keeps plain
+    words, for text whose vocabulary is known to be small.
+
+    Training runs on ``partitions`` parts of the text at a time and merges what they
+    learned, so the number is part of the model and does not follow the cluster's size.
     """
     tokens = tokenize_desc(loans).withColumns({"n_words": F.size("words"), "no_desc": F.col("desc") == "none"})
-    tokens = _bounded_vocabulary(staged(tokens.drop("desc")), max_vocabulary)
-    if partitions is None:
-        partitions = loans.sparkSession.sparkContext.defaultParallelism
+    tokens = staged((tokens if buckets is None else bucket_words(tokens, buckets)).drop("desc"))
     word2vec = Word2Vec(
         vectorSize=size, minCount=0, seed=seed, numPartitions=partitions, inputCol="words", outputCol="result"
     )
@@ -76,7 +72,8 @@ def describe_text_clusters(clustered: DataFrame) -> DataFrame:
 
     Cluster numbers mean nothing, so names follow the content: the cluster with the
     largest share of missing descriptions, then the one with the shortest texts, then
-    the rest. The ordering window sees one row per cluster.
+    the rest, numbered from the second of them on. The ordering window sees one row per
+    cluster.
     """
     clusters = clustered.groupBy("pred_KM").agg(
         F.count("*").alias("loans"),
@@ -86,7 +83,8 @@ def describe_text_clusters(clustered: DataFrame) -> DataFrame:
     rank = F.row_number().over(
         Window.partitionBy(F.lit(0)).orderBy(F.col("no_desc_share").desc(), "mean_words", "pred_KM")
     )
-    label = F.when(rank == 1, NO_DESC).when(rank == 2, GENERIC_DESC).otherwise(DETAILED_DESC)
+    further = F.concat(F.lit(f"{DETAILED_DESC} "), (rank - 2).cast("string"))
+    label = F.when(rank == 1, NO_DESC).when(rank == 2, GENERIC_DESC).when(rank == 3, DETAILED_DESC).otherwise(further)
     return clusters.withColumn("label", label)
 
 

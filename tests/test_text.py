@@ -59,11 +59,26 @@ def test_vectors_are_repeatable_with_one_part(loans):
     assert vectors() == vectors()
 
 
-def test_large_vocabulary_is_bucketed_not_cut(loans):
-    tokens = text.tokenize_desc(loans).withColumn("n_words", F.size("words"))
-    bounded = text._bounded_vocabulary(tokens, 10)
-    assert bounded.select(F.explode("words").alias("w")).distinct().count() <= 10
-    assert bounded.filter(F.size("words") != F.col("n_words")).count() == 0
-    assert text._bounded_vocabulary(tokens, 10**6) is tokens
-    embedded = text.embed_desc(loans, partitions=1, max_vocabulary=10)
-    assert embedded.count() == 240
+def test_words_are_bucketed_the_same_at_every_size(spark, loans):
+    """A loan's words do not depend on how many other loans there are."""
+    tokens = text.tokenize_desc(loans)
+    few, many = tokens.filter("loan_id < 4"), tokens.unionByName(tokens.withColumn("loan_id", F.col("loan_id") + 1000))
+
+    def words(rows):
+        return {r.loan_id: r.words for r in text.bucket_words(rows, 50).collect() if r.loan_id < 4}
+
+    assert words(few) == words(many)
+    bucketed = text.bucket_words(tokens, 10)
+    assert bucketed.select(F.explode("words").alias("w")).distinct().count() <= 10
+    assert [r.n for r in bucketed.select(F.size("words").alias("n")).collect()] == [
+        r.n for r in tokens.select(F.size("words").alias("n")).collect()]
+    assert text.embed_desc(loans, partitions=1, buckets=10).count() == 240
+    assert text.embed_desc(loans, partitions=1, buckets=None).count() == 240
+
+
+def test_names_of_more_than_three_clusters_differ(spark):
+    rows = [(i, str(i % 5), i % 5 == 0, i % 5) for i in range(50)]
+    clustered = spark.createDataFrame(rows, "loan_id long, pred_KM string, no_desc boolean, n_words int")
+    labels = {r.label for r in text.describe_text_clusters(clustered).collect()}
+    assert labels == {"No desc.", "Generic desc.", "Detailed desc.", "Detailed desc. 2", "Detailed desc. 3"}
+    assert text.label_clusters(clustered).select("pred_KM").distinct().count() == 5
