@@ -1,4 +1,4 @@
-"""CSV readers. No reader infers a schema, so none starts a job over the data."""
+"""CSV readers. No reader infers types, so none starts a job over the data; headers are one line each."""
 
 import csv
 from functools import reduce
@@ -31,11 +31,12 @@ def read_loans(
     multi_line: bool = False,
     escape: str = '"',
 ) -> DataFrame:
-    """Read one or more loan CSV files as one table of raw text columns.
+    """Read one or more loan CSV files as one table of raw text columns, matched by name.
 
-    ``columns`` gives the file's column names in order; all paths are then one scan, which
-    is the way to read a large directory. Without it the header of every path is used and
-    files with different columns are aligned by name.
+    ``columns`` gives the files' column names in order; all paths are then one scan, which
+    is the way to read a large directory. Without it the header of every path is read, and
+    paths with the same header are one scan. A file whose header differs from the columns
+    it is read with raises an error, since its values would be taken for others.
 
     ``skip_preamble`` is for files whose header is line 2. The preamble, header and footer
     lines have no numeric ``loan_amnt`` and are filtered out.
@@ -46,21 +47,27 @@ def read_loans(
     paths = [paths] if isinstance(paths, str) else list(paths)
     options = {"mode": "PERMISSIVE", "multiLine": multi_line, "escape": escape}
 
-    if columns is not None:
-        raw = spark.read.options(header=not skip_preamble, **options).schema(_text_schema(columns)).csv(paths)
-        return _loan_rows(raw, skip_preamble)
-
-    frames = []
+    by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        if skip_preamble:
-            schema = _text_schema(_header_after_preamble(spark, path))
-            raw = spark.read.options(header=False, **options).schema(schema).csv(path)
+        if columns is not None:
+            names = columns
+        elif skip_preamble:
+            names = _header_after_preamble(spark, path)
         else:
-            raw = spark.read.options(header=True, **options).csv(path)
-        frames.append(_loan_rows(raw, skip_preamble))
+            names = spark.read.options(header=True, **options).csv(path).columns
+        by_header.setdefault(tuple(names), []).append(path)
+
+    frames = []
+    for names, alike in by_header.items():
+        reader = spark.read.options(header=not skip_preamble, enforceSchema=False, **options).schema(_text_schema(names))
+        frames.append(_loan_rows(reader.csv(alike), skip_preamble))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+# Columns whose values are never the name of a column.
+_TELLTALE = ["loan_amnt", "grade", "loan_status", "int_rate", "issue_d"]
+
+
 def _loan_rows(raw: DataFrame, junk_lines: bool) -> DataFrame:
     present = [c for c in LOAN_COLUMNS if c in raw.columns and c != "loan_id"]
     # The public files leave the id blank. The row's own text then identifies the loan, so
@@ -69,21 +76,36 @@ def _loan_rows(raw: DataFrame, junk_lines: bool) -> DataFrame:
     for given in ("id", "loan_id"):
         if given in raw.columns:
             loan_id = F.coalesce(F.nullif(F.trim(given), F.lit("")), loan_id)
-    kept = raw.select(loan_id.alias("loan_id"), *present)
-    return kept.filter(F.col("loan_amnt").try_cast("double").isNotNull()) if junk_lines else kept
+    if junk_lines:
+        raw = raw.filter(_is_loan(raw.columns))
+    return raw.select(loan_id.alias("loan_id"), *present)
+
+
+def _is_loan(names: list[str]):
+    """Whether a line is a loan; a header in another order than the names raises an error."""
+    told = [c for c in _TELLTALE if c in names]
+    header = reduce(lambda a, b: a | b, [F.coalesce(F.col(c).isin(names), F.lit(False)) for c in told])
+    in_order = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(c)) for c in told])
+    wrong = F.raise_error(F.lit("a file's header differs from the columns it is read with")).cast("boolean")
+    amount = F.col("loan_amnt").try_cast("double").isNotNull()
+    return F.when(~header, amount).otherwise(F.when(in_order, F.lit(False)).otherwise(wrong))
+
+
+def _by_header(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The schema's columns by the names in the files' header, in any order; every file's header is checked."""
+    names = spark.read.option("header", True).csv(path).columns
+    raw = spark.read.schema(_text_schema(names)).options(header=True, enforceSchema=False).csv(path)
+    return raw.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_zip_base(spark: SparkSession, path: str) -> DataFrame:
     """ZIP to county lines, all text."""
-    return spark.read.schema(ZIP_BASE_SCHEMA).option("header", True).csv(path)
+    return _by_header(spark, path, ZIP_BASE_SCHEMA)
 
 
 def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
     """Crosswalk weights; ZIPxx in lower case as in the loan data, FIPS codes as text."""
-    return (
-        spark.read.schema(CROSSWALK_SCHEMA).option("header", True).csv(path)
-        .withColumn("ZIPxx", F.lower("ZIPxx"))
-    )
+    return _by_header(spark, path, CROSSWALK_SCHEMA).withColumn("ZIPxx", F.lower("ZIPxx"))
 
 
 def read_result(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:

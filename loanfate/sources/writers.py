@@ -1,6 +1,5 @@
 """Writers, and staging of tables that later steps read several times."""
 
-import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -36,30 +35,36 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that all executors share, where ``spark.checkpoint.dir`` or the context names one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the cluster's shared folder and read it back.
 
     Used where several fits read the same features: the lineage ends at files every
-    executor can reach, and each later read takes only the columns it needs. A cluster
+    executor can reach, and each later read takes only the columns it needs. A session
     that names no shared folder keeps the table in executor storage, which lineage can
-    rebuild.
+    rebuild; :func:`release` gives it free.
     """
-    path = scratch_path(df.sparkSession)
-    if path is None:
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = _new_path(folder)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch_path(spark: SparkSession) -> str | None:
-    """A new path under ``spark.checkpoint.dir``.
+def release(df: DataFrame) -> None:
+    """Free the executor storage of a staged table that nothing reads any more; files stay."""
+    df.unpersist()
 
-    A local session without that setting gets a folder of its own; on a cluster a local
-    folder would be seen by one machine only, so there is none.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None and sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loanfate-"))
-        folder = sc.getCheckpointDir()
-    return None if folder is None else f"{folder.rstrip('/')}/loanfate-{uuid.uuid4().hex}"
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, or below the session's warehouse, which is shared too."""
+    return _new_path(shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir"))
+
+
+def _new_path(folder: str) -> str:
+    return f"{folder.rstrip('/')}/loanfate-{uuid.uuid4().hex}"

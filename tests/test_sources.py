@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from loanfate.operators import clean
 from loanfate.schema import CROSSWALK_SCHEMA
+from loanfate.sources import writers
 from loanfate.sources import (
-    read_crosswalk, read_facts, read_loans, read_result, read_zip_base, staged, write_facts, write_result,
+    read_crosswalk, read_facts, read_loans, read_result, read_zip_base, release, staged, write_facts, write_result,
 )
 
 HEADER = '"id","loan_amnt","term","int_rate","grade","loan_status","issue_d","last_pymnt_d","desc","url"'
@@ -94,8 +95,47 @@ def test_facts_prune_directories_and_push_filters(spark, raw_file, tmp_path):
     assert [r.grade for r in chosen.collect()] == ["C"]
 
 
-def test_staged_table_is_equal_and_cuts_lineage(spark):
+def test_another_column_order_is_read_right_or_raises(spark, tmp_path):
+    """Values never pass for those of another column."""
+    loans = tmp_path / "loans.csv"
+    loans.write_text("grade,loan_amnt,term\nA,100,36 months\n")
+    row = read_loans(spark, str(loans)).first()
+    assert (row.grade, row.loan_amnt) == ("A", "100")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        read_loans(spark, str(loans), columns=["loan_amnt", "grade", "term"]).collect()
+    junk = tmp_path / "junk.csv"
+    junk.write_text("junk\ngrade,loan_amnt,term\nA,100,36 months\n")
+    assert read_loans(spark, str(junk), skip_preamble=True).first().grade == "A"
+    with pytest.raises(Exception, match="header differs"):
+        read_loans(spark, str(junk), skip_preamble=True, columns=["loan_amnt", "grade", "term"]).collect()
+
+    walk = tmp_path / "walk.csv"
+    walk.write_text("ZIPxx,totalXX,fipCount,CtyNAME,State,CtyFips\n010XX,3,2,Hampden County,MA,01013\n")
+    row = read_crosswalk(spark, str(walk)).first()
+    assert (row.totalXX, row.ZIPxx, row.CtyFips) == (3, "010xx", "01013")
+
+
+def test_paths_with_one_header_are_one_scan(spark, tmp_path):
+    for name, text in (("a", "id,loan_amnt,grade\n1,100,A\n"), ("b", "id,loan_amnt,grade\n2,200,B\n"), ("c", "grade,id,loan_amnt\nC,3,300\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    raw = read_loans(spark, [str(tmp_path / f"{n}.csv") for n in "abc"])
+    assert sorted((r.loan_id, r.loan_amnt, r.grade) for r in raw.collect()) == [("1", "100", "A"), ("2", "200", "B"), ("3", "300", "C")]
+    assert raw._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+
+
+def test_staged_table_without_a_shared_folder_stays_with_the_executors(spark):
+    table = spark.range(50).withColumn("y", F.col("id") * 2)
+    copy = staged(table)
+    assert copy.exceptAll(table).count() == 0
+    assert copy.storageLevel.useMemory and spark.sparkContext.getCheckpointDir() is None
+    release(copy)
+    assert not copy.storageLevel.useMemory
+
+
+def test_staged_table_is_written_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "shared_folder", lambda _: str(tmp_path / "shared"))
     table = spark.range(50).withColumn("y", F.col("id") * 2)
     copy = staged(table)
     assert copy.exceptAll(table).count() == 0 and copy.count() == 50
     assert "Range" not in copy._jdf.queryExecution().executedPlan().toString()
+    assert len(list((tmp_path / "shared").iterdir())) == 1
