@@ -43,35 +43,35 @@ def stack_series(df: DataFrame, columns: list[str], label: str = "series", value
 
 
 def event_time_density(
-    times: DataFrame, by: str = "series", value: str = "time", points: int = 100
+    times: DataFrame, by: str = "series", value: str = "time", points: int = 100, most_sent: int = 1000
 ) -> DataFrame:
     """Gaussian kernel density of event times on the grid 0, 1/points, ... below 1.
 
-    The bandwidth is sd * n^(-1/5) per series. Equal times are counted first: actual times
-    are month fractions, so a series of any size becomes a few hundred weighted points. The
-    sd comes from the same counted rows, so the times are read once. Each point meets
-    the grid inside its task and is summed there per grid point, so the shuffle carries at
-    most ``points`` rows per series and task.
+    The bandwidth is sd * n^(-1/5) per series. The moments are one partial aggregate per
+    series, and the density another one with a sum for each grid point: a task sends one row
+    per series to the shuffle, and no time is copied over the grid. The two meet by an
+    ordinary join, since the number of series is the caller's choice. A series without
+    spread, one time or equal times only, has a null density.
     """
-    x = F.col(value)
-    weighted = times.filter(x.isNotNull()).groupBy(by, value).agg(F.count("*").alias("weight"))
-    moments = weighted.groupBy(by).agg(
-        F.sum("weight").alias("n"),
-        F.sum(F.col("weight") * x).alias("s1"),
-        F.sum(F.col("weight") * x * x).alias("s2"),
+    x = F.col(value).cast("double")
+    present = times.filter(x.isNotNull()).select(by, x.alias("_x"))
+    spread = F.stddev_samp("_x")
+    moments = present.groupBy(by).agg(
+        F.count("*").alias("_n"),
+        F.nullif(spread * F.pow(F.count("*").cast("double"), F.lit(-0.2)), F.lit(0.0)).alias("_width"),
     )
-    variance = F.try_divide(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.col("n") - 1)
-    spread = moments.select(
-        by, "n", (F.sqrt(variance) * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth")
-    )
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    # One row per series is broadcast; the series are named columns, whatever the data size.
-    on_grid = (
-        weighted.join(F.broadcast(spread), by)
-        .select(by, value, "weight", "n", "bandwidth", grid.alias("step"))
-        .withColumn("x", F.col("step") / F.lit(float(points)))
+
+    known = moments.limit(most_sent + 1).collect()
+    if len(known) <= most_sent:
+        moments = F.broadcast(times.sparkSession.createDataFrame(known, moments.schema))
+
+    def kernel(step):
+        z = F.try_divide(F.lit(step / points) - F.col("_x"), F.col("_width"))
+        return F.sum(F.exp(-0.5 * z * z))
+
+    sums = present.join(moments, by).groupBy(by).agg(
+        F.first("_n").alias("_n"), F.first("_width").alias("_width"), F.array(*[kernel(i) for i in range(points)]).alias("_sums")
     )
-    z = (F.col("x") - x) / F.col("bandwidth")
-    kernel = F.col("weight") * F.exp(-0.5 * z * z)
-    height = F.sum(kernel) / (F.first("n") * F.first("bandwidth") * math.sqrt(2 * math.pi))
-    return on_grid.groupBy(by, "x").agg(height.alias("density"))
+    height = F.try_divide(F.col("_sum"), F.col("_n") * F.col("_width") * math.sqrt(2 * math.pi))
+    on_grid = sums.select(by, "_n", "_width", F.posexplode("_sums").alias("_step", "_sum"))
+    return on_grid.select(by, (F.col("_step") / F.lit(float(points))).alias("x"), height.alias("density"))

@@ -88,10 +88,20 @@ def test_density_against_numpy(predictions):
             assert height >= 0
 
 
-def test_density_reads_the_times_once(spark, predictions, tmp_path):
-    path = str(tmp_path / "p")
-    predictions.write.parquet(path)
-    times = evaluate.stack_series(spark.read.parquet(path), ["fracNumPmts", "fracNumPmtsPred"])
-    density = evaluate.event_time_density(times)
-    density.collect()
-    assert "ReusedExchange" in density._jdf.queryExecution().executedPlan().toString()
+def test_density_of_equal_times_is_null_and_the_rest_stays(spark):
+    rows = [("same", 0.5)] * 4 + [("one", 0.2)] + [("spread", x / 10) for x in range(10)] + [("same", None)]
+    times = spark.createDataFrame(rows, "series string, time double")
+    for most_sent in (1000, 1):
+        shown = evaluate.event_time_density(times, most_sent=most_sent).collect()
+        assert len(shown) == 300
+        assert {r.series for r in shown if r.density is None} == {"same", "one"}
+        assert all(r.density is not None for r in shown if r.series == "spread")
+
+
+def test_density_shuffles_sums_only(spark):
+    """The grid comes after the sums; only partial aggregates reach a shuffle."""
+    times = spark.range(1000).selectExpr("concat('s', id % 3) AS series", "id / 1000 AS time")
+    plan = evaluate.event_time_density(times)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") < plan.index("Join")
+    physical = evaluate.event_time_density(times)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in physical
