@@ -49,14 +49,15 @@ def period_panel(
     ``DTI``, ``income``, ``shortcount`` and ``longcount`` describe loans issued in the period.
 
     ``keep="complete"`` returns cells in which every count is positive; ``keep="all"``
-    returns every period of every group. ``total`` adds a group of that name over all loans.
+    returns every period of every group, also of groups without an event in the grid.
+    ``total`` adds a group of that name over all loans.
     """
     if keep not in ("complete", "all"):
         raise ValueError(f"keep must be 'complete' or 'all', got {keep!r}")
     start, end = first_of_month(start), first_of_month(end)
     periods = -(-month_span(start, end) // step_months)
 
-    cells = _cells(loans, start, end, step_months, periods, by)
+    cells = _cells(loans, start, end, step_months, periods, by, every_group=keep == "all")
     if total is not None:
         both = F.explode(F.array(F.col("key"), F.lit(total)))
         cells = _sum_cells(cells.select(both.alias("key"), *[c for c in cells.columns if c != "key"]))
@@ -87,8 +88,12 @@ def period_panel(
     return panel.drop("newcount")
 
 
-def _cells(loans, start, end, step_months, periods, by) -> DataFrame:
-    """Sums per group and period of the two events of each loan."""
+def _cells(loans, start, end, step_months, periods, by, every_group=False) -> DataFrame:
+    """Sums per group and period of the two events of each loan.
+
+    With ``every_group`` a loan without an event in the grid gives an empty one, so that its
+    group has a cell.
+    """
     def period_of(column):
         months = month_number(column) - (start.year * 12 + start.month - 1)
         return (
@@ -113,9 +118,16 @@ def _cells(loans, start, end, step_months, periods, by) -> DataFrame:
         F.col("last").alias("period"), (none - spans).alias("delta"), F.lit(False).alias("issued"),
         F.lit(True).alias("closed"),
     )
-    events = placed.select("*", F.inline(F.array(issued, closed))).filter(
-        (F.col("period") >= 0) & (F.col("period") < periods)
-    )
+    def in_grid(period):
+        return F.coalesce((period >= 0) & (period < periods), F.lit(False))
+
+    found = [F.when(in_grid(opened), issued), F.when(in_grid(F.col("last")), closed)]
+    if every_group:
+        empty = F.struct(
+            F.lit(0).alias("period"), none.alias("delta"), F.lit(False).alias("issued"), F.lit(False).alias("closed"),
+        )
+        found.append(F.when(~in_grid(opened) & ~in_grid(F.col("last")), empty))
+    events = placed.select("*", F.inline(F.array_compact(F.array(*found))))
 
     new_loan, over = F.col("issued"), F.col("closed")
     return events.groupBy("key", "period").agg(

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loanfate.operators import panel
 from loanfate.schema import PANEL_SCHEMA
@@ -174,3 +175,19 @@ def test_one_scan_for_all_periods(loans, spark, rows, tmp_path):
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
     assert "Join" not in plan
+
+
+def test_groups_without_an_event_in_the_grid_are_kept(spark, loans):
+    """A group whose loans all lie beyond the grid has a row of zeros for every period."""
+    later = loans.filter("issue_d IS NOT NULL AND last_pymnt_d IS NOT NULL").limit(5).withColumns({
+        "addr_state": F.lit("LATER"), "issue_d": F.lit("2090-01-15").cast("date"), "last_pymnt_d": F.lit("2091-01-15").cast("date"),
+    })
+    both = loans.unionByName(later)
+    start, end = "2012-01-01", "2015-01-01"
+    table = panel.period_panel(both, start, end, keep="all")
+    shown = [r for r in table.collect() if r.state == "LATER"]
+    assert len(shown) == 3
+    assert all(r.defcount == r.ERcount == r.Schcount == r.Curcount == r.shortcount == r.longcount == 0 for r in shown)
+    assert all(r.ER_rate is None and r.DTI is None for r in shown)
+    others = panel.period_panel(loans, start, end, keep="all")
+    assert table.filter("state <> 'LATER'").exceptAll(others.filter("state <> 'LATER'")).count() == 0
