@@ -8,9 +8,11 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from loanfate.operators import counties, evaluate, grades, models, panel
+from loanfate.operators import clean, counties, evaluate, grades, models, panel, summary
 from loanfate.plans import studies
-from loanfate.schema import ALL_TARGETS, CATEGORY_FEATURES, COUNTERFACTUAL_TARGETS, NUMERIC_FEATURES, SIMPLE_TARGETS
+from loanfate.schema import (
+    ALL_TARGETS, CATEGORY_FEATURES, COUNTERFACTUAL_TARGETS, NUMERIC_FEATURES, SIMPLE_TARGETS, TIMING_FIELDS,
+)
 from loanfate.sources import read_crosswalk, read_loans, read_result, read_zip_base, write_result
 
 TARGETS = {"simple": SIMPLE_TARGETS, "counterfactual": COUNTERFACTUAL_TARGETS}
@@ -20,19 +22,52 @@ FEATURE_TYPES = {"loan_id": "string"} | {
 
 
 def _loans(spark, args):
-    return read_loans(spark, args.loans, skip_preamble=args.skip_preamble, multi_line=args.multi_line)
+    loans = read_loans(
+        spark, args.loans, skip_preamble=args.skip_preamble, multi_line=args.multi_line, columns=args.columns
+    )
+    return loans if args.sample is None else clean.sample_rows(loans, args.sample)
+
+
+def _paid_between(loans, args):
+    """Cleaned loans whose last payment lies in the range, where one is given."""
+    if args.paid_from is None and args.paid_before is None:
+        return loans
+    return clean.in_period(loans, "last_pymnt_d", args.paid_from or "0001-01-01", args.paid_before or "9999-12-31")
+
+
+def _amount_loans(spark, args):
+    loans = clean.clean_loans(_loans(spark, args).select("loan_id", "grade", "term", "loan_status", "issue_d", "last_pymnt_d",
+                                                         "loan_amnt", "installment"))
+    complete = clean.drop_incomplete(loans, ["loan_amnt", "installment", "loan_status", *TIMING_FIELDS])
+    return _paid_between(complete, args)
 
 
 def grades_job(spark, args):
-    table = grades.grade_performance(studies.grade_loans(_loans(spark, args)), keep=args.keep)
+    loans = _paid_between(studies.grade_loans(_loans(spark, args)), args)
+    write_result(grades.grade_performance(loans, keep=args.keep), args.out, single_file=True)
+
+
+def breakeven_job(spark, args):
+    """Mean amounts and break-even installments by grade."""
+    loans = _amount_loans(spark, args)
+    means = grades.grade_means(loans, "loan_amnt", args.term).join(grades.grade_means(loans, "installment", args.term), "grade")
+    table = means.join(grades.breakeven_installments(loans, args.term), "grade").orderBy("grade")
     write_result(table, args.out, single_file=True)
 
 
+def quartiles_job(spark, args):
+    """Quartiles of months to repayment by grade."""
+    loans = _paid_between(studies.grade_loans(_loans(spark, args)), args)
+    write_result(summary.repay_quantiles(loans, term=args.term), args.out, single_file=True)
+
+
 def panel_job(spark, args):
     table = panel.period_panel(
-        studies.panel_loans(_loans(spark, args)), args.start, args.end, args.step,
+        _paid_between(studies.panel_loans(_loans(spark, args)), args), args.start, args.end, args.step,
         by=args.by, name="grade" if args.by == "grade" else "state", keep=args.keep, total=args.total,
     )
+    if args.ratio:
+        table = panel.er_to_default_ratio(table, args.offset)
     write_result(table, args.out, single_file=True)
 
 
@@ -46,8 +81,17 @@ def counties_job(spark, args):
     write_result(counties.county_avg(loans, crosswalk, method=args.method), f"{args.out}/avg", single_file=True)
 
 
+def county_ratio_job(spark, args):
+    """Early-repayment rate over default rate by county."""
+    loans = clean.clean_loans(_loans(spark, args).select("loan_id", "grade", "term", "loan_status", "issue_d", "last_pymnt_d", "zip_code"))
+    loans = _paid_between(clean.drop_incomplete(loans, ["loan_status", *TIMING_FIELDS]), args)
+    rates = counties.county_outcome_rates(loans, read_crosswalk(spark, args.crosswalk))
+    write_result(panel.er_to_default_ratio(rates, args.offset), args.out, single_file=True)
+
+
 def features_job(spark, args):
-    write_result(studies.text_model_table(_loans(spark, args)), args.out)
+    raw = _loans(spark, args)
+    write_result(studies.text_model_table(raw, chosen=lambda loans: _paid_between(loans, args)), args.out)
 
 
 def effects_job(spark, args):
@@ -81,6 +125,10 @@ def _parser() -> argparse.ArgumentParser:
             sub.add_argument("--loans", nargs="+", required=True)
             sub.add_argument("--skip-preamble", action="store_true")
             sub.add_argument("--multi-line", action="store_true")
+            sub.add_argument("--columns", nargs="+", help="the files' column names in order: all files are one scan")
+            sub.add_argument("--sample", type=float, help="share of the loans to take, by the hash of their id")
+            sub.add_argument("--paid-from", help="first day of last payment")
+            sub.add_argument("--paid-before", help="day after the last day of last payment")
         return sub
 
     job("grades", grades_job).add_argument("--keep", choices=["complete", "all"], default="complete")
@@ -91,10 +139,17 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--by", choices=["addr_state", "grade"], default="addr_state")
     sub.add_argument("--keep", choices=["complete", "all"], default="complete")
     sub.add_argument("--total", help="name of an added group over all loans")
+    sub.add_argument("--ratio", action="store_true", help="add the early-repayment rate over the default rate")
+    sub.add_argument("--offset", type=float, default=0.01, help="added to both rates of the ratio")
+    job("breakeven", breakeven_job).add_argument("--term", type=int, default=60)
+    job("quartiles", quartiles_job).add_argument("--term", type=int, default=60)
     job("crosswalk", crosswalk_job, reads_loans=False).add_argument("--zips", required=True)
     sub = job("counties", counties_job)
     sub.add_argument("--crosswalk", required=True)
     sub.add_argument("--method", choices=["reference", "weighted"], default="reference")
+    sub = job("county-ratio", county_ratio_job)
+    sub.add_argument("--crosswalk", required=True)
+    sub.add_argument("--offset", type=float, default=0.01, help="added to both rates")
     job("features", features_job)
     job("effects", effects_job)
     sub = job("predict", predict_job, reads_loans=False)

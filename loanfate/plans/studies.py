@@ -57,13 +57,16 @@ def repay_effects(raw: DataFrame, **embedding) -> DataFrame:
     return effect_table(fit_repayment_ols(design), design)
 
 
-def text_model_table(raw: DataFrame, **embedding) -> DataFrame:
-    """Feature table with the description cluster as a category, staged for the fits."""
-    return staged(model_table(cluster_desc(feature_loans(raw), **embedding)))
+def text_model_table(raw: DataFrame, chosen=None, **embedding) -> DataFrame:
+    """Feature table with the description cluster as a category, staged for the fits.
+
+    ``chosen`` narrows the typed loans first, for instance to a range of dates.
+    """
+    loans = feature_loans(raw)
+    return staged(model_table(cluster_desc(loans if chosen is None else chosen(loans), **embedding)))
 
 
-def predict_targets(table: DataFrame, targets: list[str], learner: str = "linear") -> DataFrame:
+def predict_targets(table: DataFrame, targets: list[str], learner: str = "linear", **options) -> DataFrame:
     """Fit on four fifths of a feature table and predict the rest."""
     train, test = split_train_test(table)
-    return prediction_table(fit_multi_target(train, targets, learner), test, targets)
-
+    return prediction_table(fit_multi_target(train, targets, learner, **options), test, targets)

@@ -58,3 +58,37 @@ def test_models(spark, files):
     assert len(rows(spark, f"{files}/simple/calibration", event="string")) == 3
     run(spark, files, "effects", *loans, "--out", f"{files}/effects")
     assert "int_rate" in {r.feature for r in rows(spark, f"{files}/effects", feature="string")}
+
+
+def test_options_and_studies(spark, files):
+    loans = ["--loans", f"{files}/loans", "--multi-line"]
+    names = loans_raw(spark, SF_DIR).withColumnRenamed("loan_id", "id").columns
+    run(spark, files, "panel", *loans, "--columns", *names, "--start", "1995-01-01", "--end", "2002-01-01", "--keep", "all",
+        "--ratio", "--offset", "0.5", "--out", f"{files}/ratio")
+    shown = rows(spark, f"{files}/ratio", ER_rate="double", Def_rate="double", er_def_ratio="double")
+    told = [r for r in shown if r.ER_rate is not None]
+    assert told and all(r.er_def_ratio == pytest.approx((r.ER_rate + 0.5) / (r.Def_rate + 0.5)) for r in told)
+
+    run(spark, files, "panel", *loans, "--start", "1995-01-01", "--end", "2002-01-01", "--keep", "all", "--paid-from", "1998-01-01",
+        "--paid-before", "1999-01-01", "--out", f"{files}/paid")
+    paid = rows(spark, f"{files}/paid", Period="string", defcount="bigint", ERcount="bigint", Schcount="bigint")
+    assert {r.Period for r in paid if r.defcount + r.ERcount + r.Schcount} == {"1998-01-01"}
+
+    run(spark, files, "breakeven", *loans, "--out", f"{files}/breakeven")
+    table = rows(spark, f"{files}/breakeven", grade="string", mean_loan_amnt="double", mean_installment="double", breakeven="double")
+    assert table and all(r.breakeven == pytest.approx(r.mean_loan_amnt / r.mean_installment) for r in table)
+
+    run(spark, files, "breakeven", *loans, "--sample", "0.0", "--out", f"{files}/none")
+    assert rows(spark, f"{files}/none", grade="string") == []
+
+    run(spark, files, "quartiles", *loans, "--out", f"{files}/quartiles")
+    table = rows(spark, f"{files}/quartiles", grade="string", p25="double", p75="double")
+    assert table and all(r.p25 <= r.p75 for r in table)
+
+    run(spark, files, "crosswalk", "--zips", f"{files}/zips", "--out", f"{files}/walk")
+    run(spark, files, "county-ratio", *loans, "--crosswalk", f"{files}/walk", "--out", f"{files}/county_ratio")
+    assert all(r.er_def_ratio > 0 for r in rows(spark, f"{files}/county_ratio", er_def_ratio="double"))
+
+    run(spark, files, "features", *loans, "--sample", "0.5", "--paid-from", "1998-01-01", "--out", f"{files}/half")
+    half = rows(spark, f"{files}/half", loan_id="string")
+    assert 0 < len(half) < 700
