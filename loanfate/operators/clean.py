@@ -36,11 +36,10 @@ def clean_loans(raw: DataFrame, with_current: bool = False) -> DataFrame:
         "desc": lambda: clean_desc("desc"),
     }
     columns = [typed[c]().alias(c) if c in typed else F.col(c) for c in raw.columns]
+    loans = select_once(raw, columns)
     if "term" in raw.columns:
         # A term of zero has no fraction of payments; such a loan is incomplete.
-        months = term_months("term").try_cast("double")
-        columns.append(F.nullif(months, F.lit(0.0)).alias("term2"))
-    loans = select_once(raw, columns)
+        loans = loans.withColumn("term2", F.nullif(F.col("term").try_cast("double"), F.lit(0.0)))
     if {"term2", "issue_d", "last_pymnt_d"} <= set(loans.columns):
         loans = add_timing(loans)
     return loans

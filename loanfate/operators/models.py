@@ -2,7 +2,7 @@
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -10,45 +10,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanfate.schema import CATEGORY_FEATURES, NUMERIC_FEATURES
-from loanfate.sources import staged
 
 
-def _feature_stages(categories: list[str]) -> list:
+def _feature_stages(numeric: list[str], categories: list[str]) -> list:
     vectors = [f"{c}Vec" for c in categories]
+    encoder = [OneHotEncoder(inputCols=categories, outputCols=vectors, handleInvalid="keep")] if categories else []
     return [
-        OneHotEncoder(inputCols=categories, outputCols=vectors, handleInvalid="keep"),
-        VectorAssembler(inputCols=NUMERIC_FEATURES + vectors, outputCol="raw_features"),
+        *encoder,
+        VectorAssembler(inputCols=numeric + vectors, outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features"),
     ]
 
 
-def _learner(kind: str, target: str, seed: int):
+def _learner(kind: str, target: str, seed: int, penalty: float):
     columns = {"featuresCol": "features", "labelCol": target, "predictionCol": f"{target}Pred"}
     if kind == "linear":
-        # The small penalty keeps the normal equations solvable when inputs are collinear.
-        return LinearRegression(solver="normal", regParam=1e-6, **columns)
+        return LinearRegression(solver="normal", regParam=penalty, **columns)
     if kind == "gbt":
         return GBTRegressor(maxIter=10, maxDepth=5, seed=seed, **columns)
     raise ValueError(f"learner must be 'linear' or 'gbt', got {kind!r}")
 
 
 def fit_multi_target(
-    train: DataFrame, targets: list[str], learner: str = "linear", seed: int = 1
+    train: DataFrame,
+    targets: list[str],
+    learner: str = "linear",
+    seed: int = 1,
+    numeric: list[str] = NUMERIC_FEATURES,
+    categories: list[str] = CATEGORY_FEATURES,
+    penalty: float = 1e-6,
 ) -> PipelineModel:
     """Fit one regression per target on shared features.
 
-    The feature vectors are made once and staged. The targets do not depend on each other,
-    so their fits are submitted side by side and share the cluster.
+    The inputs are the ``numeric`` columns and those of ``categories`` that are present. The
+    small ``penalty`` of the linear learner keeps its normal equations solvable when inputs are
+    collinear. The feature vectors are made once, kept while the fits run, and released. The
+    targets do not depend on each other, so their fits are submitted side by side and share
+    the cluster.
     """
-    categories = [c for c in CATEGORY_FEATURES if c in train.columns]
-    features = Pipeline(stages=_feature_stages(categories)).fit(train)
-    encoded = staged(features.transform(train).select("features", *targets))
+    present = [c for c in categories if c in train.columns]
+    features = Pipeline(stages=_feature_stages(list(numeric), present)).fit(train)
+    encoded = features.transform(train).select("features", *targets).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(target):
-        return _learner(learner, target, seed).fit(encoded)
+        return _learner(learner, target, seed, penalty).fit(encoded)
 
-    with ThreadPoolExecutor(max_workers=len(targets)) as pool:
-        models = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), targets))
+    try:
+        with ThreadPoolExecutor(max_workers=len(targets)) as pool:
+            models = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), targets))
+    finally:
+        encoded.unpersist()
     return PipelineModel(stages=[*features.stages, *models])
 
 

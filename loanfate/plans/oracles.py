@@ -244,7 +244,7 @@ def _panel_rows(source, key, keep, digits=6):
     return parts, body
 
 
-def _panel(key="state", source_key="addr_state", keep="complete", step=12, total=False, digits=6):
+def _panel(key="state", source_key="addr_state", keep="complete", step=12, total=False, digits=6, end=2002):
     source = f"keyed AS (SELECT *, {source_key} AS {key} FROM panel_loans)"
     if total:
         source = (
@@ -254,7 +254,7 @@ def _panel(key="state", source_key="addr_state", keep="complete", step=12, total
     if key == source_key:
         source = "keyed AS (SELECT * FROM panel_loans)"
     parts, body = _panel_rows("keyed", key, keep, digits)
-    return f"{PANEL_LOANS},\n{source},\n{_periods(1995, 2002, step)},\n{parts}", body
+    return f"{PANEL_LOANS},\n{source},\n{_periods(1995, end, step)},\n{parts}", body
 
 
 def panel(**options):
@@ -512,7 +512,16 @@ words AS (
 
 ORACLES["csv_round_trip"] = ORACLES["clean_loans"]
 ORACLES["crosswalk_round_trip"] = ORACLES["crosswalk"]
-ORACLES["result_round_trip"] = f"""SELECT grade, def36mean, def60mean, "ERTime60sd" FROM ({grade_performance()})"""
+ORACLES["result_round_trip"] = ORACLES["grade_performance"]
+ORACLES["files_merged"] = _with(LOANS, """SELECT loan_id, grade, term, loan_amnt,
+ CASE WHEN loan_id % 2 = 1 THEN dti END AS dti, CASE WHEN loan_id % 2 = 1 THEN revol_util END AS revol_util, issue_d, addr_state
+ FROM loans""")
+ORACLES["preamble_round_trip"] = _with(
+    LOANS, "SELECT loan_id, grade, term, loan_status, issue_d, last_pymnt_d, loan_amnt FROM loans")
+ORACLES["quartile_ranks"] = _with(ENDED, " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {q} AS quartile, count(*) > 0 AS within_error FROM ended"
+    for c in ("mnth_start2last", "fracNumPmts") for q in (25, 50, 75)))
+ORACLES["panel_finer_key"] = panel(key="cell", source_key="addr_state || '|' || grade", keep="all", step=1, end=1996)
 ORACLES["facts_issued_1998"] = _with(LOANS, """SELECT addr_state, panel_status AS loan_status, count(*) AS count FROM loans
  WHERE issue_d >= DATE '1998-01-01' AND issue_d < DATE '1999-01-01' GROUP BY 1, 2""")
 
@@ -529,3 +538,24 @@ ORACLES["grade_mean_calibration"] = grade_mean_predictions("""SELECT 'Default' A
  UNION ALL SELECT 'Orig. Term', round(100 * avg(1 - p_def - p_er), 8), round(100 * avg(1 - p_def_hat - p_er_hat), 8) FROM test""")
 ORACLES["grade_mean_default_times"] = grade_mean_predictions(
     "SELECT round(time_def, 10) AS actual, round(time_def_hat, 10) AS predicted FROM test WHERE p_def = 1")
+
+ORACLES["cluster_totals"] = _with(LOANS + """,
+words AS (
+ SELECT description, len([w FOR w IN regexp_split_to_array(lower(description), '\\W') IF length(w) > 0]) AS n FROM loans
+)""", """SELECT count(*) AS loans, CAST(sum(n) AS BIGINT) AS words, count(*) FILTER (description = 'none') AS silent,
+ CAST(1 AS BIGINT) AS no_desc_clusters FROM words""")
+ORACLES["repay_effect_of_rate"] = _with(COMPLETE + """,
+line AS (
+ SELECT regr_slope(frac, int_rate) AS b, regr_sxx(frac, int_rate) AS sxx, regr_syy(frac, int_rate) AS syy,
+  regr_sxy(frac, int_rate) AS sxy, count(*) AS n
+ FROM complete WHERE loan_status = 0 AND term2 = 60
+)""", """SELECT 'int_rate' AS feature, CAST(1 AS DOUBLE) AS change, round(b, 6) AS coefficient, round(60 * b, 6) AS months,
+ round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS t_value FROM line""")
+ORACLES["rate_line_predictions"] = _with(f"""{STATS},
+scored AS (
+ SELECT *, {UNIFORM.format(seed=2)} < CAST(0.8 AS DOUBLE) AS train FROM times WHERE frac IS NOT NULL AND dti IS NOT NULL
+), line AS (
+ SELECT regr_slope(p_def, int_rate) AS d1, regr_intercept(p_def, int_rate) AS d0,
+  regr_slope(p_er, int_rate) AS e1, regr_intercept(p_er, int_rate) AS e0 FROM scored WHERE train
+)""", """SELECT round(d0 + d1 * int_rate, 6) AS "probDefPred", round(e0 + e1 * int_rate, 6) AS "probERPred",
+ p_def AS "probDef", p_er AS "probER" FROM scored CROSS JOIN line WHERE NOT train""")

@@ -91,7 +91,7 @@ def paid_in_period(spark, d):
 
 
 def outstanding(spark, d):
-    loans = clean.clean_loans(loans_raw(spark, d, GRADE_COLUMNS))
+    loans = clean.clean_loans(loans_raw(spark, d, ["grade", "term", "issue_d", "last_pymnt_d"]))
     return clean.outstanding_at(loans, "1999-01-01").groupBy("grade", "term").count()
 
 
@@ -105,35 +105,64 @@ def preview_loans(spark, d):
 
 # Files
 
-def _folder(spark):
-    path = scratch_path(spark)
-    if path is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return path
-
-
 def csv_round_trip(spark, d):
-    path = _folder(spark)
+    path = scratch_path(spark)
     write_result(loans_raw(spark, d, FACT_COLUMNS), path)
     loans = clean.clean_loans(read_loans(spark, path))
     return loans.withColumn("loan_id", F.col("loan_id").cast("bigint"))
 
 
 def result_round_trip(spark, d):
-    path = _folder(spark)
-    write_result(grades.grade_performance(_grade_loans(spark, d)), path, single_file=True)
-    shown = {"grade": "string", "def36mean": "double", "def60mean": "double", "ERTime60sd": "double"}
-    return rounded(read_result(spark, path, shown), 8)
+    """Every column of the grade table through a file."""
+    path = scratch_path(spark)
+    table = grades.grade_performance(_grade_loans(spark, d))
+    write_result(table, path, single_file=True)
+    return rounded(read_result(spark, path, dict(table.dtypes)), 8)
+
+
+def files_merged(spark, d):
+    """Two files with different columns, in different order, read as one table by name."""
+    loans = loans_raw(spark, d, FACT_COLUMNS).withColumn("loan_id", F.col("loan_id").cast("string"))
+    one, two = scratch_path(spark), scratch_path(spark)
+    first = F.col("loan_id").cast("bigint") % 2 == 0
+    write_result(loans.filter(first).drop("revol_util", "dti"), one)
+    write_result(loans.filter(~first).select(*reversed(loans.columns)), two)
+    merged = clean.clean_loans(read_loans(spark, [one, two]))
+    return merged.withColumn("loan_id", F.col("loan_id").cast("bigint")).select(
+        "loan_id", "grade", "term", "loan_amnt", "dti", "revol_util", "issue_d", "addr_state"
+    )
+
+
+def preamble_round_trip(spark, d):
+    """Files whose first line is junk and whose header is line 2, with a footer."""
+    path = scratch_path(spark)
+    loans = loans_raw(spark, d, GRADE_COLUMNS + ["loan_amnt"]).withColumnRenamed("loan_id", "id")
+    quoted = F.concat_ws(",", *[
+        F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in loans.columns
+    ])
+    header = ",".join(f'"{c}"' for c in loans.columns)
+    # A file is the lines of one partition: preamble, header, loans, footer.
+    parts = loans.select(F.spark_partition_id().alias("part"), F.lit(2).alias("place"), quoted.alias("value"))
+    extra = parts.select("part").distinct().select("part", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("place"), F.lit(line).alias("value"))
+        for k, line in ((0, "Notes offered by prospectus"), (1, header), (3, "Total amount funded: 1"))
+    ])))
+    lines = parts.unionByName(extra).repartition("part").sortWithinPartitions("part", "place")
+    lines.select("value").write.text(path)
+    read = clean.clean_loans(read_loans(spark, path, skip_preamble=True, columns=loans.columns))
+    return read.select(
+        F.col("loan_id").cast("bigint").alias("loan_id"), "grade", "term", "loan_status", "issue_d", "last_pymnt_d", "loan_amnt"
+    )
 
 
 def crosswalk_round_trip(spark, d):
-    path = _folder(spark)
+    path = scratch_path(spark)
     write_result(counties.build_crosswalk(zip_base(spark, d)), path)
     return read_crosswalk(spark, path)
 
 
 def facts_issued_1998(spark, d):
-    path = _folder(spark)
+    path = scratch_path(spark)
     write_facts(clean.clean_loans(loans_raw(spark, d, FACT_COLUMNS), with_current=True), path)
     issued = clean.in_period(read_facts(spark, path), "issue_d", "1998-01-01", "1999-01-01")
     return issued.groupBy("addr_state", "loan_status").count()
@@ -201,6 +230,25 @@ def frac_summary(spark, d):
     return rounded(described.drop("q25", "q50", "q75"), 8)
 
 
+def quartile_ranks(spark, d):
+    """Whether each sketched quartile lies within the stated error of its rank."""
+    columns = ["mnth_start2last", "fracNumPmts"]
+    loans = _grade_loans(spark, d)
+    described = summary.summarize(loans, columns)
+    values = loans.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns
+    ])))
+    marks = described.select("column", F.posexplode(F.array("q25", "q50", "q75")).alias("k", "mark"))
+    # One row per column and quartile meets the values.
+    met = values.join(F.broadcast(marks), "column").groupBy("column", "k").agg(
+        F.avg((F.col("value") < F.col("mark")).cast("double")).alias("below"),
+        F.avg((F.col("value") <= F.col("mark")).cast("double")).alias("upto"),
+    )
+    share, error = (F.col("k") + 1) / 4, 1e-4
+    within = (F.col("below") <= share + error) & (F.col("upto") >= share - error)
+    return met.select("column", (25 * (F.col("k") + 1)).alias("quartile"), within.alias("within_error"))
+
+
 def repay_quantiles(spark, d):
     return rounded(summary.repay_quantiles(_grade_loans(spark, d)), 8)
 
@@ -231,6 +279,13 @@ def grade_panel(spark, d):
     return rounded(_panel(spark, d, by="grade", name="grade"), 6)
 
 
+def panel_finer_key(spark, d):
+    """Every month of one year for every state and grade, also those without a loan yet."""
+    loans = _panel_loans(spark, d).withColumn("cell", F.concat_ws("|", "addr_state", "grade"))
+    table = panel.period_panel(loans, "1995-01-01", "1996-01-01", step_months=1, by="cell", name="cell", keep="all")
+    return rounded(table, 6)
+
+
 def panel_with_us(spark, d):
     return rounded(_panel(spark, d, keep="all", total="US"), 6)
 
@@ -353,12 +408,13 @@ def county_er_default_ratio(spark, d):
 # Feature table
 
 def _staged_loans(spark, d):
-    """Typed loans as files: the index fit, the statistics and the rows each read them."""
+    """Typed loans, kept: the index fit, the statistics and the rows each read them."""
     return staged(studies.feature_loans(loans_raw(spark, d, REGRESSION_COLUMNS)))
 
 
 def outcome_stats(spark, d):
-    return rounded(features.outcome_stats(clean.clean_loans(loans_raw(spark, d, GRADE_COLUMNS))), 8)
+    loans = clean.clean_loans(loans_raw(spark, d, ["loan_status", "term", "issue_d", "last_pymnt_d"]))
+    return rounded(features.outcome_stats(loans), 8)
 
 
 def event_targets(spark, d):
@@ -422,6 +478,17 @@ def silent_loans_by_cluster(spark, d):
     return labelled.filter("no_desc").groupBy("pred_KM").count()
 
 
+def cluster_totals(spark, d):
+    """Loans, words and silent loans over all clusters."""
+    clusters = text.describe_text_clusters(_clusters(spark, d))
+    silent = F.round(F.sum(F.col("no_desc_share") * F.col("loans"))).cast("bigint")
+    words = F.round(F.sum(F.col("mean_words") * F.col("loans"))).cast("bigint")
+    return clusters.agg(
+        F.sum("loans").alias("loans"), words.alias("words"), silent.alias("silent"),
+        F.count_if(F.col("label") == text.NO_DESC).alias("no_desc_clusters"),
+    )
+
+
 def repay_fitted_by_grade(spark, d):
     """Fitted repayment times; least squares with a grade term meets each grade's mean."""
     loans = staged(studies.regression_loans(loans_raw(spark, d, REGRESSION_COLUMNS)))
@@ -431,6 +498,13 @@ def repay_fitted_by_grade(spark, d):
     return rounded(means, 6)
 
 
+def repay_effect_of_rate(spark, d):
+    """Effect of the interest rate alone on the repayment time, in the effect table's form."""
+    loans = staged(studies.regression_loans(loans_raw(spark, d, REGRESSION_COLUMNS)))
+    design = repayment.repayment_design(loans, formula="fracNumPmts ~ int_rate")
+    return rounded(repayment.effect_table(repayment.fit_repayment_ols(design), design), 6)
+
+
 def repay_effects(spark, d):
     return studies.repay_effects(loans_raw(spark, d, TEXT_COLUMNS))
 
@@ -456,6 +530,14 @@ def predictions_counterfactual(spark, d):
     return studies.predict_targets(table, COUNTERFACTUAL_TARGETS, "gbt")
 
 
+def rate_line_predictions(spark, d):
+    """Straight lines on the interest rate for two targets, and their predictions beside the actual values."""
+    table = staged(features.model_table(_staged_loans(spark, d), CATEGORIES))
+    targets = ["probDef", "probER"]
+    predicted = studies.predict_targets(table, targets, "linear", numeric=["int_rate"], categories=[], penalty=0.0)
+    return rounded(predicted, 6)
+
+
 def prediction_errors(spark, d):
     return models.mse_table(_predicted(spark, d, COUNTERFACTUAL_TARGETS), COUNTERFACTUAL_TARGETS)
 
@@ -520,6 +602,8 @@ QUERIES = {
     "preview": preview_loans,
     "csv_round_trip": csv_round_trip,
     "result_round_trip": result_round_trip,
+    "files_merged": files_merged,
+    "preamble_round_trip": preamble_round_trip,
     "crosswalk_round_trip": crosswalk_round_trip,
     "facts_issued_1998": facts_issued_1998,
     "grade_performance": grade_performance,
@@ -535,11 +619,13 @@ QUERIES = {
     "home_counts": home_counts,
     "frac_summary": frac_summary,
     "repay_quantiles": repay_quantiles,
+    "quartile_ranks": quartile_ranks,
     "state_panel": state_panel,
     "state_panel_all": state_panel_all,
     "state_panel_quarterly": state_panel_quarterly,
     "grade_panel": grade_panel,
     "panel_with_us": panel_with_us,
+    "panel_finer_key": panel_finer_key,
     "panel_append": panel_append,
     "series_default_rate": series_default_rate,
     "series_early_rate": series_early_rate,
@@ -573,13 +659,16 @@ QUERIES = {
     "desc_tokens": desc_tokens,
     "desc_clusters": desc_clusters,
     "desc_cluster_counts": desc_cluster_counts,
+    "cluster_totals": cluster_totals,
     "silent_loans_by_cluster": silent_loans_by_cluster,
     "repay_fitted_by_grade": repay_fitted_by_grade,
     "repay_effects": repay_effects,
+    "repay_effect_of_rate": repay_effect_of_rate,
     "text_model_table": text_model_table,
     "predictions_simple": predictions_simple,
     "predictions_counterfactual": predictions_counterfactual,
     "prediction_errors": prediction_errors,
+    "rate_line_predictions": rate_line_predictions,
     "prediction_calibration": prediction_calibration,
     "prediction_summary": prediction_summary,
     "default_time_predictions": default_time_predictions,

@@ -10,7 +10,7 @@ LOAN_COLUMNS = [
     "dti", "revol_util", "zip_code", "addr_state",
 ]
 
-# Raw columns each study reads.
+# The raw columns that each study reads.
 GRADE_COLUMNS = ["loan_id", "grade", "term", "loan_status", "issue_d", "last_pymnt_d"]
 PANEL_COLUMNS = [
     "loan_amnt", "term", "int_rate", "grade", "annual_inc", "loan_status", "issue_d", "dti",
