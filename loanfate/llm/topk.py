@@ -87,18 +87,17 @@ def _in_blocks(vectors: DataFrame, block: int, buckets: int) -> DataFrame:
     keyed = vectors.withColumn("key", key)
     cuts = id_boundaries(keyed, "key", buckets)
     placed = keyed.withColumn("bucket", range_bucket("key", cuts)).drop("key")
-    sizes = placed.groupBy("dims", "bucket").agg(F.count("*").alias("n"))
-    parts = sizes.select("dims", "bucket", F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("parts"))
-    # At most ``buckets`` rows for each number of dimensions.
-    salted = placed.join(F.broadcast(parts), ["dims", "bucket"])
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"))
+    parts = sizes.select("bucket", F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("parts"))
+    # One row for each bucket.
+    salted = placed.join(F.broadcast(parts), "bucket")
     return salted.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
 
 
 def _query_blocks(queries: DataFrame, block: int) -> DataFrame:
-    count = queries.groupBy("dims").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("parts"))
-    salted = queries.join(F.broadcast(count), "dims")
-    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    return salted.select(F.col("vec_id").alias("query_id"), "v", "dims", "norm", part.alias("q_part"))
+    parts = max(1, -(-queries.count() // block))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    return queries.select(F.col("vec_id").alias("query_id"), "v", "dims", "norm", part.alias("q_part"))
 
 
 def _score(asked: DataFrame, vectors: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
