@@ -74,13 +74,13 @@ def labelled(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3)
     """(text, toxic, for_curve) of the training rows: labelled 0 or 1, not of the held-out fold.
 
     An id labelled more than once has its greatest label. Both sides lose the held-out rows before
-    they meet.
+    they meet, by a sort-merge join at every size: neither side has a bound.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.filter(F.col("toxic").isin(0, 1) & ~held_out(fold, folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull() & ~held_out(fold, folds))
     for_curve = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CURVE_FOLDS)) == 0
-    return texts.join(marks, "doc_id").select("text", "toxic", for_curve.alias("for_curve"))
+    return texts.join(marks.hint("merge"), "doc_id").select("text", "toxic", for_curve.alias("for_curve"))
 
 
 def continuation_counts(rows: DataFrame) -> DataFrame:
