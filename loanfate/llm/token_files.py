@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from loanfate.llm.common import (
     id_boundaries, in_batches, partitions_for, range_bucket, slices, text_or_empty,
 )
-from loanfate.llm.token_words import BareEncoder, id_bytes
+from loanfate.llm.token_words import bare_encoder, id_bytes
 
 MAGIC, INDEX_MAGIC = b"BPL1", b"BPLI"
 BLOCK_IDS = 16_384
@@ -180,10 +180,9 @@ def _encoder(tokenizer_file: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.string()), ("ids", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = BareEncoder(tokenizer_file), id_bytes([end_id])
+        encoder, last = bare_encoder(tokenizer_file), id_bytes([end_id])
         for batch in slices(batches, 1024):
             texts = batch.column(1).to_pylist()
-            encoder.learn(texts)
             rows = zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist())
             yield from in_batches(
                 ((i, f"{int(known)}{zlib.crc32(text.encode()):08x}", encoder.encode(text) + last) for i, text, known in rows),

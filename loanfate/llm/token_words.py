@@ -9,40 +9,76 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterable
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Words remembered by a Python worker; then it starts anew. Bounds its memory, never its results.
-REMEMBERED_WORDS = 400_000
+#: Words remembered by a cache; then it starts anew. Bounds its memory, never its results.
+REMEMBERED_WORDS = 300_000
 #: Longer words are not remembered.
 REMEMBERED_CHARS = 64
 
 
+#: Marks that may end a word; what stands before them is split off as a word of its own.
+_MARKS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: visible Latin-1 ones for themselves,
+    the others, in order, from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def plain_word(word: str) -> bool:
+    """Whether a word is made of Latin letters only, which no normaliser composes or splits."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
+
+
 class WordCache(dict):
     """Word to its ids as little-endian unsigned 32-bit integers; asks the library on a miss.
 
-    ``before`` is put in front of the word for the library.
+    ``before`` is put in front of the word for the library. A word of plain letters is one
+    match of the split pattern, and marks behind it are another: the letters go to the
+    library's merges directly, in lower case where the vocabulary is, and the word is
+    remembered without its marks. All else goes through the whole library.
     """
 
-    def __init__(self, tokenizer: Tokenizer, before: str = "") -> None:
+    def __init__(self, tokenizer: Tokenizer, before: str = "", lower: bool = False) -> None:
         super().__init__()
-        self.tokenizer, self.before = tokenizer, before
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.before, self.lower = before, lower
+        self.marks: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = id_bytes(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids)
+        core = word.rstrip(_MARKS)
+        if core != word and core and plain_word(core):
+            return self[core] + self._marks(word[len(core):])
+        if core and plain_word(core):
+            letters = (self.before + (core.lower() if self.lower else core)).encode().decode("latin-1").translate(_LETTERS)
+            ids = id_bytes([t.id for t in self.model.tokenize(letters)])
+        else:
+            ids = self._whole(self.before, word)
         if len(word) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED_WORDS:
+                self.clear()
             self[word] = ids
         return ids
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Ask for all new words in one call, which the library does faster than one by one."""
-        if len(self) > REMEMBERED_WORDS:
-            self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self and len(w) <= REMEMBERED_CHARS]
-        found = self.tokenizer.encode_batch([self.before + w for w in new], add_special_tokens=False)
-        self.update((w, id_bytes(x.ids)) for w, x in zip(new, found))
+    def _marks(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self._whole("", marks)
+            if len(self.marks) < 1000 and len(marks) <= REMEMBERED_CHARS:
+                self.marks[marks] = ids
+        return ids
+
+    def _whole(self, before: str, word: str) -> bytes:
+        return id_bytes(self.tokenizer.encode(before + word, add_special_tokens=False).ids)
 
 
 def id_bytes(ids: list[int]) -> bytes:
@@ -78,15 +114,18 @@ class SpacedEncoder:
     def __init__(self, path: str) -> None:
         tokenizer = load_tokenizer(path)
         self.first, self.later = WordCache(tokenizer), WordCache(tokenizer, " ")
-
-    def learn(self, texts: list[str]) -> None:
-        self.later.learn(w for text in texts for w in text.split(" ")[1:] if _joins(w))
-        if len(self.first) > REMEMBERED_WORDS:
-            self.first.clear()
+        self.line_end = id_bytes(tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        lines = text.split("\n")
+        if all(map(_joins, lines)):
+            # A single line end between visible characters is a match of its own.
+            return self.line_end.join(map(self._line, lines))
+        return self._line(text)
+
+    def _line(self, text: str) -> bytes:
         words = text.split(" ")
         if all(map(_joins, words)):
             return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
@@ -112,13 +151,22 @@ def _joins(word: str) -> bool:
 
 
 class BareEncoder:
-    """For vocabularies that drop white space: words between blanks and line ends stand alone."""
+    """For lower-case vocabularies that drop white space: words between blanks and line ends stand alone."""
 
     def __init__(self, path: str) -> None:
-        self.words = WordCache(load_tokenizer(path))
-
-    def learn(self, texts: list[str]) -> None:
-        self.words.learn(w for text in texts for w in text.replace("\n", " ").split(" "))
+        self.words = WordCache(load_tokenizer(path), lower=True)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@lru_cache(maxsize=2)
+def spaced_encoder(path: str) -> SpacedEncoder:
+    """One for each Python worker, so that its tasks share what is remembered."""
+    return SpacedEncoder(path)
+
+
+@lru_cache(maxsize=2)
+def bare_encoder(path: str) -> BareEncoder:
+    """One for each Python worker, so that its tasks share what is remembered."""
+    return BareEncoder(path)
