@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from loanfate.llm.common import (
     id_boundaries, in_batches, partitions_for, range_bucket, slices, text_or_empty,
 )
-from loanfate.llm.token_words import bare_encoder, id_bytes
+from loanfate.llm.token_words import BareEncoder, id_bytes
 
 MAGIC, INDEX_MAGIC = b"BPL1", b"BPLI"
 BLOCK_IDS = 16_384
@@ -44,19 +44,26 @@ END = b"\n"
 
 def split_planes(ids: np.ndarray, planes: int) -> list[bytes]:
     """The block as bit planes (32) or byte planes (4), lowest first."""
+    parts = [np.ascontiguousarray(ids.view(np.uint8)[k::4]) for k in range(4)]
     if planes == 4:
-        return [ids.view(np.uint8).reshape(-1, 4)[:, k].tobytes() for k in range(4)]
-    bits = np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return [p.tobytes() for p in np.packbits(bits.T, axis=1, bitorder="little")]
+        return [p.tobytes() for p in parts]
+    # packbits takes any byte but zero for a one.
+    return [np.packbits(p & np.uint8(1 << j), bitorder="little").tobytes() for p in parts for j in range(8)]
 
 
 def join_planes(planes: list[bytes], n: int) -> np.ndarray:
     """The inverse of :func:`split_planes` for a block of ``n`` ids."""
-    parts = np.stack([np.frombuffer(p, np.uint8) for p in planes])
-    if len(planes) == 4:
-        return np.ascontiguousarray(parts.T).view("<u4").ravel()
-    bits = np.unpackbits(parts, axis=1, count=n, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").ravel()
+    out = np.zeros((n, 4), np.uint8)
+    for k in range(4):
+        if len(planes) == 4:
+            out[:, k] = np.frombuffer(planes[k], np.uint8)
+            continue
+        part = np.zeros(n, np.uint8)
+        for j, plane in enumerate(planes[8 * k:8 * k + 8]):
+            if plane.strip(b"\0"):
+                part |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little") << np.uint8(j)
+        out[:, k] = part
+    return out.view("<u4").ravel()
 
 
 class PlaneWriter:
@@ -180,7 +187,7 @@ def _encoder(tokenizer_file: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.string()), ("ids", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = bare_encoder(tokenizer_file), id_bytes([end_id])
+        encoder, last = BareEncoder(tokenizer_file), id_bytes([end_id])
         for batch in slices(batches, 1024):
             texts = batch.column(1).to_pylist()
             rows = zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist())

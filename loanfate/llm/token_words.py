@@ -8,19 +8,20 @@ the library is asked once for each. The ids are those of the whole text at once.
 from __future__ import annotations
 
 import os
+import string
 from array import array
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Words remembered by a cache; then it starts anew. Bounds its memory, never its results.
-REMEMBERED_WORDS = 300_000
+#: Words remembered by a cache in each of two generations. Bounds its memory, never its results.
+REMEMBERED_WORDS = 150_000
 #: Longer words are not remembered.
 REMEMBERED_CHARS = 64
 
 
-#: Marks that may end a word; what stands before them is split off as a word of its own.
-_MARKS = ".,;:!?"
+#: Marks that may end a word: together they are one match, and the letters before them another.
+_MARKS = string.punctuation
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,31 +45,41 @@ class WordCache(dict):
 
     ``before`` is put in front of the word for the library. A word of plain letters is one
     match of the split pattern, and marks behind it are another: the letters go to the
-    library's merges directly, in lower case where the vocabulary is, and the word is
-    remembered without its marks. All else goes through the whole library.
+    library's merges directly, in lower case where the vocabulary is. All else goes through
+    the whole library. When the cache is full it becomes the old generation, from which words
+    met again come back; so frequent words stay and rare ones go.
     """
 
-    def __init__(self, tokenizer: Tokenizer, before: str = "", lower: bool = False) -> None:
+    def __init__(self, path: str, before: str = "", lower: bool = False) -> None:
         super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer = load_tokenizer(path)
+        self.model = self.tokenizer.model
         self.before, self.lower = before, lower
         self.marks: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(_MARKS)
-        if core != word and core and plain_word(core):
-            return self[core] + self._marks(word[len(core):])
-        if core and plain_word(core):
-            letters = (self.before + (core.lower() if self.lower else core)).encode().decode("latin-1").translate(_LETTERS)
-            ids = id_bytes([t.id for t in self.model.tokenize(letters)])
-        else:
-            ids = self._whole(self.before, word)
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self._ask(word)
         if len(word) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def _ask(self, word: str) -> bytes:
+        core = word.rstrip(_MARKS)
+        if not core or not plain_word(core):
+            return self._whole(self.before, word)
+        if core != word:
+            return self[core] + self._marks(word[len(core):])
+        letters = self.before + (word.lower() if self.lower else word)
+        if self.before or not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_LETTERS)
+        return id_bytes([t.id for t in self.model.tokenize(letters)])
+
     def _marks(self, marks: str) -> bytes:
         ids = self.marks.get(marks)
         if ids is None:
@@ -112,9 +123,8 @@ class SpacedEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        tokenizer = load_tokenizer(path)
-        self.first, self.later = WordCache(tokenizer), WordCache(tokenizer, " ")
-        self.line_end = id_bytes(tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.first, self.later = WordCache(path), WordCache(path, " ")
+        self.line_end = id_bytes(load_tokenizer(path).encode("\n", add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -154,19 +164,7 @@ class BareEncoder:
     """For lower-case vocabularies that drop white space: words between blanks and line ends stand alone."""
 
     def __init__(self, path: str) -> None:
-        self.words = WordCache(load_tokenizer(path), lower=True)
+        self.words = WordCache(path, lower=True)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-@lru_cache(maxsize=2)
-def spaced_encoder(path: str) -> SpacedEncoder:
-    """One for each Python worker, so that its tasks share what is remembered."""
-    return SpacedEncoder(path)
-
-
-@lru_cache(maxsize=2)
-def bare_encoder(path: str) -> BareEncoder:
-    """One for each Python worker, so that its tasks share what is remembered."""
-    return BareEncoder(path)
