@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +36,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let Spark hand Python at most so many rows at a time.
+
+    Its default is 10,000, which for whole texts is a great deal of memory in the executor and
+    once more in the Python worker. The setting is the session's and changes no result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -115,11 +126,3 @@ def text_slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
-
-
-def offsets(lengths: Iterable[int]) -> list[tuple[int, int]]:
-    """(start, end) of consecutive pieces of the given lengths."""
-    ends = [0]
-    for n in lengths:
-        ends.append(ends[-1] + n)
-    return list(pairwise(ends))

@@ -40,7 +40,7 @@ STEP, REACH = 0.125, 10.0
 #: Score from which a text is predicted toxic.
 THRESHOLD = 0.7
 #: Words remembered by a Python worker; then it starts anew.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 100_000
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
@@ -121,10 +121,10 @@ def _triples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before = np.concatenate([[0], hashes[:-1]]) & ((1 << BEFORE_BITS) - 1)
                 held.append(np.unique((hashes << 1 | toxic) << BEFORE_BITS | before))
                 size += len(held[-1])
-        if size > 2_000_000:
+        if size > 1_000_000:
             held = [distinct()]
             # Sent on where repeats have become few; the table-wide distinct follows anyway.
-            if len(held[0]) > 1_000_000:
+            if len(held[0]) > 500_000:
                 yield from _as_batches(held[0], schema)
                 held = []
             size = sum(map(len, held))
