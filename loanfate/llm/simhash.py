@@ -32,8 +32,13 @@ MOST_QUANTILES = 16_384
 SMALL = 48
 #: Shingles hashed at a time.
 CHUNK = 16_384
+#: Node pairs of one depth that are walked together; more are walked in turn, to bound the memory.
+NODES_AT_ONCE = 200_000
 #: Words of a wide fingerprint, and differing bits that two of its views of 32 bits may have.
 WIDE, VIEW_BUDGET = 4, 2
+#: Rows that a leaf of the views' trie should hold at most, and the least number of leaves: a row goes to
+#: every pair of its leaf, so large leaves keep the copies few.
+VIEW_LEAF_SIZE, VIEW_LEAVES = 1 << 20, 32
 
 _TOP = np.uint64(1 << 63)
 
@@ -146,7 +151,7 @@ def walk_pairs(a: np.ndarray, b: np.ndarray | None, depth: int, budget: int) ->
     """Index pairs of ascending fingerprints that differ in at most ``budget`` bits.
 
     ``a`` and ``b`` each share their first ``depth`` bits; ``b`` None joins ``a`` with itself,
-    each pair once. All node pairs of one depth are walked together, as ranges of the arrays.
+    each pair once. Node pairs of one depth are walked together, as ranges of the arrays.
     """
     own = b is None
     b = a if own else b
@@ -154,9 +159,12 @@ def walk_pairs(a: np.ndarray, b: np.ndarray | None, depth: int, budget: int) ->
         return
     shift = np.uint64(BITS - depth)
     differing = 0 if own or not depth else int(np.bitwise_count((a[0] ^ b[0]) >> shift))
-    node = np.array([[0], [len(a)], [0], [len(b)], [differing]], np.int64)
-    node = node[:, node[4] <= budget]
-    while node.shape[1]:
+    todo = [(depth, np.array([[0], [len(a)], [0], [len(b)], [differing]], np.int64))] if differing <= budget else []
+    while todo:
+        depth, node = todo.pop()
+        if node.shape[1] > NODES_AT_ONCE:
+            todo.append((depth, node[:, NODES_AT_ONCE:]))
+            node = node[:, :NODES_AT_ONCE]
         alo, ahi, blo, bhi, _ = node
         small = (ahi - alo) * (bhi - blo) <= SMALL
         if depth == BITS:
@@ -164,10 +172,8 @@ def walk_pairs(a: np.ndarray, b: np.ndarray | None, depth: int, budget: int) ->
         if small.any():
             yield _compare(a, b, node[:, small], own, budget)
             node = node[:, ~small]
-            if not node.shape[1]:
-                return
-        node = _descend(a, b, node, own, np.uint64(1 << (BITS - 1 - depth)), budget)
-        depth += 1
+        if node.shape[1]:
+            todo.append((depth + 1, _descend(a, b, node, own, np.uint64(1 << (BITS - 1 - depth)), budget)))
 
 
 def _descend(a: np.ndarray, b: np.ndarray, node: np.ndarray, own: bool, bit: np.uint64, budget: int) -> np.ndarray:
@@ -220,10 +226,12 @@ def trie_links(distinct: DataFrame, budget: int = 2, leaf_size: int = LEAF_SIZE)
     fingerprint linked within it, an edge to the least one connected with it there; so the
     components are those of all links while edges stay few.
     """
-    return _trie_join(distinct.select("fp"), budget, leaf_size, None)
+    return _trie_join(distinct.select("fp"), budget, leaf_size)
 
 
-def _trie_join(rows: DataFrame, budget: int, leaf_size: int, most_bits: int | None) -> DataFrame:
+def _trie_join(
+    rows: DataFrame, budget: int, leaf_size: int, least_leaves: int = 1, most_bits: int | None = None
+) -> DataFrame:
     """Edges between rows whose keys (the first column) differ in at most ``budget`` bits.
 
     Without ``most_bits`` the key is the row's name. With it the next columns are its name
@@ -231,7 +239,7 @@ def _trie_join(rows: DataFrame, budget: int, leaf_size: int, most_bits: int | No
     fingerprints differ in at most so many bits.
     """
     spark, names = rows.sparkSession, rows.columns
-    wanted = min(MOST_QUANTILES, max(1, -(-rows.count() // leaf_size)))
+    wanted = min(MOST_QUANTILES, max(least_leaves, -(-rows.count() // leaf_size)))
     # With the top bit turned, the order of signed longs is that of the unsigned keys.
     ordered = rows.select(F.col(names[0]).bitwiseXOR(F.lit(-(1 << 63))).alias("turned"))
     shares = [k / wanted for k in range(wanted)]
@@ -358,7 +366,9 @@ def view_keys() -> Column:
     return F.array(*keys)
 
 
-def similar_classes(prints: DataFrame, similarity: float, leaf_size: int = LEAF_SIZE) -> DataFrame:
+def similar_classes(
+    prints: DataFrame, similarity: float, leaf_size: int = VIEW_LEAF_SIZE, least_leaves: int = VIEW_LEAVES
+) -> DataFrame:
     """(fp, class_fp) for wide fingerprints (fp, w0, w1, ...) that are similar to another one.
 
     Near-duplicates differ in too many bits for a budget on 64; but of eight views of 32 bits
@@ -373,15 +383,18 @@ def similar_classes(prints: DataFrame, similarity: float, leaf_size: int = LEAF_
     views = stored(distinct.select(F.explode(view_keys()).alias("key"), "fp", *words), "views")
     lead = views.groupBy("key").agg(F.min(F.struct("fp", *words)).alias("lead"))
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"lead.{w}"))) for w in words), F.lit(0))
-    met = stored(views.join(lead, "key").withColumn("apart", apart), "met-views")
-    with_lead = met.filter((F.col("apart") <= most) & (F.col("fp") != F.col("lead.fp")))
-    entries = met.filter((F.col("apart") > most) | (F.col("fp") == F.col("lead.fp"))).select("key", "fp", *words)
-    edges = _trie_join(entries, VIEW_BUDGET, leaf_size, most)
-    every = edges.unionByName(with_lead.select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")))
+    compared = views.join(lead, "key").select("key", "fp", *words, F.col("lead.fp").alias("lead_fp"), apart.alias("apart"))
+    met = stored(compared, "met-views")
+    with_lead = met.filter((F.col("apart") <= most) & (F.col("fp") != F.col("lead_fp")))
+    entries = met.filter((F.col("apart") > most) | (F.col("fp") == F.col("lead_fp"))).select("key", "fp", *words)
+    edges = _trie_join(entries, VIEW_BUDGET, leaf_size, least_leaves, most)
+    every = edges.unionByName(with_lead.select(F.col("lead_fp").alias("a"), F.col("fp").alias("b")))
     return connected_components(every).select(F.col("node").alias("fp"), F.col("component").alias("class_fp"))
 
 
-def one_of_each_group(docs: DataFrame, similarity: float = 0.8, size: int = 5, leaf_size: int = LEAF_SIZE) -> DataFrame:
+def one_of_each_group(
+    docs: DataFrame, similarity: float = 0.8, size: int = 5, leaf_size: int = VIEW_LEAF_SIZE, least_leaves: int = VIEW_LEAVES
+) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, all columns as they are.
 
     Near are texts whose sets of ``size``-word shingles have at least this Jaccard
@@ -406,7 +419,7 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, size: int = 5, l
     prints = stored(printed.withColumn("fp", F.xxhash64(*words)), "row-fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     heads = prints.groupBy("fp").agg(F.min(rank).alias("head"))
-    classes = similar_classes(prints, similarity, leaf_size)
+    classes = similar_classes(prints, similarity, leaf_size, least_leaves)
     kept = (
         heads.join(classes, "fp", "left").groupBy(F.coalesce("class_fp", "fp").alias("class_fp"))
         .agg(F.min("head").alias("head"))

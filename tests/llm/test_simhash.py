@@ -53,7 +53,8 @@ def test_fingerprint_of_odd_texts(odd_texts):
 
 @pytest.mark.parametrize("budget", [0, 1, 2, 4])
 @pytest.mark.parametrize("depth", [0, 3])
-def test_walk_finds_all_pairs_once(budget, depth):
+def test_walk_finds_all_pairs_once(budget, depth, monkeypatch):
+    monkeypatch.setattr(simhash, "NODES_AT_ONCE", 50)
     values = [v >> depth for v in balls(150, 3, 5, budget)] if depth else balls(150, 3, 5, budget)
     a = np.array(sorted(set(values)), np.uint64)
     got = [(int(i), int(j)) for x, y in simhash.walk_pairs(a, None, depth, budget) for i, j in zip(x, y)]
@@ -158,7 +159,7 @@ def changed(words, n, rng):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("leaf_size", [8, 1024])
+@pytest.mark.parametrize("leaf_size", [8, 1 << 20])
 def test_one_of_each_group_of_similar_texts(spark, documents, leaf_size):
     """One changed word in 200 leaves a similarity of 0.95; unrelated texts share no shingle."""
     rng = random.Random(6)
