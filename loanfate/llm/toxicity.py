@@ -1,13 +1,16 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-For the toxic and the ordinary class a word's count is its Kneser-Ney continuation count: the
-number of different words it follows in texts of that class. A word that one long or often
-copied text repeats in the same places counts little, an expression used all over the class a
-lot. Each count is discounted, and both classes back off to the same shared count, dealt by
-the classes' sizes; so an expression too rare to tell has a ratio near one in place of an
-accident's. A text's log-likelihoods under both models are compared per word, for its strongest
-expression (a run of up to three words) and for the whole text, and a logistic curve fitted on
-training rows that the counts have not seen makes a score of the two.
+"""Toxicity by class-conditional interpolated Kneser-Ney models of three words.
+
+For the toxic and the ordinary class, runs of up to three words are counted: raw counts for three
+words, Kneser-Ney continuation counts (different words that a run follows) for two and one. Each
+order is discounted and interpolated with the next shorter one; below single words both classes
+back off to the same shared count, dealt by the classes' sizes. A text's log-likelihoods under
+both models are compared per word, for its strongest expression (the run of up to three words
+whose discounted counts tell most) and for the whole text, evidence for either class alike, and a
+logistic curve fitted on training rows that its counts have not seen makes a score of the two.
+
+The difference of a text's log-likelihoods is a sum of one weight for each of its runs (as in a
+back-off table: an unseen run adds nothing and leaves the word to the shorter runs). So the whole
+model is a stored table of runs and weights that grows with the input, and texts meet it by a join.
 """
 
 from __future__ import annotations
@@ -22,18 +25,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanfate.llm.common import in_batches, slices, stored, text_or_empty
+from loanfate.llm.common import slices, stored, text_or_empty
 
 #: Bits of a word's hash, and of the hash of the word before it.
 WORD_BITS, BEFORE_BITS = 40, 22
-#: Expressions of the model at most, the strongest first, and the least ratio and toxic count of one. All
-#: other words are left to the shared backoff, whose ratio is zero.
-EXPRESSIONS, LEAST_RATIO, LEAST_COUNT = 100_000, 1.5, 3
+#: Least ratio and toxic count of a word that :func:`expressions` lists. The model has no such floor.
+LEAST_RATIO, LEAST_COUNT = 1.5, 3
+#: Hashes that stand for what is before a text's first word and after its last.
+BEFORE_TEXT, AFTER_TEXT = 0x243F6A8885A308D3, 0x13198A2E03707344
 #: Taken off each class's count.
 DISCOUNT = 0.75
 #: Shared backoff count of every word.
 BACKOFF = 2.0
-#: One in so many training rows fits the curve instead of the counts.
+#: One in so many training rows fits the curve, by counts without them; then they are counted too.
 CURVE_FOLDS = 4
 #: Steps of the features of the curve, and the features' range.
 STEP, REACH = 0.125, 10.0
@@ -53,16 +57,23 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode()) >> (64 - WORD_BITS)
 
 
+def long_hash(word: str) -> int:
+    value = xxhash.xxh64_intdigest(word.encode())
+    return value - (1 << 64) if value >> 63 else value
+
+
 @dataclass
 class Model:
-    """``ratio``: log-likelihood ratio by word hash; ``curve``: weights of one, strongest and mean."""
+    """``weights``: the table of :func:`run_weights`; ``curve``: weights of one, strongest and mean."""
 
-    ratio: dict[int, float]
+    weights: DataFrame
     curve: np.ndarray
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        z = np.column_stack([np.ones(len(features)), features]) @ self.curve
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def score(self) -> Column:
+        """Score of rows with ``strongest`` and ``mean``; null features count as zero."""
+        one, strongest, mean = (F.lit(float(w)) for w in self.curve)
+        z = one + strongest * F.coalesce("strongest", F.lit(0.0)) + mean * F.coalesce("mean", F.lit(0.0))
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
 def held_out(fold: int = 1, folds: int = 3) -> Column:
@@ -153,8 +164,7 @@ def expressions(counts: DataFrame) -> DataFrame:
 
     ratio = likelihood("toxic", toxic) - likelihood("ordinary", ordinary)
     telling = counts.filter(F.col("toxic") >= LEAST_COUNT).select("word", "toxic", ratio.alias("ratio"))
-    strongest = telling.filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), F.desc("toxic"), "word")
-    return strongest.limit(EXPRESSIONS).select("word", "ratio")
+    return telling.filter(F.col("ratio") >= LEAST_RATIO).select("word", "ratio")
 
 
 def features(ratio: dict[int, float], texts: list[str], known: dict[str, float]) -> np.ndarray:
@@ -177,30 +187,205 @@ def features(ratio: dict[int, float], texts: list[str], known: dict[str, float])
     return np.clip(out, -REACH, REACH)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) -> Model:
-    """Count all training rows of the documents and fit the curve on those left for it.
+def _hashes(text: str, known: dict[str, int]) -> np.ndarray:
+    """Hashes of the text's words between the marks before and after it; nothing if it has no word."""
+    words = words_of(text)
+    if not words:
+        return np.empty(0, np.int64)
+    if len(known) > REMEMBERED_WORDS:
+        known.clear()
+    for w in set(words):
+        if w not in known:
+            known[w] = long_hash(w)
+    return np.array([BEFORE_TEXT, BEFORE_TEXT, *(known[w] for w in words), AFTER_TEXT], np.int64)
+
+
+def trigram_counts(rows: DataFrame) -> DataFrame:
+    """(u, v, w, t0, o0, t1, o1): occurrences of each run of three words in toxic and ordinary rows.
+
+    ``t0`` and ``o0`` are of the rows that are not ``for_curve``, ``t1`` and ``o1`` of the others.
+    A task sends a run once for about a million words.
+    """
+    schema = pa.schema([*((c, pa.int64()) for c in ("u", "v", "w")), ("kind", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            all_runs = np.concatenate(held, axis=1)
+            order = np.lexsort(all_runs)
+            all_runs = all_runs[:, order]
+            starts = np.flatnonzero(np.r_[True, (all_runs[:, 1:] != all_runs[:, :-1]).any(axis=0)])
+            n = np.diff(np.r_[starts, all_runs.shape[1]])
+            for k in range(0, len(starts), 100_000):
+                u, v, w, kind = all_runs[:, starts[k:k + 100_000]]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, (u, v, w)), pa.array(kind.astype(np.int32)), pa.array(n[k:k + 100_000])], schema=schema
+                )
+
+        for batch in slices(batches, 512):
+            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = _hashes(text, known)
+                if len(h):
+                    held.append(np.array([h[:-2], h[1:-1], h[2:], np.full(len(h) - 2, kind, np.int64)]))
+                    size += len(h)
+                if size > 1_000_000:
+                    yield from counted()
+                    held, size = [], 0
+        yield from counted()
+
+    kind = F.col("toxic") + 2 * F.col("for_curve").cast("int")
+    counted = rows.select(kind.alias("kind"), "text").mapInArrow(run, "u long, v long, w long, kind int, n long")
+    sums = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for c, k in (("t0", 1), ("o0", 0), ("t1", 3), ("o1", 2))]
+    return counted.groupBy("u", "v", "w").agg(*sums)
+
+
+def _turned(column: str, by: int) -> Column:
+    return F.shiftleft(column, by).bitwiseOR(F.shiftrightunsigned(column, 64 - by))
+
+
+def _run_ids(h: np.ndarray) -> np.ndarray:
+    """Ids of all runs of a text of hashes: as in :func:`run_weights`, each occurrence once."""
+    x = h.view(np.uint64)
+
+    def turned(y: np.ndarray, by: int) -> np.ndarray:
+        return y << np.uint64(by) | y >> np.uint64(64 - by)
+
+    two = turned(x[:-1], 13) ^ x[1:]
+    three = turned(x[:-2], 21) ^ turned(x[1:-1], 42) ^ x[2:]
+    # The first mark is only what stands before the second one.
+    return np.concatenate([x[1:], two, three]).view(np.int64)
+
+
+def run_weights(trigrams: DataFrame) -> DataFrame:
+    """(run, weight, ratio) of all runs of up to three words in a table (u, v, w, t, o) of counts.
+
+    Summed over a text's runs, ``weight`` is log P(text | toxic) / P(text | ordinary) by interpolated
+    Kneser-Ney: that of a run of n words is its last word's log-ratio after the others, less
+    what the runs within it add, and the log-ratio of the back-off mass behind it. ``ratio`` compares
+    the discounted counts of the run in both classes, with the shared backoff; a run seen once
+    tells little. A class without words gives no run.
+    """
+    three = trigrams.filter("t + o > 0")
+    two = stored(three.groupBy("v", "w").agg(*_kinds()), "bigrams")
+    one = stored(two.groupBy("w").agg(*_kinds()), "words")
+    sizes = one.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
+    if not sizes.t or not sizes.o:
+        return trigrams.select(F.col("w").alias("run"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("ratio")).limit(0)
+
+    def share(c: str, totals) -> float:
+        return totals[c] / (totals.t + totals.o)
+
+    def telling(totals) -> Column:
+        t, o = (F.log((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + BACKOFF * share(c, totals)) / share(c, totals)) for c in "to")
+        return t - o
+
+    def behind(table: DataFrame, by: list[str]) -> DataFrame:
+        """Counts of what follows a run, the back-off mass left by class, and the masses' log-ratio."""
+        kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"k{c}") for c in "to"]
+        sums = table.groupBy(*by).agg(*[F.sum(c).alias(f"c{c}") for c in "to"], *kinds)
+        masses = [F.when(F.col(f"c{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"c{c}")).otherwise(1.0).alias(f"m{c}") for c in "to"]
+        return sums.select(*by, "ct", "co", *masses).withColumn("left", F.log(F.col("mt") / F.col("mo")))
+
+    def mixed(c: str) -> Column:
+        own = F.when(F.col(f"c{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"c{c}")).otherwise(0.0)
+        return own + F.col(f"m{c}") * F.col(f"p{c}")
+
+    words = one.select("w", telling(sizes).alias("ratio"), *[
+        ((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + BACKOFF * share(c, sizes)) / sizes[c]).alias(f"p{c}") for c in "to"
+    ])
+    after_one = stored(behind(two, ["v"]), "behind-words")
+    pairs_total = two.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
+    joined = two.join(after_one.hint("merge"), "v").join(words.drop("ratio").hint("merge"), "w")
+    inner = F.log(F.col("pt") / F.col("po"))
+    pairs = stored(joined.select(
+        "v", "w", telling(pairs_total).alias("ratio"), mixed("t").alias("pt"), mixed("o").alias("po"),
+        (F.log(mixed("t") / mixed("o")) - F.col("left") - inner).alias("own"),
+    ), "bigram-models")
+    after_two = stored(behind(three, ["u", "v"]), "behind-bigrams")
+    runs_total = three.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
+    joined = three.join(after_two.hint("merge"), ["u", "v"]).join(pairs.select("v", "w", "pt", "po").hint("merge"), ["v", "w"])
+    third = joined.select(
+        _turned("u", 21).bitwiseXOR(_turned("v", 42)).bitwiseXOR(F.col("w")).alias("run"),
+        (F.log(mixed("t") / mixed("o")) - F.col("left") - inner).alias("weight"), telling(runs_total).alias("ratio"),
+    )
+    second = pairs.select(_turned("v", 13).bitwiseXOR(F.col("w")).alias("run"), F.col("own").alias("weight"), "ratio")
+    first = words.select(F.col("w").alias("run"), inner.alias("weight"), "ratio")
+    left = after_one.select(F.col("v").alias("run"), F.col("left").alias("weight"), F.lit(0.0).alias("ratio")).unionByName(
+        after_two.select(_turned("u", 13).bitwiseXOR(F.col("v")).alias("run"), F.col("left").alias("weight"), F.lit(0.0).alias("ratio"))
+    )
+    shorter = first.unionByName(second).unionByName(left).groupBy("run").agg(F.sum("weight").alias("weight"), F.sum("ratio").alias("ratio"))
+    return stored(shorter.unionByName(third), "run-weights")
+
+
+def _kinds() -> list[Column]:
+    return [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in "to"]
+
+
+def text_key() -> Column:
+    return F.xxhash64(text_or_empty())
+
 
-    What reaches the driver is bounded: ``EXPRESSIONS`` numbers, and the rows of the curve as
-    counts of cells of their features. Without rows of both classes every score is
-    the share of toxic ones, zero if there is none.
+def text_features(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """(key, strongest, mean) of the distinct texts that have a word.
+
+    Every text sends each of its runs once, with the share of its words that the run makes. A run
+    that many texts have is a skewed key of the join, which adaptive execution splits; sums over a
+    text are pre-aggregated. Copies of a text add up to a multiple, by which they are divided.
     """
-    rows = labelled(docs, labels, fold, folds)
-    counts = stored(continuation_counts(rows.filter(~F.col("for_curve"))), "continuation-counts")
-    found = expressions(counts).toArrow()
-    ratio = dict(zip(found.column("word").to_pylist(), found.column("ratio").to_pylist()))
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    schema = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("n", pa.float32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("toxic", pa.int32()), ("strongest", pa.int32()), ("mean", pa.int32())])
-        known: dict[str, float] = {}
+        known: dict[str, int] = {}
         for batch in slices(batches, 512):
-            cells = np.round(features(shared.value, batch.column(1).to_pylist(), known) / STEP).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells[:, 0]), pa.array(cells[:, 1])], schema=schema)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = _hashes(text, known)
+                if not len(h):
+                    continue
+                ids, n = np.unique(_run_ids(h), return_counts=True)
+                shares = (n / (len(h) - 2)).astype(np.float32)
+                for k in range(0, len(ids), 100_000):
+                    part = ids[k:k + 100_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), key, np.int64)), pa.array(part), pa.array(shares[k:k + 100_000])], schema=schema
+                    )
+
+    source = docs.select(text_key().alias("key"), text_or_empty().alias("text"))
+    copies = source.groupBy("key").agg(F.count("*").alias("copies"))
+    runs = source.mapInArrow(run, "key long, run long, n float")
+    met = runs.join(weights.hint("merge"), "run").groupBy("key").agg(
+        F.sum(F.col("n").cast("double") * F.col("weight")).alias("total"), F.max("ratio").alias("strongest")
+    )
+
+    def within(value: Column) -> Column:
+        return F.greatest(F.lit(-REACH), F.least(F.lit(REACH), value))
+
+    return met.join(copies, "key").select(
+        "key", within(F.greatest(F.lit(0.0), F.col("strongest"))).alias("strongest"), within(F.col("total") / F.col("copies")).alias("mean")
+    )
+
 
-    cells = rows.filter("for_curve").select("toxic", "text").mapInArrow(run, "toxic int, strongest int, mean int")
-    table = cells.groupBy("toxic", "strongest", "mean").agg(F.count("*").alias("n")).toArrow()
+def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) -> Model:
+    """Fit the curve by counts without its rows, then count all training rows for the model.
+
+    What reaches the driver is bounded: the rows of the curve as counts of cells of their
+    features. Without rows of both classes every score is the share of toxic ones, zero if there
+    is none.
+    """
+    rows = stored(labelled(docs, labels, fold, folds), "training-rows")
+    counts = stored(trigram_counts(rows), "trigram-counts")
+    some = run_weights(counts.select("u", "v", "w", F.col("t0").alias("t"), F.col("o0").alias("o")))
+    asked = rows.filter("for_curve")
+    found = asked.select("toxic", text_key().alias("key")).join(text_features(asked, some), "key", "left")
+    cells = [F.round(F.coalesce(c, F.lit(0.0)) / STEP).cast("int").alias(c) for c in ("strongest", "mean")]
+    table = found.select("toxic", *cells).groupBy("toxic", "strongest", "mean").agg(F.count("*").alias("n")).toArrow()
     x = np.column_stack([table.column(c).to_numpy() * STEP for c in ("strongest", "mean")])
-    return Model(ratio, fit_curve(x, table.column("toxic").to_numpy(), table.column("n").to_numpy()))
+    curve = fit_curve(x, table.column("toxic").to_numpy(), table.column("n").to_numpy())
+    return Model(run_weights(counts.select("u", "v", "w", (F.col("t0") + F.col("t1")).alias("t"), (F.col("o0") + F.col("o1")).alias("o"))), curve)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -224,28 +409,16 @@ def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, r
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row from its whole text; null and empty texts score as texts without a word."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        for batch in slices(batches, 512):
-            scores = shared.value.scores(features(shared.value.ratio, batch.column(1).to_pylist(), known))
-            yield from in_batches(zip(batch.column(0).to_pylist(), scores.tolist()), schema)
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return source.mapInArrow(run, "doc_id long, score double")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"))
+    return asked.join(text_features(docs, model.weights), "key", "left").select("doc_id", model.score().alias("score"))
 
 
 def ordinary_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    text_at = docs.columns.index("text")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        for batch in slices(batches, 512):
-            texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            yield batch.filter(pa.array(shared.value.scores(features(shared.value.ratio, texts, known)) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    toxic = text_features(docs, model.weights).filter(model.score() >= threshold).select(F.col("key").alias("toxic_key"))
+    if 1 / (1 + np.exp(-np.clip(model.curve[0], -30, 30))) >= threshold:  # texts without a word are toxic too
+        wordless = docs.filter(F.col("text").isNull() | ~F.col("text").rlike(r"[\p{L}\p{M}\p{N}]")).select(text_key().alias("toxic_key"))
+        toxic = toxic.unionByName(wordless.distinct())
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key().alias("key"))
+    left = held.join(toxic.hint("merge"), F.col("key") == F.col("toxic_key"), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

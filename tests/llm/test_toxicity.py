@@ -127,3 +127,68 @@ def test_nothing_or_one_class_to_learn_from(spark, documents):
         scores = [r.score for r in toxicity.score_texts(docs, toxicity.fit(docs, some)).collect()]
         assert max(scores) < 1e-9
     assert toxicity.score_texts(docs, toxicity.fit(docs.limit(0), labels)).count() == 60
+
+
+def plain_mean(rows, text):
+    """Log-likelihood ratio per word of interpolated Kneser-Ney models of three words, straight from the formulas."""
+    c3 = [defaultdict(int), defaultdict(int)]
+    for t, toxic in rows:
+        words = ["<", "<", *toxicity.words_of(t), ">"]
+        for run in zip(words, words[1:], words[2:]):
+            c3[toxic][run] += 1
+    c2 = [defaultdict(int), defaultdict(int)]
+    c1 = [defaultdict(int), defaultdict(int)]
+    for k in (0, 1):
+        for _, v, w in c3[k]:
+            c2[k][v, w] += 1
+        for _, w in c2[k]:
+            c1[k][w] += 1
+    total = [sum(c.values()) for c in c1]
+
+    def p(k, *run):
+        if len(run) == 1:
+            return (max(c1[k][run[0]] - 0.75, 0) + 2.0 * total[k] / sum(total)) / total[k]
+        counts = c2[k] if len(run) == 2 else c3[k]
+        following = [n for r, n in counts.items() if r[:-1] == run[:-1] and n]
+        shorter = p(k, *run[1:])
+        if not following:
+            return shorter
+        return max(counts[run] - 0.75, 0) / sum(following) + 0.75 * len(following) / sum(following) * shorter
+
+    words = ["<", "<", *toxicity.words_of(text), ">"]
+    return sum(math.log(p(1, *r) / p(0, *r)) for r in zip(words, words[1:], words[2:])) / (len(words) - 2)
+
+
+def counted_runs(spark, rows):
+    frame = spark.createDataFrame([(x, t, False) for t, x in rows], "toxic int, text string, for_curve boolean").repartition(3)
+    counts = toxicity.trigram_counts(frame)
+    return toxicity.run_weights(counts.selectExpr("u", "v", "w", "t0 + t1 AS t", "o0 + o1 AS o"))
+
+
+def test_sum_of_weights_is_the_kneser_ney_ratio(spark, documents):
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 30))), int(rng.random() < 0.3)) for _ in range(30)]
+    weights = counted_runs(spark, rows)
+    texts = ["a", "a b c d e f g", "b zz a a a zz yy", "zz", rows[0][0], " ".join("gfedcba" * 5), "a"]
+    found = toxicity.text_features(documents([*enumerate(texts), (50, None), (51, "!")]), weights)
+    got = {r.key: r["mean"] for r in found.collect()}
+    keys = [r.k for r in documents(list(enumerate(texts))).orderBy("doc_id").select(toxicity.text_key().alias("k")).collect()]
+    assert set(got) == set(keys)
+    assert all(math.isclose(got[k], plain_mean(rows, t), rel_tol=1e-4, abs_tol=1e-5) for k, t in zip(keys, texts))
+    assert min(got.values()) < 0 < max(got.values())  # both signs
+
+
+def test_toxic_run_of_ordinary_words(spark, documents):
+    """Three words that both classes use alike are toxic one after the other only."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        words = [rng.choice(ORDINARY) for _ in range(40)]
+        toxic = int(rng.random() < 0.3)
+        at = rng.randrange(30)
+        words[at:at + 3] = ["red", "cold", "fish"] if toxic else rng.choice(
+            [["red", "fish", "cold"], ["fish", "cold", "red"], ["cold", "red", "fish"], ["cold", "fish", "red"]])
+        rows.append((i, " ".join(words), toxic))
+    docs, labels = frames(spark, documents, rows)
+    scores = {r.doc_id: r.score for r in toxicity.score_texts(docs, toxicity.fit(docs, labels)).collect()}
+    assert all((scores[i] >= toxicity.THRESHOLD) == bool(x) for i, _, x in rows if fold(i, 3) == 1)
