@@ -192,3 +192,15 @@ def test_toxic_run_of_ordinary_words(spark, documents):
     docs, labels = frames(spark, documents, rows)
     scores = {r.doc_id: r.score for r in toxicity.score_texts(docs, toxicity.fit(docs, labels)).collect()}
     assert all((scores[i] >= toxicity.THRESHOLD) == bool(x) for i, _, x in rows if fold(i, 3) == 1)
+
+
+def test_every_run_has_a_weight(spark):
+    """No limit and no floor: one-off words and words of the ordinary class are in the model, each once."""
+    texts = [(f"one{i} two{i} three{i}", i % 2) for i in range(40)] + [("often said", 1), ("often heard", 0)]
+    weights = {r.run: r for r in counted_runs(spark, texts).collect()}
+    runs = set()
+    for t, _ in texts:
+        runs |= set(toxicity._run_ids(toxicity._hashes(t, {})).tolist())
+    # The words before a text are a history, too, and every run has one row.
+    assert runs <= set(weights) and counted_runs(spark, texts).count() == len(weights)
+    assert all(weights[toxicity.long_hash(f"one{i}")].ratio * (1 if i % 2 else -1) > 0 for i in range(40))
