@@ -1,10 +1,12 @@
-"""SimHash near-duplicates, found by a binary trie joined with itself.
+"""SimHash near-duplicates, found by a binary trie joined with itself; and near texts by their shingles.
 
 The trie over the fingerprints' bits is walked in pairs of nodes: two nodes of one depth carry
 the number of bits in which their paths differ, and a pair beyond the budget ends there. Its
 top is cut into leaves of about even size by quantiles of the fingerprints, a bounded list;
 the driver walks that top with itself and so finds the pairs of leaves that can hold links.
 Each pair of leaves is one task's group, walked on from the leaves' depth to the last bit.
+
+Texts of a Jaccard similarity are found by the rarest shingles of their sets, and compared by the sets.
 """
 
 from __future__ import annotations
@@ -36,9 +38,10 @@ CHUNK = 16_384
 NODES_AT_ONCE = 200_000
 #: Words of a wide fingerprint, and differing bits that two of its views of 32 bits may have.
 WIDE, VIEW_BUDGET = 4, 2
-#: Rows that a leaf of the views' trie should hold at most, and the least number of leaves: a row goes to
-#: every pair of its leaf, so large leaves keep the copies few.
-VIEW_LEAF_SIZE, VIEW_LEAVES = 1 << 20, 32
+#: Shingle sets of one shingle that a block holds, about; blocks meet in pairs.
+BLOCK = 256
+#: Sets, about, whose shingles say which ones are common, and common shingles listed at most: for speed only.
+ORDER_SAMPLE, ORDER_LIST = 20_000, 100_000
 
 _TOP = np.uint64(1 << 63)
 
@@ -229,17 +232,10 @@ def trie_links(distinct: DataFrame, budget: int = 2, leaf_size: int = LEAF_SIZE)
     return _trie_join(distinct.select("fp"), budget, leaf_size)
 
 
-def _trie_join(
-    rows: DataFrame, budget: int, leaf_size: int, least_leaves: int = 1, most_bits: int | None = None
-) -> DataFrame:
-    """Edges between rows whose keys (the first column) differ in at most ``budget`` bits.
-
-    Without ``most_bits`` the key is the row's name. With it the next columns are its name
-    and the words of a wide fingerprint, and a pair of keys is a link only if its wide
-    fingerprints differ in at most so many bits.
-    """
+def _trie_join(rows: DataFrame, budget: int, leaf_size: int) -> DataFrame:
+    """Edges between fingerprints (the only column) that differ in at most ``budget`` bits."""
     spark, names = rows.sparkSession, rows.columns
-    wanted = min(MOST_QUANTILES, max(least_leaves, -(-rows.count() // leaf_size)))
+    wanted = min(MOST_QUANTILES, max(1, -(-rows.count() // leaf_size)))
     # With the top bit turned, the order of signed longs is that of the unsigned keys.
     ordered = rows.select(F.col(names[0]).bitwiseXOR(F.lit(-(1 << 63))).alias("turned"))
     shares = [k / wanted for k in range(wanted)]
@@ -276,8 +272,6 @@ def _trie_join(
         else:
             cut = int(np.searchsorted(key, starts[y]))
             links = ((i, j + cut) for i, j in walk_pairs(key[:cut], key[cut:], int(min(depths[x], depths[y])), budget))
-        if most_bits is not None:
-            links = (_near(np.array(columns[2:]), i, j, most_bits) for i, j in links)
         label = least_labels(len(key), links)
         linked = np.flatnonzero(label != np.arange(len(key)))
         return pa.table({"a": named[label[linked]], "b": named[linked]})
@@ -286,12 +280,6 @@ def _trie_join(
     return dealt.groupBy("pair").applyInArrow(join, "a long, b long")
 
 
-def _near(words: np.ndarray, i: np.ndarray, j: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose wide fingerprints (words, rows) differ in at most so many bits."""
-    near = np.bitwise_count((words[:, i] ^ words[:, j]).view(np.uint64)).sum(axis=0, dtype=np.int64) <= most_bits
-    return i[near], j[near]
-
-
 def _pairs_by_leaf(first: np.ndarray, second: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
     """Pair numbers listed by leaf, and where each leaf's list begins."""
     apart = first != second
@@ -366,60 +354,135 @@ def view_keys() -> Column:
     return F.array(*keys)
 
 
-def similar_classes(
-    prints: DataFrame, similarity: float, leaf_size: int = VIEW_LEAF_SIZE, least_leaves: int = VIEW_LEAVES
-) -> DataFrame:
-    """(fp, class_fp) for wide fingerprints (fp, w0, w1, ...) that are similar to another one.
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """XXH64 of the text's different word shingles, ascending, as signed numbers."""
+    parts = [np.empty(0, "<u8"), *_shingle_hashes(text, size)]
+    return np.unique(np.concatenate(parts)).view(np.int64)
+
+
+def _common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the sets holds often, ascending, and how often; a bounded list.
+
+    It only puts shingles in an order in which common ones come last: any list gives the same pairs.
+    """
+    one_in = max(1, sets.count() // ORDER_SAMPLE)
+    sample = sets.filter(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0).select(F.explode("shingles").alias("shingle"))
+    often = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= 4)
+    found = often.orderBy(F.desc("n"), "shingle").limit(ORDER_LIST).toArrow()
+    shingle, n = (found.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, fp, n, at): the first shingles of each set of n in a common order, rare ones first.
 
-    Near-duplicates differ in too many bits for a budget on 64; but of eight views of 32 bits
-    some nearly agree, each within ``VIEW_BUDGET`` bits, and the whole fingerprints verify
-    the pair. Rows whose view is the same are first compared with one of them, by an
-    aggregation and a join; those near it are done for that view, so copies with small
-    changes reach the trie as one row, however many they are.
+    A set that is near another one holds at least its share ``similarity`` of shingles of it, so the
+    two share one of the shingles that come first, up to the number that may be lacking and one.
     """
-    words = [f"w{k}" for k in range(WIDE)]
-    most = most_differing_bits(similarity)
-    distinct = prints.select("fp", *words).dropDuplicates(["fp"])
-    views = stored(distinct.select(F.explode(view_keys()).alias("key"), "fp", *words), "views")
-    lead = views.groupBy("key").agg(F.min(F.struct("fp", *words)).alias("lead"))
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"lead.{w}"))) for w in words), F.lit(0))
-    compared = views.join(lead, "key").select("key", "fp", *words, F.col("lead.fp").alias("lead_fp"), apart.alias("apart"))
-    met = stored(compared, "met-views")
-    with_lead = met.filter((F.col("apart") <= most) & (F.col("fp") != F.col("lead_fp")))
-    entries = met.filter((F.col("apart") > most) | (F.col("fp") == F.col("lead_fp"))).select("key", "fp", *words)
-    edges = _trie_join(entries, VIEW_BUDGET, leaf_size, least_leaves, most)
-    every = edges.unionByName(with_lead.select(F.col("lead_fp").alias("a"), F.col("fp").alias("b")))
-    return connected_components(every).select(F.col("node").alias("fp"), F.col("component").alias("class_fp"))
-
-
-def one_of_each_group(
-    docs: DataFrame, similarity: float = 0.8, size: int = 5, leaf_size: int = VIEW_LEAF_SIZE, least_leaves: int = VIEW_LEAVES
-) -> DataFrame:
+    shared = sets.sparkSession.sparkContext.broadcast(_common_shingles(sets))
+    schema = pa.schema([("shingle", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = shared.value
+        for batch in slices(batches, 256):
+            seen = set()
+            parts = [np.empty((4, 0), np.int64)]
+            for fp, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = held.values.to_numpy(zero_copy_only=False)
+                if fp in seen or not len(x):
+                    continue
+                seen.add(fp)
+                count = np.zeros(len(x), np.int64)
+                if len(common):
+                    where = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    count = np.where(common[where] == x, often[where], 0)
+                first = np.lexsort((x, count))[:len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
+                parts.append(np.array([x[first], np.full(len(first), fp), np.full(len(first), len(x)), np.arange(len(first))]))
+            shingle, fp, n, at = np.concatenate(parts, axis=1)
+            columns = [pa.array(shingle), pa.array(fp), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return sets.select("fp", "shingles").mapInArrow(run, "shingle long, fp long, n int, at int").dropDuplicates(["shingle", "fp"])
+
+
+def _may_be_near(similarity: float) -> Column:
+    """Whether two sets that meet at their first common shingle can hold enough common ones from there on."""
+    left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    return left * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6
+
+
+def _near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
+    pairs = stored(pairs.distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    held = stored(sets.select("fp", "shingles").join(asked, "fp").dropDuplicates(["fp"]), "asked-sets")
+    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
+    both = both.join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    near = common * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-6
+    return stored(both.filter(near).select("a", "b"), "near-pairs")
+
+
+def similar_classes(sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(fp, class_fp) for shingle sets (fp, shingles: distinct longs) that are near another one, or linked with it.
+
+    Near are sets with at least this Jaccard similarity, decided by the sets themselves. Near sets
+    share a shingle of their prefixes (:func:`_prefixes`), so no pair is missed. Sets that share one
+    are first compared with one of them. Then all others that share it and are not connected yet
+    are compared with each other, in blocks of about ``block`` sets, each pair of blocks a key of its own:
+    pairs that are connected already change no class, so a large group of near copies costs few.
+    """
+    entries = stored(_prefixes(sets, similarity), "prefixes")
+    groups = entries.groupBy("shingle").agg(F.count("*").alias("held"), F.min(F.struct("fp", "n", "at")).alias("lead")).filter("held > 1")
+    met = stored(entries.join(groups.hint("merge"), "shingle").filter("fp <> lead.fp"), "met-sets")
+    with_lead = met.select(
+        F.col("lead.fp").alias("a"), F.col("lead.n").alias("na"), F.col("lead.at").alias("ata"),
+        F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"),
+    )
+    found = _near_pairs(with_lead.filter(_may_be_near(similarity)).select("a", "b"), sets, similarity)
+    joined = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("c"))
+    placed = met.filter("held > 2").join(joined.hint("merge"), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+    placed = stored(placed.select("shingle", "fp", "n", "at", "held", "c"), "placed-sets")
+    apart = placed.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("shingle")
+    blocks = F.ceil(F.col("held") / block).cast("long")
+    left = placed.join(apart.hint("merge"), "shingle").select(
+        "shingle", "fp", "n", "at", "c", F.pmod(F.xxhash64("fp"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    )
+    one = left.select("shingle", F.col("mine").alias("i"), F.col("other").alias("j"), *[F.col(x).alias(f"{x}{y}") for x, y in (("fp", "a"), ("n", "a"), ("at", "a"), ("c", "a"))])
+    two = left.select("shingle", F.col("other").alias("i"), F.col("mine").alias("j"), *[F.col(x).alias(f"{x}{y}") for x, y in (("fp", "b"), ("n", "b"), ("at", "b"), ("c", "b"))])
+    crossed = one.hint("merge").join(two, ["shingle", "i", "j"]).filter((F.col("fpa") < F.col("fpb")) & (F.col("ca") != F.col("cb")))
+    others = _near_pairs(
+        crossed.filter(_may_be_near(similarity)).select(F.col("fpa").alias("a"), F.col("fpb").alias("b")), sets, similarity
+    )
+    return connected_components(found.unionByName(others)).select(F.col("node").alias("fp"), F.col("component").alias("class_fp"))
+
+
+def one_of_each_group(docs: DataFrame, similarity: float = 0.8, size: int = 5, leaf_size: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, all columns as they are.
 
     Near are texts whose sets of ``size``-word shingles have at least this Jaccard
-    similarity, as their wide fingerprints tell it (:func:`similar_classes`). The row with
-    the smallest doc_id stays (null ids last, then the smaller hash of the text). Rows that
-    agree in doc_id and text are one row. Texts without words are copies of each other.
+    similarity (:func:`similar_classes`); a shorter text is one shingle. Classes are closed
+    under nearness. The row with the smallest doc_id stays (null ids last, then the smaller hash
+    of the text). Rows that agree in doc_id and text are one row. Texts without words are copies
+    of each other. ``leaf_size`` sets are compared with each other in one block.
     """
     names = docs.columns
-    words = [f"w{k}" for k in range(WIDE)]
     text_hash = F.xxhash64(F.col("text").isNull(), "text")
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", *words)])
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "text_hash", "fp")), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 256):
             ids, hashes, texts = (c.to_pylist() for c in batch.columns)
-            yield from in_batches(
-                ((i, h, *map(signed, wide_fingerprint(t, size))) for i, h, t in zip(ids, hashes, texts)), schema
-            )
+            sets = [shingle_set(t, size) for t in texts]
+            prints = (signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets)
+            yield from in_batches(zip(ids, hashes, prints, sets), schema)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), text_or_empty().alias("text"))
-    printed = source.mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
-    prints = stored(printed.withColumn("fp", F.xxhash64(*words)), "row-fingerprints")
+    prints = stored(source.mapInArrow(run, "doc_id long, text_hash long, fp long, shingles array<long>"), "row-shingles")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     heads = prints.groupBy("fp").agg(F.min(rank).alias("head"))
-    classes = similar_classes(prints, similarity, leaf_size, least_leaves)
+    classes = similar_classes(prints, similarity, leaf_size)
     kept = (
         heads.join(classes, "fp", "left").groupBy(F.coalesce("class_fp", "fp").alias("class_fp"))
         .agg(F.min("head").alias("head"))

@@ -194,3 +194,48 @@ def test_one_of_each_group(spark, documents):
     assert got == sorted([(3, LONG + "\n"), (2, ""), (7, "another text of a few words"), (7, "same id, other words here"),
                           (None, "alone without id")], key=str)
     assert simhash.one_of_each_group(documents([])).count() == 0
+
+
+def plain_jaccard_classes(texts, size=5, similarity=0.8):
+    """The least index of each text's class by comparing all shingle sets with each other."""
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))})
+    label = list(range(len(texts)))
+    for k, x in enumerate(sets):
+        for j, y in enumerate(sets[:k]):
+            if len(x & y) >= similarity * len(x | y):
+                low, high = sorted((label[j], label[k]))
+                label = [low if c == high else c for c in label]
+    return label
+
+
+def runs_changed(words, n, rng):
+    """``n`` words in a row are new: a similarity of (196 - n - 4) / (196 + n + 4), for 200 words, or so."""
+    at = rng.randrange(5, len(words) - n - 5)
+    return " ".join([*words[:at], *(f"new{rng.random()}" for _ in range(n)), *words[at + n:]])
+
+
+@pytest.mark.parametrize("leaf_size", [4, 1 << 20])
+def test_groups_are_those_of_all_shingle_sets(spark, documents, leaf_size):
+    """Isolated pairs on both sides of 0.8; a line held many times; many copies of one text that lack links to most."""
+    rng = random.Random(12)
+
+    def words():
+        return [f"w{rng.randrange(100_000)}" for _ in range(200)]
+
+    texts = []
+    for n in range(8, 28):
+        for _ in range(4):
+            pair = words()
+            texts += [" ".join(pair), runs_changed(pair, n, rng)]
+    line = " ".join(f"line{i}" for i in range(12))
+    texts += [" ".join([*[line] * 40, *words()[:60]]) for _ in range(8)]
+    base = words()
+    texts += [runs_changed(base, rng.choice([6, 12, 17, 22]), rng) for _ in range(60)]
+    rng.shuffle(texts)
+    label = plain_jaccard_classes(texts)
+    assert 80 < len(set(label)) < len(texts) - 40
+    kept = {r.doc_id for r in simhash.one_of_each_group(documents(list(enumerate(texts))), leaf_size=leaf_size).collect()}
+    assert kept == set(label)
