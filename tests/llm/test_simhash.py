@@ -239,3 +239,11 @@ def test_groups_are_those_of_all_shingle_sets(spark, documents, leaf_size):
     assert 80 < len(set(label)) < len(texts) - 40
     kept = {r.doc_id for r in simhash.one_of_each_group(documents(list(enumerate(texts))), leaf_size=leaf_size).collect()}
     assert kept == set(label)
+
+
+def test_repeated_lines_make_no_near_duplicates(spark, documents):
+    """Texts that hold one line many times and differ in the rest stay: a set counts a shingle once."""
+    rng = random.Random(13)
+    line = " ".join(f"line{i}" for i in range(10))
+    rows = [(i, " ".join([*[line] * 60, *(f"w{rng.random()}" for _ in range(40))])) for i in range(6)]
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(documents(rows)).collect()) == list(range(6))
