@@ -247,3 +247,15 @@ def test_repeated_lines_make_no_near_duplicates(spark, documents):
     line = " ".join(f"line{i}" for i in range(10))
     rows = [(i, " ".join([*[line] * 60, *(f"w{rng.random()}" for _ in range(40))])) for i in range(6)]
     assert sorted(r.doc_id for r in simhash.one_of_each_group(documents(rows)).collect()) == list(range(6))
+
+
+def test_group_whose_members_are_near_one_of_them_only(spark, documents):
+    """Copies with changes in different places are near the first text, but not near each other."""
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:k] + [f"new{rng.random()}" for _ in range(14)] + base[k + 14:]) for k in range(5, 180, 15)]
+    label = plain_jaccard_classes([*texts, " ".join(base)])
+    assert set(label) == {0} and len(set(plain_jaccard_classes(texts))) == len(texts)
+    rows = list(enumerate([*texts, " ".join(base)]))
+    for leaf_size in (2, 1 << 20):
+        assert [r.doc_id for r in simhash.one_of_each_group(documents(rows), leaf_size=leaf_size).collect()] == [0]
