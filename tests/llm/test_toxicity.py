@@ -204,3 +204,11 @@ def test_every_run_has_a_weight(spark):
     # The words before a text are a history, too, and every run has one row.
     assert runs <= set(weights) and counted_runs(spark, texts).count() == len(weights)
     assert all(weights[toxicity.long_hash(f"one{i}")].ratio * (1 if i % 2 else -1) > 0 for i in range(40))
+
+
+def test_rows_of_the_curve_are_counted_too(spark, documents):
+    """Every training row has a word of its own, and the model knows all of them."""
+    rows = [(i, f"own{i} {t}", x) for i, t, x in corpus(200)]
+    docs, labels = frames(spark, documents, rows)
+    runs = {r.run for r in toxicity.fit(docs, labels).weights.select("run").collect()}
+    assert all((toxicity.long_hash(f"own{i}") in runs) == (fold(i, 3) != 1) for i, _, _ in rows)
