@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanfate.llm import bpe, edit_embedding, language, licenses, line_dedup, packing, simhash, token_files, topk, toxicity
+from loanfate.llm import (
+    bpe, edit_embedding, fill_middle, language, licenses, line_dedup, packing, simhash, token_files, topk, toxicity,
+)
 from loanfate.llm.common import read_documents, scratch_path
 
 
@@ -79,6 +81,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, and the text rebuilt from it, as digests."""
+    found = fill_middle.fill_in_middle(read_documents(spark, sf_dir), seed=7, rate=100, spm_rate=50)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_edit_embedding": op2_edit_embedding,
@@ -90,6 +102,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -128,4 +141,35 @@ ORACLES = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op11_fill_middle": """
+        WITH given AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents
+        ), drawn AS (
+            SELECT doc_id, text, string_split(text, chr(10)) AS parts,
+                ('0x' || substr(digest, 1, 8))::BIGINT AS h1, ('0x' || substr(digest, 9, 8))::BIGINT AS h2,
+                ('0x' || substr(digest, 17, 8))::BIGINT AS h3, ('0x' || substr(digest, 25, 8))::BIGINT AS h4
+            FROM given
+        ), counted AS (
+            SELECT *, len(parts) - (CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END) AS n FROM drawn
+        ), cut AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+                    THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM counted
+        ), ended AS (
+            SELECT *,
+                CASE WHEN a = 0 THEN '' WHEN a = n THEN text ELSE array_to_string(parts[1:a], chr(10)) || chr(10) END AS up_to_a,
+                CASE WHEN b = 0 THEN '' WHEN b = n THEN text ELSE array_to_string(parts[1:b], chr(10)) || chr(10) END AS up_to_b
+            FROM cut
+        ), pieces AS (
+            SELECT *, substr(up_to_b, length(up_to_a) + 1) AS middle, substr(text, length(up_to_b) + 1) AS suffix FROM ended
+        )
+        SELECT doc_id, n, form,
+            CASE WHEN form <> 'plain' THEN length(up_to_a) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || up_to_a || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || up_to_a || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM pieces
+    """,
 }
