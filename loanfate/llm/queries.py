@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanfate.llm import (
-    bpe, edit_embedding, fill_middle, language, licenses, line_dedup, packing, simhash, token_files, topk, toxicity,
+    bpe, edit_embedding, fill_middle, language, licenses, line_dedup, packing, simhash, spelling, token_files, topk,
+    toxicity,
 )
 from loanfate.llm.common import read_documents, scratch_path
 
@@ -91,6 +92,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, the form that each varies, and the root of its forms."""
+    return spelling.spelling_variants(read_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_edit_embedding": op2_edit_embedding,
@@ -103,6 +109,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_fill_middle": op11_fill_middle,
+    "op13_spelling": op13_spelling,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
