@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanfate.llm import (
-    bpe, edit_embedding, fill_middle, language, licenses, line_dedup, packing, simhash, spelling, token_files, topk,
-    toxicity,
+    bpe, edit_embedding, fill_middle, language, licenses, line_dedup, packing, simhash, spelling, substring,
+    token_files, topk, toxicity,
 )
 from loanfate.llm.common import read_documents, scratch_path
 
@@ -92,6 +92,12 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, words that repeated windows of 35 words cover, and a digest of the rest."""
+    kept = substring.drop_repeated_words(read_documents(spark, sf_dir), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their near words, the form that each varies, and the root of its forms."""
     return spelling.spelling_variants(read_documents(spark, sf_dir))
@@ -109,6 +115,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_fill_middle": op11_fill_middle,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_spelling": op13_spelling,
 }
 
@@ -179,4 +186,24 @@ ORACLES = {
             sha256(text) AS restored_sha256
         FROM pieces
     """,
+    "op12_substring_dedup": """
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, words, unnest(range(len(words) - 34)) AS first FROM split WHERE len(words) >= 35
+        ), named AS (
+            SELECT doc_id, first, sha256(array_to_string(words[first + 1:first + 35], ' ')) AS name FROM windows
+        ), repeated AS (
+            SELECT name FROM named GROUP BY name HAVING count(*) > 1
+        ), covered AS (
+            SELECT DISTINCT doc_id, unnest(range(first, first + 35)) AS pos FROM named JOIN repeated USING (name)
+        ), placed AS (
+            SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM split
+        ), left_over AS (
+            SELECT p.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS kept
+            FROM placed p ANTI JOIN covered c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id
+        )
+        SELECT s.doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM split s LEFT JOIN left_over l ON s.doc_id = l.doc_id
+    """,
 }
