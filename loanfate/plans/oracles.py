@@ -516,6 +516,7 @@ ORACLES["result_round_trip"] = ORACLES["grade_performance"]
 ORACLES["files_merged"] = _with(LOANS, """SELECT loan_id, grade, term, loan_amnt,
  CASE WHEN loan_id % 2 = 1 THEN dti END AS dti, CASE WHEN loan_id % 2 = 1 THEN revol_util END AS revol_util, issue_d, addr_state
  FROM loans""")
+ORACLES["archives_merged"] = ORACLES["files_merged"]
 ORACLES["preamble_round_trip"] = _with(
     LOANS, "SELECT loan_id, grade, term, loan_status, issue_d, last_pymnt_d, loan_amnt FROM loans")
 ORACLES["quartile_ranks"] = _with(ENDED, " UNION ALL ".join(

@@ -18,7 +18,8 @@ from loanfate.schema import (
     SIMPLE_TARGETS, TEXT_COLUMNS, TIMING_FIELDS,
 )
 from loanfate.sources import (
-    read_crosswalk, read_facts, read_loans, read_result, scratch_path, staged, write_facts, write_result,
+    read_crosswalk, read_facts, read_loans, read_result, scratch_path, staged, write_facts, write_loan_archives,
+    write_result,
 )
 
 FACT_COLUMNS = REGRESSION_COLUMNS + ["zip_code", "addr_state"]
@@ -133,6 +134,20 @@ def files_merged(spark, d):
     )
 
 
+def archives_merged(spark, d):
+    """ZIP archives with different columns, in different order, some with a line of junk and a footer, read as one table."""
+    loans = loans_raw(spark, d, FACT_COLUMNS).withColumn("loan_id", F.col("loan_id").cast("string"))
+    folder = scratch_path(spark)
+    first = F.col("loan_id").cast("bigint") % 2 == 0
+    write_loan_archives(loans.filter(first).drop("revol_util", "dti"), f"{folder}/one")
+    later = loans.filter(~first).select(*reversed(loans.columns))
+    write_loan_archives(later, f"{folder}/two", preamble="Notes offered by prospectus", footer="Total amount funded: 1")
+    merged = clean.clean_loans(read_loans(spark, folder, archives=True))
+    return merged.withColumn("loan_id", F.col("loan_id").cast("bigint")).select(
+        "loan_id", "grade", "term", "loan_amnt", "dti", "revol_util", "issue_d", "addr_state"
+    )
+
+
 def preamble_round_trip(spark, d):
     """Files whose first line is junk and whose header is line 2, with a footer."""
     path = scratch_path(spark)
@@ -603,6 +618,7 @@ QUERIES = {
     "csv_round_trip": csv_round_trip,
     "result_round_trip": result_round_trip,
     "files_merged": files_merged,
+    "archives_merged": archives_merged,
     "preamble_round_trip": preamble_round_trip,
     "crosswalk_round_trip": crosswalk_round_trip,
     "facts_issued_1998": facts_issued_1998,

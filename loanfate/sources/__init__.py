@@ -1,9 +1,11 @@
 """Reading loan files, crosswalks and results, and writing them."""
 
-from loanfate.sources.readers import read_crosswalk, read_loans, read_result, read_zip_base
-from loanfate.sources.writers import read_facts, release, scratch_path, staged, write_facts, write_result
+from loanfate.sources.readers import read_crosswalk, read_loan_archives, read_loans, read_result, read_zip_base
+from loanfate.sources.writers import (
+    read_facts, release, scratch_path, staged, write_facts, write_loan_archives, write_result,
+)
 
 __all__ = [
-    "read_crosswalk", "read_facts", "read_loans", "read_result", "read_zip_base",
-    "release", "scratch_path", "staged", "write_facts", "write_result",
+    "read_crosswalk", "read_facts", "read_loan_archives", "read_loans", "read_result", "read_zip_base",
+    "release", "scratch_path", "staged", "write_facts", "write_loan_archives", "write_result",
 ]

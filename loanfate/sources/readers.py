@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanfate.schema import CROSSWALK_SCHEMA, LOAN_COLUMNS, ZIP_BASE_SCHEMA
+from loanfate.sources.archives import LoanArchives
 
 
 def _text_schema(names) -> T.StructType:
@@ -30,9 +31,13 @@ def read_loans(
     columns: list[str] | None = None,
     multi_line: bool = False,
     escape: str = '"',
+    archives: bool = False,
 ) -> DataFrame:
     """Read one or more loan CSV files as one table of raw text columns, matched by name.
 
+    ``archives`` reads ZIP archives, or folders of them, a task for each CSV member; see
+    :func:`read_loan_archives`. Only the paths and ``columns`` matter then.
+
     ``columns`` gives the files' column names in order; all paths are then one scan, which
     is the way to read a large directory. Without it the header of every path is read, and
     paths with the same header are one scan. A file whose header differs from the columns
@@ -45,6 +50,8 @@ def read_loans(
     ``multi_line`` reads descriptions with line breaks, at the price that a file is one task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if archives:
+        return read_loan_archives(spark, paths, columns)
     options = {"mode": "PERMISSIVE", "multiLine": multi_line, "escape": escape}
 
     by_header: dict[tuple[str, ...], list[str]] = {}
@@ -64,6 +71,22 @@ def read_loans(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def read_loan_archives(spark: SparkSession, paths, columns: list[str] | None = None) -> DataFrame:
+    """Loans in ZIP archives of CSV files as a table of raw text columns, matched by each member's header.
+
+    Every CSV member of an archive is one partition and is inflated as a stream. Its header is
+    line 1, or line 2 after a line of junk; footers of one field are left out, and so are lines
+    without a numeric ``loan_amnt``. Other lines of the wrong length raise an error. Fields may
+    hold line breaks in quotes. ``columns`` are read, :data:`LOAN_COLUMNS` and ``id`` if not given;
+    those that a file lacks are null. A folder without archives gives no rows.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    names = list(dict.fromkeys([*(columns or ["id", *LOAN_COLUMNS]), "loan_amnt"]))
+    spark.dataSource.register(LoanArchives)
+    raw = spark.read.format("loan_archives").schema(_text_schema(names)).load("\n".join(paths))
+    return _loan_rows(raw.filter(F.col("loan_amnt").try_cast("double").isNotNull()), junk_lines=False)
+
+
 # Columns whose values are never the name of a column.
 _TELLTALE = ["loan_amnt", "grade", "loan_status", "int_rate", "issue_d"]
 

@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanfate.sources.archives import LoanArchives
 
 def write_result(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False) -> None:
     """Write a result with a header from the executors.
@@ -20,6 +21,19 @@ def write_result(df: DataFrame, path: str, fmt: str = "csv", single_file: bool =
     writer.format(fmt).save(path)
 
 
+def write_loan_archives(df: DataFrame, path: str, preamble: str | None = None, footer: str | None = None) -> None:
+    """Write a table as ZIP archives of one CSV file each, one for every partition that has rows.
+
+    ``preamble`` is a line before the header and ``footer`` one after the rows, as published
+    files have them. Archives appear in the folder when all of them are written. All columns
+    are written as text.
+    """
+    df.sparkSession.dataSource.register(LoanArchives)
+    marks = {k: v for k, v in (("preamble", preamble), ("footer", footer)) if v is not None}
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    text.write.format("loan_archives").options(**marks).mode("append").save(path)
+
+
 def write_facts(loans: DataFrame, path: str) -> None:
     """Write cleaned loans as Parquet, one directory per issue year.
 

@@ -140,3 +140,72 @@ def test_staged_table_is_written_to_the_shared_folder(spark, tmp_path, monkeypat
     assert copy.exceptAll(table).count() == 0 and copy.count() == 50
     assert "Range" not in copy._jdf.queryExecution().executedPlan().toString()
     assert len(list((tmp_path / "shared").iterdir())) == 1
+
+
+def write_zip(path, members):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as held:
+        for name, lines in members.items():
+            held.writestr(name, "\n".join(lines) + "\n")
+
+
+def test_archives_match_each_member_by_its_header(spark, tmp_path):
+    """Several members of an archive, junk before the header or not, columns in any order, footers, blank and quoted fields."""
+    write_zip(tmp_path / "LoanStats_a.csv.zip", {"a.csv": ["Notes offered", HEADER, *ROWS, "", FOOTER]})
+    write_zip(tmp_path / "LoanStats_b.csv.zip", {
+        "b1.csv": ["grade,id,loan_amnt,dti", "B,2,200,9.5", '"",3,300,'],
+        "notes.txt": ["not a table"],
+        "b2.csv": ["id,loan_amnt,desc", '4,400,"two\nlines, ""quoted"""', "5,500,"],
+    })
+    (tmp_path / "more").mkdir()
+    write_zip(tmp_path / "more" / "LoanStats_c.csv.zip", {"c.csv": ["id,loan_amnt", "6,600"]})
+    rows = {r.loan_amnt: r for r in read_loans(spark, str(tmp_path), archives=True).collect()}
+    assert sorted(rows) == ["200", "2500", "300", "400", "500", "5000", "600"]
+    assert rows["5000"].desc == 'hello, "you"' and len(rows["5000"].loan_id) == 32
+    assert (rows["200"].loan_id, rows["200"].grade, rows["200"].dti) == ("2", "B", "9.5")
+    assert (rows["300"].grade, rows["300"].dti) == (None, None)
+    assert rows["400"].desc == 'two\nlines, "quoted"' and rows["500"].desc is None
+    assert rows["600"].loan_id == "6" and rows["600"].grade is None
+
+
+def test_each_member_is_a_partition(spark, tmp_path):
+    for k in range(3):
+        write_zip(tmp_path / f"{k}.zip", {f"{k}-{m}.csv": ["id,loan_amnt", f"{k}{m},1"] for m in range(2)})
+    raw = read_loans(spark, str(tmp_path), archives=True)
+    assert raw.rdd.getNumPartitions() == 6 and raw.count() == 6
+
+
+def test_archives_equal_plain_files(spark, tmp_path):
+    """The same lines, once as archives and once as they are."""
+    for k in range(3):
+        lines = ["junk", HEADER, *[r.replace("5000", str(5000 + k)) for r in ROWS]]
+        write_zip(tmp_path / f"{k}.csv.zip", {f"{k}.csv": lines})
+        (tmp_path / f"{k}.csv").write_text("\n".join(lines) + "\n")
+    plain = read_loans(spark, [str(tmp_path / f"{k}.csv") for k in range(3)], skip_preamble=True)
+    zipped = read_loans(spark, [str(tmp_path / f"{k}.csv.zip") for k in range(3)], archives=True).select(plain.columns)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, zipped.collect()))
+
+
+def test_wrong_archives_raise(spark, tmp_path):
+    write_zip(tmp_path / "bad.zip", {"bad.csv": ["id,loan_amnt,grade", "1,2"]})
+    write_zip(tmp_path / "none.zip", {"none.csv": ["a,b", "1,2"]})
+    for name in ("bad.zip", "none.zip"):
+        with pytest.raises(Exception):
+            read_loans(spark, str(tmp_path / name), archives=True).collect()
+    (tmp_path / "empty").mkdir()
+    assert read_loans(spark, str(tmp_path / "empty"), archives=True).count() == 0
+
+
+def test_written_archives_hold_preamble_and_footer(spark, tmp_path):
+    import zipfile
+
+    loans = spark.range(0, 100, 1, 3).select(F.col("id").cast("string").alias("id"), F.lit("7").alias("loan_amnt"), F.lit('a "b"\n,').alias("desc"))
+    writers.write_loan_archives(loans, str(tmp_path / "out"), preamble="junk", footer="Total: 1")
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    assert names == [f"part-{k:05d}.csv.zip" for k in range(3)]
+    with zipfile.ZipFile(tmp_path / "out" / names[0]) as held:
+        text = held.read(held.namelist()[0]).decode()
+    assert text.startswith("junk\n") and text.rstrip().endswith("Total: 1")
+    back = read_loans(spark, str(tmp_path / "out"), archives=True)
+    assert back.count() == 100 and back.select("desc").distinct().collect()[0].desc == 'a "b"\n,'
