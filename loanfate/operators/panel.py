@@ -52,15 +52,26 @@ def period_panel(
     returns every period of every group, also of groups without an event in the grid.
     ``total`` adds a group of that name over all loans.
     """
+    first, last = first_of_month(start), first_of_month(end)
+    periods = -(-month_span(first, last) // step_months)
+    cells = loan_cells(loans, first, last, step_months, periods, by, every_group=keep == "all")
+    return panel_of_cells(cells, start, end, step_months, name, keep, total)
+
+
+def panel_of_cells(
+    cells: DataFrame, start, end, step_months: int = 12, name: str = "state", keep: str = "complete", total: str | None = None
+) -> DataFrame:
+    """The panel of the sums per group and period that :func:`loan_cells` makes; see :func:`period_panel`.
+
+    ``keep="all"`` needs cells of every group.
+    """
     if keep not in ("complete", "all"):
         raise ValueError(f"keep must be 'complete' or 'all', got {keep!r}")
     start, end = first_of_month(start), first_of_month(end)
     periods = -(-month_span(start, end) // step_months)
-
-    cells = _cells(loans, start, end, step_months, periods, by, every_group=keep == "all")
     if total is not None:
         both = F.explode(F.array(F.col("key"), F.lit(total)))
-        cells = _sum_cells(cells.select(both.alias("key"), *[c for c in cells.columns if c != "key"]))
+        cells = sum_cells(cells.select(both.alias("key"), *[c for c in cells.columns if c != "key"]))
 
     in_order = Window.partitionBy("key").orderBy("period")
     cells = cells.withColumn(
@@ -88,7 +99,7 @@ def period_panel(
     return panel.drop("newcount")
 
 
-def _cells(loans, start, end, step_months, periods, by, every_group=False) -> DataFrame:
+def loan_cells(loans, start, end, step_months, periods, by, every_group=False) -> DataFrame:
     """Sums per group and period of the two events of each loan.
 
     With ``every_group`` a loan without an event in the grid gives an empty one, so that its
@@ -145,7 +156,7 @@ def _cells(loans, start, end, step_months, periods, by, every_group=False) -> Da
     )
 
 
-def _sum_cells(cells: DataFrame) -> DataFrame:
+def sum_cells(cells: DataFrame) -> DataFrame:
     measures = ["delta", *COUNT_MEASURES, *SUM_MEASURES]
     return cells.groupBy("key", "period").agg(*[F.sum(m).alias(m) for m in measures])
 

@@ -455,6 +455,7 @@ ORACLES = {
     "grade_panel": panel(key="grade", source_key="grade"),
     "panel_with_us": panel(keep="all", total=True),
     "panel_append": panel(),
+    "panel_grown": panel(keep="all"),
     "series_default_rate": series('100 * "Def_rate"'),
     "series_early_rate": series('100 * "ER_rate"'),
     "series_loans_issued": series("shortcount + longcount"),

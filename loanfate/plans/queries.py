@@ -11,11 +11,12 @@ from loanfate.functions import emp_bucket, home_bucket, status_code
 from loanfate.operators import (
     clean, counties, evaluate, features, grades, models, panel, repayment, summary, text,
 )
+from loanfate.operators.panel_store import PanelStore
 from loanfate.plans import studies
 from loanfate.plans.loan_view import loans_raw, zip_base
 from loanfate.schema import (
     COUNTERFACTUAL_TARGETS, GRADE_COLUMNS, PANEL_COLUMNS, PANEL_SCHEMA, REGRESSION_COLUMNS, REGRESSION_FIELDS,
-    SIMPLE_TARGETS, TEXT_COLUMNS, TIMING_FIELDS,
+    RUNNING, SIMPLE_TARGETS, TEXT_COLUMNS, TIMING_FIELDS,
 )
 from loanfate.sources import (
     read_crosswalk, read_facts, read_loans, read_result, scratch_path, staged, write_facts, write_loan_archives,
@@ -313,6 +314,22 @@ def panel_append(spark, d):
     return rounded(panel.append_panel(empty, early, late), 6)
 
 
+def panel_grown(spark, d):
+    """A panel of two files: loans as they stood at the end of 1998, then new and changed ones, with some unchanged ones again."""
+    loans = staged(_panel_loans(spark, d).withColumn("loan_id", F.monotonically_increasing_id()))
+    cut, seen = F.lit("1999-01-01").cast("date"), F.lit("1998-12-15").cast("date")
+    later = F.col("last_pymnt_d") >= cut
+    earlier = loans.filter(F.col("issue_d") < cut).withColumns({
+        "loan_status": F.when(later, F.lit(float(RUNNING))).otherwise(F.col("loan_status")),
+        "fracNumPmts": F.when(later, F.lit(0.0)).otherwise(F.col("fracNumPmts")),
+        "last_pymnt_d": F.when(later, F.greatest("issue_d", seen)).otherwise(F.col("last_pymnt_d")),
+    })
+    store = PanelStore(scratch_path(spark), *GRID)
+    store.add(earlier, 0)
+    store.add(loans.filter((F.col("issue_d") >= cut) | later | (F.col("loan_id") % 3 == 0)), 1)
+    return rounded(store.panel(spark, keep="all"), 6)
+
+
 def _series(spark, d, value):
     table = _panel(spark, d, keep="all", total="US")
     return rounded(panel.panel_series(table, value, SHOWN_STATES + ["US"]), 6)
@@ -643,6 +660,7 @@ QUERIES = {
     "panel_with_us": panel_with_us,
     "panel_finer_key": panel_finer_key,
     "panel_append": panel_append,
+    "panel_grown": panel_grown,
     "series_default_rate": series_default_rate,
     "series_early_rate": series_early_rate,
     "series_loans_issued": series_loans_issued,

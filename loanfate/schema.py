@@ -10,6 +10,9 @@ LOAN_COLUMNS = [
     "dti", "revol_util", "zip_code", "addr_state",
 ]
 
+# Fixed value: the code of a loan that still runs.
+RUNNING = 2
+
 # The raw columns that each study reads.
 GRADE_COLUMNS = ["loan_id", "grade", "term", "loan_status", "issue_d", "last_pymnt_d"]
 PANEL_COLUMNS = [
