@@ -7,8 +7,8 @@ stretches are indexed (Burrows-Wheeler transform in a wavelet matrix) and stream
 index by backward search, whose matching statistics give the intervals of windows that occur again.
 
 A very frequent anchor, such as that of a passage that a third of all documents share, would make a
-shard of unbounded size. Its stretches are cut into their windows, equal windows are counted
-before they are dealt out by their content, and each different one is indexed once with its count.
+shard of unbounded size. Its equal stretches are counted first, the different ones are cut into their
+windows, and each different window is dealt out by its content and indexed once with its count.
 """
 
 from __future__ import annotations
@@ -161,11 +161,7 @@ def _stretch_rows(window: int):
         for a in anchors:
             for span in a["spans"]:
                 first, count = span >> 8, span & 255
-                if a["hot"]:
-                    for s in range(first, first + count):
-                        yield None, b" ".join(words[s:s + window]), doc_id, key, s, True
-                else:
-                    yield a["h"], b" ".join(words[first:first + count + window - 1]), doc_id, key, first, False
+                yield a["h"], b" ".join(words[first:first + count + window - 1]), doc_id, key, first, a["hot"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -182,6 +178,22 @@ def _stretch_rows(window: int):
     return run
 
 
+def _window_rows(window: int):
+    """The windows of stretches (words, weight, s1, s2), with their places in the stretch."""
+    schema = pa.schema([("words", pa.binary()), ("weight", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("place", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                rows = []
+                for held, *rest in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)):
+                    words = held.split(b" ")
+                    rows += [(b" ".join(words[k:k + window]), *rest, k) for k in range(len(words) - window + 1)]
+                yield _columns(rows, schema)
+
+    return run
+
+
 def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -221,9 +233,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_windows(
     docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most_places: int = MOST_PLACES, shard_stretches: int = SHARD_STRETCHES
 ) -> DataFrame:
-    """(id, tk, first, windows): ranges of starts of ``window``-word windows that occur in more than one place.
+    """(id, tk, spans): starts of ``window``-word windows that occur in more than one place, as ranges (first, windows).
 
-    ``id`` is the doc_id (-1 for null) and ``tk`` the text's hash. See :func:`drop_repeated_words`.
+    A text may have several rows. ``id`` is the doc_id (-1 for null) and ``tk`` the text's hash. See :func:`drop_repeated_words`.
     """
     if not 0 < anchor <= window or window - anchor >= 255:
         raise ValueError(f"an anchor of {anchor} words doesn't suit a window of {window}")
@@ -243,26 +255,29 @@ def repeated_windows(
     cut = stored(rows, "stretches")
     discard(shared)
 
-    # Different windows of frequent anchors, named by two hashes of their words, with their counts.
+    # Frequent stretches by two hashes of their words; their windows by two of theirs, with their counts.
+    hot = cut.filter("hot")
+    stretch = [F.xxhash64("words").alias("s1"), F.xxhash64(F.lit(7), F.col("words")).alias("s2")]
     name = [F.xxhash64("words").alias("id"), F.xxhash64(F.lit(7), F.col("words")).alias("tk")]
-    frequent = cut.filter("hot").groupBy("words").agg(F.count("*").alias("weight")).select(
+    different = hot.groupBy("words").agg(F.count("*").alias("weight")).select("words", "weight", *stretch)
+    windows = stored(different.mapInArrow(_window_rows(window), "words binary, weight long, s1 long, s2 long, place long"), "windows")
+    frequent = windows.groupBy("words").agg(F.sum("weight").alias("weight")).select(
         F.xxhash64("words").alias("shard_key"), "words", *name, F.lit(0).cast("long").alias("first"), "weight", F.lit(True).alias("hot")
     )
     plain = cut.filter("NOT hot").select("shard_key", "words", "id", "tk", "first", F.lit(1).cast("long").alias("weight"), F.lit(False).alias("hot"))
     shards = max(4 * partitions_for(docs), cut.count() // shard_stretches + 1)
     dealt = plain.unionByName(frequent).withColumn("shard", F.struct("hot", F.pmod("shard_key", F.lit(shards)).alias("part")))
     ranges = stored(_searched(dealt, window), "ranges")
-    repeated = ranges.filter("NOT hot").drop("hot")
-    windows = ranges.filter("hot").select("id", "tk")
-    members = cut.filter("hot").select(
-        F.col("id").alias("doc"), F.col("tk").alias("doc_tk"), "first", *name
-    )
-    back = members.join(windows.hint("merge"), ["id", "tk"]).select(
-        F.col("doc").alias("id"), F.col("doc_tk").alias("tk"), "first", F.lit(1).cast("long").alias("windows")
-    )
-    found = stored(repeated.unionByName(back), "repeated-windows")
-    discard(cut, ranges)
-    return found
+    repeated = ranges.filter("NOT hot").select("id", "tk", F.array(F.struct("first", "windows")).alias("spans"))
+    # Back from windows to the stretches that hold them, and from those to their places.
+    found = windows.select("s1", "s2", "place", *name).join(ranges.filter("hot").select("id", "tk").hint("merge"), ["id", "tk"])
+    places = found.groupBy("s1", "s2").agg(F.collect_list("place").alias("places"))
+    held = hot.select("id", "tk", "first", *stretch).join(places.hint("merge"), ["s1", "s2"])
+    one = F.lit(1).cast("long").alias("windows")
+    back = held.select("id", "tk", F.transform("places", lambda p: F.struct((F.col("first") + p).alias("first"), one)).alias("spans"))
+    spans = stored(repeated.unionByName(back), "repeated-windows")
+    discard(cut, windows, ranges)
+    return spans
 
 
 def _searched(dealt: DataFrame, window: int) -> DataFrame:
@@ -309,6 +324,6 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, **options) -> Dat
                 yield _columns([(i, *of_text(t, s)) for i, t, s in zip(ids, texts, spans)], schema)
 
     found = repeated_windows(docs, window, **options)
-    spans = found.groupBy("id", "tk").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    spans = found.groupBy("id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     joined = _keyed(docs).join(spans.hint("merge"), ["id", "tk"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
