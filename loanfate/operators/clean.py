@@ -1,6 +1,6 @@
 """Raw loan text to typed loan facts."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanfate.functions import (
@@ -138,6 +138,30 @@ def sample_rows(loans: DataFrame, fraction: float, key: str = "loan_id", seed: i
     return loans.filter(hash_uniform(key, seed) < fraction)
 
 
+def sample_per_group(df: DataFrame, by: list[str], n: int, key: str = "loan_id", seed: int = 3) -> DataFrame:
+    """Exactly ``n`` rows of every group, all rows of smaller ones: those whose key draws lowest.
+
+    Equal draws are told apart by the key. Groups are counted first. A group of N rows then
+    keeps those that draw below about n / N, a little more than n of them, so that the final
+    ranking sees about n rows a group however large it is. Should that leave a group short, which
+    ten standard deviations make all but impossible, the margin grows until none is.
+    """
+    drawn = df.withColumn("_draw", hash_uniform(key, seed))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
+    margin = 10.0
+    while True:
+        share = (F.lit(n + margin * n**0.5 + 5 * margin)) / F.col("_size")
+        limits = sizes.select(*[F.col(c).alias(f"_{c}") for c in by], "_size", share.alias("_share"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        low = drawn.join(limits, same).filter(F.col("_draw") < F.col("_share"))
+        short = low.groupBy(*by, "_size").agg(F.count("*").alias("_low")).filter(F.col("_low") < F.least(F.lit(n), F.col("_size")))
+        if short.isEmpty():
+            break
+        margin *= 4
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_draw", key))
+    return low.withColumn("_rank", rank).filter(F.col("_rank") <= n).select(*df.columns)
+
+
 def split_train_test(
     loans: DataFrame, train: float = 0.8, key: str = "loan_id", seed: int = 2
 ) -> tuple[DataFrame, DataFrame]:

@@ -43,35 +43,30 @@ def stack_series(df: DataFrame, columns: list[str], label: str = "series", value
 
 
 def event_time_density(
-    times: DataFrame, by: str = "series", value: str = "time", points: int = 100, most_sent: int = 1000
+    times: DataFrame, by: str = "series", value: str = "time", points: int = 100, resolution: float | None = None
 ) -> DataFrame:
     """Gaussian kernel density of event times on the grid 0, 1/points, ... below 1.
 
-    The bandwidth is sd * n^(-1/5) per series. The moments are one partial aggregate per
-    series, and the density another one with a sum for each grid point: a task sends one row
-    per series to the shuffle, and no time is copied over the grid. The two meet by an
-    ordinary join, since the number of series is the caller's choice. A series without
-    spread, one time or equal times only, has a null density.
+    The bandwidth is sd * n^(-1/5) per series. Equal times are counted first, by all tasks, and
+    the kernel is summed over the counts: times from month to month are a few thousand different
+    values however many loans there are, and the density is exact. Continuous times, such as
+    predictions, are rounded to multiples of ``resolution`` before they are counted, which bounds
+    the counts; a resolution of a fiftieth of the bandwidth changes the density by less than a
+    thousandth of its peak. A series without spread, one time or equal times only, has a null density.
     """
     x = F.col(value).cast("double")
-    present = times.filter(x.isNotNull()).select(by, x.alias("_x"))
-    spread = F.stddev_samp("_x")
-    moments = present.groupBy(by).agg(
-        F.count("*").alias("_n"),
-        F.nullif(spread * F.pow(F.count("*").cast("double"), F.lit(-0.2)), F.lit(0.0)).alias("_width"),
-    )
-
-    known = moments.limit(most_sent + 1).collect()
-    if len(known) <= most_sent:
-        moments = F.broadcast(times.sparkSession.createDataFrame(known, moments.schema))
-
-    def kernel(step):
-        z = F.try_divide(F.lit(step / points) - F.col("_x"), F.col("_width"))
-        return F.sum(F.exp(-0.5 * z * z))
-
-    sums = present.join(moments, by).groupBy(by).agg(
-        F.first("_n").alias("_n"), F.first("_width").alias("_width"), F.array(*[kernel(i) for i in range(points)]).alias("_sums")
-    )
+    if resolution is not None:
+        x = F.round(x / F.lit(resolution)) * F.lit(resolution)
+    counts = times.select(by, x.alias("_x")).filter("_x IS NOT NULL").groupBy(by, "_x").agg(F.count("*").alias("_k"))
+    total, mean = F.sum("_k"), F.try_divide(F.sum(F.col("_k") * F.col("_x")), F.sum("_k"))
+    moments = counts.groupBy(by).agg(total.alias("_n"), mean.alias("_mean"))
+    off = F.col("_x") - F.col("_mean")
+    spread = counts.join(moments, by).groupBy(by, "_n").agg(F.sum(F.col("_k") * off * off).alias("_squares"))
+    width = F.sqrt(F.try_divide(F.col("_squares"), F.col("_n") - 1)) * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+    widths = spread.select(by, "_n", F.nullif(width, F.lit(0.0)).alias("_width"))
+
+    z = F.try_divide(F.col("_step") / F.lit(float(points)) - F.col("_x"), F.col("_width"))
+    on_grid = counts.join(widths, by).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    sums = on_grid.groupBy(by, "_step", "_n", "_width").agg(F.sum(F.col("_k") * F.exp(-0.5 * z * z)).alias("_sum"))
     height = F.try_divide(F.col("_sum"), F.col("_n") * F.col("_width") * math.sqrt(2 * math.pi))
-    on_grid = sums.select(by, "_n", "_width", F.posexplode("_sums").alias("_step", "_sum"))
-    return on_grid.select(by, (F.col("_step") / F.lit(float(points))).alias("x"), height.alias("density"))
+    return sums.select(by, (F.col("_step") / F.lit(float(points))).alias("x"), height.alias("density"))

@@ -561,3 +561,10 @@ scored AS (
   regr_slope(p_er, int_rate) AS e1, regr_intercept(p_er, int_rate) AS e0 FROM scored WHERE train
 )""", """SELECT round(d0 + d1 * int_rate, 6) AS "probDefPred", round(e0 + e1 * int_rate, 6) AS "probERPred",
  p_def AS "probDef", p_er AS "probER" FROM scored CROSS JOIN line WHERE NOT train""")
+ORACLES["income_quartile_ranks"] = _with(LOANS, """SELECT grade, q AS quartile, count(*) > 0 AS within_error
+ FROM loans CROSS JOIN (SELECT unnest([25, 50, 75]) AS q) AS quartiles GROUP BY grade, q""")
+ORACLES["distinct_over_years"] = _with(LOANS, """SELECT grade, count(*) AS loans,
+ count(DISTINCT loan_amnt) > 0 AS loan_amnt_close, count(DISTINCT zip_code) > 0 AS zip_code_close FROM loans GROUP BY grade""")
+ORACLES["grade_samples"] = _with(LOANS_RAW, f"""SELECT loan_id, grade, loan_status FROM (
+ SELECT loan_id, grade, loan_status, row_number() OVER (PARTITION BY grade ORDER BY {UNIFORM.format(seed=3)}, loan_id) AS place
+ FROM loans_raw) WHERE place <= 50""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loanfate.functions import emp_bucket, home_bucket, status_code
 from loanfate.operators import (
-    clean, counties, evaluate, features, grades, models, panel, repayment, summary, text,
+    clean, counties, evaluate, features, grades, models, panel, repayment, sketches, summary, text,
 )
 from loanfate.operators.panel_store import PanelStore
 from loanfate.plans import studies
@@ -265,6 +265,36 @@ def quartile_ranks(spark, d):
     return met.select("column", (25 * (F.col("k") + 1)).alias("quartile"), within.alias("within_error"))
 
 
+def income_quartile_ranks(spark, d):
+    """Quartiles of income by grade from sketches stored per year of issue: whether each lies within the stated error."""
+    loans = staged(clean.clean_loans(loans_raw(spark, d, ["grade", "annual_inc", "issue_d"])))
+    yearly = staged(sketches.sketch_groups(loans.withColumn("year", F.year("issue_d")), ["grade", "year"], quantiles=["annual_inc"]))
+    merged = sketches.merge_groups(yearly, ["grade"])
+    quartiles = F.posexplode(F.array(*[sketches.quantile("annual_inc", p) for p in (0.25, 0.5, 0.75)])).alias("k", "mark")
+    met = sketches.rank_shares(loans, merged.select("grade", quartiles), ["grade"], "annual_inc", "mark")
+    share, error = (F.col("k") + 1) / 4, sketches.RANK_ERROR
+    within = (F.col("below") <= share + error) & (F.col("upto") >= share - error)
+    return met.select("grade", (25 * (F.col("k") + 1)).alias("quartile"), within.alias("within_error"))
+
+
+def distinct_over_years(spark, d):
+    """Different amounts and areas by grade, from sketches stored per year: whether each lies within the stated error."""
+    loans = staged(clean.clean_loans(loans_raw(spark, d, ["grade", "loan_amnt", "zip_code", "issue_d"])))
+    columns = ["loan_amnt", "zip_code"]
+    yearly = staged(sketches.sketch_groups(loans.withColumn("year", F.year("issue_d")), ["grade", "year"], distincts=columns))
+    counted = sketches.sketched_distincts(sketches.merge_groups(yearly, ["grade"]), columns, ["grade"])
+    exact = loans.groupBy("grade").agg(F.count("*").alias("loans"), *[F.count_distinct(c).alias(f"{c}_exact") for c in columns])
+    met = counted.join(exact, "grade")
+    close = [(F.abs(F.col(c) - F.col(f"{c}_exact")) <= sketches.COUNT_ERROR * F.col(f"{c}_exact")).alias(f"{c}_close") for c in columns]
+    return met.select("grade", "loans", *close)
+
+
+def grade_samples(spark, d):
+    """Exactly 50 loans of every grade."""
+    loans = loans_raw(spark, d, ["loan_id", "grade", "loan_status"])
+    return clean.sample_per_group(loans, ["grade"], 50)
+
+
 def repay_quantiles(spark, d):
     return rounded(summary.repay_quantiles(_grade_loans(spark, d)), 8)
 
@@ -589,7 +619,7 @@ def default_time_predictions(spark, d):
 
 def early_time_density(spark, d):
     times = evaluate.event_predictions(_predicted(spark, d, SIMPLE_TARGETS), "probER", "fracNumPmts")
-    return evaluate.event_time_density(evaluate.stack_series(times, ["actual", "predicted"]))
+    return evaluate.event_time_density(evaluate.stack_series(times, ["actual", "predicted"]), resolution=1 / 8192)
 
 
 def _grade_mean_predictions(spark, d, targets):
@@ -653,6 +683,9 @@ QUERIES = {
     "frac_summary": frac_summary,
     "repay_quantiles": repay_quantiles,
     "quartile_ranks": quartile_ranks,
+    "income_quartile_ranks": income_quartile_ranks,
+    "distinct_over_years": distinct_over_years,
+    "grade_samples": grade_samples,
     "state_panel": state_panel,
     "state_panel_all": state_panel_all,
     "state_panel_quarterly": state_panel_quarterly,

@@ -91,17 +91,30 @@ def test_density_against_numpy(predictions):
 def test_density_of_equal_times_is_null_and_the_rest_stays(spark):
     rows = [("same", 0.5)] * 4 + [("one", 0.2)] + [("spread", x / 10) for x in range(10)] + [("same", None)]
     times = spark.createDataFrame(rows, "series string, time double")
-    for most_sent in (1000, 1):
-        shown = evaluate.event_time_density(times, most_sent=most_sent).collect()
+    for resolution in (None, 1 / 4096):
+        shown = evaluate.event_time_density(times, resolution=resolution).collect()
         assert len(shown) == 300
         assert {r.series for r in shown if r.density is None} == {"same", "one"}
         assert all(r.density is not None for r in shown if r.series == "spread")
 
 
-def test_density_shuffles_sums_only(spark):
-    """The grid comes after the sums; only partial aggregates reach a shuffle."""
-    times = spark.range(1000).selectExpr("concat('s', id % 3) AS series", "id / 1000 AS time")
-    plan = evaluate.event_time_density(times)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Generate") < plan.index("Aggregate") < plan.index("Join")
-    physical = evaluate.event_time_density(times)._jdf.queryExecution().executedPlan().toString()
-    assert physical.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in physical
+def test_density_counts_equal_times_before_the_grid(spark):
+    """Times meet the grid as counts of equal ones: 30 rows for 90,000 times."""
+    times = spark.range(90_000).selectExpr("concat('s', id % 3) AS series", "(id % 10) / 20 AS time")
+    shown = evaluate.event_time_density(times)
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    generate = next(k for k, line in enumerate(lines) if "Generate" in line)
+    assert any("Aggregate" in line for line in lines[generate:]) and shown.count() == 300
+
+
+def test_density_of_rounded_times_is_within_a_thousandth(spark):
+    """Continuous times at a resolution of a fiftieth of the bandwidth, as the docstring says."""
+    rng = np.random.default_rng(8)
+    values = np.clip(rng.beta(2, 3, 20_000) + 0.01 * rng.standard_normal(20_000), 0, 1.2)
+    times = spark.createDataFrame([("a", float(v)) for v in values], "series string, time double")
+    width = values.std(ddof=1) * len(values) ** -0.2
+    exact, rounded = (
+        np.array([r.density for r in evaluate.event_time_density(times, resolution=r).orderBy("x").collect()]) for r in (None, width / 50)
+    )
+    assert np.abs(exact - rounded).max() < 1e-3 * exact.max()
