@@ -2,15 +2,17 @@
 
 For the toxic and the ordinary class, runs of up to three words are counted: raw counts for three
 words, Kneser-Ney continuation counts (different words that a run follows) for two and one. Each
-order is discounted and interpolated with the next shorter one; below single words both classes
-back off to the same shared count, dealt by the classes' sizes. A text's log-likelihoods under
-both models are compared per word, for its strongest expression (the run of up to three words
-whose discounted counts tell most) and for the whole text, evidence for either class alike, and a
-logistic curve fitted on training rows that its counts have not seen makes a score of the two.
+order is discounted and interpolated with the next shorter one; below single words both classes back
+off to the same shared distribution, that of the words in all texts, labelled or not. A text's
+log-likelihoods under both models are compared per word, for its strongest expression (the run of
+up to three words whose discounted counts tell most) and for the whole text, evidence for either class
+alike, and a logistic curve fitted on training rows that its counts have not seen makes a score of the two.
 
 The difference of a text's log-likelihoods is a sum of one weight for each of its runs (as in a
-back-off table: an unseen run adds nothing and leaves the word to the shorter runs). So the whole
-model is a stored table of runs and weights that grows with the input, and texts meet it by a join.
+back-off table: an unseen run adds nothing and leaves the word to the shorter runs). The classifier
+learns from a bounded number of labelled rows (``most_rows``), so its table of runs is bounded: it is
+a sorted array that every task gets, and texts are scored in one pass without a shuffle. The shared
+backoff counts are taken over the whole corpus and grow with it.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanfate.llm.common import slices, stored, text_or_empty
+from loanfate.llm.common import discard, slices, stored, text_or_empty, text_slices
 
-#: Bits of a word's hash, and of the hash of the word before it.
-WORD_BITS, BEFORE_BITS = 40, 22
-#: Least ratio and toxic count of a word that :func:`expressions` lists. The model has no such floor.
-LEAST_RATIO, LEAST_COUNT = 1.5, 3
+#: About how many labelled rows the classifier learns from, those whose ids draw lowest; fewer if fewer are labelled.
+MOST_ROWS = 4000
+#: Runs that a model may have. Each takes 16 bytes in every Python worker; a longer table raises an error.
+MOST_RUNS = 12_000_000
 #: Hashes that stand for what is before a text's first word and after its last.
 BEFORE_TEXT, AFTER_TEXT = 0x243F6A8885A308D3, 0x13198A2E03707344
 #: Taken off each class's count.
@@ -43,6 +45,8 @@ CURVE_FOLDS = 4
 STEP, REACH = 0.125, 10.0
 #: Score from which a text is predicted toxic.
 THRESHOLD = 0.7
+#: Characters of texts that are scored at a time.
+TEXT_CHARS = 500_000
 #: Words remembered by a Python worker; then it starts anew.
 REMEMBERED_WORDS = 100_000
 
@@ -53,10 +57,6 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode()) >> (64 - WORD_BITS)
-
-
 def long_hash(word: str) -> int:
     value = xxhash.xxh64_intdigest(word.encode())
     return value - (1 << 64) if value >> 63 else value
@@ -64,16 +64,38 @@ def long_hash(word: str) -> int:
 
 @dataclass
 class Model:
-    """``weights``: the table of :func:`run_weights`; ``curve``: weights of one, strongest and mean."""
+    """Runs by their ids, ascending, with their weights and ratios, and the curve's weights of one, strongest and mean."""
 
-    weights: DataFrame
+    runs: np.ndarray
+    weights: np.ndarray
+    ratios: np.ndarray
     curve: np.ndarray
 
-    def score(self) -> Column:
-        """Score of rows with ``strongest`` and ``mean``; null features count as zero."""
-        one, strongest, mean = (F.lit(float(w)) for w in self.curve)
-        z = one + strongest * F.coalesce("strongest", F.lit(0.0)) + mean * F.coalesce("mean", F.lit(0.0))
-        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    def features(self, texts: list[str], known: dict[str, int]) -> np.ndarray:
+        """(texts, 2): the strongest expression's ratio and the mean log-likelihood ratio per word.
+
+        Both are zero for a text without a word. ``known`` remembers words between calls.
+        """
+        out = np.zeros((len(texts), 2))
+        hashed = [_hashes(t, known) for t in texts]
+        some = [k for k, h in enumerate(hashed) if len(h)]
+        if not some or not len(self.runs):
+            return out
+        ids = [_run_ids(hashed[k]) for k in some]
+        begins = np.cumsum([0, *map(len, ids[:-1])])
+        each, place = np.unique(np.concatenate(ids), return_inverse=True)
+        at = np.minimum(np.searchsorted(self.runs, each), len(self.runs) - 1)
+        met = self.runs[at] == each
+        weights, ratios = (np.where(met, x[at], 0)[place].astype(np.float64) for x in (self.weights, self.ratios))
+        words = np.array([len(hashed[k]) - 2 for k in some])
+        out[some, 0] = np.maximum.reduceat(ratios, begins)
+        out[some, 1] = np.add.reduceat(weights, begins) / words
+        return np.clip(out, -REACH, REACH)
+
+    def scores(self, texts: list[str], known: dict[str, int]) -> np.ndarray:
+        x = self.features(texts, known)
+        z = self.curve[0] + np.maximum(x[:, 0], 0) * self.curve[1] + x[:, 1] * self.curve[2]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def held_out(fold: int = 1, folds: int = 3) -> Column:
@@ -81,112 +103,23 @@ def held_out(fold: int = 1, folds: int = 3) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
 
 
-def labelled(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, most_rows: int = MOST_ROWS) -> DataFrame:
     """(text, toxic, for_curve) of the training rows: labelled 0 or 1, not of the held-out fold.
 
-    An id labelled more than once has its greatest label. Both sides lose the held-out rows before
+    Beyond ``most_rows`` of them, about so many are taken: those whose ids have the lowest hashes. An
+    id labelled more than once has its greatest label. Both sides lose the held-out rows before
     they meet, by a sort-merge join at every size: neither side has a bound.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.filter(F.col("toxic").isin(0, 1) & ~held_out(fold, folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = marks.count()
+    if n > most_rows:
+        marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) < int((1 << 40) * (most_rows / n)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull() & ~held_out(fold, folds))
     for_curve = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CURVE_FOLDS)) == 0
     return texts.join(marks.hint("merge"), "doc_id").select("text", "toxic", for_curve.alias("for_curve"))
 
 
-def continuation_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): different words that each word (by its hash) follows, by class.
-
-    A task sends each (word, class, word before) once. The distinct triples are found first,
-    dealt by the whole triple, and counted then, so a word that follows a great many others is
-    no single task's work.
-    """
-    packed = rows.select("toxic", "text").mapInArrow(_triples, "triple long")
-    distinct = packed.groupBy("triple").agg(F.lit(1).alias("one"))
-    split = distinct.select(
-        F.shiftright("triple", BEFORE_BITS + 1).alias("word"),
-        F.shiftright("triple", BEFORE_BITS).bitwiseAND(F.lit(1)).alias("toxic"),
-    )
-    return split.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary"))
-
-
-def _triples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("triple", pa.int64())])
-    known: dict[str, int] = {}
-    held: list[np.ndarray] = []
-    size = 0
-
-    def distinct() -> np.ndarray:
-        return np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
-
-    for batch in slices(batches, 512):
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = words_of(text)
-            if len(known) > REMEMBERED_WORDS:
-                known = {}
-            for w in set(words):
-                if w not in known:
-                    known[w] = word_hash(w)
-            if words:
-                hashes = np.array([known[w] for w in words], np.int64)
-                before = np.concatenate([[0], hashes[:-1]]) & ((1 << BEFORE_BITS) - 1)
-                held.append(np.unique((hashes << 1 | toxic) << BEFORE_BITS | before))
-                size += len(held[-1])
-        if size > 1_000_000:
-            held = [distinct()]
-            # Sent on where repeats have become few; the table-wide distinct follows anyway.
-            if len(held[0]) > 500_000:
-                yield from _as_batches(held[0], schema)
-                held = []
-            size = sum(map(len, held))
-    yield from _as_batches(distinct(), schema)
-
-
-def _as_batches(values: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for start in range(0, len(values), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(values[start:start + 100_000])], schema=schema)
-
-
-def expressions(counts: DataFrame) -> DataFrame:
-    """(word, ratio) of the words that tell a toxic text: log of P(word | toxic) / P(word | ordinary).
-
-    Each class's model is (max(count - discount, 0) + backoff * share) / total, with the
-    shared backoff count dealt by the class's share of all counts. A class without words
-    gives no expression.
-    """
-    total = counts.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).first()
-    if not total.t or not total.o:
-        return counts.select("word", F.lit(0.0).alias("ratio")).limit(0)
-    toxic, ordinary = total.t / (total.t + total.o), total.o / (total.t + total.o)
-
-    def likelihood(count: str, share: float) -> Column:
-        return F.log((F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) + BACKOFF * share) / share)
-
-    ratio = likelihood("toxic", toxic) - likelihood("ordinary", ordinary)
-    telling = counts.filter(F.col("toxic") >= LEAST_COUNT).select("word", "toxic", ratio.alias("ratio"))
-    return telling.filter(F.col("ratio") >= LEAST_RATIO).select("word", "ratio")
-
-
-def features(ratio: dict[int, float], texts: list[str], known: dict[str, float]) -> np.ndarray:
-    """(texts, 2): the strongest expression's and the whole text's log-likelihood ratio per word.
-
-    ``known`` remembers words between calls.
-    """
-    out = np.zeros((len(texts), 2))
-    for r, text in enumerate(texts):
-        words = words_of(text)
-        if not words:
-            continue
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = ratio.get(word_hash(w), 0.0)
-        values = [known[w] for w in words]
-        out[r] = max(values), sum(values) / len(values)
-    return np.clip(out, -REACH, REACH)
-
-
 def _hashes(text: str, known: dict[str, int]) -> np.ndarray:
     """Hashes of the text's words between the marks before and after it; nothing if it has no word."""
     words = words_of(text)
@@ -261,19 +194,49 @@ def _run_ids(h: np.ndarray) -> np.ndarray:
     return np.concatenate([x[1:], two, three]).view(np.int64)
 
 
-def run_weights(trigrams: DataFrame) -> DataFrame:
+def corpus_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """(w, n): occurrences of the given words (hashes, ascending) in all texts, the mark after a text included.
+
+    One pass over the corpus; a task sends one row per word that it met.
+    """
+    schema = pa.schema([("w", pa.int64()), ("n", pa.int64())])
+    asked = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = asked.value, {}
+        counts = np.zeros(len(words), np.int64)
+        for batch in slices(batches, 512):
+            hashed = [h[2:] for h in (_hashes(t, known) for t in batch.column(0).to_pylist()) if len(h)]
+            if hashed:
+                each, n = np.unique(np.concatenate(hashed), return_counts=True)
+                at = np.minimum(np.searchsorted(words, each), len(words) - 1)
+                met = words[at] == each
+                counts[at[met]] += n[met]
+        found = np.flatnonzero(counts)
+        for k in range(0, len(found), 100_000):
+            part = found[k:k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(words[part]), pa.array(counts[part])], schema=schema)
+
+    texts = docs.select(text_or_empty().alias("text"))
+    return texts.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def run_weights(trigrams: DataFrame, corpus: DataFrame) -> DataFrame:
     """(run, weight, ratio) of all runs of up to three words in a table (u, v, w, t, o) of counts.
 
     Summed over a text's runs, ``weight`` is log P(text | toxic) / P(text | ordinary) by interpolated
     Kneser-Ney: that of a run of n words is its last word's log-ratio after the others, less
     what the runs within it add, and the log-ratio of the back-off mass behind it. ``ratio`` compares
     the discounted counts of the run in both classes, with the shared backoff; a run seen once
-    tells little. A class without words gives no run.
+    tells little. ``corpus`` (w, n) has the words' counts in all texts, one for a word that it lacks.
+    A class without words gives no run.
     """
     three = trigrams.filter("t + o > 0")
     two = stored(three.groupBy("v", "w").agg(*_kinds()), "bigrams")
-    one = stored(two.groupBy("w").agg(*_kinds()), "words")
-    sizes = one.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
+    one_stored = stored(two.groupBy("w").agg(*_kinds()), "words")
+    one = one_stored.join(corpus, "w", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"k{c}") for c in "to"]
+    sizes = one.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("n").alias("n"), *kinds).first()
     if not sizes.t or not sizes.o:
         return trigrams.select(F.col("w").alias("run"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("ratio")).limit(0)
 
@@ -295,8 +258,9 @@ def run_weights(trigrams: DataFrame) -> DataFrame:
         own = F.when(F.col(f"c{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"c{c}")).otherwise(0.0)
         return own + F.col(f"m{c}") * F.col(f"p{c}")
 
+    shared = F.col("n") / F.lit(float(sizes.n))
     words = one.select("w", telling(sizes).alias("ratio"), *[
-        ((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + BACKOFF * share(c, sizes)) / sizes[c]).alias(f"p{c}") for c in "to"
+        ((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * sizes[f"k{c}"] * shared) / sizes[c]).alias(f"p{c}") for c in "to"
     ])
     after_one = stored(behind(two, ["v"]), "behind-words")
     pairs_total = two.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
@@ -319,73 +283,65 @@ def run_weights(trigrams: DataFrame) -> DataFrame:
         after_two.select(_turned("u", 13).bitwiseXOR(F.col("v")).alias("run"), F.col("left").alias("weight"), F.lit(0.0).alias("ratio"))
     )
     shorter = first.unionByName(second).unionByName(left).groupBy("run").agg(F.sum("weight").alias("weight"), F.sum("ratio").alias("ratio"))
-    return stored(shorter.unionByName(third), "run-weights")
+    found = stored(shorter.unionByName(third), "run-weights")
+    discard(two, one_stored, after_one, pairs, after_two)
+    return found
 
 
 def _kinds() -> list[Column]:
     return [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in "to"]
 
 
-def text_key() -> Column:
-    return F.xxhash64(text_or_empty())
-
+def packed(weights: DataFrame, curve: np.ndarray) -> Model:
+    """The table of :func:`run_weights` as arrays in the driver, whose size is checked first."""
+    n = weights.count()
+    if n > MOST_RUNS:
+        raise ValueError(f"a model of {n} runs is over {MOST_RUNS}; learn from fewer rows (most_rows)")
+    table = weights.select("run", F.col("weight").cast("float"), F.col("ratio").cast("float")).toArrow()
+    run, weight, ratio = (table.column(c).to_numpy() for c in ("run", "weight", "ratio"))
+    order = np.argsort(run)
+    return Model(run[order], weight[order], ratio[order], curve)
 
-def text_features(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(key, strongest, mean) of the distinct texts that have a word.
-
-    Every text sends each of its runs once, with the share of its words that the run makes. A run
-    that many texts have is a skewed key of the join, which adaptive execution splits; sums over a
-    text are pre-aggregated. Copies of a text add up to a multiple, by which they are divided.
-    """
-    schema = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("n", pa.float32())])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in slices(batches, 512):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = _hashes(text, known)
-                if not len(h):
-                    continue
-                ids, n = np.unique(_run_ids(h), return_counts=True)
-                shares = (n / (len(h) - 2)).astype(np.float32)
-                for k in range(0, len(ids), 100_000):
-                    part = ids[k:k + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), key, np.int64)), pa.array(part), pa.array(shares[k:k + 100_000])], schema=schema
-                    )
-
-    source = docs.select(text_key().alias("key"), text_or_empty().alias("text"))
-    copies = source.groupBy("key").agg(F.count("*").alias("copies"))
-    runs = source.mapInArrow(run, "key long, run long, n float")
-    met = runs.join(weights.hint("merge"), "run").groupBy("key").agg(
-        F.sum(F.col("n").cast("double") * F.col("weight")).alias("total"), F.max("ratio").alias("strongest")
-    )
-
-    def within(value: Column) -> Column:
-        return F.greatest(F.lit(-REACH), F.least(F.lit(REACH), value))
-
-    return met.join(copies, "key").select(
-        "key", within(F.greatest(F.lit(0.0), F.col("strongest"))).alias("strongest"), within(F.col("total") / F.col("copies")).alias("mean")
-    )
-
-
-def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, most_rows: int = MOST_ROWS) -> Model:
     """Fit the curve by counts without its rows, then count all training rows for the model.
 
-    What reaches the driver is bounded: the rows of the curve as counts of cells of their
-    features. Without rows of both classes every score is the share of toxic ones, zero if there
-    is none.
+    The training rows are those of :func:`labelled`; the shared backoff counts are over all of
+    ``docs``. What reaches the driver is bounded by ``most_rows``: the words and runs of the training
+    rows, and the curve's rows as counts of cells of their features. Without rows of both classes
+    every score is the share of toxic ones, zero if there is none.
     """
-    rows = stored(labelled(docs, labels, fold, folds), "training-rows")
+    spark = docs.sparkSession
+    rows = stored(labelled(docs, labels, fold, folds, most_rows), "training-rows")
     counts = stored(trigram_counts(rows), "trigram-counts")
-    some = run_weights(counts.select("u", "v", "w", F.col("t0").alias("t"), F.col("o0").alias("o")))
-    asked = rows.filter("for_curve")
-    found = asked.select("toxic", text_key().alias("key")).join(text_features(asked, some), "key", "left")
-    cells = [F.round(F.coalesce(c, F.lit(0.0)) / STEP).cast("int").alias(c) for c in ("strongest", "mean")]
-    table = found.select("toxic", *cells).groupBy("toxic", "strongest", "mean").agg(F.count("*").alias("n")).toArrow()
+    words = np.sort(counts.select("w").distinct().toArrow().column("w").to_numpy())
+    if not len(words):
+        discard(counts)
+        return packed(spark.createDataFrame([], "run long, weight double, ratio double"), fit_curve(np.empty((0, 2)), *np.empty((2, 0), int)))
+    corpus = stored(corpus_counts(docs, words), "corpus-counts")
+    weights = run_weights(counts.select("u", "v", "w", F.col("t0").alias("t"), F.col("o0").alias("o")), corpus)
+    some = packed(weights, np.zeros(3))
+    discard(weights)
+    held = spark.sparkContext.broadcast(some)
+    schema = pa.schema([("toxic", pa.int32()), ("strongest", pa.int32()), ("mean", pa.int32())])
+
+    def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in slices(batches, 256):
+            x = held.value.features(batch.column(1).to_pylist(), known)
+            x[:, 0] = np.maximum(x[:, 0], 0)
+            cell = np.round(x / STEP).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(cell[:, 0]), pa.array(cell[:, 1])], schema=schema)
+
+    found = rows.filter("for_curve").select("toxic", "text").mapInArrow(cells, "toxic int, strongest int, mean int")
+    table = found.groupBy("toxic", "strongest", "mean").agg(F.count("*").alias("n")).toArrow()
+    held.unpersist()
     x = np.column_stack([table.column(c).to_numpy() * STEP for c in ("strongest", "mean")])
     curve = fit_curve(x, table.column("toxic").to_numpy(), table.column("n").to_numpy())
-    return Model(run_weights(counts.select("u", "v", "w", (F.col("t0") + F.col("t1")).alias("t"), (F.col("o0") + F.col("o1")).alias("o"))), curve)
+    weights = run_weights(counts.select("u", "v", "w", (F.col("t0") + F.col("t1")).alias("t"), (F.col("o0") + F.col("o1")).alias("o")), corpus)
+    model = packed(weights, curve)
+    discard(rows, counts, corpus, weights)
+    return model
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -408,17 +364,37 @@ def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, r
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for each row from its whole text; null and empty texts score as texts without a word."""
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"))
-    return asked.join(text_features(docs, model.weights), "key", "left").select("doc_id", model.score().alias("score"))
+    """(doc_id, score) for each row from its whole text; null and empty texts score as texts without a word.
+
+    One pass without a shuffle; the model is broadcast, its size bounded by :data:`MOST_RUNS`. Very
+    long texts are scored whole, a few texts at a time. Repeated rows score alike, as do equal
+    texts; ties don't arise. A null doc_id is kept. No rows give no rows.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for start, end in text_slices(texts, TEXT_CHARS):
+                score = held.value.scores(texts[start:end], known)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(score)], schema=schema)
+
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return asked.mapInArrow(run, "doc_id long, score double")
 
 
 def ordinary_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score below the threshold."""
-    toxic = text_features(docs, model.weights).filter(model.score() >= threshold).select(F.col("key").alias("toxic_key"))
-    if 1 / (1 + np.exp(-np.clip(model.curve[0], -30, 30))) >= threshold:  # texts without a word are toxic too
-        wordless = docs.filter(F.col("text").isNull() | ~F.col("text").rlike(r"[\p{L}\p{M}\p{N}]")).select(text_key().alias("toxic_key"))
-        toxic = toxic.unionByName(wordless.distinct())
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key().alias("key"))
-    left = held.join(toxic.hint("merge"), F.col("key") == F.col("toxic_key"), "left_anti")
-    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """The rows of ``docs``, all columns as they are, that score below the threshold; see :func:`score_texts`."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for start, end in text_slices(texts, TEXT_CHARS):
+                score = held.value.scores(texts[start:end], known)
+                yield batch.slice(start, end - start).filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

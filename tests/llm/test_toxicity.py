@@ -1,4 +1,4 @@
-"""Continuation counts and ratios by hand, the curve's fit, and planted expressions in unseen documents."""
+"""Weights by the Kneser-Ney formulas, the curve's fit, and planted expressions in unseen documents."""
 
 import math
 import random
@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from loanfate.llm import queries, toxicity
 from loanfate.llm.common import read_documents
@@ -36,36 +37,15 @@ def fold(i, folds):
     return zlib.crc32(str(i).encode()) % folds
 
 
-def test_counts_and_ratios_by_hand(spark, documents):
+def test_training_rows(spark, documents):
+    """All labelled rows outside the held-out fold, or about as many as asked, chosen by id whatever the order."""
     rows = corpus(300)
     docs, labels = frames(spark, documents, rows)
     training = toxicity.labelled(docs, labels).collect()
     assert sorted((r.text, r.toxic) for r in training) == sorted((t, x) for i, t, x in rows if fold(i, 3) != 1)
-    contexts = defaultdict(lambda: [set(), set()])
-    counted = [r for r in training if not r.for_curve]
-    for r in counted:
-        before = None
-        for w in toxicity.words_of(r.text):
-            contexts[w][r.toxic].add(before)
-            before = w
-    frame = spark.createDataFrame([(r.toxic, r.text) for r in counted], "toxic int, text string").repartition(3)
-    counts = toxicity.continuation_counts(frame)
-    got = {r.word: (r.ordinary, r.toxic) for r in counts.collect()}
-    assert got == {toxicity.word_hash(w): (len(a), len(b)) for w, (a, b) in contexts.items()}
-
-    total = [sum(c[k] for c in got.values()) for k in (0, 1)]
-    share = [t / sum(total) for t in total]
-    want = {}
-    for word, c in got.items():
-        p = [(max(c[k] - 0.75, 0) + 2.0 * share[k]) / share[k] for k in (0, 1)]
-        if c[1] >= 3 and math.log(p[1] / p[0]) >= 1.5:
-            want[word] = math.log(p[1] / p[0])
-    found = {r.word: r.ratio for r in toxicity.expressions(counts).collect()}
-    assert set(found) == set(want) == {toxicity.word_hash(w) for w in RUDE}
-    assert all(math.isclose(found[w], want[w], rel_tol=1e-9) for w in want)
-    text = "word1 RUDE0, word2"
-    (row,) = toxicity.features(found, [text], {})
-    assert np.allclose(row, [want[toxicity.word_hash("rude0")], want[toxicity.word_hash("rude0")] / 3])
+    some = toxicity.labelled(docs, labels, most_rows=80).collect()
+    again = toxicity.labelled(docs.repartition(5), labels.repartition(2), most_rows=80).collect()
+    assert 50 < len(some) < 110 and sorted(some) == sorted(again) and set(some) <= set(training)
 
 
 def test_curve_is_the_maximum():
@@ -129,7 +109,7 @@ def test_nothing_or_one_class_to_learn_from(spark, documents):
     assert toxicity.score_texts(docs, toxicity.fit(docs.limit(0), labels)).count() == 60
 
 
-def plain_mean(rows, text):
+def plain_mean(rows, corpus, text):
     """Log-likelihood ratio per word of interpolated Kneser-Ney models of three words, straight from the formulas."""
     c3 = [defaultdict(int), defaultdict(int)]
     for t, toxic in rows:
@@ -143,11 +123,19 @@ def plain_mean(rows, text):
             c2[k][v, w] += 1
         for _, w in c2[k]:
             c1[k][w] += 1
-    total = [sum(c.values()) for c in c1]
+    everywhere = defaultdict(int)
+    for t in corpus:
+        words = toxicity.words_of(t)
+        for w in [*words, ">"] if words else []:
+            everywhere[w] += 1
+    known = {w for c in c1 for w in c}
+    all_known = sum(everywhere[w] for w in known)
 
     def p(k, *run):
         if len(run) == 1:
-            return (max(c1[k][run[0]] - 0.75, 0) + 2.0 * total[k] / sum(total)) / total[k]
+            total, w = sum(c1[k].values()), run[0]
+            shared = (everywhere[w] if w in known else 1) / all_known
+            return max(c1[k][w] - 0.75, 0) / total + 0.75 * sum(n > 0 for n in c1[k].values()) / total * shared
         counts = c2[k] if len(run) == 2 else c3[k]
         following = [n for r, n in counts.items() if r[:-1] == run[:-1] and n]
         shorter = p(k, *run[1:])
@@ -156,26 +144,34 @@ def plain_mean(rows, text):
         return max(counts[run] - 0.75, 0) / sum(following) + 0.75 * len(following) / sum(following) * shorter
 
     words = ["<", "<", *toxicity.words_of(text), ">"]
+    # A word that neither class knows has the same share in both, times what both leave to the back-off.
     return sum(math.log(p(1, *r) / p(0, *r)) for r in zip(words, words[1:], words[2:])) / (len(words) - 2)
 
 
-def counted_runs(spark, rows):
+def counted_runs(spark, documents, rows, more=()):
     frame = spark.createDataFrame([(x, t, False) for t, x in rows], "toxic int, text string, for_curve boolean").repartition(3)
     counts = toxicity.trigram_counts(frame)
-    return toxicity.run_weights(counts.selectExpr("u", "v", "w", "t0 + t1 AS t", "o0 + o1 AS o"))
+    words = np.sort([r.w for r in counts.select("w").distinct().collect()])
+    everywhere = toxicity.corpus_counts(documents(list(enumerate([*(t for t, _ in rows), *more]))), words)
+    return toxicity.run_weights(counts.selectExpr("u", "v", "w", "t0 + t1 AS t", "o0 + o1 AS o"), everywhere)
 
 
 def test_sum_of_weights_is_the_kneser_ney_ratio(spark, documents):
     rng = random.Random(9)
     rows = [(" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 30))), int(rng.random() < 0.3)) for _ in range(30)]
-    weights = counted_runs(spark, rows)
-    texts = ["a", "a b c d e f g", "b zz a a a zz yy", "zz", rows[0][0], " ".join("gfedcba" * 5), "a"]
-    found = toxicity.text_features(documents([*enumerate(texts), (50, None), (51, "!")]), weights)
-    got = {r.key: r["mean"] for r in found.collect()}
-    keys = [r.k for r in documents(list(enumerate(texts))).orderBy("doc_id").select(toxicity.text_key().alias("k")).collect()]
-    assert set(got) == set(keys)
-    assert all(math.isclose(got[k], plain_mean(rows, t), rel_tol=1e-4, abs_tol=1e-5) for k, t in zip(keys, texts))
-    assert min(got.values()) < 0 < max(got.values())  # both signs
+    more = ["a a a b zz", "", "g " * 50, "never labelled words"]
+    model = toxicity.packed(counted_runs(spark, documents, rows, more), np.zeros(3))
+    texts = ["a", "a b c d e f g", "b a a a g", rows[0][0], " ".join("gfedcba" * 5), "a"]
+    got = model.features([*texts, "", "!"], {})[:, 1]
+    want = [plain_mean(rows, [*(t for t, _ in rows), *more], t) for t in texts]
+    assert np.allclose(got, [*want, 0, 0], rtol=1e-4, atol=1e-5) and min(want) < 0 < max(want)  # both signs
+
+
+def test_shared_counts_cover_texts_without_a_label(spark, documents):
+    """What is rare among labelled rows but frequent in the corpus tells less."""
+    rows = [("a b c", 1), ("a c b", 0), ("rude a b", 1), ("c a b", 0)]
+    alone, among = (toxicity.packed(counted_runs(spark, documents, rows, more), np.zeros(3)) for more in ([], ["rude"] * 400))
+    assert 0 < among.features(["rude"], {})[0, 1] < 0.8 * alone.features(["rude"], {})[0, 1]
 
 
 def test_toxic_run_of_ordinary_words(spark, documents):
@@ -194,15 +190,16 @@ def test_toxic_run_of_ordinary_words(spark, documents):
     assert all((scores[i] >= toxicity.THRESHOLD) == bool(x) for i, _, x in rows if fold(i, 3) == 1)
 
 
-def test_every_run_has_a_weight(spark):
-    """No limit and no floor: one-off words and words of the ordinary class are in the model, each once."""
+def test_every_run_has_a_weight(spark, documents):
+    """No floor: one-off words and words of the ordinary class are in the model, each once."""
     texts = [(f"one{i} two{i} three{i}", i % 2) for i in range(40)] + [("often said", 1), ("often heard", 0)]
-    weights = {r.run: r for r in counted_runs(spark, texts).collect()}
+    found = counted_runs(spark, documents, texts).collect()
+    weights = {r.run: r for r in found}
     runs = set()
     for t, _ in texts:
         runs |= set(toxicity._run_ids(toxicity._hashes(t, {})).tolist())
     # The words before a text are a history, too, and every run has one row.
-    assert runs <= set(weights) and counted_runs(spark, texts).count() == len(weights)
+    assert runs <= set(weights) and len(found) == len(weights)
     assert all(weights[toxicity.long_hash(f"one{i}")].ratio * (1 if i % 2 else -1) > 0 for i in range(40))
 
 
@@ -210,5 +207,12 @@ def test_rows_of_the_curve_are_counted_too(spark, documents):
     """Every training row has a word of its own, and the model knows all of them."""
     rows = [(i, f"own{i} {t}", x) for i, t, x in corpus(200)]
     docs, labels = frames(spark, documents, rows)
-    runs = {r.run for r in toxicity.fit(docs, labels).weights.select("run").collect()}
+    runs = set(toxicity.fit(docs, labels).runs.tolist())
     assert all((toxicity.long_hash(f"own{i}") in runs) == (fold(i, 3) != 1) for i, _, _ in rows)
+
+
+def test_model_beyond_its_bound_raises(spark, documents, monkeypatch):
+    docs, labels = frames(spark, documents, corpus(60))
+    monkeypatch.setattr(toxicity, "MOST_RUNS", 10)
+    with pytest.raises(ValueError, match="most_rows"):
+        toxicity.fit(docs, labels)
