@@ -18,6 +18,9 @@ from loanfate.llm.common import in_batches, slices, text_or_empty
 #: Longer texts are cut at safe boundaries, so that no call of the library holds more than about this.
 PIECE_CHARS = 65_536
 
+#: Longer runs of white space are encoded by themselves: the split pattern looks back over a run one step a character.
+LONG_BLANK = 10_000
+
 #: Between a character that is no white space and one white space before a visible character a match of
 #: the split pattern always ends: its white space alternatives start there anew.
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")
@@ -48,7 +51,30 @@ def safe_pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(encoding: tiktoken.Encoding, text: str, most: int = PIECE_CHARS) -> list[int]:
+@lru_cache(maxsize=4)
+def _blank_run(least: int) -> regex.Pattern:
+    return regex.compile(rf"\p{{White_Space}}{{{least},}}")
+
+
+def encode(encoding: tiktoken.Encoding, text: str, most: int = PIECE_CHARS, long_blank: int = LONG_BLANK) -> list[int]:
+    """The ids of a whole text of any length, as the library gives them.
+
+    A run of white space is one match of the split pattern, all but its last character where
+    something visible follows. Runs of ``long_blank`` characters or more, on which the library's
+    pattern runs out of stack, are found by a linear scan and merged as the single piece they are.
+    """
+    ids: list[int] = []
+    start = 0
+    if len(text) >= long_blank:
+        for blank in _blank_run(long_blank).finditer(text):
+            end = blank.end() if blank.end() == len(text) else blank.end() - 1
+            ids += _encode_pieces(encoding, text[start:blank.start()], most)
+            ids += encoding._encode_single_piece(text[blank.start():end])
+            start = end
+    return ids + _encode_pieces(encoding, text[start:], most)
+
+
+def _encode_pieces(encoding: tiktoken.Encoding, text: str, most: int) -> list[int]:
     ids: list[int] = []
     for piece in safe_pieces(text, most):
         ids += encoding.encode_ordinary(piece)
@@ -65,7 +91,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, piece_chars:
 
     A null or empty text has no ids. Rows stay as they are, repeats included; a null
     doc_id stays null. Other columns are not read, so their names cannot clash. A long
-    text is encoded piece by piece, which gives the same ids. No shuffle.
+    text is encoded piece by piece, which gives the same ids. No rows give no rows. No shuffle.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(rank_file, pattern)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanfate.llm.common import in_batches, slices, stored, text_or_empty
-from loanfate.llm.token_words import SpacedEncoder, id_bytes
+from loanfate.llm.token_words import ByteEncoder, id_bytes
 
 WINDOW = 2048
 #: Open windows kept by each partition.
@@ -183,7 +183,7 @@ def _merge_round(window: int, open_windows: int, least_cut: int):
 def encode_for_packing(docs: DataFrame, tokenizer_file: str, end_id: int = 1) -> DataFrame:
     """(doc_id, ids binary): the ids of each whole text, then ``end_id``; a null text is empty."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = SpacedEncoder(tokenizer_file), id_bytes([end_id])
+        encoder, last = ByteEncoder(tokenizer_file), id_bytes([end_id])
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
         for batch in slices(batches, 1024):
             texts = batch.column(1).to_pylist()

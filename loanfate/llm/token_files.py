@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanfate.llm.common import (
-    id_boundaries, in_batches, partitions_for, range_bucket, slices, text_or_empty,
+    id_boundaries, in_batches, range_bucket, slices, text_or_empty, text_slices,
 )
-from loanfate.llm.token_words import BareEncoder, id_bytes
+from loanfate.llm.token_words import WordEncoder, id_bytes
 
 MAGIC, INDEX_MAGIC = b"BPL1", b"BPLI"
 BLOCK_IDS = 16_384
+#: Characters of texts that make about one file, and those that are encoded together.
+FILE_CHARS, BATCH_CHARS = 16_000_000, 4_000_000
 END = b"\n"
 
 
@@ -159,10 +161,10 @@ def write_token_files(
 ) -> None:
     """Encode each whole text, append ``end_id`` and write the ids to files below ``path``.
 
-    Documents go to ``files`` ranges of doc_id (by default the session's shuffle partitions)
-    of even counts, a file each. Rows of one doc_id are ordered by their text's checksum,
+    Documents go to ``files`` ranges of doc_id of even counts, a file each; by default one for
+    every :data:`FILE_CHARS` characters of the texts. Rows of one doc_id are ordered by their text's checksum,
     null before empty. A null doc_id comes first. A null or empty text has the
-    end id only. The ids meet the shuffle, not the texts' other columns. An empty table
+    end id only; a very long one may be most of a file. The ids meet the shuffle, not the texts' other columns. An empty table
     gives no file.
     """
     encoder = _encoder(tokenizer_file, end_id)
@@ -171,7 +173,7 @@ def write_token_files(
         F.col("text").isNotNull().alias("has_text"),
     )
     encoded = source.mapInArrow(encoder, "doc_id long, tie string, ids binary")
-    n = files or partitions_for(docs)
+    n = files or 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // FILE_CHARS
     cuts = id_boundaries(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", n)
     ranged = encoded.withColumn("file_range", range_bucket("doc_id", cuts))
     # One partition per range: the partitioner gets the numbers 0 to n-1 as they are.
@@ -187,14 +189,14 @@ def _encoder(tokenizer_file: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.string()), ("ids", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = BareEncoder(tokenizer_file), id_bytes([end_id])
-        for batch in slices(batches, 1024):
+        encoder, last = WordEncoder(tokenizer_file), id_bytes([end_id])
+        for batch in batches:
             texts = batch.column(1).to_pylist()
-            rows = zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist())
-            yield from in_batches(
-                ((i, f"{int(known)}{zlib.crc32(text.encode()):08x}", encoder.encode(text) + last) for i, text, known in rows),
-                schema,
-            )
+            for start, end in text_slices(texts, BATCH_CHARS):
+                some = texts[start:end]
+                rows = zip(batch.column(0)[start:end].to_pylist(), some, batch.column(2)[start:end].to_pylist(), encoder.encode_all(some))
+                tied = ((i, f"{int(known)}{zlib.crc32(text.encode()):08x}", ids + last) for i, text, known, ids in rows)
+                yield from in_batches(tied, schema)
 
     return run
 

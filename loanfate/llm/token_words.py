@@ -1,24 +1,39 @@
-"""Ids of whole texts by the tokenizers library, with the ids of common words remembered.
+"""Ids of whole texts by the vocabularies of the tokenizers library, from the merges of its files.
 
-The library splits a text before its merges; the splits never span certain places. Between
-such places a text is a sequence of words, most of them met before in the same task, and
-the library is asked once for each. The ids are those of the whole text at once.
+The merges are done by tiktoken, which takes a vocabulary as ranks: a file's ids ascend with its
+merges, so ids are ranks. A word end is written as a byte that no UTF-8 text has; the merges of a
+letter with it come first, as the file's letters with a word end are single symbols.
+
+:class:`ByteEncoder` hands whole texts to the library. :class:`WordEncoder` is for vocabularies that
+drop white space: words stand alone between blanks, so a batch's different words are encoded once
+and its texts are gathered from them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import string
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from tokenizers import Tokenizer
 
-#: Words remembered by a cache in each of two generations. Bounds its memory, never its results.
+from loanfate.llm import bpe
+
+#: Words remembered by a worker in each of two generations. Bounds its memory, never its results.
 REMEMBERED_WORDS = 150_000
 #: Longer words are not remembered.
 REMEMBERED_CHARS = 64
+#: Stands for the end of a word.
+WORD_END = b"\xff"
 
+#: Fixed value: the split pattern of the library's byte-level pre-tokenizer.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Marks that may end a word: together they are one match, and the letters before them another.
 _MARKS = string.punctuation
@@ -32,7 +47,59 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_LETTERS = _byte_letters()
+def id_bytes(ids: list[int]) -> bytes:
+    """The ids as little-endian unsigned 32-bit integers."""
+    held = array("I", ids)
+    if held.itemsize != 4:
+        raise RuntimeError("this platform has no 32-bit array type")
+    if os.sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
+@lru_cache(maxsize=4)
+def load_tokenizer(path: str) -> Tokenizer:
+    """Once in each Python worker; strings of special tokens in a text are ordinary text.
+
+    Spark runs a worker for each core, so the library's own threads are switched off.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@lru_cache(maxsize=4)
+def merge_encoding(path: str) -> tiktoken.Encoding:
+    """The vocabulary of a tokenizers file as ranks; raises where its ids don't ascend with its merges."""
+    with open(path, encoding="utf-8") as held:
+        model = json.load(held)["model"]
+    end, vocabulary = model["end_of_word_suffix"] or "", model["vocab"]
+    byte = {letter: b for b, letter in _byte_letters().items()}
+
+    def spelled(token: str) -> bytes:
+        if end and token.endswith(end):
+            return bytes(byte[c] for c in token.removesuffix(end)) + WORD_END
+        return bytes(byte[c] for c in token)
+
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = [vocabulary[a + b] for a, b in pairs]
+    base = len(byte) * (2 if end else 1)
+    if merged != list(range(base, base + len(merged))):
+        raise ValueError(f"the ids of {path} don't ascend with its merges")
+    letters = {t: i for t, i in vocabulary.items() if i < base}
+    ranks = {spelled(t): i for t, i in letters.items()} | {spelled(a + b): i for (a, b), i in zip(pairs, merged)}
+    return tiktoken.Encoding("merges", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class ByteEncoder:
+    """For byte-level vocabularies without a normaliser: whole texts, as :func:`bpe.encode` takes them."""
+
+    def __init__(self, path: str) -> None:
+        self.encoding = merge_encoding(path)
+
+    def encode(self, text: str) -> bytes:
+        return id_bytes(bpe.encode(self.encoding, text))
 
 
 def plain_word(word: str) -> bool:
@@ -40,21 +107,18 @@ def plain_word(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
-class WordCache(dict):
-    """Word to its ids as little-endian unsigned 32-bit integers; asks the library on a miss.
+class WordEncoder(dict):
+    """For lower-case vocabularies with word ends that drop white space: a word to its ids.
 
-    ``before`` is put in front of the word for the library. A word of plain letters is one
-    match of the split pattern, and marks behind it are another: the letters go to the
-    library's merges directly, in lower case where the vocabulary is. All else goes through
-    the whole library. When the cache is full it becomes the old generation, from which words
-    met again come back; so frequent words stay and rare ones go.
+    A word of plain letters is one match of the split pattern, and marks behind it are another:
+    the lower-cased letters are merged directly. All else goes through the whole library. When
+    the dictionary is full it becomes the old generation, from which words met again come back; so
+    frequent words stay and rare ones go.
     """
 
-    def __init__(self, path: str, before: str = "", lower: bool = False) -> None:
+    def __init__(self, path: str) -> None:
         super().__init__()
-        self.tokenizer = load_tokenizer(path)
-        self.model = self.tokenizer.model
-        self.before, self.lower = before, lower
+        self.tokenizer, self.encoding = load_tokenizer(path), merge_encoding(path)
         self.marks: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -72,99 +136,37 @@ class WordCache(dict):
     def _ask(self, word: str) -> bytes:
         core = word.rstrip(_MARKS)
         if not core or not plain_word(core):
-            return self._whole(self.before, word)
+            return self._whole(word)
         if core != word:
             return self[core] + self._marks(word[len(core):])
-        letters = self.before + (word.lower() if self.lower else word)
-        if self.before or not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(_LETTERS)
-        return id_bytes([t.id for t in self.model.tokenize(letters)])
+        return id_bytes(self.encoding._encode_single_piece(word.lower().encode() + WORD_END))
 
     def _marks(self, marks: str) -> bytes:
         ids = self.marks.get(marks)
         if ids is None:
-            ids = self._whole("", marks)
+            ids = self._whole(marks)
             if len(self.marks) < 1000 and len(marks) <= REMEMBERED_CHARS:
                 self.marks[marks] = ids
         return ids
 
-    def _whole(self, before: str, word: str) -> bytes:
-        return id_bytes(self.tokenizer.encode(before + word, add_special_tokens=False).ids)
-
-
-def id_bytes(ids: list[int]) -> bytes:
-    held = array("I", ids)
-    if held.itemsize != 4:
-        raise RuntimeError("this platform has no 32-bit array type")
-    if os.sys.byteorder == "big":
-        held.byteswap()
-    return held.tobytes()
-
-
-@lru_cache(maxsize=4)
-def load_tokenizer(path: str) -> Tokenizer:
-    """Once in each Python worker; strings of special tokens in a text are ordinary text.
-
-    Spark runs a worker for each core, so the library's own threads are switched off.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
-
-
-class SpacedEncoder:
-    """For vocabularies whose words carry the blank before them (byte-level BPE files).
-
-    A match of their split pattern takes a blank at its start only, so between a visible
-    character and a single blank before a visible character no match goes on. Words are
-    what stands between blanks; where white space meets a blank, the words around it are
-    given to the library together.
-    """
-
-    def __init__(self, path: str) -> None:
-        self.first, self.later = WordCache(path), WordCache(path, " ")
-        self.line_end = id_bytes(load_tokenizer(path).encode("\n", add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        lines = text.split("\n")
-        if all(map(_joins, lines)):
-            # A single line end between visible characters is a match of its own.
-            return self.line_end.join(map(self._line, lines))
-        return self._line(text)
-
-    def _line(self, text: str) -> bytes:
-        words = text.split(" ")
-        if all(map(_joins, words)):
-            return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
-        parts, start = [], 0
-        for i in range(1, len(words) + 1):
-            if i == len(words) or (_visible_end(words[i - 1]) and _visible_start(words[i])):
-                run = " ".join(words[start:i])
-                parts.append(self.later[run] if start else self.first[run])
-                start = i
-        return b"".join(parts)
-
-
-def _visible_start(word: str) -> bool:
-    return word != "" and not word[0].isspace()
-
-
-def _visible_end(word: str) -> bool:
-    return word != "" and not word[-1].isspace()
-
-
-def _joins(word: str) -> bool:
-    return word != "" and not word[0].isspace() and not word[-1].isspace()
-
-
-class BareEncoder:
-    """For lower-case vocabularies that drop white space: words between blanks and line ends stand alone."""
-
-    def __init__(self, path: str) -> None:
-        self.words = WordCache(path, lower=True)
+    def _whole(self, word: str) -> bytes:
+        return id_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the different words of all of them are looked up once."""
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        known = [self[w] for w in words.dictionary.to_pylist()]
+        ids = np.frombuffer(b"".join(known), "<u4")
+        size = np.array([len(k) // 4 for k in known], np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
+        at = words.indices.to_numpy()
+        length = size[at]
+        ends = np.cumsum(length)
+        place = np.repeat(begin[at] - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
+        flat = ids[place].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])]
+        return [flat[4 * a:4 * b] for a, b in zip(cuts, cuts[1:])]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import zlib
 from collections import defaultdict
 
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 from loanfate.llm import bpe, packing, queries, token_files
 from loanfate.llm.common import read_documents
-from loanfate.llm.token_words import BareEncoder, SpacedEncoder
+from loanfate.llm.token_words import ByteEncoder, WordEncoder, merge_encoding
 
 from .conftest import SF_DIR
 
@@ -46,11 +47,37 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-@pytest.mark.parametrize("name, encoder", [("byte_bpe_50k.json", SpacedEncoder), ("word_bpe_49k.json", BareEncoder)])
-def test_remembered_words_give_the_ids_of_the_whole_text(odd_texts, name, encoder):
+@pytest.mark.parametrize("name, encoder", [("byte_bpe_50k.json", ByteEncoder), ("word_bpe_49k.json", WordEncoder)])
+def test_merges_give_the_ids_of_the_library(spark, odd_texts, name, encoder):
     whole, mine = library(name), encoder(public_tokenizers.path(name))
-    for text in odd_texts + MORE_TEXTS:
-        assert np.frombuffer(mine.encode(text or ""), "<u4").tolist() == whole(text)
+    texts = [t or "" for t in [*odd_texts, *MORE_TEXTS, *texts_of(spark).values()]]
+    want = [np.array(whole(t), "<u4").tobytes() for t in texts]
+    assert [mine.encode(t) for t in texts] == want
+    if encoder is WordEncoder:
+        assert mine.encode_all(texts) == want and mine.encode_all([]) == []
+
+
+def test_ids_that_do_not_ascend_with_the_merges_raise(tmp_path):
+    held = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    held["model"]["merges"].reverse()
+    (tmp_path / "turned.json").write_text(json.dumps(held))
+    with pytest.raises(ValueError, match="ascend"):
+        merge_encoding(str(tmp_path / "turned.json"))
+
+
+def test_long_runs_of_white_space(spark, documents):
+    """Runs found by the scan give the library's ids; millions of blanks and line ends round-trip."""
+    whole, mine = tiktoken_whole(), bpe.rank_encoding(RANKS, PATTERN)
+    for blank in (" ", "\n", " \n", "\u00a0 ", "\t\r\n"):
+        for n in (1, 2, 3, 4, 5, 9, 40, 3_000):
+            run = (blank * n)[:n]
+            for text in (run, "x" + run, run + "y", "x" + run + "y", run + "!" + run + "1", "a b" + run + "c  d" + run + "\x1c" + run):
+                assert bpe.encode(mine, text, 50, 3) == whole(text)
+    long = [" " * 2_000_000, "\n" * 2_000_000, "x" + " " * 1_000_000 + "y", "a" + "\n \t" * 400_000 + " b" + " " * 700_000]
+    for text in long:
+        assert bpe.decode(mine, bpe.encode(mine, text)).decode() == text
+    got = bpe.round_trip(documents(list(enumerate(long))), RANKS, PATTERN).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(long)}
 
 
 def test_pieces_give_the_ids_of_the_whole_text(odd_texts):
