@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from loanfate.llm.common import discard, slices, stored, text_or_empty, text_slices
 
 #: About how many labelled rows the classifier learns from, those whose ids draw lowest; fewer if fewer are labelled.
-MOST_ROWS = 4000
+MOST_ROWS = 3000
 #: Runs that a model may have. Each takes 16 bytes in every Python worker; a longer table raises an error.
 MOST_RUNS = 12_000_000
 #: Hashes that stand for what is before a text's first word and after its last.
@@ -297,10 +297,10 @@ def packed(weights: DataFrame, curve: np.ndarray) -> Model:
     n = weights.count()
     if n > MOST_RUNS:
         raise ValueError(f"a model of {n} runs is over {MOST_RUNS}; learn from fewer rows (most_rows)")
-    table = weights.select("run", F.col("weight").cast("float"), F.col("ratio").cast("float")).toArrow()
-    run, weight, ratio = (table.column(c).to_numpy() for c in ("run", "weight", "ratio"))
-    order = np.argsort(run)
-    return Model(run[order], weight[order], ratio[order], curve)
+    # Sorted by the tasks, so that the driver holds one copy.
+    ordered = weights.select("run", F.col("weight").cast("float").alias("weight"), F.col("ratio").cast("float").alias("ratio")).orderBy("run")
+    table = ordered.toArrow()
+    return Model(*(table.column(c).to_numpy() for c in ("run", "weight", "ratio")), curve)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, most_rows: int = MOST_ROWS) -> Model:
@@ -320,9 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, most_
         return packed(spark.createDataFrame([], "run long, weight double, ratio double"), fit_curve(np.empty((0, 2)), *np.empty((2, 0), int)))
     corpus = stored(corpus_counts(docs, words), "corpus-counts")
     weights = run_weights(counts.select("u", "v", "w", F.col("t0").alias("t"), F.col("o0").alias("o")), corpus)
-    some = packed(weights, np.zeros(3))
+    held = spark.sparkContext.broadcast(packed(weights, np.zeros(3)))
     discard(weights)
-    held = spark.sparkContext.broadcast(some)
     schema = pa.schema([("toxic", pa.int32()), ("strongest", pa.int32()), ("mean", pa.int32())])
 
     def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, most_
 
     found = rows.filter("for_curve").select("toxic", "text").mapInArrow(cells, "toxic int, strongest int, mean int")
     table = found.groupBy("toxic", "strongest", "mean").agg(F.count("*").alias("n")).toArrow()
-    held.unpersist()
+    held.destroy()
     x = np.column_stack([table.column(c).to_numpy() * STEP for c in ("strongest", "mean")])
     curve = fit_curve(x, table.column("toxic").to_numpy(), table.column("n").to_numpy())
     weights = run_weights(counts.select("u", "v", "w", (F.col("t0") + F.col("t1")).alias("t"), (F.col("o0") + F.col("o1")).alias("o")), corpus)
