@@ -18,9 +18,9 @@ OPEN_WINDOWS = 64
 #: A window's rest of at least this many ids is filled with a cut piece when the window goes out.
 LEAST_CUT = 32
 #: Partitions whose leftover windows are merged by one task.
-MERGED_PARTITIONS = 64
-#: Sequence ids of one partition.
-SEQUENCES_PER_PARTITION = 1 << 32
+MERGED_PARTITIONS = 8
+#: Sequence ids of one partition; those from the second number on are for merged windows.
+SEQUENCES_PER_PARTITION, MERGED_SEQUENCES = 1 << 32, 1 << 31
 
 PIECE_SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -161,20 +161,23 @@ def _merge_round(window: int, open_windows: int, least_cut: int):
     def run(table: pa.Table) -> pa.Table:
         """Whole leftover windows are the pieces here; their documents' pieces stay together unless cut.
 
-        Sequence ids are those that the group's leftovers had, which no other window uses.
+        If that takes more windows than before, which a smaller number of open ones can, the windows
+        stay as they were. Sequence ids of merged windows are the first partition's reserved ones.
         """
         table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
         columns = ("doc_id", "start", "ids", "doc_tokens", "sequence_id")
         rows = list(zip(*(table.column(c).to_pylist() for c in columns)))
-        free = iter(sorted({r[4] for r in rows}))
-        packer = Packer(window, open_windows, least_cut)
-        out: list[tuple] = []
+        packer, made = Packer(window, open_windows, least_cut), []
         # Longest first: the small ones then fill what the large ones leave.
         for doc_id, start, ids, doc_tokens, _ in sorted(rows, key=lambda r: (-len(r[2]), r[4], r[1])):
-            for made in packer.add(doc_id, start, ids, doc_tokens):
-                out += _rows(made, next(free), False)
-        for made in packer.rest():
-            out += _rows(made, next(free), False)
+            made += packer.add(doc_id, start, ids, doc_tokens)
+        made += packer.rest()
+        before: dict[int, list[tuple]] = {}
+        for *piece, sequence_id in rows:
+            before.setdefault(sequence_id, []).append(tuple(piece))
+        first = rows[0][4] // SEQUENCES_PER_PARTITION * SEQUENCES_PER_PARTITION + MERGED_SEQUENCES
+        merged = dict(enumerate(made, first)) if len(made) <= len(before) else before
+        out = (row for sequence_id, pieces in merged.items() for row in _rows(pieces, sequence_id, False))
         return pa.Table.from_batches(list(in_batches(out, PIECE_SCHEMA)), schema=PIECE_SCHEMA)
 
     return run

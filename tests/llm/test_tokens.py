@@ -197,3 +197,24 @@ def test_packer_keeps_a_fixed_number_of_windows_and_fits_best():
     assert not [*packer.add(4, 0, 9 * ids, 9)]
     out = [*packer.add(5, 0, 8 * ids, 8)]  # no room: the fullest (9) goes out, its rest is too small to fill
     assert [[p[0] for p in w] for w in out] == [[4]] and len(packer.rooms) == 2
+
+
+def packed_whole(spark, sizes, partitions, **options):
+    """Pack documents of given numbers of ids; each id is its document and place, so pieces tell where they are from."""
+    want = {i: [i << 16 | k for k in range(n)] for i, n in enumerate(sizes)}
+    rows = [(i, np.array(ids, "<u4").tobytes()) for i, ids in want.items()]
+    packed = packing.pack_ids(spark.createDataFrame(rows, "doc_id long, ids binary").repartition(partitions), **options)
+    # Documents without ids have no piece.
+    check_packing(packing.with_checksums(packed).collect(), {i: ids for i, ids in want.items() if ids}, padding=1.0)
+
+
+def test_merging_that_needs_more_windows_keeps_them(spark):
+    """Nine leftover windows whose pieces, longest first, would take ten."""
+    packed_whole(spark, [1020, 540, 460] * 6 + [520, 520, 460, 460] * 3, 1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_of_random_sizes(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.choice([0, 1, 30, 460, 520, 540, 1020, 1025, 2047, 2048, 2049, 5000], 150).tolist() + rng.integers(0, 3000, 60).tolist()
+    packed_whole(spark, sizes, 1 + seed % 3, open_windows=[1, 2, 8, 64][seed], merged_partitions=1 + seed % 2)
