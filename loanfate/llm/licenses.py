@@ -2,9 +2,9 @@
 
 One automaton holds all templates, word by word. A document's words are streamed through it: at
 each word it knows the longest run of words ending there that stands in some template (the
-matching statistics). Runs that cannot grow are matches; matches of one template that follow
-each other in the text as in the template, with small gaps, are chained into a span, and a span
-that covers enough of its template names its licence. Changed words, left-out clauses and line
+matching statistics). Runs that cannot grow are matches; the best chain of matches that follow
+each other in the text as in a template, with small gaps, is a span, and a span that covers
+enough of its template names its licence. Changed words, left-out clauses and line
 breaks thus cost coverage but do not hide a licence. Whole phrases that count wherever they
 stand are states of the same automaton.
 """
@@ -71,8 +71,8 @@ class _State:
     length: int
     link: int
     next: dict[int, int] = field(default_factory=dict)
-    #: Where the state's runs end, by template: the first such place.
-    ends: dict[int, int] = field(default_factory=dict)
+    #: Where the state's runs end, by template: all such places.
+    ends: dict[int, set[int]] = field(default_factory=dict)
     #: Phrases that end here: (length, label), the state's own and those of its suffixes.
     phrases: tuple = ()
 
@@ -102,9 +102,8 @@ class LicenceAutomaton:
             own.setdefault(at, []).append((len(words), label))
         for at in sorted(range(1, len(self.states)), key=lambda v: -self.states[v].length):
             state = self.states[at]
-            for k, end in state.ends.items():
-                up = self.states[state.link].ends
-                up[k] = min(end, up.get(k, end))
+            for k, ends in state.ends.items():
+                self.states[state.link].ends.setdefault(k, set()).update(ends)
         for at in sorted(range(1, len(self.states)), key=lambda v: self.states[v].length):
             state = self.states[at]
             state.phrases = tuple(own.get(at, ())) + self.states[state.link].phrases
@@ -115,7 +114,7 @@ class LicenceAutomaton:
         for end, w in enumerate(words, 1):
             last = self._extend(last, self.vocabulary[w])
             if template is not None:
-                self.states[last].ends.setdefault(template, end)
+                self.states[last].ends.setdefault(template, set()).add(end)
 
     def _extend(self, last: int, symbol: int) -> int:
         states = self.states
@@ -174,29 +173,40 @@ class LicenceAutomaton:
         return places, matches
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, float]]:
-        """(label, first word, words, covered words, share of the template) of chained matches that cover enough."""
-        open_spans: dict[int, list[int]] = {}  # template: first word, end, template end, covered
-        found = []
-
-        def close(k: int) -> None:
-            first, end, _, covered = open_spans.pop(k)
-            share = covered / self.sizes[k]
-            if share >= LEAST_SHARE:
-                found.append((self.labels[k], first, end - first, covered, min(1.0, share)))
-
+        """(label, first word, words, covered words, share of the template) of chained matches that cover enough.
+
+        A match stands at one or more places of a template. For each of them the best chain that ends
+        there is found over those before it: they start and end earlier both in the text and in the
+        template, and end at most :data:`MOST_GAP` words before it in the text. A chain may pass
+        matches over. Of the chains that overlap in the text the one that covers most counts, the
+        shortest and then the first of equals.
+        """
+        chains: dict[int, list[tuple[int, int, int, int, int, int]]] = {}  # template: (first, end, template first and end, covered, chain's first)
+        live: dict[int, list[tuple]] = {}
         for first, length, state in matches:
-            for k, t_end in self.states[state].ends.items():
-                span = open_spans.get(k)
-                if span and first - span[1] <= MOST_GAP and t_end > span[2]:
-                    # Words that both matches hold, in the text or in the template, count once.
-                    shared = max(0, span[1] - first, span[2] - (t_end - length))
-                    span[1], span[2], span[3] = first + length, t_end, span[3] + max(0, length - shared)
-                else:
-                    if span:
-                        close(k)
-                    open_spans[k] = [first, first + length, t_end, length]
-        for k in list(open_spans):
-            close(k)
+            end = first + length
+            for k, places in self.states[state].ends.items():
+                near = [c for c in live.get(k, ()) if first - c[1] <= MOST_GAP]
+                fresh = []
+                for t_end in places:
+                    t_first, covered, start = t_end - length, length, first
+                    for c in near:
+                        if c[0] < first and c[1] < end and c[2] < t_first and c[3] < t_end:
+                            # Words that both matches hold, in the text or in the template, count once.
+                            sum_of_both = c[4] + max(0, length - max(0, c[1] - first, c[3] - t_first))
+                            if (sum_of_both, c[5]) > (covered, start if covered > length else -1):
+                                covered, start = sum_of_both, c[5]
+                    fresh.append((first, end, t_first, t_end, covered, start))
+                live[k] = near + fresh
+                chains.setdefault(k, []).extend(fresh)
+        found = []
+        for k, ends in chains.items():
+            enough = sorted((-covered, end - start, start) for _, end, _, _, covered, start in ends if covered >= LEAST_SHARE * self.sizes[k])
+            taken: list[tuple[int, int]] = []
+            for covered, words, start in enough:
+                if all(start >= b or start + words <= a for a, b in taken):
+                    taken.append((start, start + words))
+                    found.append((self.labels[k], start, words, -covered, min(1.0, -covered / self.sizes[k])))
         return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 
 
@@ -222,9 +232,10 @@ def scan_documents(
 ) -> DataFrame:
     """(doc_id, n_words, places, spans) of each whole text; words are counted from 0.
 
-    ``places`` are all places of the phrases, ``spans`` the covered template spans. A null
-    text is empty and has none. Rows stay as they are, repeats included; other columns are
-    not read. No shuffle.
+    ``places`` are all places of the phrases, ``spans`` the covered template spans, see
+    :meth:`LicenceAutomaton.spans` for ties. A null or empty text has none; a very long one is
+    streamed whole. Rows stay as they are, repeats and null ids included, and no rows give no rows.
+    Other columns are not read. No shuffle.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = BASE_PHRASES if phrases is None else phrases

@@ -57,10 +57,8 @@ def test_matching_statistics_equal_all_runs(seed):
     maximal = [(i + 1 - n, n) for i, n in enumerate(longest) if n >= 3 and (i + 1 == len(stream) or longest[i + 1] != n + 1)]
     assert [(a, n) for a, n, _ in matches] == maximal
     for first, n, state in matches:
-        for k, end in machine.states[state].ends.items():
-            assert list(texts[k][end - n:end]) == stream[first:first + n]
-        holders = {k for k, t in enumerate(texts) if any(list(t[i:i + n]) == stream[first:first + n] for i in range(len(t)))}
-        assert holders == set(machine.states[state].ends)
+        places = {(k, i + n) for k, t in enumerate(texts) for i in range(len(t)) if list(t[i:i + n]) == stream[first:first + n]}
+        assert places == {(k, end) for k, ends in machine.states[state].ends.items() for end in ends}
 
 
 def spans_of(text):
@@ -80,6 +78,51 @@ def test_spans_survive_changes_and_ignore_prose():
     assert spans_of(half) == [] and spans_of(half + " x" * 30 + " " + " ".join(words[len(words) // 2:])) == []
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_spans_equal_the_best_of_all_chains(seed):
+    """Random templates and texts with repeats: every chain of matches is tried."""
+    rng = random.Random(seed)
+    letters = "abcde"
+    templates = [[rng.choice(letters) for _ in range(rng.randrange(6, 14))] for _ in range(3)]
+    text = []
+    for _ in range(4):
+        t = rng.choice(templates)
+        cut, more = rng.randrange(len(t)), rng.choice([0, 2, 9, 12])
+        text += t[:cut] + [rng.choice(letters + "xyz") for _ in range(more)] + t[rng.randrange(max(1, cut - 2), len(t) + 1) - 1:]
+    machine = licenses.LicenceAutomaton([(str(k), " ".join(t)) for k, t in enumerate(templates)], {})
+    matches = machine.scan([w.encode() for w in text])[1]
+    for k, t in enumerate(templates):
+        nodes = [(f, f + n, i, i + n) for f, n, _ in matches for i in range(len(t) - n + 1) if t[i:i + n] == text[f:f + n]]
+        best = {}
+
+        def extend(last, covered, start):
+            key = start, last[1]
+            best[key] = max(covered, best.get(key, 0))
+            for q in nodes:
+                if q[0] > last[0] and q[1] > last[1] and q[2] > last[2] and q[3] > last[3] and q[0] - last[1] <= licenses.MOST_GAP:
+                    extend(q, covered + max(0, q[1] - q[0] - max(0, last[1] - q[0], last[3] - q[2])), start)
+
+        for n in nodes:
+            extend(n, n[1] - n[0], n[0])
+        enough = {key: c for key, c in best.items() if c >= licenses.LEAST_SHARE * len(t)}
+        spans = [(s[1], s[1] + s[2], s[3]) for s in machine.spans(matches) if s[0] == str(k)]
+        assert bool(spans) == bool(enough)
+        if enough:
+            most = max(enough.values())
+            assert max(s[2] for s in spans) == most
+            assert all(best[a, b] == c for a, b, c in spans)
+            # Whatever covers enough overlaps a span that covers as much at least.
+            assert all(any(a < y and x < b and c <= z for x, y, z in spans) for (a, b), c in enough.items())
+
+
+def test_grant_with_a_remark_inside(spark, documents):
+    """The remark's words stand earlier in the template, which must not break the chain."""
+    words = next(text for label, text in licenses.TEMPLATES if label == "mit" and len(text) > 60).split()
+    text = " ".join([*words[:20], "note that permission is hereby granted by us", *words[20:]])
+    (row,) = licenses.summarise(licenses.scan_documents(documents([(1, text)]))).collect()
+    assert row.labels == "mit" and row.base_labels == "" and row.score == 1.0
+
+
 def test_odd_rows(spark, documents, odd_texts):
     line = "Released Under\tthe MIT--License! cc by nc cc by nc"
     rows = [*enumerate(odd_texts), (50, line), (50, line), (None, line), (60, "under the mit licenses"), (61, "under the mit license " * 5000)]
