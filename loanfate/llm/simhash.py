@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanfate.llm.common import in_batches, slices, stored, text_or_empty
+from loanfate.llm.common import discard, in_batches, slices, stored, text_or_empty
 from loanfate.llm.components import connected_components
 
 SEED = 42
@@ -36,8 +36,6 @@ SMALL = 48
 CHUNK = 16_384
 #: Node pairs of one depth that are walked together; more are walked in turn, to bound the memory.
 NODES_AT_ONCE = 200_000
-#: Words of a wide fingerprint, and differing bits that two of its views of 32 bits may have.
-WIDE, VIEW_BUDGET = 4, 2
 #: Shingle sets of one shingle that a block holds, about; blocks meet in pairs.
 BLOCK = 256
 #: Sets, about, whose shingles say which ones are common, and common shingles listed at most: for speed only.
@@ -314,46 +312,6 @@ def near_duplicates(docs: DataFrame, budget: int = 2, size: int = 3, leaf_size:
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str, size: int) -> list[int]:
-    """SimHash of ``64 * WIDE`` bits, as unsigned words; its first word is :func:`fingerprint`.
-
-    The further bits of a shingle's hash are its 64 bits mixed anew.
-    """
-    hashes, ones, n = _shingle_hashes(text, size), np.zeros(BITS * WIDE, np.int64), 0
-    for h in hashes:
-        words = np.empty((len(h), WIDE), "<u8")
-        for k in range(WIDE):
-            words[:, k] = h
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-        ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(words)
-    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
-
-
-def most_differing_bits(similarity: float) -> int:
-    """Bits in which wide fingerprints differ, as expected, at so much Jaccard similarity of shingles.
-
-    Sets of one size and Jaccard similarity s have the cosine 2s / (1 + s), and a bit differs
-    with the share of the half circle that their angle is.
-    """
-    return int(BITS * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def view_keys() -> Column:
-    """The views of a wide fingerprint as an array of longs: a view's code, its 32 bits, and zeros.
-
-    The codes of two views differ in four bits, so keys of different views are never near.
-    """
-    keys = []
-    for v in range(2 * WIDE):
-        code = sum(1 << b for b in range(1, 8) if (v & b).bit_count() & 1) >> 1
-        half = F.shiftrightunsigned(f"w{v // 2}", 32) if v % 2 else F.col(f"w{v // 2}").bitwiseAND(F.lit(0xFFFFFFFF))
-        keys.append(F.shiftleft(half, 25).bitwiseOR(F.lit(signed(code << 57))))
-    return F.array(*keys)
-
-
 def shingle_set(text: str, size: int) -> np.ndarray:
     """XXH64 of the text's different word shingles, ascending, as signed numbers."""
     parts = [np.empty(0, "<u8"), *_shingle_hashes(text, size)]
@@ -421,7 +379,9 @@ def _near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     both = both.join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     near = common * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-6
-    return stored(both.filter(near).select("a", "b"), "near-pairs")
+    found = stored(both.filter(near).select("a", "b"), "near-pairs")
+    discard(pairs, held)
+    return found
 
 
 def similar_classes(sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -444,6 +404,7 @@ def similar_classes(sets: DataFrame, similarity: float, block: int = BLOCK) -> D
     joined = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("c"))
     placed = met.filter("held > 2").join(joined.hint("merge"), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     placed = stored(placed.select("shingle", "fp", "n", "at", "held", "c"), "placed-sets")
+    discard(entries, met)
     apart = placed.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("shingle")
     blocks = F.ceil(F.col("held") / block).cast("long")
     left = placed.join(apart.hint("merge"), "shingle").select(
@@ -481,8 +442,9 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, size: int = 5, l
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), text_or_empty().alias("text"))
     prints = stored(source.mapInArrow(run, "doc_id long, text_hash long, fp long, shingles array<long>"), "row-shingles")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    heads = prints.groupBy("fp").agg(F.min(rank).alias("head"))
+    heads = stored(prints.groupBy("fp").agg(F.min(rank).alias("head")), "heads")
     classes = similar_classes(prints, similarity, leaf_size)
+    discard(prints)
     kept = (
         heads.join(classes, "fp", "left").groupBy(F.coalesce("class_fp", "fp").alias("class_fp"))
         .agg(F.min("head").alias("head"))

@@ -9,9 +9,11 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loanfate.llm import language, line_dedup, simhash, toxicity
+from loanfate.llm import language, line_dedup, toxicity
 from loanfate.llm.common import read_documents
 
+from .test_simhash import plain_jaccard_classes
+
 SF_DIR = "/root/testdata/sf0.01"
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -42,18 +44,9 @@ def test_run_equals_plain_stages(spark):
     answers = language.identify(left, language.learn(left)).filter("lang_pred <> 'und' AND NOT (ambiguous AND score < 0.5)")
     left = left.join(answers.select("doc_id"), "doc_id")
     texts = {r.doc_id: r.text for r in line_dedup.dedup_lines(left).collect()}
-    # Groups of similar texts by comparing all wide fingerprints that nearly agree in some view.
+    # Groups of similar texts by comparing all shingle sets with each other.
     ids = sorted(texts)
-    words = np.array([simhash.wide_fingerprint(texts[i], 5) for i in ids], np.uint64)
-    halves = np.concatenate([words & np.uint64(0xFFFFFFFF), words >> np.uint64(32)], axis=1)
-    label = list(range(len(ids)))
-    most = simhash.most_differing_bits(0.8)
-    for k in range(len(ids)):
-        near = (np.bitwise_count(halves[:k] ^ halves[k]) <= simhash.VIEW_BUDGET).any(axis=1)
-        near &= np.bitwise_count(words[:k] ^ words[k]).sum(axis=1, dtype=int) <= most
-        for j in np.flatnonzero(near):
-            low, high = sorted((label[j], label[k]))
-            label = [low if x == high else x for x in label]
+    label = plain_jaccard_classes([texts[i] for i in ids])
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     want = {ids[k]: [*tokenizer.encode(texts[ids[k]], add_special_tokens=False).ids, 1] for k in sorted(set(label))}

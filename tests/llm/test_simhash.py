@@ -131,27 +131,6 @@ def test_query(spark):
 
 
 LONG = " ".join(f"w{i}" for i in range(200))
-def test_wide_fingerprint_starts_with_the_narrow_one(odd_texts):
-    for text in odd_texts:
-        words = simhash.wide_fingerprint(text or "", 3)
-        assert words[0] == simhash.fingerprint(text or "") and len(words) == simhash.WIDE
-
-
-def test_views_are_near_only_within_a_view(spark):
-    rng = random.Random(8)
-    rows = [tuple(simhash.signed(rng.getrandbits(64)) for _ in range(4)) for _ in range(20)]
-    frame = spark.createDataFrame(rows, "w0 long, w1 long, w2 long, w3 long")
-    got = frame.select("*", simhash.view_keys().alias("keys")).collect()
-    codes = set()
-    for r in got:
-        words = [r.w0 % 2**64, r.w1 % 2**64, r.w2 % 2**64, r.w3 % 2**64]
-        for v, key in enumerate(r["keys"]):
-            key %= 2**64
-            assert key >> 25 & 0xFFFFFFFF == words[v // 2] >> (32 * (v % 2)) & 0xFFFFFFFF and key & ((1 << 25) - 1) == 0
-            codes.add((v, key >> 57))
-    assert len(codes) == 8 and all((a ^ b).bit_count() > simhash.VIEW_BUDGET for i, a in codes for j, b in codes if i != j)
-
-
 def changed(words, n, rng):
     out = list(words)
     for _ in range(n):
