@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loanfate.functions import hash_uniform
 from loanfate.operators.clean import add_features, is_default, is_early, is_scheduled
 from loanfate.schema import ALL_TARGETS, CATEGORY_FEATURES, NUMERIC_FEATURES
+from loanfate.sources import staged
 
 
 def index_categories(loans: DataFrame, columns: list[str], suffix: str = "Idx") -> DataFrame:
@@ -31,6 +32,34 @@ def category_index(loans: DataFrame, columns: list[str]) -> DataFrame:
     return indexed.select(F.inline(levels)).groupBy("column", "level", "idx").count()
 
 
+def level_index(df: DataFrame, column: str) -> DataFrame:
+    """(level, count, idx): every level of a column, 0 for the most frequent, ties by level, however many there are.
+
+    The counted levels are sorted by range over the tasks, and a level's index is its place in its
+    task plus the levels of the tasks before. Only the tasks' sizes reach the driver, no level.
+    Nulls are no level.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).count()
+    ordered = counts.orderBy(F.col("count").desc(), "level")
+    # The place in the task is the low part of the increasing id.
+    numbered = staged(ordered.withColumns({"_id": F.monotonically_increasing_id(), "_task": F.spark_partition_id()}))
+    before, total = {}, 0
+    for task, n in sorted(map(tuple, numbered.groupBy("_task").count().collect())):
+        before[task], total = total, total + n
+    base = F.coalesce(F.get(F.array(*[F.lit(before.get(t, 0)) for t in range(max(before, default=-1) + 1)]), "_task"), F.lit(0)) if before else F.lit(0)
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.select("level", "count", (base + place).cast("long").alias("idx"))
+
+
+def index_large_category(df: DataFrame, column: str, suffix: str = "Idx") -> DataFrame:
+    """Add the :func:`level_index` of a column with any number of levels; rows without a level are dropped.
+
+    Rows of a level that a great many have are split by adaptive execution.
+    """
+    levels = level_index(df, column).select(F.col("level").alias(column), F.col("idx").cast("double").alias(f"{column}{suffix}"))
+    return df.join(levels, column).select(*df.columns, f"{column}{suffix}")
+
+
 def add_targets(loans: DataFrame, resolved_only: bool = False) -> DataFrame:
     """Event indicators ``probDef`` and ``probER``.
 

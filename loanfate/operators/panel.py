@@ -7,7 +7,7 @@ gives the outstanding count. The loan table is read once and each task sends at
 row per group and period to the shuffle.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanfate.functions.periods import first_of_month, month_number, month_span, period_start
@@ -180,6 +180,54 @@ def _fill_gaps(cells: DataFrame, in_order, periods: int) -> DataFrame:
     return spread.select("key", F.col("_at").alias("period"), outstanding.alias("Curcount"), *counts, *sums)
 
 
+def interval_matches(points: DataFrame, point: str, intervals: DataFrame, start: str, end: str, days: int = 92) -> DataFrame:
+    """Rows of ``points`` beside each row of ``intervals`` whose half-open range of dates holds the point.
+
+    Both sides are cut into buckets of ``days``: a point is in one, an interval in each that it
+    touches. They meet by an equi-join on the bucket, and the dates then decide. ``days`` near
+    the usual length keeps an interval in few buckets. Nulls and empty intervals match nothing.
+    """
+    def bucket(d: Column) -> Column:
+        return F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / F.lit(days)).cast("long")
+
+    last = F.date_sub(F.col(end), 1)
+    whole = intervals.filter(F.col(start) < F.col(end))
+    touched = whole.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(last))))
+    placed = points.withColumn("_bucket", bucket(F.col(point)))
+    held = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
+    return placed.join(touched, "_bucket").filter(held).drop("_bucket")
+
+
+def panel_of_periods(loans: DataFrame, periods: DataFrame, by: str = "addr_state", name: str = "state") -> DataFrame:
+    """Outcome counts per group for periods of any shape: uneven, with gaps, or overlapping.
+
+    ``periods`` has (period, period_start, period_end), each a half-open range of dates. The counts
+    are those of :func:`period_panel`, one row per group and period with any of them; ``newcount`` are
+    the loans issued in the period. Loans are first counted by group, dates and outcome, of which
+    there are few however many loans there are; only those counts meet the periods, by
+    :func:`interval_matches`.
+    """
+    facts = loans.select(
+        F.col(by).alias(name), "issue_d", "last_pymnt_d", is_default().alias("d"), is_early().alias("e"), is_scheduled().alias("s")
+    )
+    counts = facts.groupBy(name, "issue_d", "last_pymnt_d").agg(
+        F.count("*").alias("n"), F.count_if("d").alias("defcount"), F.count_if("e").alias("ERcount"), F.count_if("s").alias("Schcount")
+    )
+    none = F.lit(0).cast("long")
+    outcomes = ["defcount", "ERcount", "Schcount"]
+    ended = interval_matches(counts, "last_pymnt_d", periods, "period_start", "period_end").select(
+        name, "period", *outcomes, none.alias("Curcount"), none.alias("newcount"))
+    issued = interval_matches(counts, "issue_d", periods, "period_start", "period_end").select(
+        name, "period", *[none.alias(c) for c in outcomes], none.alias("Curcount"), F.col("n").alias("newcount"))
+    # Outstanding at a period's end: issued before it, with the last payment at it or later.
+    ends = periods.select("period", "period_end")
+    running = counts.select(name, "n", F.date_add("issue_d", 1).alias("_from"), F.date_add("last_pymnt_d", 1).alias("_to"))
+    held = interval_matches(ends, "period_end", running, "_from", "_to", days=366).select(
+        name, "period", *[none.alias(c) for c in outcomes], F.col("n").alias("Curcount"), none.alias("newcount"))
+    found = ended.unionByName(issued).unionByName(held)
+    return found.groupBy(name, "period").agg(*[F.sum(c).alias(c) for c in [*outcomes, "Curcount", "newcount"]])
+
+
 def append_panel(first: DataFrame, *more: DataFrame) -> DataFrame:
     """Stack panels by column name, in the panel's column order."""
     columns = PANEL_SCHEMA.fieldNames()

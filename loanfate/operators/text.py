@@ -2,15 +2,17 @@
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import RegexTokenizer, Word2Vec
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanfate.functions import select_once
 from loanfate.sources import staged
 
 # The names of the description clusters.
 NO_DESC, GENERIC_DESC, DETAILED_DESC = "No desc.", "Generic desc.", "Detailed desc."
 
-#: Hash buckets of words, and parts on which word vectors are trained.
+#: Hash buckets of words, and parts on which word vectors are trained by ``word2vec``.
 BUCKETS, PARTITIONS = 1 << 16, 8
 
 
@@ -25,28 +27,82 @@ def bucket_words(tokens: DataFrame, buckets: int) -> DataFrame:
     return tokens.withColumn("words", hashed)
 
 
+def _code(word: Column, first: int, digits: int) -> Column:
+    """Some hexadecimal digits of a word's md5 as a number."""
+    return F.conv(F.substring(F.md5(word), first, digits), 16, 10).cast("long")
+
+
+def word_vector_sums(tokens: DataFrame, size: int = 10, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, weight, v0, v1, ...): sums over the neighbours of each word, by hash bucket of the word.
+
+    Every word has a fixed vector of ``size`` signs, bits of its md5. A word's neighbours are the
+    other words of its description; their signs add to its sums, their number to its weight. All
+    are whole numbers, so the sums are the same however the rows are split and ordered. One pass
+    with partial sums: a task sends one row per bucket, a hot word included.
+    """
+    if not 0 < size <= 48 or not 0 < buckets <= 1 << 16:
+        raise ValueError("at most 48 signs and 65,536 buckets")
+    codes = select_once(tokens, [F.transform("words", lambda w: F.struct(
+        _code(w, 1, 12).alias("code"), (_code(w, 17, 4) % buckets).cast("int").alias("bucket"))).alias("w")])
+
+    def sign(code: Column, k: int) -> Column:
+        return 1 - 2 * F.shiftright(code, k).bitwiseAND(F.lit(1))
+
+    def total(k: int) -> Column:
+        return F.aggregate("w", F.lit(0).cast("long"), lambda t, w: t + sign(w["code"], k))
+
+    # Once per description; an explode beside it would repeat it for every word.
+    totals = select_once(codes, [F.col("w"), F.size("w").alias("n"), *[total(k).alias(f"t{k}") for k in range(size)]])
+    summed = totals.select("n", *[f"t{k}" for k in range(size)], F.explode("w").alias("w"))
+    return summed.groupBy(F.col("w.bucket").alias("bucket")).agg(
+        F.sum(F.col("n") - 1).cast("long").alias("weight"),
+        *[F.sum(F.col(f"t{k}") - sign(F.col("w.code"), k)).alias(f"v{k}") for k in range(size)],
+    )
+
+
+def _project(tokens: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Add ``result``: the mean over a description's words of their sums per neighbour; zeros where there are none."""
+    names = [f"v{k}" for k in range(size)]
+    table = staged(word_vector_sums(tokens, size, buckets))
+    vectors = table.select("bucket", *[F.try_divide(c, "weight").alias(c) for c in names])
+    kept = [c for c in tokens.columns if c != "words"]
+    rows = tokens.withColumn("_row", F.monotonically_increasing_id())
+    words = rows.select("_row", F.struct(*kept).alias("_kept"), F.explode_outer("words").alias("word"))
+    placed = words.withColumn("bucket", (_code(F.col("word"), 17, 4) % buckets).cast("int"))
+    # The table has at most ``buckets`` rows of ``size`` numbers.
+    met = placed.join(F.broadcast(vectors), "bucket", "left")
+    means = [F.coalesce(F.avg(F.coalesce(c, F.lit(0.0))), F.lit(0.0)).alias(c) for c in names]
+    out = met.groupBy("_row").agg(F.first("_kept").alias("_kept"), *means)
+    return out.select("_kept.*", array_to_vector(F.array(*names)).alias("result"))
+
+
 def embed_desc(
     loans: DataFrame,
     size: int = 10,
     seed: int = 1,
     partitions: int = PARTITIONS,
     buckets: int | None = BUCKETS,
+    method: str = "projection",
 ) -> DataFrame:
     """Replace the description by ``result``, the mean of its word vectors.
 
     Also adds ``n_words`` and ``no_desc``, what the naming of clusters needs to know about
     the text. The words are staged, so the descriptions are read and split once although
-    the vocabulary, the training and the vectors each need them.
-
-    Word2Vec holds its vocabulary in the driver and in every task. Words are therefore always
-    mapped to ``buckets`` hash buckets: the vocabulary is bounded, no word is left out, and
-    a loan's words do not depend on how much other text there is. ``None`` keeps plain
-    words, for text whose vocabulary is known to be small.
-
-    Training runs on ``partitions`` parts of the text at a time and merges what they
+    the vectors of words and of descriptions both need them.
+
+    ``projection`` sums the signs of a word's neighbours (:func:`word_vector_sums`): one pass,
+    no training, no vocabulary in the driver, and the same vectors for any number of partitions.
+    ``word2vec`` trains vectors with MLlib, which holds its vocabulary in the driver and in
+    every task. Words are then mapped to ``buckets`` hash buckets, so that no word is left out
+    and the vocabulary is bounded; ``None`` keeps plain words, for text whose vocabulary is known to
+    be small. Training runs on ``partitions`` parts of the text at a time and merges what they
     learned, so the number is part of the model and does not follow the cluster's size.
     """
     tokens = tokenize_desc(loans).withColumns({"n_words": F.size("words"), "no_desc": F.col("desc") == "none"})
+    if method == "projection":
+        return _project(staged(tokens.drop("desc")), size, buckets or BUCKETS)
+    if method != "word2vec":
+        raise ValueError(f"method must be 'projection' or 'word2vec', got {method!r}")
     tokens = staged((tokens if buckets is None else bucket_words(tokens, buckets)).drop("desc"))
     word2vec = Word2Vec(
         vectorSize=size, minCount=0, seed=seed, numPartitions=partitions, inputCol="words", outputCol="result"

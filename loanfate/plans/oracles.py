@@ -568,3 +568,33 @@ ORACLES["distinct_over_years"] = _with(LOANS, """SELECT grade, count(*) AS loans
 ORACLES["grade_samples"] = _with(LOANS_RAW, f"""SELECT loan_id, grade, loan_status FROM (
  SELECT loan_id, grade, loan_status, row_number() OVER (PARTITION BY grade ORDER BY {UNIFORM.format(seed=3)}, loan_id) AS place
  FROM loans_raw) WHERE place <= 50""")
+ORACLES["panel_any_periods"] = _with(PANEL_LOANS + """,
+periods AS (
+ SELECT period, CAST(s AS DATE) AS s, CAST(e AS DATE) AS e FROM (VALUES ('all', '1990-01-01', '2010-01-01'),
+  ('half', '1995-03-10', '1995-09-20'), ('within', '1995-05-01', '1995-05-31'), ('day', '1996-01-15', '1996-01-16'),
+  ('long', '1996-01-15', '1999-07-01'), ('empty', '1997-01-01', '1997-01-01')) AS v(period, s, e)
+), met AS (
+ SELECT addr_state AS state, period,
+  CASE WHEN last_pymnt_d >= s AND last_pymnt_d < e THEN loan_status END AS ended, frac,
+  CASE WHEN last_pymnt_d >= e AND issue_d < e THEN 1 ELSE 0 END AS running,
+  CASE WHEN issue_d >= s AND issue_d < e THEN 1 ELSE 0 END AS fresh
+ FROM panel_loans JOIN periods ON (last_pymnt_d >= s AND last_pymnt_d < e) OR (last_pymnt_d >= e AND issue_d < e) OR (issue_d >= s AND issue_d < e)
+)""", """SELECT state, period, count(*) FILTER (WHERE ended = 1) AS defcount, count(*) FILTER (WHERE ended = 0 AND frac < 1) AS "ERcount",
+ count(*) FILTER (WHERE ended = 0 AND frac >= 1) AS "Schcount", CAST(sum(running) AS BIGINT) AS "Curcount", CAST(sum(fresh) AS BIGINT) AS newcount
+ FROM met GROUP BY state, period""")
+ORACLES["amount_index"] = _with(LOANS, """SELECT installment AS level, count(*) AS count,
+ row_number() OVER (ORDER BY count(*) DESC, installment) - 1 AS idx FROM loans GROUP BY installment""")
+ORACLES["zip_index"] = _with(LOANS, """SELECT zip_code, count(*) AS count,
+ row_number() OVER (ORDER BY count(*) DESC, zip_code) - 1 AS idx FROM loans GROUP BY zip_code""")
+_SIGN = "(1 - 2 * ((CAST('0x' || substr(md5({w}), 1, 12) AS BIGINT) >> {k}) & 1))"
+ORACLES["word_vectors"] = _with(LOANS + """,
+words AS (
+ SELECT loan_id, unnest([w FOR w IN regexp_split_to_array(lower(description), '\\W') IF length(w) > 0]) AS w FROM loans
+), signed AS (
+ SELECT loan_id, CAST('0x' || substr(md5(w), 17, 4) AS BIGINT) AS bucket, """ + ", ".join(f"{_SIGN.format(w='w', k=k)} AS s{k}" for k in range(4)) + """ FROM words
+), whole AS (
+ SELECT loan_id, count(*) AS n, """ + ", ".join(f"sum(s{k}) AS t{k}" for k in range(4)) + """ FROM signed GROUP BY loan_id
+)""", "SELECT CAST(bucket AS INTEGER) AS bucket, CAST(sum(n - 1) AS BIGINT) AS weight, "
+    + ", ".join(f"CAST(sum(t{k} - s{k}) AS BIGINT) AS v{k}" for k in range(4)) + " FROM signed JOIN whole USING (loan_id) GROUP BY bucket")
+ORACLES["one_pass_predictions"] = grade_mean_predictions(
+    "SELECT target, (SELECT count(*) FROM test) AS loans, true AS same FROM (SELECT unnest(['probDef', 'timeDef', 'probER', 'timeER']) AS target)")

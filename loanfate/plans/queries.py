@@ -344,6 +344,15 @@ def panel_append(spark, d):
     return rounded(panel.append_panel(empty, early, late), 6)
 
 
+def panel_any_periods(spark, d):
+    """Overlapping, uneven and empty periods with a gap between them, and one that all loans lie in."""
+    rows = [("all", "1990-01-01", "2010-01-01"), ("half", "1995-03-10", "1995-09-20"), ("within", "1995-05-01", "1995-05-31"),
+            ("day", "1996-01-15", "1996-01-16"), ("long", "1996-01-15", "1999-07-01"), ("empty", "1997-01-01", "1997-01-01")]
+    periods = spark.createDataFrame(rows, "period string, s string, e string").select(
+        "period", F.col("s").cast("date").alias("period_start"), F.col("e").cast("date").alias("period_end"))
+    return panel.panel_of_periods(_panel_loans(spark, d), periods)
+
+
 def panel_grown(spark, d):
     """A panel of two files: loans as they stood at the end of 1998, then new and changed ones, with some unchanged ones again."""
     loans = staged(_panel_loans(spark, d).withColumn("loan_id", F.monotonically_increasing_id()))
@@ -498,6 +507,18 @@ def category_index(spark, d):
     return features.category_index(staged(clean.clean_loans(loans_raw(spark, d, CATEGORIES))), CATEGORIES)
 
 
+def amount_index(spark, d):
+    """Index of every different installment: a category as large as the table."""
+    loans = clean.clean_loans(loans_raw(spark, d, ["installment"]))
+    return features.level_index(loans, "installment")
+
+
+def zip_index(spark, d):
+    """Loans of every area by the area's index."""
+    loans = staged(clean.clean_loans(loans_raw(spark, d, ["loan_id", "zip_code"])))
+    return features.index_large_category(loans, "zip_code").groupBy("zip_code", F.col("zip_codeIdx").cast("bigint").alias("idx")).count()
+
+
 def category_cardinality(spark, d):
     return summary.category_cardinality(clean.clean_loans(loans_raw(spark, d, CATEGORIES)), CATEGORIES)
 
@@ -521,6 +542,11 @@ def desc_tokens(spark, d):
     )
 
 
+def word_vectors(spark, d):
+    """Sums of the neighbours' signs for every bucket of words."""
+    return text.word_vector_sums(text.tokenize_desc(clean.clean_loans(loans_raw(spark, d, ["loan_id", "desc"]))), 4)
+
+
 def _clusters(spark, d):
     loans = clean.clean_loans(loans_raw(spark, d, ["loan_id", "desc"]))
     return text.cluster_desc(loans)
@@ -600,6 +626,19 @@ def rate_line_predictions(spark, d):
     return rounded(predicted, 6)
 
 
+def one_pass_predictions(spark, d):
+    """Whether the one-pass lines of all targets predict what separate fits do, to eight digits."""
+    table = staged(features.model_table(_staged_loans(spark, d), CATEGORIES))
+    train, test = clean.split_train_test(table)
+    targets = COUNTERFACTUAL_TARGETS
+    one, each = (models.fit_multi_target(train, targets, learner) for learner in ("linear", "separate"))
+    both = each.transform(test)
+    gaps = [F.max(F.abs(F.col(f"{t}Pred") - one.prediction(t))).alias(t) for t in targets]
+    gap = both.agg(F.count("*").alias("loans"), *gaps)
+    rows = F.array(*[F.struct(F.lit(t).alias("target"), F.col("loans"), (F.col(t) < 1e-8).alias("same")) for t in targets])
+    return gap.select(F.inline(rows))
+
+
 def prediction_errors(spark, d):
     return models.mse_table(_predicted(spark, d, COUNTERFACTUAL_TARGETS), COUNTERFACTUAL_TARGETS)
 
@@ -694,6 +733,7 @@ QUERIES = {
     "panel_finer_key": panel_finer_key,
     "panel_append": panel_append,
     "panel_grown": panel_grown,
+    "panel_any_periods": panel_any_periods,
     "series_default_rate": series_default_rate,
     "series_early_rate": series_early_rate,
     "series_loans_issued": series_loans_issued,
@@ -720,10 +760,13 @@ QUERIES = {
     "event_targets_resolved": event_targets_resolved,
     "counterfactual_times": counterfactual_times,
     "category_index": category_index,
+    "amount_index": amount_index,
+    "zip_index": zip_index,
     "category_cardinality": category_cardinality,
     "model_table": model_table,
     "train_test_counts": train_test_counts,
     "desc_tokens": desc_tokens,
+    "word_vectors": word_vectors,
     "desc_clusters": desc_clusters,
     "desc_cluster_counts": desc_cluster_counts,
     "cluster_totals": cluster_totals,
@@ -736,6 +779,7 @@ QUERIES = {
     "predictions_counterfactual": predictions_counterfactual,
     "prediction_errors": prediction_errors,
     "rate_line_predictions": rate_line_predictions,
+    "one_pass_predictions": one_pass_predictions,
     "prediction_calibration": prediction_calibration,
     "prediction_summary": prediction_summary,
     "default_time_predictions": default_time_predictions,

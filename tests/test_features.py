@@ -1,3 +1,4 @@
+from collections import Counter
 import random
 
 import pytest
@@ -83,3 +84,16 @@ def test_statistics_stay_inside_the_query(loans):
     timed = features.counterfactual_times(loans)
     plan = timed._jdf.queryExecution().optimizedPlan().toString()
     assert "scalar-subquery" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_index_of_many_levels_is_the_rank(spark, partitions):
+    """Frequencies with many ties, one level in a third of the rows, nulls: the order of a plain sort."""
+    values = [None] * 5 + ["hot"] * 900 + [f"v{i % 700}" for i in range(1500)] + [f"w{i}" for i in range(300)]
+    table = spark.createDataFrame([(v,) for v in values], "v string").repartition(partitions)
+    counts = Counter(v for v in values if v is not None)
+    want = {v: (n, k) for k, (v, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+    assert {r.level: (r["count"], r.idx) for r in features.level_index(table, "v").collect()} == want
+    indexed = features.index_large_category(table, "v")
+    assert Counter((r.v, r.vIdx) for r in indexed.collect()) == {(v, float(k)): n for v, (n, k) in want.items()}
+    assert features.level_index(table.filter("v IS NULL"), "v").count() == 0

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loanfate.operators import evaluate, models
 from loanfate.operators.clean import split_train_test
@@ -118,3 +119,31 @@ def test_density_of_rounded_times_is_within_a_thousandth(spark):
         np.array([r.density for r in evaluate.event_time_density(times, resolution=r).orderBy("x").collect()]) for r in (None, width / 50)
     )
     assert np.abs(exact - rounded).max() < 1e-3 * exact.max()
+
+
+def test_one_pass_equals_separate_fits(spark):
+    """All targets by one matrix of sums, with collinear inputs, an input without spread and a constant target."""
+    rng = np.random.default_rng(11)
+    n = 600
+    x = rng.normal(size=(n, 3)) * [1, 1e4, 0.01] + [5, 6e4, 0]
+    grade, term = rng.integers(0, 5, n), rng.integers(0, 2, n)
+    y1 = x[:, 0] - 2e-4 * x[:, 1] + grade + rng.normal(size=n)
+    y2 = (rng.random(n) < 0.3 + 0.1 * term).astype(float)
+    rows = [(*map(float, r), 7.0, float(g), float(t), float(a), float(b), 3.0) for r, g, t, a, b in zip(x, grade, term, y1, y2)]
+    train = spark.createDataFrame(rows, "a double, b double, c double, same double, grade double, term double, y1 double, y2 double, y3 double")
+    targets, numeric, categories = ["y1", "y2", "y3"], ["a", "b", "c", "same"], ["grade", "term"]
+    one, each = (models.fit_multi_target(train, targets, k, numeric=numeric, categories=categories) for k in ("linear", "separate"))
+    assert isinstance(one, models.LinearTargets)
+    got, want = (m.transform(train).select(*[f"{t}Pred" for t in targets]).toPandas().to_numpy() for m in (one, each))
+    assert np.abs(got - want).max() < 1e-7
+    design = np.column_stack([np.ones(n), x, np.eye(5)[grade], np.eye(2)[term]])
+    assert np.allclose(got[:, 0], design @ np.linalg.lstsq(design, y1, rcond=None)[0], atol=1e-4)
+    # A level that the training rows lack adds nothing.
+    odd = train.limit(1).withColumn("grade", F.lit(9.0))
+    assert one.transform(odd).first().y1Pred is not None
+
+
+def test_lines_of_two_targets(spark):
+    train = spark.range(100).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"), (F.col("id") % 3).cast("double").alias("z"))
+    model = models.fit_multi_target(train, ["y", "z"], numeric=["x"], categories=[])
+    assert model.weights["y"][0] == pytest.approx(0, abs=1e-3) and model.weights["y"][1][0] == pytest.approx(2, abs=1e-5)

@@ -191,3 +191,33 @@ def test_groups_without_an_event_in_the_grid_are_kept(spark, loans):
     assert all(r.ER_rate is None and r.DTI is None for r in shown)
     others = panel.period_panel(loans, start, end, keep="all")
     assert table.filter("state <> 'LATER'").exceptAll(others.filter("state <> 'LATER'")).count() == 0
+
+
+def test_intervals_equal_a_range_join(spark):
+    rng = random.Random(4)
+    day = lambda k: dt.date(2010, 1, 1) + dt.timedelta(days=k)
+    points = [(i, day(rng.randint(-50, 900))) for i in range(120)] + [(500, None)]
+    spans = [(i, day(a), day(a + rng.choice([-3, 0, 1, 30, 92, 93, 700]))) for i, a in enumerate(rng.randint(-60, 880) for _ in range(60))] + [(600, None, day(3))]
+    p, s = spark.createDataFrame(points, "p int, at date"), spark.createDataFrame(spans, "s int, a date, b date")
+    want = sorted((i, j) for i, x in points for j, a, b in spans if x and a and a <= x < b)
+    for days in (1, 30, 400):
+        assert sorted((r.p, r.s) for r in panel.interval_matches(p, "at", s, "a", "b", days).collect()) == want
+
+
+def test_panel_of_any_periods_equals_one_filter_per_period(spark, loans, rows):
+    """Overlapping, nested, uneven and empty periods, one that holds everything, and a gap."""
+    spans = [("all", "2000-01-01", "2030-01-01"), ("a", "2010-02-10", "2011-07-03"), ("b", "2011-01-01", "2012-01-01"),
+             ("in b", "2011-05-15", "2011-05-16"), ("none", "2012-01-01", "2012-01-01"), ("late", "2012-06-01", "2013-02-01")]
+    periods = [(n, dt.date.fromisoformat(a), dt.date.fromisoformat(b)) for n, a, b in spans]
+    frame = spark.createDataFrame(periods, "period string, period_start date, period_end date")
+    got = {(r.state, r.period): r for r in panel.panel_of_periods(loans, frame).collect()}
+    for name, begin, stop in periods:
+        for state in {r[0] for r in rows}:
+            mine = [r for r in rows if r[0] == state]
+            want = brute(mine, begin, stop)
+            if begin >= stop:
+                want = dict.fromkeys(want, 0) | {"Curcount": want["Curcount"]}
+            row = got.get((state, name))
+            for c in ("defcount", "ERcount", "Schcount", "Curcount"):
+                assert (row[c] if row else 0) == want[c], (state, name, c)
+            assert (row.newcount if row else 0) == want["shortcount"] + want["longcount"]

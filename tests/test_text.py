@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -53,7 +54,7 @@ def test_names_follow_content(clustered):
 
 def test_vectors_are_repeatable_with_one_part(loans):
     def vectors():
-        rows = text.embed_desc(loans.coalesce(1), partitions=1).orderBy("loan_id").select("result").collect()
+        rows = text.embed_desc(loans.coalesce(1), partitions=1, method="word2vec").orderBy("loan_id").select("result").collect()
         return [r.result for r in rows]
 
     assert vectors() == vectors()
@@ -72,8 +73,8 @@ def test_words_are_bucketed_the_same_at_every_size(spark, loans):
     assert bucketed.select(F.explode("words").alias("w")).distinct().count() <= 10
     assert [r.n for r in bucketed.select(F.size("words").alias("n")).collect()] == [
         r.n for r in tokens.select(F.size("words").alias("n")).collect()]
-    assert text.embed_desc(loans, partitions=1, buckets=10).count() == 240
-    assert text.embed_desc(loans, partitions=1, buckets=None).count() == 240
+    assert text.embed_desc(loans, partitions=1, buckets=10, method="word2vec").count() == 240
+    assert text.embed_desc(loans, partitions=1, buckets=None, method="word2vec").count() == 240
 
 
 def test_names_of_more_than_three_clusters_differ(spark):
@@ -82,3 +83,41 @@ def test_names_of_more_than_three_clusters_differ(spark):
     labels = {r.label for r in text.describe_text_clusters(clustered).collect()}
     assert labels == {"No desc.", "Generic desc.", "Detailed desc.", "Detailed desc. 2", "Detailed desc. 3"}
     assert text.label_clusters(clustered).select("pred_KM").distinct().count() == 5
+
+
+def plain_sums(lists, size, buckets):
+    """Bucket to (weight, sums): every pair of words of a list, one by one."""
+    def code(word, first, digits):
+        return int(hashlib.md5(word.encode()).hexdigest()[first - 1:first - 1 + digits], 16)
+
+    out = {}
+    for words in lists:
+        for i, w in enumerate(words):
+            held = out.setdefault(code(w, 17, 4) % buckets, [0] * (size + 1))
+            for j, c in enumerate(words):
+                if i != j:
+                    held[0] += 1
+                    for k in range(size):
+                        held[1 + k] += 1 - 2 * (code(c, 1, 12) >> k & 1)
+    return out
+
+
+@pytest.mark.parametrize("size, buckets", [(3, 1 << 16), (10, 7)])
+def test_vector_sums_equal_all_pairs(spark, size, buckets):
+    rng = random.Random(3)
+    lists = [[rng.choice(["a", "b", "na\u00efve", "debt", "home", "x1"]) for _ in range(rng.randrange(0, 12))] for _ in range(40)] + [["none"]] * 5
+    tokens = spark.createDataFrame([(w,) for w in lists], "words array<string>").repartition(4)
+    got = {r.bucket: list(r)[1:] for r in text.word_vector_sums(tokens, size, buckets).collect()}
+    assert got == plain_sums(lists, size, buckets)
+
+
+def test_projection_does_not_depend_on_partitions(loans):
+    def vectors(parts):
+        return [tuple(round(x, 12) for x in r.result) for r in text.embed_desc(loans.repartition(parts)).orderBy("loan_id").collect()]
+
+    assert vectors(1) == vectors(5)
+    table = text.embed_desc(loans)
+    assert table.columns == ["loan_id", "n_words", "no_desc", "result"]
+    silent = {tuple(r.result) for r in table.filter("no_desc").collect()}
+    assert silent == {(0.0,) * 10}  # a word without neighbours has no direction
+    assert text.embed_desc(loans.limit(0)).count() == 0
