@@ -12,7 +12,7 @@ Texts of a Jaccard similarity are found by the rarest shingles of their sets, an
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -318,13 +318,21 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)).view(np.int64)
 
 
-def _common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the sets holds often, ascending, and how often; a bounded list.
+def _common_shingles(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts (text_hash, text) holds often, ascending, and how often; a bounded list.
 
     It only puts shingles in an order in which common ones come last: any list gives the same pairs.
     """
-    one_in = max(1, sets.count() // ORDER_SAMPLE)
-    sample = sets.filter(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0).select(F.explode("shingles").alias("shingle"))
+    schema = pa.schema([("shingle", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            sets = [shingle_set(t, size) for t in batch.column(0).to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], schema=schema)
+
+    one_in = max(1, source.count() // ORDER_SAMPLE)
+    sample = source.filter(F.pmod(F.xxhash64("text_hash"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "shingle long")
     often = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= 4)
     found = often.orderBy(F.desc("n"), "shingle").limit(ORDER_LIST).toArrow()
     shingle, n = (found.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
@@ -332,36 +340,42 @@ def _common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingle[order], n[order]
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(shingle, fp, n, at): the first shingles of each set of n in a common order, rare ones first.
+def _prefixes(source: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(doc_id, text_hash, fp, n, prefix) of each text: its set's hash and size, and its first shingles in a common order.
 
-    A set that is near another one holds at least its share ``similarity`` of shingles of it, so the
-    two share one of the shingles that come first, up to the number that may be lacking and one.
+    Rare shingles come first. A set that is near another one holds at least its share ``similarity``
+    of shingles of it, so the two share one of the shingles that come first, up to the number
+    that may be lacking and one.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(_common_shingles(sets))
-    schema = pa.schema([("shingle", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+    shared = source.sparkSession.sparkContext.broadcast(_common_shingles(source, size))
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "text_hash", "fp")), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+
+    def row(doc_id: int | None, text_hash: int, text: str) -> tuple:
+        (common, often), x = shared.value, shingle_set(text, size)
+        count = np.zeros(len(x), np.int64)
+        if len(common):
+            where = np.minimum(np.searchsorted(common, x), len(common) - 1)
+            count = np.where(common[where] == x, often[where], 0)
+        first = np.lexsort((x, count))[:len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
+        return doc_id, text_hash, signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)), len(x), x[first]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            yield from in_batches(map(row, *(c.to_pylist() for c in batch.columns)), schema)
+
+    return source.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, n int, prefix array<long>")
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(fp, shingles) of the texts (fp, text)."""
+    schema = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often = shared.value
         for batch in slices(batches, 256):
-            seen = set()
-            parts = [np.empty((4, 0), np.int64)]
-            for fp, held in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = held.values.to_numpy(zero_copy_only=False)
-                if fp in seen or not len(x):
-                    continue
-                seen.add(fp)
-                count = np.zeros(len(x), np.int64)
-                if len(common):
-                    where = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                    count = np.where(common[where] == x, often[where], 0)
-                first = np.lexsort((x, count))[:len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
-                parts.append(np.array([x[first], np.full(len(first), fp), np.full(len(first), len(x)), np.arange(len(first))]))
-            shingle, fp, n, at = np.concatenate(parts, axis=1)
-            columns = [pa.array(shingle), pa.array(fp), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return sets.select("fp", "shingles").mapInArrow(run, "shingle long, fp long, n int, at int").dropDuplicates(["shingle", "fp"])
+            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
+            yield from in_batches(zip(batch.column(0).to_pylist(), sets), schema)
+
+    return texts.mapInArrow(run, "fp long, shingles array<long>")
 
 
 def _may_be_near(similarity: float) -> Column:
@@ -370,11 +384,11 @@ def _may_be_near(similarity: float) -> Column:
     return left * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6
 
 
-def _near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
+def _near_pairs(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; only their sets are made."""
     pairs = stored(pairs.distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    held = stored(sets.select("fp", "shingles").join(asked, "fp").dropDuplicates(["fp"]), "asked-sets")
+    held = stored(sets_of(asked), "asked-sets")
     both = pairs.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
     both = both.join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -384,23 +398,30 @@ def _near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return found
 
 
-def similar_classes(sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(fp, class_fp) for shingle sets (fp, shingles: distinct longs) that are near another one, or linked with it.
+def similar_classes(
+    prefixes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int = BLOCK
+) -> DataFrame:
+    """(fp, class_fp) for shingle sets that are near another one, or linked with it.
 
-    Near are sets with at least this Jaccard similarity, decided by the sets themselves. Near sets
-    share a shingle of their prefixes (:func:`_prefixes`), so no pair is missed. Sets that share one
-    are first compared with one of them. Then all others that share it and are not connected yet
-    are compared with each other, in blocks of about ``block`` sets, each pair of blocks a key of its own:
-    pairs that are connected already change no class, so a large group of near copies costs few.
+    ``prefixes`` has (fp, n, prefix) of every different set (:func:`_prefixes`); ``sets_of`` gives
+    (fp, shingles) for a table of asked ``fp``. Near are sets with at least this Jaccard similarity,
+    decided by the sets themselves. Near sets share a shingle of their prefixes, so no pair is missed.
+    Sets that share one are first compared with one of them. Then all others that share it and are
+    not connected yet are compared with each other, in blocks of about ``block`` sets, each pair of
+    blocks a key of its own: pairs that are connected already change no class, so a large group of
+    near copies costs few.
     """
-    entries = stored(_prefixes(sets, similarity), "prefixes")
-    groups = entries.groupBy("shingle").agg(F.count("*").alias("held"), F.min(F.struct("fp", "n", "at")).alias("lead")).filter("held > 1")
+    entries = prefixes.select("fp", "n", F.posexplode("prefix").alias("at", "shingle"))
+    held = stored(entries.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1"), "shared-shingles")
+    entries = stored(entries.join(held.hint("merge"), "shingle"), "prefixes")
+    discard(held)
+    groups = entries.groupBy("shingle").agg(F.min(F.struct("fp", "n", "at")).alias("lead"))
     met = stored(entries.join(groups.hint("merge"), "shingle").filter("fp <> lead.fp"), "met-sets")
     with_lead = met.select(
         F.col("lead.fp").alias("a"), F.col("lead.n").alias("na"), F.col("lead.at").alias("ata"),
         F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"),
     )
-    found = _near_pairs(with_lead.filter(_may_be_near(similarity)).select("a", "b"), sets, similarity)
+    found = _near_pairs(with_lead.filter(_may_be_near(similarity)).select("a", "b"), sets_of, similarity)
     joined = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("c"))
     placed = met.filter("held > 2").join(joined.hint("merge"), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     placed = stored(placed.select("shingle", "fp", "n", "at", "held", "c"), "placed-sets")
@@ -414,7 +435,7 @@ def similar_classes(sets: DataFrame, similarity: float, block: int = BLOCK) -> D
     two = left.select("shingle", F.col("other").alias("i"), F.col("mine").alias("j"), *[F.col(x).alias(f"{x}{y}") for x, y in (("fp", "b"), ("n", "b"), ("at", "b"), ("c", "b"))])
     crossed = one.hint("merge").join(two, ["shingle", "i", "j"]).filter((F.col("fpa") < F.col("fpb")) & (F.col("ca") != F.col("cb")))
     others = _near_pairs(
-        crossed.filter(_may_be_near(similarity)).select(F.col("fpa").alias("a"), F.col("fpb").alias("b")), sets, similarity
+        crossed.filter(_may_be_near(similarity)).select(F.col("fpa").alias("a"), F.col("fpb").alias("b")), sets_of, similarity
     )
     return connected_components(found.unionByName(others)).select(F.col("node").alias("fp"), F.col("component").alias("class_fp"))
 
@@ -430,34 +451,32 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, size: int = 5, l
     """
     names = docs.columns
     text_hash = F.xxhash64(F.col("text").isNull(), "text")
-    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "text_hash", "fp")), ("shingles", pa.list_(pa.int64()))])
+    # The row is held as one value, so the keys' names cannot clash with its columns.
+    keys = ["r_id", "r_null", "r_hash"]
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("r_id"),
+        F.col("doc_id").isNull().alias("r_null"), text_hash.alias("r_hash"),
+    )
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            ids, hashes, texts = (c.to_pylist() for c in batch.columns)
-            sets = [shingle_set(t, size) for t in texts]
-            prints = (signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets)
-            yield from in_batches(zip(ids, hashes, prints, sets), schema)
+    def named(head: str) -> list[Column]:
+        return [F.coalesce(f"{head}.doc_id", F.lit(0)).alias("r_id"), F.col(f"{head}.doc_id").isNull().alias("r_null"),
+                F.col(f"{head}.text_hash").alias("r_hash")]
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """Made anew from the text of one row of each set, so that no table holds the sets of all texts."""
+        rows = heads.join(asked, "fp").select("fp", *named("head"))
+        texts = held.select(*keys, F.coalesce(F.col("row.text"), F.lit("")).alias("text")).dropDuplicates(keys)
+        return _sets(texts.join(rows.hint("merge"), keys).select("fp", "text"), size)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), text_or_empty().alias("text"))
-    prints = stored(source.mapInArrow(run, "doc_id long, text_hash long, fp long, shingles array<long>"), "row-shingles")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    heads = stored(prints.groupBy("fp").agg(F.min(rank).alias("head")), "heads")
-    classes = similar_classes(prints, similarity, leaf_size)
-    discard(prints)
+    of_print = _prefixes(source, similarity, size).groupBy("fp").agg(F.min(rank).alias("head"), F.min(F.struct("n", "prefix")).alias("set"))
+    heads = stored(of_print.select("fp", "head", "set.n", "set.prefix"), "heads")
+    classes = similar_classes(heads.filter("n > 0").select("fp", "n", "prefix"), sets_of, similarity, leaf_size)
     kept = (
         heads.join(classes, "fp", "left").groupBy(F.coalesce("class_fp", "fp").alias("class_fp"))
         .agg(F.min("head").alias("head"))
     )
-    kept = kept.select(
-        F.coalesce("head.doc_id", F.lit(0)).alias("r_id"), F.col("head.doc_id").isNull().alias("r_null"),
-        F.col("head.text_hash").alias("r_hash"),
-    )
-    # The row is held as one value, so the keys' names cannot clash with its columns.
-    keys = ["r_id", "r_null", "r_hash"]
-    held = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("r_id"),
-        F.col("doc_id").isNull().alias("r_null"), text_hash.alias("r_hash"),
-    )
+    kept = kept.select(*named("head"))
     once = held.join(kept, keys).dropDuplicates(keys)
     return once.select(*[F.col("row").getField(c).alias(c) for c in names])
