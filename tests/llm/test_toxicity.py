@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 
 from loanfate.llm import queries, toxicity
 from loanfate.llm.common import read_documents
@@ -48,6 +49,12 @@ def test_training_rows(spark, documents):
     assert 50 < len(some) < 110 and sorted(some) == sorted(again) and set(some) <= set(training)
 
 
+def test_words_are_runs_of_letters_marks_and_digits(odd_texts):
+    """The fast way for texts below U+0300 gives what the classes of Unicode say."""
+    texts = [t or "" for t in odd_texts] + ["".join(map(chr, range(0x300))), "\u00bd\u00b2 x_y \u02c0\u00aa\u00d7", "\u0130\u0301 \u1e9e \u0660"]
+    assert [toxicity.words_of(t) for t in texts] == [regex.findall(r"[\p{L}\p{M}\p{N}]+", t.lower()) for t in texts]
+
+
 def test_curve_is_the_maximum():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 2)).round(1)
