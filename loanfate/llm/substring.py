@@ -28,6 +28,10 @@ WINDOW, ANCHOR = 35, 5
 #: Places of an anchor beyond which its stretches are cut into windows, and stretches of a shard.
 #: They divide the work and change no result.
 MOST_PLACES, SHARD_STRETCHES = 1000, 8000
+#: Bytes of texts whose words are hashed at a time, which takes about a hundred times as much memory.
+HASHED_BYTES = 1 << 20
+#: Bytes of texts whose stretches are cut at a time; a longer text is cut by itself.
+STRETCHED_BYTES = 1 << 22
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -81,6 +85,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[
     return _mixed((summed[ends] - summed[starts]) * down[starts]), text
 
 
+def hashes_of_texts(data: np.ndarray, offsets: np.ndarray, powers: Powers, most: int = HASHED_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_hashes` of texts of any length, about ``most`` bytes at a time, cut at blanks and between texts."""
+    parts, start = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
+    blanks = np.flatnonzero(_SPACE[data]) if len(data) > most else offsets[:0]
+    while start < len(data):
+        end = len(data)
+        if end - start > most:
+            cuts = [x[x > start + most][:1] for x in (blanks, offsets)]
+            end = min([int(c[0]) for c in cuts if len(c)], default=end)
+        within = np.unique(np.clip(offsets, start, end)) - start
+        first = int(np.searchsorted(offsets, start, side="right")) - 1
+        number = np.searchsorted(offsets, within[:-1] + start, side="right") - 1 if len(within) > 1 else np.array([first])
+        hashes, text = word_hashes(data[start:end], within if len(within) > 1 else np.array([0, end - start]), powers)
+        parts.append((hashes, number[text]))
+        start = end
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def stretches(hashes: np.ndarray, text: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """(anchor hash, text number, first window, windows) of the stretches of windows with one anchor.
 
@@ -131,21 +153,27 @@ def _anchor_rows(window: int, anchor: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            if not batch.num_rows:
-                continue
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            h, owner, first, count = stretches(*word_hashes(*_text_bytes(batch.column(2)), powers), window, anchor)
-            order = np.lexsort((first, h, owner))
-            h, owner, span = h[order], owner[order], (first[order] << 8) | count[order]
-            cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.empty(0, int)
-            offsets = np.append(cut, len(h)).astype(np.int32)
-            rows = [
-                pa.array(h[cut].view(np.int64)), pa.array(ids[owner[cut]]), pa.array(keys[owner[cut]]),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(span)),
-            ]
-            whole = pa.RecordBatch.from_arrays(rows, schema=schema)
-            for start in range(0, whole.num_rows, 50_000):
-                yield whole.slice(start, 50_000)
+            data, offsets = _text_bytes(batch.column(2))
+            # Some texts at a time, a long one by itself.
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + STRETCHED_BYTES)) - 1)
+                yield from of_texts(ids[start:end], keys[start:end], data[offsets[start]:offsets[end]], offsets[start:end + 1] - offsets[start], powers)
+                start = end
+
+    def of_texts(ids, keys, data, offsets, powers: Powers) -> Iterator[pa.RecordBatch]:
+        h, owner, first, count = stretches(*hashes_of_texts(data, offsets, powers), window, anchor)
+        order = np.lexsort((first, h, owner))
+        h, owner, span = h[order], owner[order], (first[order] << 8) | count[order]
+        cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.empty(0, int)
+        rows = [
+            pa.array(h[cut].view(np.int64)), pa.array(ids[owner[cut]]), pa.array(keys[owner[cut]]),
+            pa.ListArray.from_arrays(pa.array(np.append(cut, len(h)).astype(np.int32)), pa.array(span)),
+        ]
+        whole = pa.RecordBatch.from_arrays(rows, schema=schema)
+        for k in range(0, whole.num_rows, 50_000):
+            yield whole.slice(k, 50_000)
 
     return run
 

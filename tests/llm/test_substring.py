@@ -63,6 +63,19 @@ def test_suffixes_and_ranks():
         assert rank.tolist() == [int((text[:i] == c).sum()) for i in at]
 
 
+@pytest.mark.parametrize("most", [1, 3, 17, 1000])
+def test_words_hash_alike_in_pieces_of_any_size(most):
+    rng = random.Random(most)
+    texts = ["".join(rng.choice("ab  \n\u00e9") for _ in range(rng.choice([0, 0, 1, 5, 60]))) for _ in range(80)] + ["", "  ", "x" * 50, ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    hashes, text = substring.hashes_of_texts(data, offsets, substring.Powers(), most)
+    words = [(i, w) for i, t in enumerate(texts) for w in substring.words_of(t)]
+    assert text.tolist() == [i for i, _ in words]
+    by_word = {}
+    assert all(by_word.setdefault(w, h) == h for (_, w), h in zip(words, hashes.tolist())) and len(set(by_word.values())) == len(by_word)
+
+
 def corpus(seed, n=60):
     """Copies, near copies, shared passages at odd places, periodic texts, texts within one word of a window."""
     rng = random.Random(seed)
@@ -112,3 +125,16 @@ def test_shared_passage_is_counted_before_it_is_dealt(spark, documents):
     rows = [(i, " ".join(f"{i}-{rng.random()}" for _ in range(40)) + (" " + passage if i % 3 == 0 else "")) for i in range(300)]
     found = substring.drop_repeated_words(documents(rows, 8), most_places=20)
     assert got(found) == plain(rows, 35)
+
+
+def test_anchors_do_not_depend_on_the_texts_taken_together(monkeypatch):
+    rows = [(i, 7 * i, t) for i, t in corpus(3, 20)]
+    batch = substring.pa.RecordBatch.from_arrays([substring.pa.array(c) for c in zip(*rows)], names=["id", "tk", "text"])
+
+    def anchors():
+        return [r for b in substring._anchor_rows(9, 3)([batch.slice(0, 30), batch.slice(30), batch.slice(0, 0)]) for r in b.to_pylist()]
+
+    whole = anchors()
+    for most in (1, 100, 5_000):
+        monkeypatch.setattr(substring, "STRETCHED_BYTES", most)
+        assert anchors() == whole and whole
