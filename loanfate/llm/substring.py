@@ -299,12 +299,16 @@ def repeated_windows(
     repeated = ranges.filter("NOT hot").select("id", "tk", F.array(F.struct("first", "windows")).alias("spans"))
     # Back from windows to the stretches that hold them, and from those to their places.
     found = windows.select("s1", "s2", "place", *name).join(ranges.filter("hot").select("id", "tk").hint("merge"), ["id", "tk"])
-    places = found.groupBy("s1", "s2").agg(F.collect_list("place").alias("places"))
-    held = hot.select("id", "tk", "first", *stretch).join(places.hint("merge"), ["s1", "s2"])
+    places = stored(found.groupBy("s1", "s2").agg(F.collect_list("place").alias("places")), "window-places")
+    # A text has a stretch once here, however often it repeats it; a stretch that many texts have is a skewed
+    # key of the join, which adaptive execution splits.
+    held = hot.select("id", "tk", "first", *stretch).groupBy("id", "tk", "s1", "s2").agg(F.collect_list("first").alias("firsts"))
+    held = held.join(places.hint("merge"), ["s1", "s2"])
     one = F.lit(1).cast("long").alias("windows")
-    back = held.select("id", "tk", F.transform("places", lambda p: F.struct((F.col("first") + p).alias("first"), one)).alias("spans"))
+    starts = F.transform("places", lambda p: F.transform("firsts", lambda f: F.struct((f + p).alias("first"), one)))
+    back = held.select("id", "tk", F.flatten(starts).alias("spans"))
     spans = stored(repeated.unionByName(back), "repeated-windows")
-    discard(cut, windows, ranges)
+    discard(cut, windows, ranges, places)
     return spans
 
 
