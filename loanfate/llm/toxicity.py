@@ -134,8 +134,9 @@ def _hashes(text: str, known: dict[str, int]) -> np.ndarray:
         return np.empty(0, np.int64)
     if len(known) > REMEMBERED_WORDS:
         known.clear()
-    for w in set(words) - known.keys():
-        known[w] = long_hash(w)
+    for w in set(words):
+        if w not in known:
+            known[w] = long_hash(w)
     return np.array([BEFORE_TEXT, BEFORE_TEXT, *map(known.__getitem__, words), AFTER_TEXT], np.int64)
 
 
