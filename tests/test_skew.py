@@ -102,6 +102,7 @@ def test_whole_tables_are_read(spark):
 
 def test_status_rule_against_the_text_patterns(spark):
     heads = ["", "Does not meet the credit policy. Status:", " ", "x"]
+    # Status texts, and below them the patterns of the rule.
     tails = ["Fully Paid", "Charged Off", "Current", "Late (16-30 days)", "Late (31-120 days)", "In Grace Period",
              " In Grace Period", "Default", "Paid", "Off", "Currently", "Paid off", "0", "2"]
     texts = [h + t for h in heads for t in tails]
