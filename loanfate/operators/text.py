@@ -1,12 +1,17 @@
 """Clusters of loan descriptions."""
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import RegexTokenizer, Word2Vec
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanfate.functions import select_once
 from loanfate.sources import staged
 
 # The names of the description clusters.
@@ -14,11 +19,64 @@ NO_DESC, GENERIC_DESC, DETAILED_DESC = "No desc.", "Generic desc.", "Detailed de
 
 #: Hash buckets of words, and parts on which word vectors are trained by ``word2vec``.
 BUCKETS, PARTITIONS = 1 << 16, 8
+#: Bytes of text split, and words whose vectors are added, at a time; they bound a task's memory only.
+BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 23, 1 << 21
+
+_GAP = ord(" ")
+_WORD_BYTES = bytes(ord(chr(b).lower()) if b < 128 and (chr(b).isalnum() or chr(b) == "_") else _GAP for b in range(256))
+# The only letters beyond ASCII whose lower case has an ASCII letter: the Kelvin sign and I with a dot (i and a mark).
+_ASCII_LOWER = {"\u212a": "k", "\u0130": "i "}
+
+
+def _row_parts(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``most`` units each, by the rows' offsets; a larger row stands alone."""
+    start, rows = 0, len(offsets) - 1
+    while start < rows:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+        yield start, end
+        start = end
+
+
+def _text_bytes(texts: pa.LargeStringArray) -> tuple[np.ndarray, bytes]:
+    """Where each text begins in the bytes of all, and those."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    return offsets - offsets[0], bytes(memoryview(texts.buffers()[2] or b"")[offsets[0]:offsets[-1]])
+
+
+def _split_part(texts: pa.Array) -> pa.Array:
+    """The words of some texts, by whole-array operations on their bytes."""
+    offsets, held = _text_bytes(texts)
+    for capital, lower in _ASCII_LOWER.items():
+        if capital.encode() in held:
+            texts = pc.replace_substring(texts, capital, lower)
+            offsets, held = _text_bytes(texts)
+    data = np.frombuffer(held.translate(_WORD_BYTES), np.uint8)
+    # Whether a byte is of a word, and whether it goes on with the word of the byte before.
+    inside = np.zeros(len(data) + 1, bool)
+    np.not_equal(data, _GAP, out=inside[:-1])
+    joined = np.zeros(len(data) + 1, bool)
+    np.logical_and(inside[:-1], inside[1:], out=joined[1:])
+    joined[offsets] = False
+    starts, ends = np.flatnonzero(inside > joined), np.flatnonzero(inside[:-1] > joined[1:]) + 1
+    ends_at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends_at), pa.py_buffer(data[inside[:-1]]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, offsets).astype(np.int32)), words)
+
+
+def split_words(texts: pa.Array) -> pa.Array:
+    """Lower-case words of each text: runs of letters A-Z, digits and _. A null text has none."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
+    parts = [_split_part(texts.slice(i, j - i)) for i, j in _row_parts(offsets, BYTES_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
 
 def tokenize_desc(loans: DataFrame) -> DataFrame:
-    """Lower-case words of the cleaned description, split at anything but letters, digits and _."""
-    return RegexTokenizer(inputCol="desc", outputCol="words", pattern="\\W").transform(loans)
+    """Add ``words``, the lower-case words of the cleaned description, split at anything but letters, digits and _.
+
+    They are those of RegexTokenizer with the pattern ``\\W``, found for a batch of texts at a time (:func:`split_words`).
+    """
+    return loans.withColumn("words", F.arrow_udf(split_words, "array<string>")("desc"))
 
 
 def bucket_words(tokens: DataFrame, buckets: int) -> DataFrame:
@@ -27,9 +85,34 @@ def bucket_words(tokens: DataFrame, buckets: int) -> DataFrame:
     return tokens.withColumn("words", hashed)
 
 
-def _code(word: Column, first: int, digits: int) -> Column:
-    """Some hexadecimal digits of a word's md5 as a number."""
-    return F.conv(F.substring(F.md5(word), first, digits), 16, 10).cast("long")
+def _coded_words(words: pa.Array, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each word among the different ones, and the bucket and signs of those, from their md5."""
+    coded = words.dictionary_encode()
+    offsets, held = _text_bytes(coded.dictionary.cast(pa.large_string()))
+    ends = offsets.tolist()
+    digests = b"".join([hashlib.md5(held[i:j], usedforsecurity=False).digest() for i, j in zip(ends, ends[1:])])
+    digest = np.frombuffer(digests, np.uint8).reshape(-1, 16).astype(np.int64)
+    code = sum(digest[:, k] << 8 * (5 - k) for k in range(6))
+    bucket = (digest[:, 8] << 8 | digest[:, 9]) % buckets
+    signs = 1 - 2 * (code[:, None] >> np.arange(size) & 1)
+    return coded.indices.to_numpy(), bucket, signs
+
+
+def _word_lists(lists: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Some rows at a time of a column of word lists: the number of words of each, and all their words."""
+    lists = pc.fill_null(lists, [])
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    for i, j in _row_parts(offsets, WORDS_AT_ONCE):
+        yield np.diff(offsets[i:j + 1]), lists.values.slice(offsets[i], offsets[j] - offsets[i])
+
+
+def _sum_rows(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values, so many of them each; zero for none."""
+    sums = np.zeros(len(counts), values.dtype)
+    filled = counts > 0
+    if filled.any():
+        sums[filled] = np.add.reduceat(values, (np.cumsum(counts) - counts)[filled])
+    return sums
 
 
 def word_vector_sums(tokens: DataFrame, size: int = 10, buckets: int = BUCKETS) -> DataFrame:
@@ -37,43 +120,62 @@ def word_vector_sums(tokens: DataFrame, size: int = 10, buckets: int = BUCKETS)
 
     Every word has a fixed vector of ``size`` signs, bits of its md5. A word's neighbours are the
     other words of its description; their signs add to its sums, their number to its weight. All
-    are whole numbers, so the sums are the same however the rows are split and ordered. One pass
-    with partial sums: a task sends one row per bucket, a hot word included.
+    are whole numbers, so the sums are the same however the rows are split and ordered. A task
+    adds up its batches of descriptions in one array and sends one row per bucket, a hot word
+    included; a word is hashed once per batch.
     """
     if not 0 < size <= 48 or not 0 < buckets <= 1 << 16:
         raise ValueError("at most 48 signs and 65,536 buckets")
-    codes = select_once(tokens, [F.transform("words", lambda w: F.struct(
-        _code(w, 1, 12).alias("code"), (_code(w, 17, 4) % buckets).cast("int").alias("bucket"))).alias("w")])
+    names = ["bucket", "n", "weight", *[f"v{k}" for k in range(size)]]
 
-    def sign(code: Column, k: int) -> Column:
-        return 1 - 2 * F.shiftright(code, k).bitwiseAND(F.lit(1))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2 + size, buckets), np.int64)
+        for batch in batches:
+            for counts, words in _word_lists(batch.column(0)):
+                which, bucket, signs = _coded_words(words, size, buckets)
+                row = np.repeat(np.arange(len(counts)), counts)
+                n = np.bincount(which, minlength=len(bucket))
 
-    def total(k: int) -> Column:
-        return F.aggregate("w", F.lit(0).cast("long"), lambda t, w: t + sign(w["code"], k))
+                def add(at: int, of_row: np.ndarray, own: np.ndarray) -> None:
+                    # A part's sums are whole numbers below 2^53, so the doubles are exact.
+                    of_word = np.bincount(which, of_row[row], len(bucket)) - n * own
+                    held[at] += np.bincount(bucket, of_word, buckets).astype(np.int64)
 
-    # Once per description; an explode beside it would repeat it for every word.
-    totals = select_once(codes, [F.col("w"), F.size("w").alias("n"), *[total(k).alias(f"t{k}") for k in range(size)]])
-    summed = totals.select("n", *[f"t{k}" for k in range(size)], F.explode("w").alias("w"))
-    return summed.groupBy(F.col("w.bucket").alias("bucket")).agg(
-        F.sum(F.col("n") - 1).cast("long").alias("weight"),
-        *[F.sum(F.col(f"t{k}") - sign(F.col("w.code"), k)).alias(f"v{k}") for k in range(size)],
-    )
+                held[0] += np.bincount(bucket, n, buckets).astype(np.int64)
+                add(1, counts, np.ones(len(bucket), np.int64))
+                for k in range(size):
+                    add(2 + k, _sum_rows(signs[which, k], counts), signs[:, k])
+        met = np.flatnonzero(held[0])
+        yield pa.RecordBatch.from_arrays([pa.array(met), *map(pa.array, held[:, met])], names=names)
+
+    parts = tokens.select("words").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return parts.groupBy(F.col("bucket").cast("int").alias("bucket")).agg(*[F.sum(c).alias(c) for c in names[2:]])
 
 
 def _project(tokens: DataFrame, size: int, buckets: int) -> DataFrame:
-    """Add ``result``: the mean over a description's words of their sums per neighbour; zeros where there are none."""
-    names = [f"v{k}" for k in range(size)]
-    table = staged(word_vector_sums(tokens, size, buckets))
-    vectors = table.select("bucket", *[F.try_divide(c, "weight").alias(c) for c in names])
-    kept = [c for c in tokens.columns if c != "words"]
-    rows = tokens.withColumn("_row", F.monotonically_increasing_id())
-    words = rows.select("_row", F.struct(*kept).alias("_kept"), F.explode_outer("words").alias("word"))
-    placed = words.withColumn("bucket", (_code(F.col("word"), 17, 4) % buckets).cast("int"))
-    # The table has at most ``buckets`` rows of ``size`` numbers.
-    met = placed.join(F.broadcast(vectors), "bucket", "left")
-    means = [F.coalesce(F.avg(F.coalesce(c, F.lit(0.0))), F.lit(0.0)).alias(c) for c in names]
-    out = met.groupBy("_row").agg(F.first("_kept").alias("_kept"), *means)
-    return out.select("_kept.*", array_to_vector(F.array(*names)).alias("result"))
+    """Add ``result``: the mean over a description's words of their sums per neighbour; zeros where there are none.
+
+    The table of at most ``buckets`` rows of ``size`` numbers goes to every task. The words are made
+    once for it and once here, and neither they nor their vectors are written or shuffled.
+    """
+    table = word_vector_sums(tokens, size, buckets).filter("weight > 0").toArrow()
+    vectors = np.zeros((size, buckets))
+    for k in range(size):
+        vectors[k, table.column("bucket").to_numpy()] = table.column(f"v{k}").to_numpy() / table.column("weight").to_numpy()
+    shared = tokens.sparkSession.sparkContext.broadcast(vectors)
+
+    def means(lists: pa.Array) -> pa.Array:
+        found = [np.empty((0, size))]
+        for counts, words in _word_lists(lists):
+            which, bucket, _ = _coded_words(words, size, buckets)
+            sums = [_sum_rows(v[bucket][which], counts) for v in shared.value]
+            found.append(np.stack(sums, axis=1) / np.maximum(counts, 1)[:, None])
+        rows = np.concatenate(found)
+        offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(size)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+
+    result = array_to_vector(F.arrow_udf(means, "array<double>")("words"))
+    return tokens.withColumn("result", result).drop("words")
 
 
 def embed_desc(
@@ -87,11 +189,11 @@ def embed_desc(
     """Replace the description by ``result``, the mean of its word vectors.
 
     Also adds ``n_words`` and ``no_desc``, what the naming of clusters needs to know about
-    the text. The words are staged, so the descriptions are read and split once although
-    the vectors of words and of descriptions both need them.
+    the text.
 
     ``projection`` sums the signs of a word's neighbours (:func:`word_vector_sums`): one pass,
-    no training, no vocabulary in the driver, and the same vectors for any number of partitions.
+    no training, no vocabulary in the driver, and the same vectors for any number of partitions. A second
+    pass splits the descriptions again, which takes less than to keep all their words.
     ``word2vec`` trains vectors with MLlib, which holds its vocabulary in the driver and in
     every task. Words are then mapped to ``buckets`` hash buckets, so that no word is left out
     and the vocabulary is bounded; ``None`` keeps plain words, for text whose vocabulary is known to
@@ -100,7 +202,7 @@ def embed_desc(
     """
     tokens = tokenize_desc(loans).withColumns({"n_words": F.size("words"), "no_desc": F.col("desc") == "none"})
     if method == "projection":
-        return _project(staged(tokens.drop("desc")), size, buckets or BUCKETS)
+        return _project(tokens.drop("desc"), size, buckets or BUCKETS)
     if method != "word2vec":
         raise ValueError(f"method must be 'projection' or 'word2vec', got {method!r}")
     tokens = staged((tokens if buckets is None else bucket_words(tokens, buckets)).drop("desc"))

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.ml.feature import RegexTokenizer
 from pyspark.sql import functions as F
 
 from loanfate.operators import text
@@ -121,3 +123,43 @@ def test_projection_does_not_depend_on_partitions(loans):
     silent = {tuple(r.result) for r in table.filter("no_desc").collect()}
     assert silent == {(0.0,) * 10}  # a word without neighbours has no direction
     assert text.embed_desc(loans.limit(0)).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_neither_kept_nor_shuffled(loans, monkeypatch):
+    """Vectors of descriptions are made where the descriptions are: no row per word, no table of words."""
+    kept = []
+    monkeypatch.setattr(text, "staged", lambda df: kept.append(df.columns) or df)
+    table = text.embed_desc(loans)
+    assert kept == [] and "Generate" not in plan(table) and "Aggregate" not in plan(table)
+    assert table.count() == 240
+
+
+def test_sums_have_no_row_per_word(loans):
+    """The grouping gets one row per bucket and task."""
+    assert "Generate" not in plan(text.word_vector_sums(text.tokenize_desc(loans)))
+
+
+ODD = ["", " ", "naïve Ünïcode", "Kelvin 5K", "İstanbul aİb", "ends_", "_a-B_9", "\U0001f600x\ty\n", "A" * 70, "ßız", "a  b", "x"]
+
+
+def test_words_are_those_of_the_regex_tokenizer(spark, monkeypatch):
+    monkeypatch.setattr(text, "BYTES_AT_ONCE", 16)
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(ODD * 3)], "i int, desc string").repartition(2)
+    want = RegexTokenizer(inputCol="desc", outputCol="words", pattern="\\W").transform(data)
+    assert sorted(text.tokenize_desc(data).collect()) == sorted(want.collect())
+    parts = text.split_words(pa.array([*ODD, None]).slice(2))
+    assert parts.to_pylist() == [r.words for r in sorted(want.collect())[2:len(ODD)]] + [[]]
+
+
+def test_sums_in_small_parts(spark, monkeypatch):
+    lists = [["a", "b", "a"], [], ["c"], ["a", "c", "d", "e", "f"], None]
+    parts = list(text._word_lists(pa.array(lists, pa.list_(pa.string()))))
+    monkeypatch.setattr(text, "WORDS_AT_ONCE", 3)
+    small = list(text._word_lists(pa.array(lists, pa.list_(pa.string()))))
+    assert len(small) > len(parts) == 1
+    assert [n for counts, _ in small for n in counts] == [3, 0, 1, 5, 0]
+    assert [w for _, words in small for w in words.to_pylist()] == parts[0][1].to_pylist()
