@@ -6,7 +6,8 @@ top is cut into leaves of about even size by quantiles of the fingerprints, a bo
 the driver walks that top with itself and so finds the pairs of leaves that can hold links.
 Each pair of leaves is one task's group, walked on from the leaves' depth to the last bit.
 
-Texts of a Jaccard similarity are found by the rarest shingles of their sets, and compared by the sets.
+Texts of a Jaccard similarity are found by their SimHash first, the others by the rarest shingles of their
+sets, and compared by the sets.
 """
 
 from __future__ import annotations
@@ -341,14 +342,14 @@ def _common_shingles(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _prefixes(source: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(doc_id, text_hash, fp, n, prefix) of each text: its set's hash and size, and its first shingles in a common order.
+    """(doc_id, text_hash, fp, n, prefix, print) of each text: its set's hash and size, its first shingles in a common order, its SimHash.
 
     Rare shingles come first. A set that is near another one holds at least its share ``similarity``
     of shingles of it, so the two share one of the shingles that come first, up to the number
     that may be lacking and one.
     """
     shared = source.sparkSession.sparkContext.broadcast(_common_shingles(source, size))
-    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "text_hash", "fp")), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "text_hash", "fp")), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("print", pa.int64())])
 
     def row(doc_id: int | None, text_hash: int, text: str) -> tuple:
         (common, often), x = shared.value, shingle_set(text, size)
@@ -357,13 +358,13 @@ def _prefixes(source: DataFrame, similarity: float, size: int) -> DataFrame:
             where = np.minimum(np.searchsorted(common, x), len(common) - 1)
             count = np.where(common[where] == x, often[where], 0)
         first = np.lexsort((x, count))[:len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
-        return doc_id, text_hash, signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)), len(x), x[first]
+        return doc_id, text_hash, signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)), len(x), x[first], signed(fingerprint(text, size))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             yield from in_batches(map(row, *(c.to_pylist() for c in batch.columns)), schema)
 
-    return source.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, n int, prefix array<long>")
+    return source.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, n int, prefix array<long>, print long")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -398,30 +399,49 @@ def _near_pairs(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
     return found
 
 
+def print_pairs(prints: DataFrame, budget: int = 2) -> DataFrame:
+    """Pairs (a, b) of different ``fp`` that connect those of ``prints`` (fp, print) whose SimHash ``print`` is linked.
+
+    Prints link at ``budget`` or fewer differing bits, found by the trie. A pair holds the least ``fp``
+    of a print, or of the least print connected with it in a group of the trie.
+    """
+    leads = stored(prints.groupBy("print").agg(F.min("fp").alias("lead")), "print-leads")
+    same = prints.join(leads, "print").filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
+    links = trie_links(leads.select(F.col("print").alias("fp")), budget)
+    near = links.join(leads.select(F.col("print").alias("a"), F.col("lead").alias("la")), "a")
+    near = near.join(leads.select(F.col("print").alias("b"), F.col("lead").alias("lb")), "b")
+    return same.unionByName(near.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+
+
 def similar_classes(
     prefixes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int = BLOCK
 ) -> DataFrame:
     """(fp, class_fp) for shingle sets that are near another one, or linked with it.
 
-    ``prefixes`` has (fp, n, prefix) of every different set (:func:`_prefixes`); ``sets_of`` gives
+    ``prefixes`` has (fp, n, prefix, print) of every different set (:func:`_prefixes`); ``sets_of`` gives
     (fp, shingles) for a table of asked ``fp``. Near are sets with at least this Jaccard similarity,
-    decided by the sets themselves. Near sets share a shingle of their prefixes, so no pair is missed.
-    Sets that share one are first compared with one of them. Then all others that share it and are
+    decided by the sets themselves. Sets linked by SimHash are compared first (:func:`print_pairs`); what
+    that connects is not compared again. An exact search for the rest follows: near sets share a shingle of
+    their prefixes, so no pair is missed.
+    Sets that share one are compared with one of them. Then all others that share it and are
     not connected yet are compared with each other, in blocks of about ``block`` sets, each pair of
     blocks a key of its own: pairs that are connected already change no class, so a large group of
     near copies costs few.
     """
-    entries = prefixes.select("fp", "n", F.posexplode("prefix").alias("at", "shingle"))
+    linked = _near_pairs(print_pairs(prefixes.select("fp", "print")), sets_of, similarity)
+    of_print = connected_components(linked).select(F.col("node").alias("fp"), F.col("component").alias("p"))
+    classed = prefixes.join(of_print, "fp", "left").withColumn("p", F.coalesce("p", "fp"))
+    entries = classed.select("fp", "n", "p", F.posexplode("prefix").alias("at", "shingle"))
     held = stored(entries.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1"), "shared-shingles")
     entries = stored(entries.join(held.hint("merge"), "shingle"), "prefixes")
     discard(held)
-    groups = entries.groupBy("shingle").agg(F.min(F.struct("fp", "n", "at")).alias("lead"))
+    groups = entries.groupBy("shingle").agg(F.min(F.struct("fp", "n", "at", "p")).alias("lead"))
     met = stored(entries.join(groups.hint("merge"), "shingle").filter("fp <> lead.fp"), "met-sets")
-    with_lead = met.select(
+    with_lead = met.filter("p <> lead.p").select(
         F.col("lead.fp").alias("a"), F.col("lead.n").alias("na"), F.col("lead.at").alias("ata"),
         F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"),
     )
-    found = _near_pairs(with_lead.filter(_may_be_near(similarity)).select("a", "b"), sets_of, similarity)
+    found = _near_pairs(with_lead.filter(_may_be_near(similarity)).select("a", "b"), sets_of, similarity).unionByName(linked)
     joined = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("c"))
     placed = met.filter("held > 2").join(joined.hint("merge"), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     placed = stored(placed.select("shingle", "fp", "n", "at", "held", "c"), "placed-sets")
@@ -470,9 +490,9 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, size: int = 5, l
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), text_or_empty().alias("text"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    of_print = _prefixes(source, similarity, size).groupBy("fp").agg(F.min(rank).alias("head"), F.min(F.struct("n", "prefix")).alias("set"))
-    heads = stored(of_print.select("fp", "head", "set.n", "set.prefix"), "heads")
-    classes = similar_classes(heads.filter("n > 0").select("fp", "n", "prefix"), sets_of, similarity, leaf_size)
+    of_print = _prefixes(source, similarity, size).groupBy("fp").agg(F.min(rank).alias("head"), F.min(F.struct("n", "prefix", "print")).alias("set"))
+    heads = stored(of_print.select("fp", "head", "set.n", "set.prefix", "set.print"), "heads")
+    classes = similar_classes(heads.filter("n > 0").select("fp", "n", "prefix", "print"), sets_of, similarity, leaf_size)
     kept = (
         heads.join(classes, "fp", "left").groupBy(F.coalesce("class_fp", "fp").alias("class_fp"))
         .agg(F.min("head").alias("head"))

@@ -238,3 +238,26 @@ def test_group_whose_members_are_near_one_of_them_only(spark, documents):
     rows = list(enumerate([*texts, " ".join(base)]))
     for leaf_size in (2, 1 << 20):
         assert [r.doc_id for r in simhash.one_of_each_group(documents(rows), leaf_size=leaf_size).collect()] == [0]
+
+
+def test_groups_are_searched_by_fingerprints_first(spark, documents, monkeypatch):
+    """What SimHash links and the sets confirm is not asked again of the sets by the search for the rest."""
+    asked = []
+    near = simhash._near_pairs
+    monkeypatch.setattr(simhash, "_near_pairs", lambda pairs, *rest: asked.append(pairs.distinct().collect()) or near(pairs, *rest))
+    rows = [(i, LONG + f" end{i}") for i in range(6)]
+    assert [r.doc_id for r in simhash.one_of_each_group(documents(rows)).collect()] == [0]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    # Prints that link with another one, but for one of each class.
+    linked = sum(c != i for i, c in enumerate(plain_classes(prints)))
+    assert linked and len(asked[0]) == linked
+    assert len(asked[1]) < len(rows) - 1
+
+
+def test_print_pairs_connect_what_links_connect(spark):
+    prints = [0, 0, 3, 7, 7 << 40, (7 << 40) + (1 << 60), 1 << 20]
+    rows = [(100 + k, p) for k, p in enumerate(prints)]
+    pairs = simhash.print_pairs(spark.createDataFrame(rows, "fp long, print long"))
+    got = {r.node: r.component for r in connected_components(pairs).collect()}
+    assert set(got) == {100, 101, 102, 103, 104, 105, 106}
+    assert len({got[k] for k in (100, 101, 102, 103, 106)}) == 1 and got[104] == got[105] != got[100]
