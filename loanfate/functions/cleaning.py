@@ -21,8 +21,9 @@ GRACE_PATTERN = r"^ +In Grace Period *$"  # the blank in front is part of the ru
 # Employment and ownership groups.
 UNDER_ONE_YEAR, ONE_TO_FOUR, FIVE_TO_NINE = "< 1 yr", "1-4 years", "5-9 years"
 
-# Fixed value: markup that the lender's site adds to a description.
-DESC_MARKUP = r"(Borrower added on [0-9][0-9]/[0-9][0-9]/[0-9][0-9] >)|<br>|<br/>"
+# Fixed value: markup that the lender's site adds to a description: 'Borrower added on 03/04/11 >', <br> and <br/>.
+# The class in front lets a search pass over all other characters without trying each form.
+DESC_MARKUP = r"[<B](?:(?<=<)br/?>|(?<=B)orrower added on [0-9][0-9]/[0-9][0-9]/[0-9][0-9] >)"
 
 
 def _col(c) -> Column:

@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from loanfate.functions import (
     clean_desc, emp_bucket, hash_uniform, home_bucket, mon_yyyy_to_date, pct_to_double, status_code, term_months,
 )
+from loanfate.functions.cleaning import DESC_MARKUP
 from loanfate.operators import clean
 from loanfate.schema import GRADE_FIELDS
 
@@ -128,3 +130,13 @@ def test_preview_and_selection(loans):
 def test_inst_to_income(spark):
     loans = spark.createDataFrame([(300.0, 60000.0), (10.0, 0.0)], "installment double, annual_inc double")
     assert [r.inst2inc for r in clean.add_features(loans).collect()] == [0.005, None]
+
+
+def test_markup_is_found_as_by_plain_alternatives(spark):
+    """The pattern starts with a class of first letters, so that no form is tried elsewhere."""
+    plain = r"(Borrower added on [0-9][0-9]/[0-9][0-9]/[0-9][0-9] >)|<br>|<br/>"
+    texts = ["Borrower added on 03/04/11 > a<br>b<br/>c", "<b<br>r>", "<br<br>/>", "Borrower added on 3/4/11 > x", "<br />",
+             "Borrower Borrower added on 03/04/11 >", "BBorrower added on 03/04/11 ><", "borrower<Borrower<br", "", None]
+    want = [re.sub(plain, "", "none" if t is None else t) for t in texts]
+    assert apply(spark, texts, clean_desc("v")) == want
+    assert DESC_MARKUP[0] == "["
