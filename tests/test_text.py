@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.ml.feature import RegexTokenizer
@@ -163,3 +164,44 @@ def test_sums_in_small_parts(spark, monkeypatch):
     assert len(small) > len(parts) == 1
     assert [n for counts, _ in small for n in counts] == [3, 0, 1, 5, 0]
     assert [w for _, words in small for w in words.to_pylist()] == parts[0][1].to_pylist()
+
+
+def test_words_stay_in_python(loans):
+    """Descriptions are split where their words are used; no list of words goes from Python to Spark and back."""
+    assert plan(text.embed_desc(loans)).count("ArrowEvalPython") == 1
+    sums = plan(text.word_vector_sums(loans))
+    assert "MapInArrow" in sums and "ArrowEvalPython" not in sums
+
+
+def test_sums_of_texts_equal_those_of_their_words(spark, monkeypatch):
+    monkeypatch.setattr(text, "BYTES_AT_ONCE", 16)
+    texts = [*ODD * 3, None, "pay debt.  pay-card", "debt", "debt "]
+    data = spark.createDataFrame([(t,) for t in texts], "desc string").repartition(2)
+    got = {r.bucket: list(r)[1:] for r in text.word_vector_sums(data, 10, 50).collect()}
+    assert got == plain_sums(text.split_words(pa.array(texts)).to_pylist(), 10, 50)
+
+
+def test_vectors_are_means_over_the_words(spark):
+    texts = ["pay debt.  pay-card", "", None, "debt ", "naïve Kelvin 5K pay"]
+    lists = text.split_words(pa.array(texts)).to_pylist()
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "loan_id long, desc string").repartition(2)
+    sums = plain_sums(lists, 3, 1 << 16)
+    for r in text.embed_desc(data, size=3).collect():
+        held = [sums[int(hashlib.md5(w.encode()).hexdigest()[16:20], 16)] for w in lists[r.loan_id]]
+        want = [sum(h[1 + k] / h[0] for h in held if h[0]) / max(1, len(held)) for k in range(3)]
+        assert r.n_words == len(held) and list(r.result) == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("most", [0, 1, 9, 70000])
+def test_several_sums_in_one_number(most):
+    rng = np.random.default_rng(most)
+    counts = rng.integers(0, most + 1, 12)
+    which = rng.integers(0, 5, counts.sum())
+    which[::2] = 0
+    signs = 1 - 2 * rng.integers(0, 2, (5, 11))
+    row = np.repeat(np.arange(12), counts)
+    sums = text._sum_signs(signs, which, counts)
+    assert [list(s) for s in sums] == [[int(signs[which[row == r], k].sum()) for r in range(12)] for k in range(11)]
+    weight = np.bincount(which, counts[row], 5).astype(np.int64)
+    by_word = text._sum_by_word(sums, which, counts, weight)
+    assert [list(s) for s in by_word] == [[int(s[row[which == w]].sum()) for w in range(5)] for s in sums]
