@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanfate.sources import staged
+from loanfate.sources import shuffles_freed, staged
 
 # The names of the description clusters.
 NO_DESC, GENERIC_DESC, DETAILED_DESC = "No desc.", "Generic desc.", "Detailed desc."
@@ -225,7 +225,8 @@ def _project(loans: DataFrame, size: int, buckets: int) -> DataFrame:
     The table of at most ``buckets`` rows of ``size`` numbers goes to every task. The words are made
     once for it and once here, and neither they nor their vectors are written, shuffled or handed from Python to Spark.
     """
-    table = word_vector_sums(loans.select("desc"), size, buckets).filter("weight > 0").toArrow()
+    with shuffles_freed(loans.sparkSession):
+        table = word_vector_sums(loans.select("desc"), size, buckets).filter("weight > 0").toArrow()
     vectors = np.zeros((size, buckets))
     for k in range(size):
         vectors[k, table.column("bucket").to_numpy()] = table.column(f"v{k}").to_numpy() / table.column("weight").to_numpy()

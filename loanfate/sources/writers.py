@@ -1,6 +1,8 @@
 """Writers, and staging of tables that later steps read several times."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -8,6 +10,10 @@ from pyspark.sql import functions as F
 
 from loanfate.sources.archives import LoanArchives
 
+#: Spark's setting that removes a statement's shuffle files at its end.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_result(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False) -> None:
     """Write a result with a header from the executors.
 
@@ -54,6 +60,23 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Statements made and run inside free their shuffle files as they end, where the session can do that.
+
+    Else the files stay until the driver happens to collect its garbage. For statements that run once.
+    """
+    if not spark.conf.isModifiable(_FREE_SHUFFLES):
+        yield
+        return
+    before = spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the cluster's shared folder and read it back.
 
@@ -66,7 +89,8 @@ def staged(df: DataFrame) -> DataFrame:
     if folder is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = _new_path(folder)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,4 +1,5 @@
 import gzip
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +210,23 @@ def test_written_archives_hold_preamble_and_footer(spark, tmp_path):
     assert text.startswith("junk\n") and text.rstrip().endswith("Total: 1")
     back = read_loans(spark, str(tmp_path / "out"), archives=True)
     assert back.count() == 100 and back.select("desc").distinct().collect()[0].desc == 'a "b"\n,'
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = (files.apply(i).getName() for i in range(files.size()))
+    return {name for name in found if name.startswith("shuffle_")}
+
+
+def test_staged_table_frees_its_shuffles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "shared_folder", lambda spark: str(tmp_path))
+    setting = spark.conf.get(writers._FREE_SHUFFLES)
+    before = shuffle_files(spark)
+    table = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    copy = staged(table)
+    until = time.time() + 10
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(writers._FREE_SHUFFLES) == setting
+    assert copy.count() == table.count() == 10
