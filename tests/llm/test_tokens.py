@@ -65,6 +65,30 @@ def test_ids_that_do_not_ascend_with_the_merges_raise(tmp_path):
         merge_encoding(str(tmp_path / "turned.json"))
 
 
+def test_merges_with_the_byte_of_a_word_end_raise(tmp_path):
+    held = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))["model"]
+    a, b = held["merges"][-1]
+    held["vocab"]["\u010aa"] = held["vocab"].pop(a + b)
+    held["merges"][-1] = ["\u010a", "a"]
+    (tmp_path / "feeds.json").write_text(json.dumps({"model": held}))
+    with pytest.raises(ValueError, match="word end"):
+        merge_encoding(str(tmp_path / "feeds.json"))
+
+
+def test_words_of_letters_are_merged_together(monkeypatch):
+    """Distinct words of letters are not looked up one by one; every letter and mark gives the library's ids."""
+    monkeypatch.setattr("loanfate.llm.token_words.MERGED_WORDS", 1000, raising=False)
+    letters = [chr(c) for c in range(0x41, 0x251) if chr(c).isalpha()]
+    draw = np.random.default_rng(7)
+    words = ["".join(draw.choice(letters[:52] if k % 2 else letters, 1 + k % 9)) for k in range(4000)]
+    marked = [w + m for w, m in zip(words, ["", ",", "...", "'s", "'", "-", "!?", "_", "1", ".x"] * 400)]
+    texts = [" ".join(words), "\n".join(marked), *letters, *(c + "." for c in letters), "", " ", "." * 70, "a" * 3000]
+    whole, mine = library("word_bpe_49k.json"), WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert mine.encode_all(texts) == [np.array(whole(t), "<u4").tobytes() for t in texts]
+    plain = [w for w in words if all(c < "\u0250" and c != "\u0130" for c in w)]
+    assert len(set(plain)) > 3000 and not set(plain) & set(mine)
+
+
 def test_long_runs_of_white_space(spark, documents):
     """Runs found by the scan give the library's ids; millions of blanks and line ends round-trip."""
     whole, mine = tiktoken_whole(), bpe.rank_encoding(RANKS, PATTERN)
