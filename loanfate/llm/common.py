@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of statements made and run inside go as they end, where the session can do that."""
+    if not spark.conf.isModifiable(_FREE_SHUFFLES):
+        yield
+        return
+    # With a default of its own, get() would not give that of a setting nobody has set.
+    before = spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -34,14 +50,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     computed once. Shuffle files of the write go when it ends, where the session can do that.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = spark.conf.get(_FREE_SHUFFLES, None)
-    if before is not None:
-        spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
+    with shuffles_freed(spark):
         df.write.parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(_FREE_SHUFFLES, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back

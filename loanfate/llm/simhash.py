@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanfate.llm.common import discard, in_batches, slices, stored, text_or_empty
+from loanfate.llm.common import discard, in_batches, shuffles_freed, slices, stored, text_or_empty
 from loanfate.llm.components import connected_components
 
 SEED = 42
@@ -41,6 +42,12 @@ NODES_AT_ONCE = 200_000
 BLOCK = 256
 #: Sets, about, whose shingles say which ones are common, and common shingles listed at most: for speed only.
 ORDER_SAMPLE, ORDER_LIST = 20_000, 100_000
+#: Shingles of prefixes searched at a time, about, in at most so many parts; they bound the disk only.
+ENTRIES_AT_ONCE, MOST_PARTS = 20_000_000, 8
+#: Shingles of the pairs compared at a time, about (or half of all), in at most so many parts; they bound the disk only.
+SHINGLES_AT_ONCE, MOST_COMPARISONS = 1 << 27, 16
+#: Bits of the parity sketch of a set, and at most of the table that says which rows may be asked.
+SKETCH_BITS, ASKED_BITS = 512, 1 << 26
 
 _TOP = np.uint64(1 << 63)
 
@@ -333,23 +340,34 @@ def _common_shingles(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], schema=schema)
 
     one_in = max(1, source.count() // ORDER_SAMPLE)
-    sample = source.filter(F.pmod(F.xxhash64("text_hash"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "shingle long")
-    often = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= 4)
-    found = often.orderBy(F.desc("n"), "shingle").limit(ORDER_LIST).toArrow()
+    with shuffles_freed(source.sparkSession):
+        sample = source.filter(F.pmod(F.xxhash64("text_hash"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "shingle long")
+        often = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= 4)
+        found = often.orderBy(F.desc("n"), "shingle").limit(ORDER_LIST).toArrow()
     shingle, n = (found.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
     order = np.argsort(shingle)
     return shingle[order], n[order]
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Of each of ``SKETCH_BITS`` shares of a set's shingles, whether their number is odd; as longs.
+
+    Sets whose sketches differ in k bits differ in k shingles at least.
+    """
+    odd = np.bincount(shingles & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(source: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(doc_id, text_hash, fp, n, prefix, print) of each text: its set's hash and size, its first shingles in a common order, its SimHash.
+    """(doc_id, text_hash, fp, n, prefix, print, sketch) of each text: its set's hash and size, its first shingles in a common order,
+    its SimHash, its set's :func:`parity_sketch`.
 
     Rare shingles come first. A set that is near another one holds at least its share ``similarity``
     of shingles of it, so the two share one of the shingles that come first, up to the number
     that may be lacking and one.
     """
     shared = source.sparkSession.sparkContext.broadcast(_common_shingles(source, size))
-    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "text_hash", "fp")), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("print", pa.int64())])
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "text_hash", "fp")), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("print", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def row(doc_id: int | None, text_hash: int, text: str) -> tuple:
         (common, often), x = shared.value, shingle_set(text, size)
@@ -358,13 +376,13 @@ def _prefixes(source: DataFrame, similarity: float, size: int) -> DataFrame:
             where = np.minimum(np.searchsorted(common, x), len(common) - 1)
             count = np.where(common[where] == x, often[where], 0)
         first = np.lexsort((x, count))[:len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
-        return doc_id, text_hash, signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)), len(x), x[first], signed(fingerprint(text, size))
+        return doc_id, text_hash, signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)), len(x), x[first], signed(fingerprint(text, size)), parity_sketch(x)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             yield from in_batches(map(row, *(c.to_pylist() for c in batch.columns)), schema)
 
-    return source.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, n int, prefix array<long>, print long")
+    return source.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, n int, prefix array<long>, print long, sketch array<long>")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -385,18 +403,35 @@ def _may_be_near(similarity: float) -> Column:
     return left * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6
 
 
-def _near_pairs(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; only their sets are made."""
-    pairs = stored(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    held = stored(sets_of(asked), "asked-sets")
-    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
-    both = both.join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = common * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-6
-    found = stored(both.filter(near).select("a", "b"), "near-pairs")
-    discard(pairs, held)
-    return found
+def _sketches_allow(similarity: float) -> Column:
+    """Whether sets of ``na`` and ``nb`` shingles whose sketches are ``sketcha`` and ``sketchb`` can be near."""
+    apart = [F.bit_count(F.col("sketcha")[k].bitwiseXOR(F.col("sketchb")[k])) for k in range(SKETCH_BITS // 64)]
+    return sum(apart[1:], apart[0]) * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
+
+
+def _near_pairs(pairs: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, most: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; only the sets of pairs that ``sketches`` allow are made.
+
+    About ``most`` shingles are compared at a time, so the sets on disk are bounded.
+    """
+    first, second = (sketches.select(*[F.col(x).alias(y) for x, y in (("fp", c), ("n", f"n{c}"), ("sketch", f"sketch{c}"))]) for c in "ab")
+    allowed = pairs.distinct().join(first.hint("merge"), "a").join(second.hint("merge"), "b").filter(_sketches_allow(similarity))
+    pairs = stored(allowed.select("a", "b", "na", "nb"), "pairs")
+    whole = pairs.agg(F.sum(F.col("na").cast("long") + F.col("nb"))).first()[0] or 0
+    parts = max(1, min(MOST_COMPARISONS, -(-whole // most)))
+    found = []
+    for part in range(parts):
+        some = pairs.filter(F.pmod(F.xxhash64("b"), F.lit(parts)) == part).select("a", "b")
+        asked = some.select(F.col("a").alias("fp")).unionByName(some.select(F.col("b").alias("fp"))).distinct()
+        held = stored(sets_of(asked), "asked-sets")
+        both = some.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
+        both = both.join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        near = common * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-6
+        found.append(stored(both.filter(near).select("a", "b"), "near-pairs"))
+        discard(held)
+    discard(pairs)
+    return reduce(DataFrame.unionByName, found)
 
 
 def print_pairs(prints: DataFrame, budget: int = 2) -> DataFrame:
@@ -413,12 +448,48 @@ def print_pairs(prints: DataFrame, budget: int = 2) -> DataFrame:
     return same.unionByName(near.select(F.col("la").alias("a"), F.col("lb").alias("b")))
 
 
+def _met_sets(classed: DataFrame, part: int, parts: int, least: int) -> DataFrame:
+    """(shingle, fp, n, at, p, held, lead) for the shingles of one part that ``least`` or more sets hold in their prefixes, not all of one class ``p``.
+
+    ``held`` says how many hold it, ``lead`` is the least of them.
+    """
+    entries = classed.select("fp", "n", "p", F.posexplode("prefix").alias("at", "shingle")).filter(F.pmod("shingle", F.lit(parts)) == part)
+    groups = entries.groupBy("shingle").agg(F.count("*").alias("held"), F.min("fp").alias("lead"), F.min("p").alias("low"), F.max("p").alias("high"))
+    shared = stored(groups.filter(F.col("held") >= least).filter("low <> high").select("shingle", "held", "lead"), "shared-shingles")
+    met = stored(entries.join(shared.hint("merge"), "shingle"), "met-sets")
+    discard(shared)
+    return met
+
+
+def _lead_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each shingle's lead with all others that hold it and are of other classes."""
+    lead = met.filter("fp = lead").select("shingle", *[F.col(x).alias(y) for x, y in (("fp", "a"), ("n", "na"), ("at", "ata"), ("p", "pa"))])
+    other = met.filter("fp <> lead").select("shingle", *[F.col(x).alias(y) for x, y in (("fp", "b"), ("n", "nb"), ("at", "atb"), ("p", "pb"))])
+    return other.join(lead.hint("merge"), "shingle").filter("pa <> pb").filter(_may_be_near(similarity)).select("a", "b")
+
+
+def _other_pairs(met: DataFrame, sketches: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs (a, b) of sets other than a shingle's lead that hold it and are of different classes, in blocks of about ``block``."""
+    placed = met.filter("fp <> lead")
+    apart = placed.groupBy("shingle").agg(F.min("p").alias("low"), F.max("p").alias("high")).filter("low <> high").select("shingle")
+    blocks = F.ceil(F.col("held") / block).cast("long")
+    left = placed.join(apart.hint("merge"), "shingle").join(sketches.select("fp", "sketch").hint("merge"), "fp").select(
+        "shingle", "fp", "n", "at", "p", "sketch", F.pmod(F.xxhash64("fp"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    )
+    held = ("fp", "n", "at", "p", "sketch")
+    one = left.select("shingle", F.col("mine").alias("i"), F.col("other").alias("j"), *[F.col(x).alias(f"{x}a") for x in held])
+    two = left.select("shingle", F.col("other").alias("i"), F.col("mine").alias("j"), *[F.col(x).alias(f"{x}b") for x in held])
+    crossed = one.hint("merge").join(two, ["shingle", "i", "j"]).filter((F.col("fpa") < F.col("fpb")) & (F.col("pa") != F.col("pb")))
+    near = crossed.filter(_may_be_near(similarity)).filter(_sketches_allow(similarity))
+    return near.select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))
+
+
 def similar_classes(
     prefixes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int = BLOCK
 ) -> DataFrame:
     """(fp, class_fp) for shingle sets that are near another one, or linked with it.
 
-    ``prefixes`` has (fp, n, prefix, print) of every different set (:func:`_prefixes`); ``sets_of`` gives
+    ``prefixes`` has (fp, n, prefix, print, sketch) of every different set (:func:`_prefixes`); ``sets_of`` gives
     (fp, shingles) for a table of asked ``fp``. Near are sets with at least this Jaccard similarity,
     decided by the sets themselves. Sets linked by SimHash are compared first (:func:`print_pairs`); what
     that connects is not compared again. An exact search for the rest follows: near sets share a shingle of
@@ -426,40 +497,60 @@ def similar_classes(
     Sets that share one are compared with one of them. Then all others that share it and are
     not connected yet are compared with each other, in blocks of about ``block`` sets, each pair of
     blocks a key of its own: pairs that are connected already change no class, so a large group of
-    near copies costs few.
+    near copies costs few. Pairs whose parity sketches differ in more bits than near sets may in shingles
+    are not compared.
+
+    The shingles of prefixes are searched in parts, and pairs compared in parts, so neither all of the
+    one nor all sets of the other are on disk at once.
     """
-    linked = _near_pairs(print_pairs(prefixes.select("fp", "print")), sets_of, similarity)
-    of_print = connected_components(linked).select(F.col("node").alias("fp"), F.col("component").alias("p"))
-    classed = prefixes.join(of_print, "fp", "left").withColumn("p", F.coalesce("p", "fp"))
-    entries = classed.select("fp", "n", "p", F.posexplode("prefix").alias("at", "shingle"))
-    held = stored(entries.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1"), "shared-shingles")
-    entries = stored(entries.join(held.hint("merge"), "shingle"), "prefixes")
-    discard(held)
-    groups = entries.groupBy("shingle").agg(F.min(F.struct("fp", "n", "at", "p")).alias("lead"))
-    met = stored(entries.join(groups.hint("merge"), "shingle").filter("fp <> lead.fp"), "met-sets")
-    with_lead = met.filter("p <> lead.p").select(
-        F.col("lead.fp").alias("a"), F.col("lead.n").alias("na"), F.col("lead.at").alias("ata"),
-        F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"),
-    )
-    found = _near_pairs(with_lead.filter(_may_be_near(similarity)).select("a", "b"), sets_of, similarity).unionByName(linked)
-    joined = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("c"))
-    placed = met.filter("held > 2").join(joined.hint("merge"), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-    placed = stored(placed.select("shingle", "fp", "n", "at", "held", "c"), "placed-sets")
-    discard(entries, met)
-    apart = placed.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("shingle")
-    blocks = F.ceil(F.col("held") / block).cast("long")
-    left = placed.join(apart.hint("merge"), "shingle").select(
-        "shingle", "fp", "n", "at", "c", F.pmod(F.xxhash64("fp"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    )
-    one = left.select("shingle", F.col("mine").alias("i"), F.col("other").alias("j"), *[F.col(x).alias(f"{x}{y}") for x, y in (("fp", "a"), ("n", "a"), ("at", "a"), ("c", "a"))])
-    two = left.select("shingle", F.col("other").alias("i"), F.col("mine").alias("j"), *[F.col(x).alias(f"{x}{y}") for x, y in (("fp", "b"), ("n", "b"), ("at", "b"), ("c", "b"))])
-    crossed = one.hint("merge").join(two, ["shingle", "i", "j"]).filter((F.col("fpa") < F.col("fpb")) & (F.col("ca") != F.col("cb")))
-    others = _near_pairs(
-        crossed.filter(_may_be_near(similarity)).select(F.col("fpa").alias("a"), F.col("fpb").alias("b")), sets_of, similarity
-    )
+    sketches = prefixes.select("fp", "n", "sketch")
+    shingles, entries = prefixes.agg(F.sum(F.col("n").cast("long")), F.sum(F.size("prefix").cast("long"))).first()
+    most, parts = max(SHINGLES_AT_ONCE, (shingles or 0) // 2), max(1, min(MOST_PARTS, -(-(entries or 0) // ENTRIES_AT_ONCE)))
+
+    def classed(found: DataFrame) -> DataFrame:
+        of_pairs = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("p"))
+        return stored(prefixes.select("fp", "n", "prefix").join(of_pairs, "fp", "left").withColumn("p", F.coalesce("p", "fp")), "prefixes")
+
+    def searched(classes: DataFrame, least: int, pairs_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        found = []
+        for part in range(parts):
+            met = _met_sets(classes, part, parts, least)
+            found.append(stored(pairs_of(met).distinct(), "part-pairs"))
+            discard(met)
+        discard(classes)
+        near = _near_pairs(reduce(DataFrame.unionByName, found), sketches, sets_of, similarity, most)
+        discard(*found)
+        return near
+
+    linked = _near_pairs(print_pairs(prefixes.select("fp", "print")), sketches, sets_of, similarity, most)
+    found = searched(classed(linked), 2, lambda met: _lead_pairs(met, similarity)).unionByName(linked)
+    others = searched(classed(found), 3, lambda met: _other_pairs(met, sketches, similarity, block))
     return connected_components(found.unionByName(others)).select(F.col("node").alias("fp"), F.col("component").alias("class_fp"))
 
 
+def _asked_rows(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``rows`` (keys, text) that ``asked`` (keys) may hold, and few others; no row is moved.
+
+    A table of sixteen bits or more for each asked row, but ``ASKED_BITS`` at most, goes to every task; beyond that more others stay.
+    """
+    spark, size = rows.sparkSession, min(ASKED_BITS, 1 << max(10, (16 * asked.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*keys), F.lit(size))
+    with shuffles_freed(spark):
+        bits = asked.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+        found = bits.agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared, names = spark.sparkContext.broadcast(table), [*keys, "text"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(names)).to_numpy()
+            yield batch.select(names).filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+
+    source = rows.select(*names)
+    return source.withColumn("place", place).mapInArrow(run, source.schema)
+
+
 def one_of_each_group(docs: DataFrame, similarity: float = 0.8, size: int = 5, leaf_size: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, all columns as they are.
 
@@ -484,19 +575,20 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, size: int = 5, l
 
     def sets_of(asked: DataFrame) -> DataFrame:
         """Made anew from the text of one row of each set, so that no table holds the sets of all texts."""
-        rows = heads.join(asked, "fp").select("fp", *named("head"))
-        texts = held.select(*keys, F.coalesce(F.col("row.text"), F.lit("")).alias("text")).dropDuplicates(keys)
-        return _sets(texts.join(rows.hint("merge"), keys).select("fp", "text"), size)
+        rows = stored(heads.join(asked, "fp").select("fp", *named("head")), "asked-rows")
+        texts = _asked_rows(held.select(*keys, F.coalesce(F.col("row.text"), F.lit("")).alias("text")), rows, keys)
+        return _sets(texts.join(rows.hint("merge"), keys).dropDuplicates(keys).select("fp", "text"), size)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), text_or_empty().alias("text"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    of_print = _prefixes(source, similarity, size).groupBy("fp").agg(F.min(rank).alias("head"), F.min(F.struct("n", "prefix", "print")).alias("set"))
-    heads = stored(of_print.select("fp", "head", "set.n", "set.prefix", "set.print"), "heads")
-    classes = similar_classes(heads.filter("n > 0").select("fp", "n", "prefix", "print"), sets_of, similarity, leaf_size)
+    of_print = _prefixes(source, similarity, size).groupBy("fp").agg(F.min(rank).alias("head"), F.min(F.struct("n", "prefix", "print", "sketch")).alias("set"))
+    heads = stored(of_print.select("fp", "head", "set.n", "set.prefix", "set.print", "set.sketch"), "heads")
+    classes = similar_classes(heads.filter("n > 0").select("fp", "n", "prefix", "print", "sketch"), sets_of, similarity, leaf_size)
     kept = (
         heads.join(classes, "fp", "left").groupBy(F.coalesce("class_fp", "fp").alias("class_fp"))
         .agg(F.min("head").alias("head"))
     )
-    kept = kept.select(*named("head"))
+    kept = stored(kept.select(*named("head")), "kept")
+    discard(heads)
     once = held.join(kept, keys).dropDuplicates(keys)
     return once.select(*[F.col("row").getField(c).alias(c) for c in names])

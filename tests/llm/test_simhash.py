@@ -2,13 +2,15 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loanfate.llm import queries, simhash
-from loanfate.llm.common import read_documents
+from loanfate.llm.common import read_documents, stored
 from loanfate.llm.components import connected_components
 
 from .conftest import CLASHES, SF_DIR
@@ -261,3 +263,56 @@ def test_print_pairs_connect_what_links_connect(spark):
     got = {r.node: r.component for r in connected_components(pairs).collect()}
     assert set(got) == {100, 101, 102, 103, 104, 105, 106}
     assert len({got[k] for k in (100, 101, 102, 103, 106)}) == 1 and got[104] == got[105] != got[100]
+
+
+def shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (held.apply(k).getName() for k in range(held.size())) if name.startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    table = stored(spark.range(50_000).groupBy((F.col("id") % 20_000).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and table.count() == 20_000
+
+
+def test_parity_sketches_bound_what_sets_differ_in():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 400))
+        b = np.concatenate([a[rng.integers(0, 400):], rng.integers(-(1 << 63), (1 << 63) - 1, rng.integers(1, 300))])
+        x, y = simhash.parity_sketch(a), simhash.parity_sketch(np.unique(b))
+        apart = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+        assert len(x) == simhash.SKETCH_BITS // 64 and apart <= len(set(a.tolist()) ^ set(b.tolist()))
+    assert not simhash.parity_sketch(np.empty(0, np.int64)).any()
+
+
+def test_sets_of_texts_that_share_one_line_are_not_made(spark, documents, monkeypatch):
+    rng, made = random.Random(15), []
+    sets = simhash._sets
+    monkeypatch.setattr(simhash, "_sets", lambda texts, size: made.append(texts.count()) or sets(texts, size))
+    line = " ".join(f"line{i}" for i in range(8))
+    rows = [(i, " ".join([line, *(f"w{rng.random()}" for _ in range(200))])) for i in range(12)]
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(documents(rows)).collect()) == list(range(12))
+    assert made and not any(made)
+
+
+def test_groups_found_in_parts(spark, documents, monkeypatch):
+    """Prefixes and pairs searched in several parts give the groups of all shingle sets."""
+    rng, parts = random.Random(16), set()
+    monkeypatch.setattr(simhash, "ENTRIES_AT_ONCE", 1000)
+    monkeypatch.setattr(simhash, "SHINGLES_AT_ONCE", 1)
+    met = simhash._met_sets
+    monkeypatch.setattr(simhash, "_met_sets", lambda classed, part, *rest: parts.add(part) or met(classed, part, *rest))
+    texts = []
+    for n in range(10, 26):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(200)]
+        texts += [" ".join(words), runs_changed(words, n, rng), runs_changed(words, n, rng)]
+    texts += [None, "", "a short one", "A short  one"]
+    rng.shuffle(texts)
+    label = plain_jaccard_classes([t or "" for t in texts])
+    kept = {r.doc_id for r in simhash.one_of_each_group(documents([*enumerate(texts)])).collect()}
+    assert kept == set(label) and len(parts) > 1
