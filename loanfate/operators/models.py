@@ -7,12 +7,13 @@ import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanfate.operators.trees import BoostedTargets, fit_boosted_targets
 from loanfate.schema import CATEGORY_FEATURES, NUMERIC_FEATURES
 
 
@@ -26,13 +27,9 @@ def _feature_stages(numeric: list[str], categories: list[str]) -> list:
     ]
 
 
-def _learner(kind: str, target: str, seed: int, penalty: float):
+def _learner(target: str, penalty: float) -> LinearRegression:
     columns = {"featuresCol": "features", "labelCol": target, "predictionCol": f"{target}Pred"}
-    if kind == "separate":
-        return LinearRegression(solver="normal", regParam=penalty, **columns)
-    if kind == "gbt":
-        return GBTRegressor(maxIter=10, maxDepth=5, seed=seed, **columns)
-    raise ValueError(f"learner must be 'linear', 'separate' or 'gbt', got {kind!r}")
+    return LinearRegression(solver="normal", regParam=penalty, **columns)
 
 
 @dataclass(frozen=True)
@@ -117,24 +114,29 @@ def fit_multi_target(
     numeric: list[str] = NUMERIC_FEATURES,
     categories: list[str] = CATEGORY_FEATURES,
     penalty: float = 1e-6,
-) -> PipelineModel | LinearTargets:
+) -> PipelineModel | LinearTargets | BoostedTargets:
     """Fit one regression per target on shared features.
 
     The inputs are the ``numeric`` columns and those of ``categories`` that are present. The
     linear learner fits all targets in one pass (:func:`fit_linear_targets`); its small ``penalty``
-    keeps the normal equations solvable when inputs are collinear. ``separate`` fits the same lines
-    one target at a time. For it and for trees the feature vectors are made once, kept while the fits
+    keeps the normal equations solvable when inputs are collinear. ``gbt`` grows boosted trees of all
+    targets, a pass over small binned rows for a level (:func:`fit_boosted_targets`). ``separate`` fits the lines of ``linear``
+    one target at a time. For it the feature vectors are made once, kept while the fits
     run, and released. The targets do not depend on each other, so their fits are submitted side
     by side and share the cluster.
     """
+    if learner not in ("linear", "separate", "gbt"):
+        raise ValueError(f"learner must be 'linear', 'separate' or 'gbt', got {learner!r}")
     present = [c for c in categories if c in train.columns]
     if learner == "linear":
         return fit_linear_targets(train, targets, list(numeric), present, penalty)
+    if learner == "gbt":
+        return fit_boosted_targets(train, targets, list(numeric), present, _levels(train, present) if present else [], seed)
     features = Pipeline(stages=_feature_stages(list(numeric), present)).fit(train)
     encoded = features.transform(train).select("features", *targets).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(target):
-        return _learner(learner, target, seed, penalty).fit(encoded)
+        return _learner(target, penalty).fit(encoded)
 
     try:
         with ThreadPoolExecutor(max_workers=len(targets)) as pool:
@@ -144,7 +146,7 @@ def fit_multi_target(
     return PipelineModel(stages=[*features.stages, *models])
 
 
-def prediction_table(model: PipelineModel | LinearTargets, test: DataFrame, targets: list[str]) -> DataFrame:
+def prediction_table(model: PipelineModel | LinearTargets | BoostedTargets, test: DataFrame, targets: list[str]) -> DataFrame:
     """Predictions beside the actual values."""
     return model.transform(test).select(*[f"{t}Pred" for t in targets], *targets)
 

@@ -2,10 +2,10 @@
 
 from loanfate.sources.readers import read_crosswalk, read_loan_archives, read_loans, read_result, read_zip_base
 from loanfate.sources.writers import (
-    read_facts, release, scratch_path, shuffles_freed, staged, write_facts, write_loan_archives, write_result,
+    dropped, read_facts, release, scratch_path, shuffles_freed, staged, write_facts, write_loan_archives, write_result,
 )
 
 __all__ = [
-    "read_crosswalk", "read_facts", "read_loan_archives", "read_loans", "read_result", "read_zip_base",
+    "dropped", "read_crosswalk", "read_facts", "read_loan_archives", "read_loans", "read_result", "read_zip_base",
     "release", "scratch_path", "shuffles_freed", "staged", "write_facts", "write_loan_archives", "write_result",
 ]

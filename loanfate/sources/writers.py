@@ -104,5 +104,11 @@ def scratch_path(spark: SparkSession) -> str:
     return _new_path(shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir"))
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a :func:`scratch_path` that nothing will read any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _new_path(folder: str) -> str:
     return f"{folder.rstrip('/')}/loanfate-{uuid.uuid4().hex}"
