@@ -43,26 +43,16 @@ def test_trees_are_those_of_spark(table):
         model.transform(odd.withColumn("a", F.lit(None).cast("double"))).collect()
 
 
-def test_no_row_object_is_kept(spark, table):
+def test_no_row_object_is_kept(spark, table, monkeypatch):
     """Nothing stays in executor storage while trees grow, and no file of theirs stays after."""
-    held, files = [], lambda: set(trees_files(spark))
-    before, grow = files(), trees._grow
-
-    def watched(*args):
-        held.append(spark._jsc.getPersistentRDDs().size())
-        return grow(*args)
-
+    held, paths, grow, scratch = [], [], trees._grow, trees.scratch_path
     stored = spark._jsc.getPersistentRDDs().size()
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(trees, "_grow", watched)
-        models.fit_multi_target(table, ["y1"], "gbt", numeric=["a"], categories=[])
-    assert len(held) == 10 and max(held) <= stored and files() == before
-
-
-def trees_files(spark):
-    place = spark._jvm.org.apache.hadoop.fs.Path(trees.scratch_path(spark)).getParent()
-    found = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in found.listStatus(place)] if found.exists(place) else []
+    monkeypatch.setattr(trees, "scratch_path", lambda s: paths.append(scratch(s)) or paths[-1])
+    monkeypatch.setattr(trees, "_grow", lambda *args: held.append(spark._jsc.getPersistentRDDs().size()) or grow(*args))
+    models.fit_multi_target(table, ["y1"], "gbt", numeric=["a"], categories=[])
+    assert len(held) == len(paths) == 10 and max(held) <= stored
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 @pytest.mark.parametrize("values, expected, want", [
