@@ -46,6 +46,7 @@ def test_trees_are_those_of_spark(table):
 def test_no_row_object_is_kept(spark, table, monkeypatch):
     """Nothing stays in executor storage while trees grow, and no file of theirs stays after."""
     held, paths, grow, scratch = [], [], trees._grow, trees.scratch_path
+    table.count()
     stored = spark._jsc.getPersistentRDDs().size()
     monkeypatch.setattr(trees, "scratch_path", lambda s: paths.append(scratch(s)) or paths[-1])
     monkeypatch.setattr(trees, "_grow", lambda *args: held.append(spark._jsc.getPersistentRDDs().size()) or grow(*args))
